@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, repeat_rows
 
-WINDOW, K = 13, 5
+WINDOW, K = 13, 4
 #: Benchmark fingerprints up to this number are broadcast (about 0.6 KB each with their words); beyond, the join shuffles.
 BROADCAST_FINGERPRINTS = 60_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,8 +27,30 @@ def words_of(text: Column) -> Column:
 def _grams(words: Column, size: int) -> Column:
     """Hashes of all `size`-grams in order; none if there are fewer words."""
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + j) for j in range(size)]))
-    return F.when(n >= size, hashes).otherwise(F.array().cast("array<long>"))
+    hashes = F.transform(words, lambda w, i: F.xxhash64(F.lit(size), w, *[F.get(words, i + j) for j in range(1, size)]))
+    return F.when(n >= size, F.slice(hashes, 1, n - size + 1)).otherwise(F.array().cast("array<long>"))
+
+
+def _fingerprints(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """docs with a row for each new minimum of `window - k + 1` consecutive k-gram hashes, and one of null fp for the document.
+
+    Minima are taken while hashes are exploded, inside generated code. A window's minimum is new where its last hash is the
+    minimum or the hash that has just left it was as small; else the window before has given it. (The outer form of the
+    generator, on arrays that are never empty, keeps the optimiser from testing their size on inlined lambdas.)
+    """
+    span = window - k + 1
+    at = lambda i: F.get("hashes", F.col("i") + i)
+    low = F.least(*[at(i) for i in range(span)])
+    first, last = F.col("i") == 1, at(span - 1)
+    new = last.isNotNull() & (first | (last == F.col("low")) | (at(-1) <= F.col("low")))
+    hashes = F.concat(F.array(F.lit(0).cast("long")), _grams(F.col("words"), k))
+    return (
+        docs.withColumn("hashes", hashes)
+        .select("*", F.posexplode_outer("hashes").alias("i", "_"))
+        .withColumn("low", low)
+        .where((F.col("i") == 0) | new)
+        .select(*docs.columns, F.when(F.col("i") > 0, F.col("low")).alias("fp"))
+    )
 
 
 def _minima(hashes: Column, span: int) -> Column:
@@ -96,9 +118,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     docs = documents.select("doc_id", F.col("text").alias("_text")).select(
         "doc_id", F.xxhash64("_text").alias("version"), words_of(F.col("_text")).alias("words")
     )
-    prints = docs.withColumn("hashes", _grams(F.col("words"), k)).withColumn("kept", _minima(F.col("hashes"), reach + 1))
-    kept = F.concat(F.array(F.lit(None).cast("long")), "kept", *[F.array_distinct(_grams(F.col("words"), m)) for m in sizes])
-    rows = prints.select("doc_id", "version", "words", F.explode(kept).alias("fp"))
+    rows = _fingerprints(docs, window, k)
+    for m in sizes:
+        rows = rows.unionByName(docs.withColumn("fp", F.explode(F.array_distinct(_grams(F.col("words"), m)))))
     if small:
         met = rows.join(F.broadcast(items), "fp", "left")
     else:
