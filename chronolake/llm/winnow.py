@@ -148,13 +148,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     found = met.select(
         "doc_id", "version", F.when(F.col("fp").isNull(), n).alias("n_words"), F.when(F.col("fp").isNotNull(), spans).alias("spans"), "item_ids"
     )
+    # hits that don't extend to a window are left to the aggregate: a filter on them would be moved below, out of generated
+    # code, and every fingerprint would then carry its document's words
     grouped = (
-        found.where(F.col("n_words").isNotNull() | (F.size("spans") > 0))
+        found
         .groupBy("doc_id", "version")
         .agg(
             F.count("n_words").alias("copies"), F.max("n_words").cast("long").alias("n_words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("spans").isNotNull(), F.col("item_ids")))))).alias("items"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("spans") > 0, F.col("item_ids")))))).alias("items"),
         )
     )
     covered = F.aggregate(
