@@ -29,10 +29,13 @@ from .common import scratch_path, stored
 #: Most words in a lexicon; it only saves merging, so results don't depend on it. About 6 MB compiled.
 MAX_WORDS = 131_072
 #: Words that a worker keeps encoded, and words that it counts before it hands the counts on.
-KEEP, COUNT_AT_ONCE = 300_000, 500_000
+KEEP, COUNT_AT_ONCE = 200_000, 300_000
+#: Pieces of more bytes are merged one by one; texts are encoded so many at a time.
+LONG, TEXTS = 40, 500
+NONE, NO_RANK, TOGETHER = (1 << 20) - 1, 1 << 30, 2048
 
 # Fixed values of the tokenizer's format: white space, the letters that stand for bytes, the split pattern, the end of a word.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 END = "</w>"
 
@@ -59,6 +62,11 @@ class Merger:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
         self.letters = byte_letters()
+        pairs = sorted((self.vocab[a] << 20 | self.vocab[b], r, self.vocab[a + b]) for (a, b), r in self.ranks.items())
+        self.pair_keys, self.pair_ranks = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], np.int32)
+        self.merged = np.zeros(len(self.ranks), np.int32)
+        self.merged[self.pair_ranks] = [p[2] for p in pairs]
+        self.byte_ids, self.last_ids = (np.array([self.vocab[x + end] for x in self.letters]) for end in ("", END))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, piece: str) -> list[int]:
@@ -73,13 +81,71 @@ class Merger:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.vocab[p] for p in parts]
 
-    def encode(self, word: str) -> list[int]:
-        """Ids of a word, that is of text without white space inside."""
+    def pieces(self, word: str) -> list[str | int]:
+        """The pieces of a word that are merged on their own, and the ids of special tokens in it."""
+        if word.isascii() and word.isalpha():
+            return [word.lower()]
         if self.cut and self.cut.search(word):
-            return [i for part in self.cut.split(word) if part for i in ([self.special[part]] if part in self.special else self.encode(part))]
+            return [i for part in self.cut.split(word) if part for i in ([self.special[part]] if part in self.special else self.pieces(part))]
         # capital sigma has one lower-case form here, wherever it stands
-        low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        return [i for piece in _pieces.findall(low) for i in self.merge(piece)]
+        return _pieces.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())
+
+    def encode(self, word: str) -> list[int]:
+        """Ids of a word, that is of text without white space inside."""
+        return [i for piece in self.pieces(word) for i in ([piece] if isinstance(piece, int) else self.merge(piece))]
+
+    def merge_all(self, pieces: list[str]) -> list[list[int]]:
+        """merge() of many pieces at once: a row of symbols each, whose lowest-ranked pairs are merged step by step."""
+        raw = [p.encode() for p in pieces]
+        size = np.array([len(r) for r in raw], np.int64)
+        out: list = [None] * len(pieces)
+        order = np.argsort(size, kind="stable")
+        short = int(np.searchsorted(size[order], LONG, "right"))
+        for k in order[short:].tolist():
+            out[k] = self.merge(pieces[k])
+        for at in range(0, short, TOGETHER):  # pieces of about the same size
+            own = order[at : min(at + TOGETHER, short)]
+            for k, ids in zip(own.tolist(), self._merge_rows(b"".join(raw[k] for k in own), size[own]), strict=True):
+                out[k] = ids
+        return out
+
+    def _merge_rows(self, data: bytes, size: np.ndarray) -> list[list[int]]:
+        n, width = len(size), int(size.max()) + 1
+        row = np.repeat(np.arange(n), size)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        symbols = np.full((n, width), NONE, np.int32)
+        letters = np.frombuffer(data, np.uint8)
+        symbols[row, column] = np.where(column == size[row] - 1, self.last_ids[letters], self.byte_ids[letters])
+        ranks = np.full((n, width), NO_RANK, np.int32)
+        ranks[:, :-1] = self._rank(symbols[:, :-1], symbols[:, 1:])
+        done: list = [None] * n
+        names, places = np.arange(n), np.arange(width - 1)
+        while len(names):
+            at = ranks.argmin(axis=1)  # the leftmost of the lowest
+            every = np.arange(len(names))
+            rank = ranks[every, at]
+            live = rank < NO_RANK
+            if not live.all():
+                for k, own in zip(names[~live].tolist(), symbols[~live].tolist(), strict=True):
+                    done[k] = own[: own.index(NONE)]
+                names, symbols, ranks, at, rank = (x[live] for x in (names, symbols, ranks, at, rank))
+                every = np.arange(len(names))
+                if not len(names):
+                    break
+            behind = places >= at[:, None] + 1  # what moves one place to the left
+            np.copyto(symbols[:, :-1], symbols[:, 1:].copy(), where=behind)
+            np.copyto(ranks[:, :-1], ranks[:, 1:].copy(), where=behind)
+            new = self.merged[rank]
+            symbols[every, at] = new
+            ranks[every, at] = self._rank(new, symbols[every, at + 1])
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = self._rank(symbols[left, at[left] - 1], new[left])
+        return done
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK)
 
     def decode(self, ids) -> str:
         """Tokens joined by one space; special tokens stay."""
@@ -252,20 +318,24 @@ def _merger(tokenizer_path: str) -> Merger:
 
 
 class _Encoded(dict):
-    """word -> its ids as little-endian int32 bytes, filled from the lexicon or by merging."""
+    """word -> its ids as little-endian int32 bytes; decoded has the tokens' text."""
 
     def __init__(self, tokenizer_path: str, lexicon_file: str):
         self.merger = _merger(tokenizer_path)
         self.lexicon = Lexicon.open(SparkFiles.get(lexicon_file))
         self.decoded: dict[str, str] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.lexicon.find(word.encode())
-        if ids is None:
-            ids = self.merger.encode(word)
-        self.decoded[word] = self.merger.decode(ids)
-        self[word] = value = array("i", ids).tobytes()
-        return value
+    def learn(self, words: set[str]) -> None:
+        """Adds words, from the lexicon or else merged all together."""
+        ids = {w: self.lexicon.find(w.encode()) for w in words}
+        pieces = {w: self.merger.pieces(w) for w, found in ids.items() if found is None}
+        new = list({p for own in pieces.values() for p in own if isinstance(p, str)})
+        merged = dict(zip(new, self.merger.merge_all(new), strict=True))
+        for w, own in pieces.items():
+            ids[w] = merged[own[0]] if len(own) == 1 and isinstance(own[0], str) else [i for p in own for i in (merged[p] if isinstance(p, str) else [p])]
+        for w, found in ids.items():
+            self[w] = array("i", found).tobytes()
+            self.decoded[w] = self.merger.decode(found)
 
 
 @cache
@@ -285,21 +355,19 @@ def encode(documents: DataFrame, tokenizer_path: str, lexicon_file: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _encoded(tokenizer_path, lexicon_file)
-        for batch in batches:
-            ids, decoded, ends = [], [], [0]
-            for text in batch.column(1).to_pylist():
-                words = split_words(text or "")
-                own = b"".join(map(known.__getitem__, words))
-                ids.append(own)
-                ends.append(ends[-1] + len(own) // 4)
-                decoded.append(" ".join(map(known.decoded.__getitem__, words)))
-                if len(known) > KEEP:
-                    known.clear()
-                    known.decoded.clear()
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                words = [split_words(t or "") for t in batch.column(1).to_pylist()]
+                unknown = set().union(*words)
+                if len(known) > KEEP:  # what is needed again is learned again
+                    known.clear(), known.decoded.clear()
+                known.learn(unknown.difference(known))
+                own = [b"".join(map(known.__getitem__, w)) for w in words]
+                ends = np.cumsum([0, *(len(x) // 4 for x in own)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(own), "<i4")))
+                decoded = pa.array([" ".join(map(known.decoded.__getitem__, w)) for w in words], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], ["doc_id", "ids", "decoded"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

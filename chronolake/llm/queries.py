@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, url_filter, wavelet, winnow
+from . import bpe, html_paths, minhash, perplexity, quality_gam, suffix_array, toxicity, url_filter, wavelet, winnow
 from .common import read, scratch_path
 
 #: The rules of the url query: host, path, verdict.
@@ -29,10 +29,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "shards")
     wavelet.write_shards(read(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"))
@@ -45,11 +57,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), rules)
 
 
+def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.rules(read(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_minhash, op6_wavelet, op7_url_filter, op9_winnowing)}
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_array.remove_repeats(read(spark, sf_dir, "documents"))
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_tag_paths, op3_minhash, op4_factorization, op5_additive, op6_wavelet, op7_url_filter, op8_perplexity, op9_winnowing, op10_suffix_array)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 

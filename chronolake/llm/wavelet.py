@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
 #: Pieces of text that a worker keeps encoded.
-KEEP = 400_000
+KEEP = 1_000_000
 SHARD = "part int, seq int, doc_ids array<{id}>, offsets array<int>, bits int, zeros array<int>, planes array<binary>, ranks array<binary>"
 
 
@@ -37,18 +38,22 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         zeros, planes, ranks = [], [], []
-        now = ids
+        now, places = ids, np.arange(len(ids), dtype=np.int32)
         for level in range(bits - 1, -1, -1):
-            one = (now >> level & 1).astype(bool)
-            packed = np.packbits(one)
-            ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.uint32) if len(packed) else np.zeros(0, np.uint32)
-            ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes())
-            planes.append(packed.tobytes())
-            low = now[~one]
-            zeros.append(len(low))
-            now = np.concatenate([low, now[one]])
+            one = (now & now.dtype.type(1 << level)) != 0
+            upto = np.cumsum(one, dtype=np.int32)
+            ranks.append(np.concatenate([[0], upto[BLOCK - 1 :: BLOCK], upto[-1:][: len(ids) % BLOCK > 0]]).astype("<u4").tobytes())
+            planes.append(np.packbits(one).tobytes())
+            zeros.append(len(ids) - int(upto[-1]) if len(ids) else 0)
+            low, now = now, np.empty_like(now)
+            now[cls._next(one, upto, zeros[-1], places)] = low
         return cls(len(ids), bits, zeros, planes, ranks)
 
+    @staticmethod
+    def _next(one: np.ndarray, upto: np.ndarray, zeros: int, places: np.ndarray) -> np.ndarray:
+        """Where each entry of a plane stands in the next one."""
+        return np.where(one, upto + np.int32(zeros - 1), places - upto)
+
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones before each position of a plane."""
         at = np.asarray(at, np.int64)
@@ -112,23 +117,24 @@ class WaveletMatrix:
         return at
 
     def all(self) -> np.ndarray:
-        """All ids in order: planes are undone from the lowest up, each in two streams."""
-        ids = np.zeros(self.size, np.uint32)
+        """All ids in order: planes are undone from the lowest up."""
+        ids = np.zeros(self.size, np.uint16 if self.bits <= 16 else np.uint32)
+        places = np.arange(self.size, dtype=np.int32)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.size).astype(bool)
-            up = np.empty_like(ids)
-            up[~one] = ids[: self.zeros[level]]
-            up[one] = ids[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
-            ids = up
+            one = np.unpackbits(self.planes[level], count=self.size).view(bool)
+            ids = ids[self._next(one, np.cumsum(one, dtype=np.int32), self.zeros[level], places)]
+            ids |= one.astype(ids.dtype) << (self.bits - 1 - level)
         return ids
 
 
-# White space of the tokenizer's pattern; a piece is white space with the text behind it, which no token crosses.
-_SPACE = "\t-\r \x85\xa0  -     　"
+# White space of the tokenizer's pattern. No token crosses the start of a run of it.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _pieces = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
 class _Tokenizer:
+    """Encodes texts piece by piece; the library encodes each new piece once."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -137,17 +143,29 @@ class _Tokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.behind: dict[str, bytes] = {}  # of pieces that a single space precedes
+
+    def _learn(self, known: dict[str, bytes], pieces: list[list[str]], prefix: str) -> None:
+        if len(known) > KEEP:
+            known.clear()
+        new = list(set().union(*pieces).difference(known))
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast([prefix + p for p in new], add_special_tokens=False), strict=True):
+            known[piece] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of each text. The library encodes each new piece once."""
-        pieces = [_pieces.findall(t or "") for t in texts]
-        new = list({p for own in pieces for p in own if p not in self.known})
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, own)) for own in pieces]
-        if len(self.known) > KEEP:
-            self.known.clear()
-        return out
+        """Little-endian uint32 ids of each text."""
+        heads, tails = [], []
+        for text in texts:
+            text = text or ""
+            if "  " in text:  # a run of spaces is more than one piece to split() but one to the tokenizer
+                heads.append(_pieces.findall(text)), tails.append([])
+            else:
+                head, *tail = text.split(" ")
+                heads.append([head] if head else []), tails.append(tail)
+        self._learn(self.known, heads, "")
+        self._learn(self.behind, tails, " ")
+        known, behind = self.known.__getitem__, self.behind.__getitem__
+        return [b"".join(map(known, h)) + b"".join(map(behind, t)) for h, t in zip(heads, tails, strict=True)]
 
 
 @cache
