@@ -27,7 +27,7 @@ COORDINATES = BANDS * ROWS
 #: Pairs whose signatures agree less are not confirmed: at 0.85 that is 5.8 standard deviations low.
 SLACK = 0.15
 BLOCK = 256
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 200_000
 
 
 class _WordHashes(dict):
@@ -47,9 +47,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; with fewer words, of the whole sequence; none without words."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change case, only ASCII white space cuts
+    words = text.lower().split()  # of bytes: only A-Z change case, only ASCII white space cuts
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
@@ -88,8 +88,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "digest", "keys", "short"]
     for batch in batches:
         sizes, digests, keys, shorts = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            own = shingles(text)
+        for text in batch.column(1):
+            own = shingles(text.as_py() or b"")
             sizes.append(len(own))
             if not len(own):
                 digests.append(None), keys.append(None), shorts.append(None)
@@ -105,7 +105,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
+        found = [shingles(t.as_py() or b"").tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "own"])
 
 
@@ -191,7 +191,7 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     with the same result; a null doc_id takes no part, has no component and is kept. No rows give no rows; other columns
     are ignored. Texts are read whole.
     """
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     features = stored(documents.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, keys array<long>, short binary"), "features")
     known = features.where("n_shingles > 0 and doc_id is not null")
     # one class for each set; its id is its smallest document
@@ -253,3 +253,9 @@ def _linked(documents: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame
     sets = stored(texts.mapInArrow(_sets, "id long, own binary"), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("own").alias("a_own")), sets.select(F.col("id").alias("b"), F.col("own").alias("b_own"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_own", "b_own").mapInArrow(_confirm(threshold), "a long, b long")
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """One row of documents, with all its columns, for each group of near duplicates; rows without doc_id stay."""
+    kept = near_duplicates(documents).where("kept and doc_id is not null").select("doc_id").distinct()
+    return documents.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,44 +234,73 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         rows = pa.Table.from_batches(held).combine_chunks()
         anchor = rows.column("anchor").to_numpy()
-        lengths = np.cumsum(np.diff(rows.column("bytes").chunk(0).buffers() and np.array([len(x.as_buffer()) for x in rows.column("bytes")]), prepend=0, n=0))
-        ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, 0)[:-1]  # where buckets end; the last may go on
+        upto = np.cumsum(pc.binary_length(rows.column("bytes")).to_numpy())
+        ends = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1  # where buckets end; the last may go on
         at = 0
         while len(ends) and ends[-1] > at:
-            done = lengths[at - 1] if at else 0
-            fits = ends[(ends > at) & (lengths[ends - 1] - done <= BLOCK)]
+            before = upto[at - 1] if at else 0
+            fits = ends[(ends > at) & (upto[ends - 1] - before <= BLOCK)]
             to = int(fits[-1]) if len(fits) else int(ends[ends > at][0])
             yield from block(rows.slice(at, to - at))
             at = to
         rest = rows.slice(at)
-        held, size = rest.to_batches(), rest.nbytes
+        held, size = rest.to_batches(), int(upto[-1] - (upto[at - 1] if at else 0))
     if held:
         rows = pa.Table.from_batches(held).combine_chunks()
         if rows.num_rows:
             yield from block(rows)
 
 
+def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The data without the spans, and the number of maximal runs that went."""
+    runs: list[list[int]] = []
+    for start, end in sorted(spans):
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    parts, at = [], 0
+    for start, end in runs:
+        parts.append(data[at:start])
+        at = end
+    return b"".join([*parts, data[at:]]), len(runs)
+
+
+def _cells(texts: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes, bytes, int]]:
+    for text, own in zip(texts, spans, strict=True):
+        data = text.as_buffer().to_pybytes() if text.is_valid else b""
+        yield data, *cut(data, [(x["start"], x["end"]) for x in own.as_py()] if own.is_valid else [])
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     for batch in batches:
-        n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            runs: list[list[int]] = []
-            if spans.is_valid:
-                for s in sorted((x["start"], x["end"]) for x in spans.as_py()):
-                    if runs and s[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s[1])
-                    else:
-                        runs.append(list(s))
-            parts, at = [], 0
-            for start, end in runs:
-                parts.append(data[at:start])
-                at = end
-            parts.append(data[at:])
-            kept.append(b"".join(parts))
-            n_bytes.append(len(data)), n_removed.append(len(data) - len(kept[-1])), n_spans.append(len(runs))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())], names)
+        rows = [(len(data), len(data) - len(kept), n, kept) for data, kept, n in _cells(batch.column(1), batch.column(2))]
+        columns = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """The rows of documents with all their columns, and texts without what remove_repeats() takes; null texts stay null.
+
+    Where a cut splits a character, what is left of it goes too. A column n_chars follows the new text.
+    """
+    spans = stored(repeated_spans(documents), "spans").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
+    same = (F.xxhash64("doc_id", "text") == F.col("_version")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    met = documents.join(spans, same, "left").drop("_id", "_version")
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            new = [kept.decode("utf-8", "ignore") if n else data.decode() for data, kept, n in _cells(texts.cast(pa.binary()), batch.column(batch.num_columns - 1))]
+            new = pa.array([t if ok else None for t, ok in zip(new, texts.is_valid().to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([new if k == at else batch.column(k) for k in range(batch.num_columns - 1)], batch.schema.names[:-1])
+
+    out = met.mapInArrow(run, documents.schema)
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        out = out.select(*[F.char_length("text").cast(kind).alias(c) if c == "n_chars" else c for c in documents.columns])
+    return out
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
@@ -290,8 +320,8 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("members").alias("fewest")).where("contexts > 1 and fewest = 1").select("anchor")
     wanted = classes.join(mixed, "anchor", "left_semi").select("one.doc_id", "one.version", F.struct("anchor", "members", "one.first", "one.last").alias("w"))
     wanted = wanted.groupBy("doc_id", "version").agg(F.collect_list("w").alias("wanted"))
-    met = docs.dropDuplicates(["doc_id", "version"]) if False else docs
-    met = met.alias("d").join(wanted.alias("w"), (F.col("d.version") == F.col("w.version")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+    # every copy of a document meets its own contexts: rows of equal id and text give equal spans
+    met = docs.alias("d").join(wanted.alias("w"), (F.col("d.version") == F.col("w.version")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
     contexts = met.select("d.doc_id", "d.version", "bytes", "wanted").mapInArrow(_context_rows, f"doc_id {kind}, version long, anchor long, first int, members long, bytes binary")
     contexts = contexts.repartition("anchor").sortWithinPartitions("anchor")
     partly = contexts.mapInArrow(_sorted_spans, f"doc_id {kind}, version long, start int, end int")

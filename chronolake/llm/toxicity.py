@@ -67,7 +67,7 @@ class Machine:
         return float(_sigmoid(np.float64(self.bias + self.weights[at].sum() + pairs)))
 
 
-def fit_machine(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.05, seed: int = 7) -> Machine:
+def fit_machine(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 60, rate: float = 0.05, seed: int = 7) -> Machine:
     """Fits on the slots of texts and their 0/1 labels, by AdaGrad on the logistic loss.
 
     The terms of the model are those whose presence departs most from the labels' shares (chi-square with a correction for
@@ -89,6 +89,7 @@ def fit_machine(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 30, r
     at = place[flat]
     x[row[at >= 0], at[at >= 0]] = 1
     random = np.random.default_rng(seed)
+    weight = np.float32(np.sqrt((1 - p) / p))  # the rarer label counts more
     k = len(slots)
     bias, w, v = np.float32(np.log(p / (1 - p))), np.zeros(k, np.float32), random.normal(0, 0.01, (k, FACTORS)).astype(np.float32)
     gb, gw, gv = 1e-6, np.full(k, 1e-6, np.float32), np.full((k, FACTORS), 1e-6, np.float32)
@@ -98,7 +99,7 @@ def fit_machine(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 30, r
             xb, yb = x[order[a : a + 128]].astype(np.float32), y[order[a : a + 128]]
             s = xb @ v
             z = bias + xb @ w + 0.5 * ((s**2).sum(axis=1) - (xb @ (v**2)).sum(axis=1))
-            e = (_sigmoid(z) - yb) / len(yb)
+            e = (_sigmoid(z) - yb) * np.where(yb == 1, weight, np.float32(1)) / len(yb)
             db, dw = e.sum(), xb.T @ e + 1e-5 * w
             dv = xb.T @ (e[:, None] * s) - (xb.T @ e)[:, None] * v + 1e-4 * v
             gb, gw, gv = gb + db**2, gw + dw**2, gv + dv**2
@@ -155,6 +156,18 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def keep_clean(documents: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows of documents whose texts score below the threshold, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(machine)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(terms(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: learned from the labels outside the held-out fold."""
     scored = score(documents, learn(documents, labels))

@@ -112,6 +112,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     empty texts have no words and are not hit; items without words never occur; null item ids are not counted. Repeated
     rows each give a row; without documents there are no rows, without items nothing is hit. Other columns are ignored.
     """
+    return repeat_rows(_judged(documents, benchmark, window, k, share), "copies").drop("version")
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, share: int = 20) -> DataFrame:
+    """The rows of documents that are not contaminated, with all their columns."""
+    bad = _judged(documents, benchmark, window, k, share).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
+    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left_anti")
+
+
+def _judged(documents: DataFrame, benchmark: DataFrame, window: int, k: int, share: int) -> DataFrame:
+    """A row for each doc_id and text, with the number of its copies."""
     items, sizes = _benchmark_side(benchmark, window, k)
     small = items.limit(BROADCAST_FINGERPRINTS + 1).count() <= BROADCAST_FINGERPRINTS
     reach = window - k
@@ -166,8 +177,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         lambda s: s["hit"],
     )
     counted = grouped.withColumn("n_hit", covered)
-    return repeat_rows(counted, "copies").select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+    return counted.select(
+        "doc_id", "version", "copies", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
