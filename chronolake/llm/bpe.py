@@ -29,7 +29,7 @@ from .common import scratch_path, stored
 #: Most words in a lexicon; it only saves merging, so results don't depend on it. About 6 MB compiled.
 MAX_WORDS = 131_072
 #: Words that a worker keeps encoded, and words that it counts before it hands the counts on.
-KEEP, COUNT_AT_ONCE = 200_000, 300_000
+KEEP, COUNT_AT_ONCE = 1_000_000, 300_000
 #: Pieces of more bytes are merged one by one; texts are encoded so many at a time.
 LONG, TEXTS = 40, 500
 NONE, NO_RANK, TOGETHER = (1 << 20) - 1, 1 << 30, 2048
@@ -60,7 +60,8 @@ class Merger:
         self.vocab: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.token = {i: t for t, i in (self.vocab | self.special).items()}
+        names = {i: t for t, i in (self.vocab | self.special).items()}
+        self.token = [names.get(i, "") for i in range(max(names) + 1)]
         self.letters = byte_letters()
         pairs = sorted((self.vocab[a] << 20 | self.vocab[b], r, self.vocab[a + b]) for (a, b), r in self.ranks.items())
         self.pair_keys, self.pair_ranks = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], np.int32)
@@ -83,8 +84,11 @@ class Merger:
 
     def pieces(self, word: str) -> list[str | int]:
         """The pieces of a word that are merged on their own, and the ids of special tokens in it."""
-        if word.isascii() and word.isalpha():
-            return [word.lower()]
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            if word[:-1].isalpha() and not word[-1].isdigit():  # a word and one mark
+                return [word[:-1].lower(), word[-1]]
         if self.cut and self.cut.search(word):
             return [i for part in self.cut.split(word) if part for i in ([self.special[part]] if part in self.special else self.pieces(part))]
         # capital sigma has one lower-case form here, wherever it stands
@@ -94,22 +98,22 @@ class Merger:
         """Ids of a word, that is of text without white space inside."""
         return [i for piece in self.pieces(word) for i in ([piece] if isinstance(piece, int) else self.merge(piece))]
 
-    def merge_all(self, pieces: list[str]) -> list[list[int]]:
-        """merge() of many pieces at once: a row of symbols each, whose lowest-ranked pairs are merged step by step."""
+    def merge_all(self, pieces: list[str]) -> list[bytes]:
+        """merge() of many pieces at once, as int32 bytes: a row of symbols each, whose lowest-ranked pairs are merged step by step."""
         raw = [p.encode() for p in pieces]
         size = np.array([len(r) for r in raw], np.int64)
         out: list = [None] * len(pieces)
         order = np.argsort(size, kind="stable")
         short = int(np.searchsorted(size[order], LONG, "right"))
         for k in order[short:].tolist():
-            out[k] = self.merge(pieces[k])
+            out[k] = array("i", self.merge(pieces[k])).tobytes()
         for at in range(0, short, TOGETHER):  # pieces of about the same size
             own = order[at : min(at + TOGETHER, short)]
             for k, ids in zip(own.tolist(), self._merge_rows(b"".join(raw[k] for k in own), size[own]), strict=True):
                 out[k] = ids
         return out
 
-    def _merge_rows(self, data: bytes, size: np.ndarray) -> list[list[int]]:
+    def _merge_rows(self, data: bytes, size: np.ndarray) -> list[bytes]:
         n, width = len(size), int(size.max()) + 1
         row = np.repeat(np.arange(n), size)
         column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
@@ -126,8 +130,10 @@ class Merger:
             rank = ranks[every, at]
             live = rank < NO_RANK
             if not live.all():
-                for k, own in zip(names[~live].tolist(), symbols[~live].tolist(), strict=True):
-                    done[k] = own[: own.index(NONE)]
+                over = symbols[~live]
+                row_bytes, ends = over.tobytes(), (4 * (over != NONE).sum(axis=1)).tolist()
+                for i, (k, end) in enumerate(zip(names[~live].tolist(), ends, strict=True)):
+                    done[k] = row_bytes[i * 4 * width : i * 4 * width + end]
                 names, symbols, ranks, at, rank = (x[live] for x in (names, symbols, ranks, at, rank))
                 every = np.arange(len(names))
                 if not len(names):
@@ -228,16 +234,19 @@ class Lexicon:
         if magic != b"MAT1":
             raise ValueError("not a lexicon")
         self.buffer, self.words, self.states = buffer, words, states
-        view, at = memoryview(buffer), _HEAD.size
+        at = _HEAD.size
 
-        def numbers(n: int) -> memoryview:
+        def numbers(n: int, kind=np.uint32) -> np.ndarray:
             nonlocal at
-            at += 4 * n
-            return view[at - 4 * n : at].cast("I")
+            own = np.frombuffer(buffer, kind, n, at)
+            at += own.nbytes
+            return own
 
-        self.starts, self.targets, self.skips = numbers(states + 1), numbers(arcs), numbers(arcs)
-        self.id_starts, self.ids = numbers(words + 1), numbers(ids)
-        self.label_at, self.final_at = at, at + arcs
+        starts, self.targets, self.skips = numbers(states + 1), numbers(arcs), numbers(arcs)
+        self.id_starts, id_array, labels, self.finals = numbers(words + 1), numbers(ids), numbers(arcs, np.uint8), numbers(states, np.uint8)
+        self.id_bytes = memoryview(id_array).cast("B")
+        # arcs are in order of state and label
+        self.arc_keys = np.repeat(np.arange(states, dtype=np.int64), np.diff(starts.astype(np.int64))) << 8 | labels
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
@@ -245,18 +254,31 @@ class Lexicon:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def find(self, word: bytes) -> list[int] | None:
-        state, index, at = self.states - 1, 0, self.label_at
-        starts, targets, skips, find = self.starts, self.targets, self.skips, self.buffer.find
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], at + starts[state], at + starts[state + 1])
-            if arc < 0:
-                return None
-            arc -= at
-            index += skips[arc]
-            state = targets[arc]
-        if not self.buffer[self.final_at + state]:
-            return None
-        return list(self.ids[self.id_starts[index] : self.id_starts[index + 1]])
+        found = self.find_all([word])[0]
+        return None if found is None else np.frombuffer(found, np.uint32).tolist()
+
+    def find_all(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word as uint32 bytes, None where the lexicon lacks it. All words go one arc on at a time."""
+        out: list[bytes | None] = [None] * len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        data, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        live, state, index = np.arange(len(words)), np.full(len(words), self.states - 1), np.zeros(len(words), np.int64)
+        depth = 0
+        while len(live):
+            ended = size[live] == depth
+            if ended.any():
+                hit = ended & (self.finals[state] == 1)
+                ids = self.id_starts
+                for k, i in zip(live[hit].tolist(), index[hit].tolist(), strict=True):
+                    out[k] = self.id_bytes[4 * int(ids[i]) : 4 * int(ids[i + 1])]
+                live, state, index = live[~ended], state[~ended], index[~ended]
+            key = state << 8 | data[begin[live] + depth]
+            arc = np.minimum(np.searchsorted(self.arc_keys, key), max(len(self.arc_keys) - 1, 0))
+            known = self.arc_keys[arc] == key if len(self.arc_keys) else np.zeros(len(key), bool)
+            live, index, arc = live[known], index[known], arc[known]
+            index, state = index + self.skips[arc], self.targets[arc].astype(np.int64)
+            depth += 1
+        return out
 
 
 # --- on Spark -------------------------------------------------------------------------------------------------------
@@ -318,29 +340,33 @@ def _merger(tokenizer_path: str) -> Merger:
 
 
 class _Encoded(dict):
-    """word -> its ids as little-endian int32 bytes; decoded has the tokens' text."""
+    """word -> its ids as little-endian int32 bytes."""
 
-    def __init__(self, tokenizer_path: str, lexicon_file: str):
-        self.merger = _merger(tokenizer_path)
-        self.lexicon = Lexicon.open(SparkFiles.get(lexicon_file))
-        self.decoded: dict[str, str] = {}
+    def __init__(self, merger: Merger, lexicon: Lexicon):
+        self.merger, self.lexicon = merger, lexicon
 
     def learn(self, words: set[str]) -> None:
         """Adds words, from the lexicon or else merged all together."""
-        ids = {w: self.lexicon.find(w.encode()) for w in words}
-        pieces = {w: self.merger.pieces(w) for w, found in ids.items() if found is None}
-        new = list({p for own in pieces.values() for p in own if isinstance(p, str)})
-        merged = dict(zip(new, self.merger.merge_all(new), strict=True))
-        for w, own in pieces.items():
-            ids[w] = merged[own[0]] if len(own) == 1 and isinstance(own[0], str) else [i for p in own for i in (merged[p] if isinstance(p, str) else [p])]
-        for w, found in ids.items():
-            self[w] = array("i", found).tobytes()
-            self.decoded[w] = self.merger.decode(found)
+        if len(self) > KEEP:  # what is needed again is learned again
+            self.clear()
+        listed = list(words)
+        lacking = []
+        for w, found in zip(listed, self.lexicon.find_all([w.encode() for w in listed]), strict=True):
+            if found is None:
+                lacking.append(w)
+            else:
+                self[w] = bytes(found)
+        pieces = [self.merger.pieces(w) for w in lacking]
+        new = list({p for own in pieces for p in own if isinstance(p, str)})
+        merged: dict[str | int, bytes] = dict(zip(new, self.merger.merge_all(new), strict=True))
+        merged |= {i: array("i", [i]).tobytes() for i in self.merger.special.values()}
+        for w, own in zip(lacking, pieces, strict=True):
+            self[w] = merged[own[0]] if len(own) == 1 else b"".join(map(merged.__getitem__, own))
 
 
 @cache
 def _encoded(tokenizer_path: str, lexicon_file: str) -> _Encoded:
-    return _Encoded(tokenizer_path, lexicon_file)
+    return _Encoded(_merger(tokenizer_path), Lexicon.open(SparkFiles.get(lexicon_file)))
 
 
 def encode(documents: DataFrame, tokenizer_path: str, lexicon_file: str | None = None) -> DataFrame:
@@ -360,13 +386,11 @@ def encode(documents: DataFrame, tokenizer_path: str, lexicon_file: str | None =
                 batch = whole.slice(at, TEXTS)
                 words = [split_words(t or "") for t in batch.column(1).to_pylist()]
                 unknown = set().union(*words)
-                if len(known) > KEEP:  # what is needed again is learned again
-                    known.clear(), known.decoded.clear()
                 known.learn(unknown.difference(known))
-                own = [b"".join(map(known.__getitem__, w)) for w in words]
-                ends = np.cumsum([0, *(len(x) // 4 for x in own)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(own), "<i4")))
-                decoded = pa.array([" ".join(map(known.decoded.__getitem__, w)) for w in words], pa.string())
+                own = [np.frombuffer(b"".join(map(known.__getitem__, w)), "<i4") for w in words]
+                ends = np.cumsum([0, *map(len, own)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own) if own else np.zeros(0, np.int32)))
+                decoded = pa.array([known.merger.decode(x.tolist()) for x in own], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], ["doc_id", "ids", "decoded"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
