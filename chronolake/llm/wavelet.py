@@ -1,7 +1,7 @@
 """Token-ID output as one wavelet matrix per shard.
 
-A shard holds about a million token ids in document order as one bit-plane for each bit of an id, each with counts of
-ones before every block of 512 bits. That gives access to any token, counts of an id in any range, and the place of
+A shard holds about a million token ids in document order. Its distinct ids are numbered, and there is one bit-plane for each
+bit of a number, each with counts of ones before every block of 512 bits. That gives access to any token, counts of an id in any range, and the place of
 its k-th occurrence, from the compressed file alone. A shard is one row of a Parquet dataset, which all executors can write and read.
 """
 
@@ -24,7 +24,8 @@ SHARD_TOKENS = 1 << 20
 BLOCK = 512
 #: Pieces of text that a worker keeps encoded.
 KEEP = 1_000_000
-SHARD = "part int, seq int, doc_ids array<{id}>, offsets array<int>, bits int, zeros array<int>, planes array<binary>, ranks array<binary>"
+MARKS = ".,;:!?|"
+SHARD = "part int, seq int, doc_ids array<{id}>, offsets array<int>, alphabet binary, zeros array<int>, planes array<binary>, ranks array<binary>"
 
 
 class WaveletMatrix:
@@ -127,6 +128,14 @@ class WaveletMatrix:
         return ids
 
 
+def to_matrix(ids: np.ndarray) -> tuple[np.ndarray, WaveletMatrix]:
+    """(alphabet, matrix): the distinct ids in order, and the matrix of their numbers, in as few bits as these need."""
+    letters = np.flatnonzero(np.bincount(ids)).astype("<u4") if len(ids) else np.zeros(0, "<u4")
+    number = np.zeros(int(letters[-1]) + 1 if len(letters) else 1, np.uint16 if len(letters) <= 1 << 16 else np.uint32)
+    number[letters] = np.arange(len(letters))
+    return letters, WaveletMatrix.build(number[ids], max(1, (len(letters) - 1).bit_length()))
+
+
 # White space of the tokenizer's pattern. No token crosses the start of a run of it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _pieces = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -135,25 +144,48 @@ _pieces = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 class _Tokenizer:
     """Encodes texts piece by piece; the library encodes each new piece once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.kind = kind
+        self.marks = {m: array(kind, self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in MARKS}
         self.known: dict[str, bytes] = {}
         self.behind: dict[str, bytes] = {}  # of pieces that a single space precedes
 
-    def _learn(self, known: dict[str, bytes], pieces: list[list[str]], prefix: str) -> None:
+    def _learn(self, known: dict[str, bytes], pieces: set[str], prefix: str) -> None:
+        """Adds pieces. A word and one mark behind it are two tokens' worth of text to the pattern, so words are encoded alone."""
+        split = {p for p in pieces if p[-1:] in MARKS and p[:-1].isalpha()}
+        bodies = {p[:-1] for p in split}.difference(known)
+        plain = list(bodies.union(pieces.difference(split)))
+        for at in range(0, len(plain), 4096):
+            own = plain[at : at + 4096]
+            found = self.tokenizer.encode([prefix + p for p in own], is_pretokenized=True, add_special_tokens=False)
+            ids = array(self.kind, found.ids)
+            ends = (np.searchsorted(np.array(found.word_ids), np.arange(len(own) + 1)) * ids.itemsize).tolist()
+            data = ids.tobytes()
+            for piece, start, end in zip(own, ends, ends[1:], strict=False):
+                known[piece] = data[start:end]
+        for p in split:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
+
+    def _find(self, known: dict[str, bytes], texts: list[list[str]], prefix: str) -> list[list[bytes]]:
         if len(known) > KEEP:
             known.clear()
-        new = list(set().union(*pieces).difference(known))
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast([prefix + p for p in new], add_special_tokens=False), strict=True):
-            known[piece] = array("I", found.ids).tobytes()
+        found = [list(map(known.get, own)) for own in texts]
+        open_ = [k for k, values in enumerate(found) if None in values]
+        lacking = {p for k in open_ for p, v in zip(texts[k], found[k], strict=True) if v is None}
+        if lacking:
+            self._learn(known, lacking, prefix)
+            for k in open_:
+                found[k] = [known[p] if v is None else v for p, v in zip(texts[k], found[k], strict=True)]
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
+        """Ids of each text, of the array type of the tokenizer."""
         heads, tails = [], []
         for text in texts:
             text = text or ""
@@ -162,15 +194,13 @@ class _Tokenizer:
             else:
                 head, *tail = text.split(" ")
                 heads.append([head] if head else []), tails.append(tail)
-        self._learn(self.known, heads, "")
-        self._learn(self.behind, tails, " ")
-        known, behind = self.known.__getitem__, self.behind.__getitem__
-        return [b"".join(map(known, h)) + b"".join(map(behind, t)) for h, t in zip(heads, tails, strict=True)]
+        first, rest = self._find(self.known, heads, ""), self._find(self.behind, tails, " ")
+        return [b"".join(h + t) for h, t in zip(first, rest, strict=True)]
 
 
 @cache
-def _tokenizer(path: str) -> _Tokenizer:
-    return _Tokenizer(path)
+def _tokenizer(path: str, kind: str) -> _Tokenizer:
+    return _Tokenizer(path, kind)
 
 
 def write_shards(documents: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, bits: int = 16, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -183,19 +213,20 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = SHARD.format(id=kind)
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    fields = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(arrow_id)), ("offsets", pa.list_(pa.int32())), ("bits", pa.int32()), ("zeros", pa.list_(pa.int32())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
-    end = np.array([end_id], "<u4").tobytes()
+    fields = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(arrow_id)), ("offsets", pa.list_(pa.int32())), ("alphabet", pa.binary()), ("zeros", pa.list_(pa.int32())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
+    code = "H" if bits <= 16 else "I"
+    end = array(code, [end_id]).tobytes()
+    width = len(end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, seq = _tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tokenizer, part, seq = _tokenizer(tokenizer_path, code), TaskContext.get().partitionId(), 0
         doc_ids, ids, held = [], [], 0
 
         def shard() -> pa.RecordBatch:
-            lengths = [len(x) // 4 for x in ids]
-            values = np.frombuffer(b"".join(ids), "<u4")
-            w = WaveletMatrix.build(values.astype(np.uint16 if bits <= 16 else np.uint32), bits)
+            lengths = [len(x) // width for x in ids]
+            letters, w = to_matrix(np.frombuffer(b"".join(ids), code))
             offsets = [0, *np.cumsum(lengths).tolist()]
-            row = [part, seq, doc_ids, offsets, bits, w.zeros, [p.tobytes() for p in w.planes], [r.tobytes() for r in w.ranks]]
+            row = [part, seq, doc_ids, offsets, letters.tobytes(), w.zeros, [p.tobytes() for p in w.planes], [r.tobytes() for r in w.ranks]]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, fields, strict=True)], schema=fields)
 
         for batch in batches:
@@ -204,7 +235,7 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
                 for key, own in zip(keys[at : at + 256], tokenizer.encode(texts[at : at + 256]), strict=True):
                     doc_ids.append(key)
                     ids.append(own + end)
-                    held += len(own) // 4 + 1
+                    held += len(own) // width + 1
                     if held >= shard_tokens:
                         yield shard()
                         seq, doc_ids, ids, held = seq + 1, [], [], 0
@@ -231,10 +262,10 @@ def read_documents(spark: SparkSession, path: str, **derived: Column) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, seq, doc_ids, offsets, bits, zeros, planes, ranks = (batch.column(k)[i] for k in range(8))
+                part, seq, doc_ids, offsets, alphabet, zeros, planes, ranks = (batch.column(k)[i] for k in range(8))
                 ends = offsets.as_py()
-                matrix = WaveletMatrix(ends[-1], bits.as_py(), zeros.as_py(), planes.as_py(), ranks.as_py())
-                ids, n = matrix.all().astype("<u4"), len(ends) - 1
+                matrix = WaveletMatrix(ends[-1], len(zeros), zeros.as_py(), planes.as_py(), ranks.as_py())
+                ids, n = np.frombuffer(alphabet.as_buffer(), "<u4")[matrix.all()], len(ends) - 1
                 for at in range(0, n, 256):  # some documents at a time
                     to = min(at + 256, n)
                     own = [ids[ends[k] : ends[k + 1]].tobytes() for k in range(at, to)]
