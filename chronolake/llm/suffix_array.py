@@ -308,7 +308,8 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = _keyed(documents)
     rows = stored(docs.mapInArrow(_anchor_rows, f"doc_id {kind}, version long, anchor long, context long, first int, last int"), "anchors")
-    again = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written first: a join can split a hot anchor's rows only if no aggregate stands between it and the shuffle
+    again = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "again")
     rows = stored(rows.join(again, "anchor", "left_semi"), "anchors")
     one = F.struct("doc_id", "version", "first", "last")
     classes = stored(rows.groupBy("anchor", "context").agg(F.count("*").alias("members"), F.min(one).alias("one")), "classes")
@@ -318,6 +319,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
 
     # buckets of several contexts of which one at least has a single member
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("members").alias("fewest")).where("contexts > 1 and fewest = 1").select("anchor")
+    mixed = stored(mixed, "mixed")
     wanted = classes.join(mixed, "anchor", "left_semi").select("one.doc_id", "one.version", F.struct("anchor", "members", "one.first", "one.last").alias("w"))
     wanted = wanted.groupBy("doc_id", "version").agg(F.collect_list("w").alias("wanted"))
     # every copy of a document meets its own contexts: rows of equal id and text give equal spans
