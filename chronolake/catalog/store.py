@@ -110,8 +110,8 @@ def parameter_map(parameters: DataFrame) -> DataFrame:
 
 def clean_tags(tags: Column) -> Column:
     """Trimmed tags without empty ones and without repeats, whatever their case; the first form stays."""
-    trimmed = F.filter(F.transform(tags, F.trim), lambda t: t != "")
-    return F.filter(trimmed, lambda t, i: F.array_position(F.transform(trimmed, F.lower), F.lower(t)) == i + 1)
+    trimmed = F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(trimmed, lambda t, i: F.array_position(F.transform(trimmed, lambda x: F.lower(x)), F.lower(t)) == i + 1)
 
 
 def artifact_id(kind: Column, path: Column) -> Column:
