@@ -4,9 +4,10 @@ Each text is its set of 5-word shingles. One permutation spreads the shingles ov
 shifted by one more place for each coordinate, gives all signature coordinates. Bands of coordinates put texts into buckets;
 pairs that a bucket brings together are confirmed by exact Jaccard similarity of the full sets.
 
-Copies with equal sets are one class before anything is compared. A bucket links its members to a hub first; only
-classes of one bucket that are still in different components are then compared with one another, in blocks, so a large
-group of near copies costs a comparison a member, not one a pair.
+Copies with equal sets are one class before anything is compared. Each class is held against the likeliest of the hubs (least
+members) of its buckets first. Only members of one hub that are still in different components are then compared with one another,
+in cells of two blocks: signatures first, full sets where they allow a link. Cells give back links of a forest, never all pairs,
+and each set is sent to few cells, so what is shuffled grows with the members of a group.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ BANDS, ROWS = 32, 6  # a pair of similarity 0.85 meets in some band but for 3 in
 COORDINATES = BANDS * ROWS
 #: Pairs whose signatures agree less are not confirmed: at 0.85 that is 5.8 standard deviations low.
 SLACK = 0.15
-BLOCK = 256
+BLOCK = 2048
 KEEP_WORDS = 200_000
 
 
@@ -123,44 +124,78 @@ def _confirm(threshold: int):
     return run
 
 
-def _agreement(threshold: int):
-    """Pairs of each cell whose components differ and whose sizes and signatures allow a link."""
-
-    def pairs(cell: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        ids, groups, sizes, shorts, blocks = cell
-        order = np.argsort(blocks, kind="stable")
-        ids, groups, sizes, shorts, blocks = (x[order] for x in (ids, groups, sizes, shorts, blocks))
-        out = ([], [])
-        for i in range(len(ids)):
-            # of a cell of two blocks only pairs across; of a cell of one block each pair once
-            to = slice(i + 1, None) if blocks[0] == blocks[-1] else slice(int(np.searchsorted(blocks, blocks[-1])), None)
-            if blocks[0] != blocks[-1] and blocks[i] == blocks[-1]:
-                break
-            fits = (groups[to] != groups[i]) & (100 * np.minimum(sizes[to], sizes[i]) >= threshold * np.maximum(sizes[to], sizes[i]))
-            if fits.any():
-                others = ids[to][fits]
-                alike = (shorts[to][fits] == shorts[i]).mean(axis=1) >= threshold / 100 - SLACK
-                out[0].extend([ids[i]] * int(alike.sum()))
-                out[1].extend(others[alike])
-        return out
+def _likely(cell: list[tuple], hub: int, threshold: int) -> Iterator[tuple[int, int]]:
+    """Positions of pairs of a cell that may be linked and are not in one component; of a pair's hubs only the least answers for it.
+
+    A cell holds two blocks of a hub's members (pairs across) or one (pairs inside).
+    """
+    blocks = np.array([r[0] for r in cell])
+    ids, groups, sizes = (np.array([r[k] for r in cell], np.int64) for k in (1, 2, 3))
+    shorts = np.frombuffer(b"".join(r[4] for r in cell), np.uint8).reshape(len(cell), -1)
+    low = blocks.min()
+    one = bool((blocks == low).all())
+    right = np.arange(len(cell)) if one else np.flatnonzero(blocks != low)
+    for i in range(len(cell)) if one else np.flatnonzero(blocks == low).tolist():
+        to = right[right > i] if one else right
+        to = to[(groups[to] != groups[i]) & (100 * np.minimum(sizes[to], sizes[i]) >= threshold * np.maximum(sizes[to], sizes[i]))]
+        if len(to):
+            to = to[(shorts[to] == shorts[i]).mean(axis=1) >= threshold / 100 - SLACK]
+        for j in to.tolist():
+            if min(set(cell[i][5]) & set(cell[j][5]), default=hub) == hub:
+                yield i, j
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(hub, i, j) and rows of each cell of rows ordered by cell; a cell has two blocks of members at most."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(k) for k in range(batch.num_columns)), strict=True):
+            row = [x.as_py() for x in row]
+            if tuple(row[:3]) != now:
+                if held:
+                    yield now, held
+                now, held = tuple(row[:3]), []
+            held.append(tuple(row[3:]))
+    if held:
+        yield now, held
+
+
+def _involved(threshold: int):
+    """(hub, i, j, id) of the members of cells that are in a likely pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
+        for key, cell in _cells(batches):
+            at = sorted({k for pair in _likely(cell, key[0], threshold) for k in pair})
+            if at:
+                columns = [pa.array([key[0]] * len(at), pa.int64()), *(pa.array([key[k]] * len(at), pa.int32()) for k in (1, 2)), pa.array([cell[k][1] for k in at], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["hub", "i", "j", "id"])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if held and len(held[0]) > 1:
-                a, b = pairs([np.array(held[0]), np.array(held[1]), np.array(held[2]), np.array(held[3]), np.array(held[4])])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+    return run
 
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
-            for key, i, j, block, id_, group, size, short in zip(*columns, strict=True):
-                if (key, i, j) != now:
-                    yield from done()
-                    now, held = (key, i, j), ([], [], [], [], [])
-                for part, value in zip(held, (id_, group, size, np.frombuffer(short, np.uint8), block), strict=True):
-                    part.append(value)
-        yield from done()
+
+def _joined(threshold: int):
+    """Links found by comparing the full sets of likely pairs; what a cell has already linked is not compared again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, cell in _cells(batches):
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    x = up
+                return x
+
+            sets = [np.frombuffer(r[6], np.uint64) for r in cell]
+            found = []
+            for i, j in _likely(cell, key[0], threshold):
+                a, b = root(cell[i][2]), root(cell[j][2])
+                if a != b:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= threshold * (len(sets[i]) + len(sets[j]) - both):
+                        parent[max(a, b)] = min(a, b)
+                        found.append((cell[i][1], cell[j][1]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
@@ -198,12 +233,12 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short")), "classes")
 
     banded = classes.select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).where("members > 1")
-    buckets = stored(banded.join(shared, "key"), "buckets")
+    shared = stored(banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).where("members > 1").select("key", "hub"), "shared")
+    buckets = stored(banded.join(shared, "key").select("hub", "id").distinct(), "buckets")
     brief = classes.select("id", "n", "short")
 
     # the hub whose signature is most like the member's
-    stars = buckets.where("id <> hub").select("id", "hub").distinct().join(brief, "id")
+    stars = buckets.where("id <> hub").join(brief, "id")
     hubs = brief.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("short").alias("hub_short"))
     stars = stars.join(hubs, "hub").where(100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n"))
     stars = stars.mapInArrow(_alike, "id long, hub long, alike double").where(F.col("alike") >= threshold / 100 - SLACK)
@@ -211,21 +246,27 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     first = stored(_linked(documents, stars, threshold), "links")
     labels = components(first)
 
-    # classes of one bucket in different components
-    labelled = buckets.join(labels, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    # members of one hub in different components; cells of two blocks of them, so that no task holds a large group
+    member = buckets.join(labels, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component"))
+    member = stored(member, "members")
+    mixed = member.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+    mixed = stored(mixed.select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    inside = stored(member.join(mixed, "hub"), "inside")
+    hubs = inside.groupBy("id").agg(F.collect_set("hub").alias("hubs"))  # a hub for each band at most
     cells = (
-        labelled.join(mixed, "key")
-        .withColumn("block", F.pmod(F.hash("id"), blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
+        inside.withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
         .join(brief, "id")
-        .select("key", "i", "j", "block", "id", "component", "n", "short")
+        .join(hubs, "id")
+        .select("hub", "i", "j", "block", "id", "component", "n", "short", "hubs")
     )
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = cells.mapInArrow(_agreement(threshold), "a long, b long").distinct()
-    second = stored(_linked(documents, rest, threshold), "links")
+    cells = stored(cells, "cells")
+    ordered = lambda rows: rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    likely = stored(ordered(cells).mapInArrow(_involved(threshold), "hub long, i int, j int, id long"), "likely")
+    sets = _sets_of(documents, likely.select("id").distinct())
+    ready = cells.join(likely, ["hub", "i", "j", "id"]).join(sets, "id").select("hub", "i", "j", "block", "id", "component", "n", "short", "hubs", "own")
+    second = stored(ordered(ready).mapInArrow(_joined(threshold), "a long, b long"), "links")
     labels = components(first.union(second))
 
     named = known.select("doc_id", "digest").join(classes.select("digest", "id"), "digest").join(labels, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
@@ -245,12 +286,17 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(at["id"]), batch.column(at["hub"]), pa.array((a == b).mean(axis=1))], ["id", "hub", "alike"])
 
 
+def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, own): the shingle sets of the classes with these ids."""
+    wanted = stored(ids.select(F.col("id").alias("doc_id")), "wanted")
+    texts = documents.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stored(texts.mapInArrow(_sets, "id long, own binary"), "sets")
+
+
 def _linked(documents: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs(a, b) of class ids whose full sets are similar enough."""
     pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = documents.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(texts.mapInArrow(_sets, "id long, own binary"), "sets")
+    sets = _sets_of(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     left, right = sets.select(F.col("id").alias("a"), F.col("own").alias("a_own")), sets.select(F.col("id").alias("b"), F.col("own").alias("b_own"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_own", "b_own").mapInArrow(_confirm(threshold), "a long, b long")
 
