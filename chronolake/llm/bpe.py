@@ -306,17 +306,18 @@ def frequent_words(documents: DataFrame, max_words: int = MAX_WORDS) -> list[str
     """
     counts = documents.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
     counts = stored(counts, "words")
-    # counts beyond max_words are one: fewer words than that can have such counts and all of them fit, or max_words is tiny
-    spread = counts.groupBy(F.least("n", F.lit(max_words)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
+    # the distribution over fine logarithmic steps has some thousand rows at most
+    step = F.floor(64 * F.log2("n"))
+    spread = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
     least, total = None, 0
     for row in spread:
         total += row.words
         if total > max_words:
             break
-        least = row.n
+        least = row.step
     if least is None:
         return []
-    return [r.word for r in counts.where(F.col("n") >= least).select("word").collect()]
+    return [r.word for r in counts.where(step >= least).select("word").collect()]
 
 
 def build_lexicon(documents: DataFrame, tokenizer_path: str, max_words: int = MAX_WORDS) -> str:

@@ -114,13 +114,13 @@ def _dense(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def cover_ranks(words: np.ndarray, n: int) -> np.ndarray:
-    """Ranks of the cover-sample suffixes of a text, compared over 497 bytes; -1 elsewhere. By prefix doubling."""
+    """Ranks of the cover-sample suffixes of a text, -1 elsewhere; by prefix doubling until all differ, so that comparisons agree."""
     at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
     keys = [words[at + 8 * k] for k in (3, 2, 1, 0)]
-    rank = np.full(n + 2 * LENGTH, -1, np.int64)
+    rank = np.full(2 * n + 2 * LENGTH, -1, np.int64)
     rank[at] = _dense(np.lexsort(keys), *keys)
     step = PERIOD
-    while step + PERIOD < LENGTH:
+    while step < n and len(at) and rank[at].max() + 1 < len(at):
         pair = (rank[at + step], rank[at])
         rank[at] = _dense(np.lexsort(pair), *pair)
         step *= 2
