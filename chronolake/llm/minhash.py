@@ -102,12 +102,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(shorts, pa.binary())], names
         )
+    _hashes.clear()  # the worker's memory is free for what runs in it next
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(t.as_py() or b"").tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "own"])
+    _hashes.clear()
 
 
 def _confirm(threshold: int):

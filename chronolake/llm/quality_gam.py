@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .toxicity import fold, labelled
 
 #: Labelled rows that are learned from, at most (about).
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 FEATURES = (
     "words", "word_length", "letters", "capitals", "digits", "symbols", "marks", "bars", "bangs", "lines", "line_words",

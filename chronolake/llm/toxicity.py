@@ -19,8 +19,9 @@ SLOTS = 1 << 18
 PREFIX = 5
 FACTORS = 4
 #: Labelled rows that are learned from, at most (about); and terms of the model.
-FIT_ROWS, TERMS = 20_000, 1024
-KEEP_WORDS = 500_000
+FIT_ROWS, TERMS = 10_000, 1024
+KEEP_WORDS = 200_000
+TEXTS = 500
 
 _word = re.compile(r"[^\W\d_]+")
 
@@ -44,6 +45,13 @@ def terms(text: str | None) -> np.ndarray:
     return np.array(sorted({s for w in set(_word.findall((text or "").lower())) for s in _slots[w]}), np.int32)
 
 
+def _each(batches: Iterator[pa.RecordBatch], at: int, value) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches with the value of each text's terms. Some texts are decoded at a time, and no words stay known when a task ends."""
+    for batch in batches:
+        yield batch, [value(terms(t)) for k in range(0, batch.num_rows, TEXTS) for t in batch.column(at).slice(k, TEXTS).to_pylist()]
+    _slots.clear()
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -132,8 +140,8 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, parts: int, he
 
 def learn(documents: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, fit_rows: int = FIT_ROWS) -> Machine:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([terms(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary()), batch.column(1)], ["terms", "label"])
+        for batch, own in _each(batches, 0, np.ndarray.tobytes):
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column(1)], ["terms", "label"])
 
     rows = labelled(documents, labels, "toxic", parts, held, fit_rows).mapInArrow(run, "terms binary, label int").collect()
     rows.sort(key=lambda r: (bytes(r.terms), r.label))  # the order of rows does not matter then
@@ -148,9 +156,8 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(machine)  # at most TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(terms(t)) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+        for batch, scores in _each(batches, 1, shared.value.score):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -162,8 +169,8 @@ def keep_clean(documents: DataFrame, machine: Machine, threshold: float = 0.5) -
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(terms(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        for batch, scores in _each(batches, at, shared.value.score):
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 
