@@ -160,9 +160,11 @@ def main_text(html: str | None) -> str:
         region = min(named, key=len)
     elif region and region[-1] not in ("article", "main", "section", "div", "body", "td"):
         region = region[:-1]
+    # inside an article all that is not marked as something else is text; elsewhere only what lies on a path of content
+    chosen = {blocks_of(path) for (path, _, _), keep in zip(own, content, strict=True) if keep}
     parts: dict[int, list[str]] = {}
     for path, block, piece in nodes:
-        if blocks_of(path)[: len(region)] == region:
+        if blocks_of(path)[: len(region)] == region and (named or blocks_of(path) in chosen):
             parts.setdefault(block, []).append(piece)
     texts = (" ".join("".join(p).split()) for p in parts.values())
     return "\n\n".join(t for t in texts if t)
