@@ -16,6 +16,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -357,12 +358,18 @@ class _Encoded(dict):
                 lacking.append(w)
             else:
                 self[w] = bytes(found)
-        pieces = [self.merger.pieces(w) for w in lacking]
-        new = list({p for own in pieces for p in own if isinstance(p, str)})
+        # most are plain words, or plain words with one mark behind them
+        plain = [w for w in lacking if w.isascii() and w.isalpha()]
+        marked = [w for w in lacking if w.isascii() and w[:-1].isalpha() and not w[-1].isalnum()]
+        done = {*plain, *marked}
+        pieces = {w: self.merger.pieces(w) for w in lacking if w not in done}
+        lower, bodies, marks = [w.lower() for w in plain], [w[:-1].lower() for w in marked], [w[-1] for w in marked]
+        new = list({*lower, *bodies, *marks, *(p for own in pieces.values() for p in own if isinstance(p, str))})
         merged: dict[str | int, bytes] = dict(zip(new, self.merger.merge_all(new), strict=True))
         merged |= {i: array("i", [i]).tobytes() for i in self.merger.special.values()}
-        for w, own in zip(lacking, pieces, strict=True):
-            self[w] = merged[own[0]] if len(own) == 1 else b"".join(map(merged.__getitem__, own))
+        self.update(zip(plain, map(merged.__getitem__, lower), strict=True))
+        self.update(zip(marked, map(add, map(merged.__getitem__, bodies), map(merged.__getitem__, marks)), strict=True))
+        self.update((w, b"".join(map(merged.__getitem__, own))) for w, own in pieces.items())
 
 
 @cache

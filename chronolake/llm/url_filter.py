@@ -73,7 +73,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         .withColumn("prefixes", prefixes)
         .withColumn("expressions", F.flatten(F.transform("suffixes", lambda h: F.transform(F.col("prefixes"), lambda p: _digest(h, p)))))
         # a null stands for the URL itself, so that URLs without any fit stay
-        .select("page_id", "_url", "host", "path", F.explode(F.concat(F.array(F.lit(None).cast("string")), "expressions")).alias("digest"))
+        .select("page_id", "_url", "host", "path", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "expressions")).alias("digest"))
         .withColumn("short", _short(F.col("digest")))
     )
     fits = F.col("digest").eqNullSafe(F.col("r_digest")) & F.col("path").startswith(F.col("r_path"))
