@@ -105,6 +105,23 @@ def _benchmark_side(benchmark: DataFrame, window: int, k: int) -> DataFrame:
     return merged, sizes
 
 
+def _extended(met: DataFrame, size: int, need: int) -> DataFrame:
+    """n_words for a document's own row; for a hit the runs of at least `need` equal words around its places in the document."""
+    n = F.size("words")
+    places = F.filter(
+        F.sequence(F.lit(0), n - size), lambda p: F.xxhash64(F.lit(size), *[F.get(F.col("words"), p + j) for j in range(size)]) == F.col("fp")
+    )
+    back = lambda p: F.reverse(F.slice(F.col("words"), F.greatest(p - F.size("before") + 1, F.lit(1)), F.least(p, F.size("before"))))
+    runs = F.transform(
+        places,
+        lambda p: F.struct(
+            (p - _run(back(p), F.col("before"))).alias("start"), (p + _run(F.slice(F.col("words"), p + 1, F.size("after")), F.col("after"))).alias("end")
+        ),
+    )
+    spans = F.filter(runs, lambda s: s["end"] - s["start"] >= need)
+    return met.select("doc_id", "version", F.when(F.col("fp").isNull(), n).alias("n_words"), F.when(F.col("fp").isNotNull(), spans).alias("spans"), "item_ids")
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, share: int = 20) -> DataFrame:
     """documents(doc_id, text) held against benchmark(item_id, text).
 
@@ -129,40 +146,34 @@ def _judged(documents: DataFrame, benchmark: DataFrame, window: int, k: int, sha
     docs = documents.select("doc_id", F.col("text").alias("_text")).select(
         "doc_id", F.xxhash64("_text").alias("version"), words_of(F.col("_text")).alias("words")
     )
-    rows = _fingerprints(docs, window, k)
+    own = ["doc_id", "version", "words"]
+    # by need: the length of a shared run that counts; short items need all their words
+    lanes = {window: (_fingerprints(docs, window, k), k)}
     for m in sizes:
-        rows = rows.unionByName(docs.withColumn("fp", F.explode(F.array_distinct(_grams(F.col("words"), m)))))
-    if small:
-        met = rows.join(F.broadcast(items), "fp", "left")
-    else:
-        # fingerprints alone go through the shuffle; only documents with a hit are joined with their words again
-        hits = rows.select("doc_id", "version", "fp").where("fp is not null").distinct().join(items, "fp")
-        none = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in ("fp", "before", "after", "need", "size", "item_ids")]
-        own = docs.select("doc_id", "version", "words", *none)
-        again = docs.dropDuplicates(["doc_id", "version"]).alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.version") == F.col("h.version")))
-        met = own.unionByName(again.select("d.doc_id", "d.version", "d.words", "h.fp", "before", "after", "need", "size", "item_ids"))
-    met = met.where(F.col("fp").isNull() | F.col("need").isNotNull())
-    n = F.size("words")
-    # positions of the fingerprint in the document; the shared run around each
-    p_hash = lambda p: F.when(F.col("size") == k, F.xxhash64(F.lit(k), *[F.get(F.col("words"), p + j) for j in range(k)]))
-    for m in sizes:
-        p_hash = (lambda f, m: lambda p: F.when(F.col("size") == m, F.xxhash64(F.lit(m), *[F.get(F.col("words"), p + j) for j in range(m)])).otherwise(f(p)))(p_hash, m)
-    places = F.filter(F.sequence(F.lit(0), n - F.col("size")), lambda p: p_hash(p) == F.col("fp"))
-    extended = F.transform(
-        places,
-        lambda p: F.struct(
-            (p - _run(F.reverse(F.slice(F.col("words"), F.greatest(p - F.size("before") + 1, F.lit(1)), F.least(p, F.size("before")))), F.col("before"))).alias("start"),
-            (p + _run(F.slice(F.col("words"), p + 1, F.size("after")), F.col("after"))).alias("end"),
-        ),
-    )
-    spans = F.filter(extended, lambda s: s["end"] - s["start"] >= F.col("need"))
-    found = met.select(
-        "doc_id", "version", F.when(F.col("fp").isNull(), n).alias("n_words"), F.when(F.col("fp").isNotNull(), spans).alias("spans"), "item_ids"
-    )
+        lanes[m] = (docs.withColumn("hashes", F.array_distinct(_grams(F.col("words"), m))).select(*own, F.explode_outer("hashes").alias("fp")), m)
+    found = []
+    for need, (rows, size) in lanes.items():
+        wanted = items.where(F.col("need") == need)
+        if small:
+            # the join follows the generator inside generated code, so words are copied for hits alone
+            met = rows.join(F.broadcast(wanted), "fp", "left" if need == window else "inner")
+        else:
+            # fingerprints alone go through the shuffle; only documents with a hit are joined with their words again
+            hits = rows.select("doc_id", "version", "fp").where("fp is not null").distinct().join(wanted, "fp").alias("h")
+            once = docs.dropDuplicates(["doc_id", "version"]).alias("d")
+            met = once.join(hits, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.version") == F.col("h.version")))
+            met = met.select("d.doc_id", "d.version", "d.words", "h.fp", "before", "after", "item_ids", "need")
+            if need == window:
+                met = docs.select(*own).unionByName(met, allowMissingColumns=True)
+        met = met.where(F.col("fp").isNull() | F.col("need").isNotNull()) if need == window else met
+        found.append(_extended(met, size, need))
+    every = found[0]
+    for rows in found[1:]:
+        every = every.unionByName(rows)
     # hits that don't extend to a window are left to the aggregate: a filter on them would be moved below, out of generated
     # code, and every fingerprint would then carry its document's words
     grouped = (
-        found
+        every
         .groupBy("doc_id", "version")
         .agg(
             F.count("n_words").alias("copies"), F.max("n_words").cast("long").alias("n_words"),
