@@ -34,6 +34,8 @@ def _grams(words: Column, size: int) -> Column:
 def _fingerprints(docs: DataFrame, window: int, k: int) -> DataFrame:
     """docs with a row for each new minimum of `window - k + 1` consecutive k-gram hashes, and one of null fp for the document.
 
+    p_from and p_to bound the places at which the row answers for the minimum.
+
     Minima are taken while hashes are exploded, inside generated code. A window's minimum is new where its last hash is the
     minimum or the hash that has just left it was as small; else the window before has given it. (The outer form of the
     generator, on arrays that are never empty, keeps the optimiser from testing their size on inlined lambdas.)
@@ -43,13 +45,15 @@ def _fingerprints(docs: DataFrame, window: int, k: int) -> DataFrame:
     low = F.least(*[at(i) for i in range(span)])
     first, last = F.col("i") == 1, at(span - 1)
     new = last.isNotNull() & (first | (last == F.col("low")) | (at(-1) <= F.col("low")))
+    # where the window before had the same minimum, it has given all its places but the last
+    old = ~first & (last == F.col("low")) & (at(-1) >= F.col("low"))
     hashes = F.concat(F.array(F.lit(0).cast("long")), _grams(F.col("words"), k))
     return (
         docs.withColumn("hashes", hashes)
         .select("*", F.posexplode_outer("hashes").alias("i", "_"))
         .withColumn("low", low)
         .where((F.col("i") == 0) | new)
-        .select(*docs.columns, F.when(F.col("i") > 0, F.col("low")).alias("fp"))
+        .select(*docs.columns, F.when(F.col("i") > 0, F.col("low")).alias("fp"), F.when(old, F.col("i") + span - 2).otherwise(F.col("i") - 1).alias("p_from"), (F.col("i") + span - 2).alias("p_to"))
     )
 
 
@@ -106,10 +110,10 @@ def _benchmark_side(benchmark: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def _extended(met: DataFrame, size: int, need: int) -> DataFrame:
-    """n_words for a document's own row; for a hit the runs of at least `need` equal words around its places in the document."""
+    """n_words for a document's own row; for a hit the runs of at least `need` equal words around its places."""
     n = F.size("words")
     places = F.filter(
-        F.sequence(F.lit(0), n - size), lambda p: F.xxhash64(F.lit(size), *[F.get(F.col("words"), p + j) for j in range(size)]) == F.col("fp")
+        F.sequence("p_from", "p_to"), lambda p: F.xxhash64(F.lit(size), *[F.get(F.col("words"), p + j) for j in range(size)]) == F.col("fp")
     )
     back = lambda p: F.reverse(F.slice(F.col("words"), F.greatest(p - F.size("before") + 1, F.lit(1)), F.least(p, F.size("before"))))
     runs = F.transform(
@@ -150,7 +154,8 @@ def _judged(documents: DataFrame, benchmark: DataFrame, window: int, k: int, sha
     # by need: the length of a shared run that counts; short items need all their words
     lanes = {window: (_fingerprints(docs, window, k), k)}
     for m in sizes:
-        lanes[m] = (docs.withColumn("hashes", F.array_distinct(_grams(F.col("words"), m))).select(*own, F.explode_outer("hashes").alias("fp")), m)
+        grams = docs.withColumn("hashes", _grams(F.col("words"), m)).select(*own, F.posexplode_outer("hashes").alias("p_from", "fp"))
+        lanes[m] = (grams.withColumn("p_to", F.col("p_from")), m)
     found = []
     for need, (rows, size) in lanes.items():
         wanted = items.where(F.col("need") == need)
@@ -159,10 +164,10 @@ def _judged(documents: DataFrame, benchmark: DataFrame, window: int, k: int, sha
             met = rows.join(F.broadcast(wanted), "fp", "left" if need == window else "inner")
         else:
             # fingerprints alone go through the shuffle; only documents with a hit are joined with their words again
-            hits = rows.select("doc_id", "version", "fp").where("fp is not null").distinct().join(wanted, "fp").alias("h")
+            hits = rows.select("doc_id", "version", "fp", "p_from", "p_to").where("fp is not null").distinct().join(wanted, "fp").alias("h")
             once = docs.dropDuplicates(["doc_id", "version"]).alias("d")
             met = once.join(hits, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.version") == F.col("h.version")))
-            met = met.select("d.doc_id", "d.version", "d.words", "h.fp", "before", "after", "item_ids", "need")
+            met = met.select("d.doc_id", "d.version", "d.words", "h.fp", "p_from", "p_to", "before", "after", "item_ids", "need")
             if need == window:
                 met = docs.select(*own).unionByName(met, allowMissingColumns=True)
         met = met.where(F.col("fp").isNull() | F.col("need").isNotNull()) if need == window else met
