@@ -70,6 +70,17 @@ class Catalog:
         return latest_tests(self.read("tests"), limit)
 
 
+def with_ids(rows: DataFrame, old: DataFrame, column: str) -> DataFrame:
+    """rows with ids behind the greatest of old; rows are few."""
+    top = old.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
+    order = [c for c in rows.columns if c != column and rows.schema[c].dataType.simpleString() in ("string", "bigint", "double")]
+    return rows.withColumn(column, (F.row_number().over(Window.orderBy(*order)) + top).cast("long"))
+
+
+def latest_tests(self, limit: int) -> DataFrame:
+        return latest_tests(self.read("tests"), limit)
+
+
 def with_ids(rows: DataFrame, old: DataFrame, column: str) -> DataFrame:
     """rows with ids behind the greatest of old; rows are few."""
     top = old.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top"))
