@@ -15,7 +15,7 @@ import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from operator import add
 
 import numpy as np
@@ -348,10 +348,10 @@ class _Encoded(dict):
         self.merger, self.lexicon = merger, lexicon
 
     def learn(self, words: set[str]) -> None:
-        """Adds words, from the lexicon or else merged all together."""
-        if len(self) > KEEP:  # what is needed again is learned again
+        """Adds those of the words that are not known, from the lexicon or else merged all together; then all of them are known."""
+        if len(self) > KEEP:  # before it is seen which words are known: what is needed again is learned again
             self.clear()
-        listed = list(words)
+        listed = list(words.difference(self))
         lacking = []
         for w, found in zip(listed, self.lexicon.find_all([w.encode() for w in listed]), strict=True):
             if found is None:
@@ -372,7 +372,7 @@ class _Encoded(dict):
         self.update((w, b"".join(map(merged.__getitem__, own))) for w, own in pieces.items())
 
 
-@cache
+@lru_cache(maxsize=1)  # a worker serves several runs, each with a lexicon of its own
 def _encoded(tokenizer_path: str, lexicon_file: str) -> _Encoded:
     return _Encoded(_merger(tokenizer_path), Lexicon.open(SparkFiles.get(lexicon_file)))
 
@@ -393,8 +393,7 @@ def encode(documents: DataFrame, tokenizer_path: str, lexicon_file: str | None =
             for at in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(at, TEXTS)
                 words = [split_words(t or "") for t in batch.column(1).to_pylist()]
-                unknown = set().union(*words)
-                known.learn(unknown.difference(known))
+                known.learn(set().union(*words))
                 own = [np.frombuffer(b"".join(map(known.__getitem__, w)), "<i4") for w in words]
                 ends = np.cumsum([0, *map(len, own)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own) if own else np.zeros(0, np.int32)))

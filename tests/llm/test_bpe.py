@@ -3,7 +3,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from chronolake.llm import bpe
@@ -63,3 +65,21 @@ def test_frequent_words(spark):
     assert set(bpe.frequent_words(docs, 10)) == {"a", "b", "d"}
     assert set(bpe.frequent_words(docs, 2)) == {"a", "b"}
     assert bpe.frequent_words(docs.limit(0), 5) == []
+
+
+def test_words_known_before_a_clear(monkeypatch):
+    """A batch finds all of its words, also those that were known when the dictionary had to be cleared."""
+    merger = bpe.Merger(PATH)
+    known = bpe._Encoded(merger, bpe.Lexicon(bpe.compile_lexicon([(b"the", merger.encode("the"))])))
+    monkeypatch.setattr(bpe, "_encoded", lambda *names: known)
+    monkeypatch.setattr(bpe, "KEEP", 2)
+
+    class Documents:  # gives back what a task runs
+        schema = StructType([StructField("doc_id", LongType())])
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    texts = ["the cat sat", "the dog", "the the", "the dog Cat. don't", "", "Cat. sat"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], ["doc_id", "text"]) for k, t in enumerate(texts)]
+    got = [b.column(1).to_pylist()[0] for b in bpe.encode(Documents(), PATH, "lexicon")(iter(batches))]
+    assert got == [[i for w in t.split() for i in merger.encode(w)] for t in texts]
