@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SHINGLE = 5
-BANDS, ROWS = 32, 6  # a pair of similarity 0.85 meets in some band but for 3 in 10 million
-COORDINATES = BANDS * ROWS
-#: Pairs whose signatures agree less are not confirmed: at 0.85 that is 5.8 standard deviations low.
-SLACK = 0.15
+COORDINATES = 192
+#: Greatest chance that a pair at the threshold meets in no band.
+MISSED = 1e-6
+#: Pairs whose signatures agree by so many standard deviations less than the threshold are not confirmed.
+SLACK = 5.8
 BLOCK = 2048
 KEEP_WORDS = 200_000
 
@@ -78,31 +79,48 @@ def signature(own: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+def band_shape(threshold: int) -> tuple[int, int]:
+    """(bands, rows) of the most rows for which pairs at the threshold (in percent) are missed rarely: 32 x 6 at 85, 38 x 5 at 80."""
+    rows = max((r for r in range(2, COORDINATES + 1) if (1 - (threshold / 100) ** r) ** (COORDINATES // r) <= MISSED), default=1)
+    return COORDINATES // rows, rows
+
+
+def least_alike(threshold: int) -> float:
+    """The share of equal coordinates from which a pair is confirmed."""
+    t = threshold / 100
+    return t - SLACK * (t * (1 - t) / COORDINATES) ** 0.5
+
+
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    keys = np.arange(bands, dtype=np.uint64)
+    for column in least[: bands * rows].reshape(bands, rows).T.astype(np.uint64):
         keys = _mix(keys * np.uint64(0xD6E8FEB86659FD93) + column)
     return keys.view(np.int64)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "digest", "keys", "short"]
-    for batch in batches:
-        sizes, digests, keys, shorts = [], [], [], []
-        for text in batch.column(1):
-            own = shingles(text.as_py() or b"")
-            sizes.append(len(own))
-            if not len(own):
-                digests.append(None), keys.append(None), shorts.append(None)
-                continue
-            least = signature(own)
-            digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-            keys.append(band_keys(least))
-            shorts.append(least.astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(shorts, pa.binary())], names
-        )
-    _hashes.clear()  # the worker's memory is free for what runs in it next
+def _features(threshold: int):
+    bands, rows = band_shape(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_shingles", "digest", "keys", "short"]
+        for batch in batches:
+            sizes, digests, keys, shorts = [], [], [], []
+            for text in batch.column(1):
+                own = shingles(text.as_py() or b"")
+                sizes.append(len(own))
+                if not len(own):
+                    digests.append(None), keys.append(None), shorts.append(None)
+                    continue
+                least = signature(own)
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                keys.append(band_keys(least, bands, rows))
+                shorts.append(least.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(shorts, pa.binary())], names
+            )
+        _hashes.clear()  # the worker's memory is free for what runs in it next
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +159,7 @@ def _likely(cell: list[tuple], hub: int, threshold: int) -> Iterator[tuple[int,
         to = right[right > i] if one else right
         to = to[(groups[to] != groups[i]) & (100 * np.minimum(sizes[to], sizes[i]) >= threshold * np.maximum(sizes[to], sizes[i]))]
         if len(to):
-            to = to[(shorts[to] == shorts[i]).mean(axis=1) >= threshold / 100 - SLACK]
+            to = to[(shorts[to] == shorts[i]).mean(axis=1) >= least_alike(threshold)]
         for j in to.tolist():
             if min(set(cell[i][5]) & set(cell[j][5]), default=hub) == hub:
                 yield i, j
@@ -229,7 +247,7 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     are ignored. Texts are read whole.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    features = stored(documents.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, keys array<long>, short binary"), "features")
+    features = stored(documents.mapInArrow(_features(threshold), "doc_id long, n_shingles long, digest binary, keys array<long>, short binary"), "features")
     known = features.where("n_shingles > 0 and doc_id is not null")
     # one class for each set; its id is its smallest document
     classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short")), "classes")
@@ -243,7 +261,7 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     stars = buckets.where("id <> hub").join(brief, "id")
     hubs = brief.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("short").alias("hub_short"))
     stars = stars.join(hubs, "hub").where(100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n"))
-    stars = stars.mapInArrow(_alike, "id long, hub long, alike double").where(F.col("alike") >= threshold / 100 - SLACK)
+    stars = stars.mapInArrow(_alike, "id long, hub long, alike double").where(F.col("alike") >= least_alike(threshold))
     stars = stars.groupBy("id").agg(F.max_by("hub", F.struct("alike", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
     first = stored(_linked(documents, stars, threshold), "links")
     labels = components(first)
@@ -303,7 +321,7 @@ def _linked(documents: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_own", "b_own").mapInArrow(_confirm(threshold), "a long, b long")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, threshold: int = 80) -> DataFrame:
     """One row of documents, with all its columns, for each group of near duplicates; rows without doc_id stay."""
-    kept = near_duplicates(documents).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_duplicates(documents, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
     return documents.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))

@@ -34,7 +34,7 @@ def op2_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), threshold=85)
 
 
 def op4_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:

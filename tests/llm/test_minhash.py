@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
+import corpus_pipeline
 from chronolake.llm import minhash
 
 from .conftest import words
@@ -72,6 +73,30 @@ def test_groups_of_near_copies(spark):
         minhash.BLOCK = block
 
 
+def test_pipeline_stage_keeps_one_from_a_similarity_of_four_fifths(spark):
+    """Pairs of 0.796 to 0.851, 0.80 itself included: the stage cuts at 0.80, the query at 0.85; against all pairs."""
+    rnd, rows = random.Random(22), []
+    for n in range(44, 63):  # shingles; one changed word changes five of them
+        for _ in range(4):
+            own = [f"{w}{k}" for k, w in enumerate(words(rnd, n + 4))]
+            rows.append((len(rows), " ".join(own)))
+            own[rnd.randrange(4, n)] = "changed"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    at = {t: brute(rows, t) for t in (80, 85)}
+    kept = {t: [i for i, *_, k in own if k] for t, own in at.items()}
+    assert len(kept[80]) < len(kept[85]) < len(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates_out(spark, docs, "").collect()) == kept[80]
+    assert result(minhash.near_duplicates(docs, 80)) == at[80] and result(minhash.near_duplicates(docs, 85)) == at[85]
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert minhash.band_shape(85) == (32, 6) and minhash.band_shape(80) == (38, 5)
+    for t in (50, 70, 80, 85, 90, 95, 100):
+        bands, size = minhash.band_shape(t)
+        assert bands * size <= minhash.COORDINATES and (1 - (t / 100) ** size) ** bands <= 1e-6
+
+
 def test_signature_estimates_similarity():
     rnd = np.random.default_rng(1)
     both, a, b = (rnd.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) for n in (800, 100, 100))
