@@ -1,8 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 Text nodes are grouped by their root-to-leaf tag path. A path's ratio is its text length for each node, fused with its
-punctuation; ratios are smoothed along the page and held against a threshold. The region that holds the nodes above it is
-the article, and its blocks are the text. Parts that markup names as something else (menus, forms, adverts, comments) take no part.
+punctuation; ratios are smoothed along the page and held against a threshold. The blocks on paths above it are the text, wherever
+they stand, and with them what an article element or the region of most content holds between them. Parts that markup says are
+something else (menus, forms, hidden ones) take no part; a class or id that sounds like it (adverts, comments) counts against a path.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ CLOSES = {t: ({"p"}, {"table", "td", "button"}) for t in BLOCK - {"body", "html"
 }
 OTHER = set("nav footer aside form menu button dialog search label input fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of a class or id that name something other than the article.
+#: Words of a class or id that often name something other than the article, and the share of its score that such a path keeps.
 NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "footer header masthead cookie cookies consent gdpr notice notices alert comment comments reply replies respond disqus share sharing social related "
     "recommended newsletter subscribe subscription signup login search popup modal overlay pagination pager widget toolbar skip copyright disclaimer".split()
 )
+NAMED = 0.1
 ARTICLE = {"article", "main"}
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -44,40 +46,42 @@ _name = re.compile(r"[a-z]+", re.I)
 _punctuation = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
-def _other(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is marked as something other than the article."""
+def _other(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is marked as something other than the article, and whether its names sound like that."""
     if tag in OTHER or tag == "header" and not inside_article:
-        return True
+        return True, False
+    named = False
     for name, value in _attribute.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"' ").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, False
         if name == "role" and value in ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and tag not in ("body", "html", *ARTICLE) and any(w in NAMES for w in _name.findall(value)):
-            return True
-    return False
+            named = True
+    return False, named
 
 
-def text_nodes(html: str) -> list[tuple[tuple[str, ...], int, str]]:
-    """(tag path, number of its block, text) of the text nodes that may belong to the article, in page order."""
-    nodes: list[tuple[tuple[str, ...], int, str]] = []
-    stack: list[tuple[str, bool]] = []  # tag, marked as something else
-    block, at, skipped, inside = 0, 0, 0, 0
+def text_nodes(html: str) -> list[tuple[tuple[str, ...], int, str, int]]:
+    """(tag path, number of its block, text, how many names speak against it) of the text nodes that may belong to the article, in page order."""
+    nodes: list[tuple[tuple[str, ...], int, str, int]] = []
+    stack: list[tuple[str, bool, bool]] = []  # tag, marked as something else, named so
+    block, at, skipped, inside, against = 0, 0, 0, 0, 0
     path: tuple[str, ...] | None = ()
 
     def pop() -> None:
-        nonlocal skipped, inside
-        tag, other = stack.pop()
+        nonlocal skipped, inside, against
+        tag, other, named = stack.pop()
         skipped -= other
+        against -= named
         inside -= tag in ARTICLE
 
     def text(piece: str) -> None:
         nonlocal path
         if piece and not skipped:
             if path is None:
-                path = tuple(t for t, _ in stack)
-            nodes.append((path, block, unescape(piece)))
+                path = tuple(t for t, *_ in stack)
+            nodes.append((path, block, unescape(piece), against))
 
     while (found := _token.search(html, at)) is not None:
         text(html[at : found.start()])
@@ -97,7 +101,7 @@ def text_nodes(html: str) -> list[tuple[tuple[str, ...], int, str]]:
             continue
         path = None
         if closing:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -113,25 +117,26 @@ def text_nodes(html: str) -> list[tuple[tuple[str, ...], int, str]]:
                     if tag in ("p",) or "p" not in closed or len(closed) == 1:
                         break
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
-            other = _other(tag, attributes, inside > 0)
-            stack.append((tag, other))
+            other, named = _other(tag, attributes, inside > 0)
+            stack.append((tag, other, named))
             skipped += other
+            against += named
             inside += tag in ARTICLE
     text(html[at:])
     return nodes
 
 
-def path_scores(nodes: list[tuple[tuple[str, ...], int, str]]) -> np.ndarray:
-    """For each node the ratio of its path, fused with punctuation and smoothed along the page."""
-    length = np.array([len(t.strip()) for _, _, t in nodes], float)
-    marks = np.array([len(_punctuation.findall(t)) for _, _, t in nodes], float)
-    _, which = np.unique(np.array([hash(p) for p, _, _ in nodes]), return_inverse=True)
+def path_scores(nodes: list[tuple[tuple[str, ...], int, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each node the ratio of its path, fused with punctuation, and that smoothed along the page."""
+    length = np.array([len(t.strip()) for _, _, t, _ in nodes], float)
+    marks = np.array([len(_punctuation.findall(t)) for _, _, t, _ in nodes], float)
+    _, which = np.unique(np.array([hash((p, against)) for p, _, _, against in nodes]), return_inverse=True)
     count = np.maximum(np.bincount(which, length > 0), 1)
     fused = (np.bincount(which, length) / count) * (1 + np.bincount(which, marks) / count)
     score = fused[which]
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     weight = np.convolve(np.ones(len(score)), kernel, "same") if len(score) >= 5 else None
-    return np.convolve(score, kernel, "same") / weight if weight is not None else score
+    return score, np.convolve(score, kernel, "same") / weight if weight is not None else score
 
 
 def main_text(html: str | None) -> str:
@@ -141,13 +146,20 @@ def main_text(html: str | None) -> str:
     if not solid:
         return ""
     own = [nodes[k] for k in solid]
-    score = path_scores(own)
-    length = np.array([len(t.strip()) for _, _, t in own], float)
-    content = score >= min(score.std(), score.mean())
+    alone, score = path_scores(own)
+    length = np.array([len(t.strip()) for _, _, t, _ in own], float)
+    # names that hold nearly all content are those of a wrapper, and say nothing
+    against = np.array([n for *_, n in own])
+    content = length * (score >= min(score.std(), score.mean()))
+    wrappers = max(k for k in {0, *against.tolist()} if content[against >= k].sum() >= 0.8 * content.sum())
+    share = NAMED ** np.maximum(against - wrappers, 0)
+    alone, score = share * alone, share * score
+    least = min(score.std(), score.mean())
+    content = score >= least
     blocks_of = lambda p: tuple(t for t in p if t in BLOCK)
-    # the deepest path that holds nearly all content; an article or main element bounds it
+    # the deepest path that holds nearly all content; an article or main element goes before it
     total, weight = 0.0, {}
-    for (path, _, _), keep, n in zip(own, content, length, strict=True):
+    for (path, *_), keep, n in zip(own, content, length, strict=True):
         if keep:
             total += n
             trail = blocks_of(path)
@@ -155,16 +167,25 @@ def main_text(html: str | None) -> str:
                 weight[trail[:k]] = weight.get(trail[:k], 0.0) + n
     holding = [p for p, w in weight.items() if w >= 0.8 * total]
     region = max(holding, key=len)
-    named = [p for p in holding if p and p[-1] in ARTICLE]
-    if named:
-        region = min(named, key=len)
+    article = [p for p in holding if p and p[-1] in ARTICLE]
+    if article:
+        region = min(article, key=len)
     elif region and region[-1] not in ("article", "main", "section", "div", "body", "td"):
         region = region[:-1]
-    # inside an article all that is not marked as something else is text; elsewhere only what lies on a path of content
-    chosen = {blocks_of(path) for (path, _, _), keep in zip(own, content, strict=True) if keep}
+    # what lies on a path of content is text: in the region of one that its surroundings may have lifted, elsewhere of one that is content alone
+    keys = [(blocks_of(path), n) for path, _, _, n in own]
+    inside = [key[: len(region)] == region for key, _ in keys]
+    chosen = {key for key, near, keep in zip(keys, inside, content, strict=True) if near and keep}
+    chosen |= {key for key, value in zip(keys, alone, strict=True) if value >= least}
+    taken = {block for key, (_, block, _, _) in zip(keys, own, strict=True) if key in chosen}
+    # so is all in an article that no name speaks against; in another region what stands between text and is no link
+    first, last = min(taken, default=0), max(taken, default=0)
+    for near, (path, block, _, n) in zip(inside, own, strict=True):
+        if near and n <= wrappers and (article or first < block < last and "a" not in path):
+            taken.add(block)
     parts: dict[int, list[str]] = {}
-    for path, block, piece in nodes:
-        if blocks_of(path)[: len(region)] == region and (named or blocks_of(path) in chosen):
+    for _, block, piece, _ in nodes:
+        if block in taken:
             parts.setdefault(block, []).append(piece)
     texts = (" ".join("".join(p).split()) for p in parts.values())
     return "\n\n".join(t for t in texts if t)

@@ -36,3 +36,31 @@ def test_frame(spark):
     got = html_paths.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, len(r.text)) for r in got) == [(0, 0), (1, len(main_text(PAGE))), (1, len(main_text(PAGE))), (2, 0), (3, 549_999)]
     assert html_paths.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def paragraphs(word, n):
+    return "".join(f"<p>{word} {k}, and some more of it, so that it is long.</p>" for k in range(n))
+
+
+def menu(*names):
+    return "<ul>" + "".join(f"<li><a>{n}</a></li>" for n in names) + "</ul>"
+
+
+def test_two_regions_of_content():
+    """A part outside the region of most content is text too if its path is one of content; what stands between paragraphs stays."""
+    page = f"<body><div><section>{paragraphs('First', 8)}<h2>Heading</h2>{paragraphs('Second', 9)}</section></div>{menu('v', 'w', 'x', 'y', 'z')}<div><div>{paragraphs('Third', 3)}</div></div></body>"
+    text = main_text(page)
+    assert [text.count(w) for w in ("First", "Second", "Third")] == [8, 9, 3]
+    assert "Heading" in text.split("\n\n") and not {*"vwxyz"} & set(text.split("\n\n"))
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "article-header", "no-comments", "content cookie-free"])
+def test_wrapper_named_like_something_else(name):
+    for attribute in ("class", "id"):
+        page = f"<body>{menu('Home', 'News', 'Mail', 'Help', 'More')}<div {attribute}='{name}'>{paragraphs('Sentence', 7)}</div></body>"
+        assert main_text(page).count("Sentence") == 7 and "Home" not in main_text(page)
+
+
+def test_names_still_speak_against_a_part():
+    page = f"<body><div>{paragraphs('Sentence', 7)}</div><div class='comments'><div>{paragraphs('Reply', 2)}</div></div></body>"
+    assert main_text(page).count("Sentence") == 7 and "Reply" not in main_text(page)
