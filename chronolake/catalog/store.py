@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schema
 
@@ -71,21 +70,19 @@ class Catalog:
 
 
 def with_ids(rows: DataFrame, old: DataFrame, column: str) -> DataFrame:
-    """rows with ids behind the greatest of old; rows are few."""
+    """rows, numbered in order behind the greatest id of old. Each range of rows is numbered on its own, behind the counts of those before it."""
     top = old.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
     order = [c for c in rows.columns if c != column and rows.schema[c].dataType.simpleString() in ("string", "bigint", "double")]
-    return rows.withColumn(column, (F.row_number().over(Window.orderBy(*order)) + top).cast("long"))
-
-
-def latest_tests(self, limit: int) -> DataFrame:
-        return latest_tests(self.read("tests"), limit)
-
-
-def with_ids(rows: DataFrame, old: DataFrame, column: str) -> DataFrame:
-    """rows with ids behind the greatest of old; rows are few."""
-    top = old.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top"))
-    numbered = rows.drop(column).withColumn("_n", F.row_number().over(Window.orderBy(*[c for c in rows.columns if c != column and rows.schema[c].dataType.simpleString() in ("string", "bigint", "double")])))
-    return numbered.crossJoin(F.broadcast(top)).withColumn(column, (F.col("_top") + F.col("_n")).cast("long")).drop("_top", "_n")  # one row of one number
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    # the number of the range in the upper bits, the place in it in the lower 33; kept, so that counts and rows are of the same ranges
+    dealt = dealt.withColumn("_at", F.monotonically_increasing_id()).localCheckpoint()
+    ranges, before = [], top + 1
+    for r in dealt.groupBy(F.shiftright("_at", 33).alias("_range")).count().orderBy("_range").collect():  # a row for each range
+        ranges.append((r["_range"], before))
+        before += r["count"]
+    starts = rows.sparkSession.createDataFrame(ranges, "_range long, _start long")
+    placed = dealt.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(starts), "_range")
+    return placed.withColumn(column, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_range", "_at", "_start")
 
 
 def latest_tests(tests: DataFrame, limit: int) -> DataFrame:

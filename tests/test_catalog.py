@@ -39,6 +39,20 @@ def test_append_ids_and_growing_schema(spark, tmp_path):
     assert {(r.rule_id, r.name, r.config) for r in c.read("range_rules").collect()} == {(1, "a", None), (2, "b", None)}
 
 
+def test_many_new_rows_are_numbered_by_several_tasks(spark):
+    n = 5000
+    rows = spark.range(n).select(F.concat(F.lit("k"), F.lpad(((F.col("id") * 7) % n).cast("string"), 4, "0")).alias("key"), F.lit(None).cast("long").alias("result_id"))
+    old = spark.createDataFrame([(40,), (3,)], "result_id long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = store.with_ids(rows, old, "result_id").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.key, r.result_id) for r in got) == [(f"k{k:04}", 41 + k) for k in range(n)]
+    assert len({r.task for r in got}) > 1
+    assert store.with_ids(rows.limit(0), old.limit(0), "result_id").count() == 0
+
+
 def test_tags_and_ids(spark):
     df = spark.createDataFrame([([" Hot ", "hot", "", "Cold"],)], "tags array<string>")
     assert df.select(store.clean_tags(F.col("tags")).alias("t")).first().t == ["Hot", "Cold"]
