@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where a cluster names none there is none to guess.
+
+    On one machine (a local master, as in tests) a session without it gets a fresh one.
+    """
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        found = spark.sparkContext.getCheckpointDir()
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -46,7 +53,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def released(table: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing that is still to be computed reads it."""
+    _delete(table.sparkSession, table._stored_at)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -67,7 +67,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = suffix_array.remove_repeats(read(spark, sf_dir, "documents"))
-    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes")
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_tag_paths, op3_minhash, op4_factorization, op5_additive, op6_wavelet, op7_url_filter, op8_perplexity, op9_winnowing, op10_suffix_array)}
