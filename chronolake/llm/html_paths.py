@@ -1,9 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
-Text nodes are grouped by their root-to-leaf tag path. A path's ratio is its text length for each node, fused with its
-punctuation; ratios are smoothed along the page and held against a threshold. The blocks on paths above it are the text, wherever
-they stand, and with them what an article element or the region of most content holds between them. Parts that markup says are
-something else (menus, forms, hidden ones) take no part; a class or id that sounds like it (adverts, comments) counts against a path.
+Text nodes are grouped by their root-to-leaf tag path. A path's ratio is its text length for each node; it is fused with the path's
+punctuation and with what the markup says about it (menus, footers, adverts weigh less, an article element more), smoothed along
+the page and held against a threshold. The blocks on paths above it are the text, wherever they stand, and with them the headings and
+short blocks that the region of most content holds between them. Only scripts, styles and hidden parts are left out beforehand.
 """
 
 from __future__ import annotations
@@ -29,16 +29,26 @@ CLOSES = {t: ({"p"}, {"table", "td", "button"}) for t in BLOCK - {"body", "html"
     "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"table", "tr"}), "th": ({"td", "th", "p"}, {"table", "tr"}),
     "tbody": ({"tr", "td", "th", "tbody", "thead"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody", "thead"}, {"table"}), "option": ({"option"}, {"select"}),
 }
+#: Elements that can hold an article.
+HOLDERS = set("article main section div body td html center".split())
 OTHER = set("nav footer aside form menu button dialog search label input fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of a class or id that often name something other than the article, and the share of its score that such a path keeps.
+#: Names of a class or id speak against a path if all their words are of the first or the second kind and one is of the first, or one is of the third.
 NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
-    "footer header masthead cookie cookies consent gdpr notice notices alert comment comments reply replies respond disqus share sharing social related "
+    "footer header masthead cookie cookies consent gdpr notice notices alert share sharing social related "
     "recommended newsletter subscribe subscription signup login search popup modal overlay pagination pager widget toolbar skip copyright disclaimer".split()
 )
-NAMED = 0.1
+FILLERS = set("site page global main top bottom left right bar box block list item items wrap wrapper container inner outer section area links link buttons posts form first last row col column the".split())
+REMARKS = set("comment comments reply replies respond disqus".split())
+#: What one mark against a path leaves of its score, and what an article or main element makes of it.
+AGAINST, FOR = 0.03, 4.0
+#: The share of the page's mean score for each letter from which a path is one of content.
+LEVEL = 0.35
 ARTICLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: So many blocks of nothing but links in a row are a list of links.
+LINKS = 3
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _attribute = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -46,34 +56,38 @@ _name = re.compile(r"[a-z]+", re.I)
 _punctuation = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
-def _other(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is marked as something other than the article, and whether its names sound like that."""
-    if tag in OTHER or tag == "header" and not inside_article:
-        return True, False
-    named = False
+def _speaks_against(value: str) -> bool:
+    for token in value.split():
+        words = set(_name.findall(token))
+        if words & REMARKS and "no" not in words or words & NAMES and words <= NAMES | FILLERS:
+            return True
+    return False
+
+
+def _marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, int]:
+    """Whether an element is hidden, and how many marks it has against being part of the article."""
+    against = int(tag in OTHER or tag == "header" and not inside_article)
     for name, value in _attribute.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"' ").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
-        if name == "role" and value in ROLES:
-            return True, False
-        if name in ("class", "id") and tag not in ("body", "html", *ARTICLE) and any(w in NAMES for w in _name.findall(value)):
-            named = True
-    return False, named
+            return True, 0
+        if name == "role" and value in ROLES or name in ("class", "id") and tag not in ("body", "html", *ARTICLE) and _speaks_against(value):
+            against += 1
+    return False, against
 
 
 def text_nodes(html: str) -> list[tuple[tuple[str, ...], int, str, int]]:
-    """(tag path, number of its block, text, how many names speak against it) of the text nodes that may belong to the article, in page order."""
+    """(tag path, number of its block, text, marks against it) of the visible text nodes, in page order."""
     nodes: list[tuple[tuple[str, ...], int, str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, marked as something else, named so
+    stack: list[tuple[str, bool, int]] = []  # tag, hidden, marks against it
     block, at, skipped, inside, against = 0, 0, 0, 0, 0
     path: tuple[str, ...] | None = ()
 
     def pop() -> None:
         nonlocal skipped, inside, against
-        tag, other, named = stack.pop()
-        skipped -= other
-        against -= named
+        tag, hidden, marks = stack.pop()
+        skipped -= hidden
+        against -= marks
         inside -= tag in ARTICLE
 
     def text(piece: str) -> None:
@@ -117,72 +131,93 @@ def text_nodes(html: str) -> list[tuple[tuple[str, ...], int, str, int]]:
                     if tag in ("p",) or "p" not in closed or len(closed) == 1:
                         break
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
-            other, named = _other(tag, attributes, inside > 0)
-            stack.append((tag, other, named))
-            skipped += other
-            against += named
+            hidden, marks = _marks(tag, attributes, inside > 0)
+            stack.append((tag, hidden, marks))
+            skipped += hidden
+            against += marks
             inside += tag in ARTICLE
     text(html[at:])
     return nodes
 
 
-def path_scores(nodes: list[tuple[tuple[str, ...], int, str, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each node the ratio of its path, fused with punctuation, and that smoothed along the page."""
-    length = np.array([len(t.strip()) for _, _, t, _ in nodes], float)
+def _ratios(nodes: list[tuple[tuple[str, ...], int, str, int]], length: np.ndarray) -> np.ndarray:
+    """For each node the text length of its path for each of the path's nodes, fused with the path's punctuation."""
     marks = np.array([len(_punctuation.findall(t)) for _, _, t, _ in nodes], float)
     _, which = np.unique(np.array([hash((p, against)) for p, _, _, against in nodes]), return_inverse=True)
-    count = np.maximum(np.bincount(which, length > 0), 1)
-    fused = (np.bincount(which, length) / count) * (1 + np.bincount(which, marks) / count)
-    score = fused[which]
+    count = np.bincount(which)
+    return ((np.bincount(which, length) / count) * (1 + np.log1p(np.bincount(which, marks) / count)))[which]
+
+
+def _evidence(nodes: list[tuple[tuple[str, ...], int, str, int]], weight: np.ndarray) -> np.ndarray:
+    """What the markup makes of each node's score. Marks that an article has, or else nearly all of the weight, are those of a wrapper, and say nothing."""
+    against = np.array([n for *_, n in nodes])
+    article = np.array([bool(ARTICLE.intersection(p)) for p, *_ in nodes])
+    wrapped = against[article].min() if article.any() else max(k for k in {0, *against.tolist()} if weight[against >= k].sum() >= 0.8 * weight.sum())
+    return np.where(against > wrapped, AGAINST ** np.maximum(against - wrapped, 0), np.where(article, FOR, 1.0))
+
+
+def path_scores(nodes: list[tuple[tuple[str, ...], int, str, int]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """For each node the score of its path, that smoothed along the page, and the threshold of content.
+
+    The threshold is a share of the mean score for each letter of the page, so that many short nodes do not lower it.
+    """
+    length = np.array([len(t.strip()) for _, _, t, _ in nodes], float)
+    ratio = _ratios(nodes, length)
+    evidence = _evidence(nodes, length * ratio)
+    score = ratio * evidence
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    weight = np.convolve(np.ones(len(score)), kernel, "same") if len(score) >= 5 else None
-    return score, np.convolve(score, kernel, "same") / weight if weight is not None else score
+    smooth = score
+    if len(score) >= 5:  # neighbours lift a node, but its own marks still weigh
+        smooth = np.convolve(score, kernel, "same") / np.convolve(np.ones(len(score)), kernel, "same")
+        smooth = np.where(evidence < 1, np.minimum(smooth, score), smooth)
+    return score, smooth, LEVEL * float((length * score).sum() / length.sum())
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks joined by two newlines; empty if there is none."""
     nodes = [n for n in text_nodes(html or "") if n[2]]
-    solid = [k for k, n in enumerate(nodes) if n[2].strip()]
-    if not solid:
+    own = [n for n in nodes if n[2].strip()]
+    if not own:
         return ""
-    own = [nodes[k] for k in solid]
-    alone, score = path_scores(own)
-    length = np.array([len(t.strip()) for _, _, t, _ in own], float)
-    # names that hold nearly all content are those of a wrapper, and say nothing
-    against = np.array([n for *_, n in own])
-    content = length * (score >= min(score.std(), score.mean()))
-    wrappers = max(k for k in {0, *against.tolist()} if content[against >= k].sum() >= 0.8 * content.sum())
-    share = NAMED ** np.maximum(against - wrappers, 0)
-    alone, score = share * alone, share * score
-    least = min(score.std(), score.mean())
+    alone, score, least = path_scores(own)
     content = score >= least
+    if not content.any():
+        return ""
+    length = np.array([len(t.strip()) for _, _, t, _ in own], float)
     blocks_of = lambda p: tuple(t for t in p if t in BLOCK)
-    # the deepest path that holds nearly all content; an article or main element goes before it
-    total, weight = 0.0, {}
-    for (path, *_), keep, n in zip(own, content, length, strict=True):
-        if keep:
-            total += n
-            trail = blocks_of(path)
-            for k in range(len(trail) + 1):
-                weight[trail[:k]] = weight.get(trail[:k], 0.0) + n
-    holding = [p for p, w in weight.items() if w >= 0.8 * total]
-    region = max(holding, key=len)
-    article = [p for p in holding if p and p[-1] in ARTICLE]
-    if article:
-        region = min(article, key=len)
-    elif region and region[-1] not in ("article", "main", "section", "div", "body", "td"):
-        region = region[:-1]
+    # the deepest element that holds nearly all content
+    weight: dict[tuple[str, ...], float] = {}
+    for (path, *_), n in zip(own, np.where(content, length, 0.0).tolist(), strict=True):
+        trail = blocks_of(path)
+        for k in range(len(trail) + 1):
+            weight[trail[:k]] = weight.get(trail[:k], 0.0) + n
+    region = max((p for p, w in weight.items() if w >= 0.8 * weight[()] and (not p or p[-1] in HOLDERS)), key=len)
+    article = bool(ARTICLE.intersection(region))
     # what lies on a path of content is text: in the region of one that its surroundings may have lifted, elsewhere of one that is content alone
     keys = [(blocks_of(path), n) for path, _, _, n in own]
     inside = [key[: len(region)] == region for key, _ in keys]
     chosen = {key for key, near, keep in zip(keys, inside, content, strict=True) if near and keep}
     chosen |= {key for key, value in zip(keys, alone, strict=True) if value >= least}
     taken = {block for key, (_, block, _, _) in zip(keys, own, strict=True) if key in chosen}
-    # so is all in an article that no name speaks against; in another region what stands between text and is no link
-    first, last = min(taken, default=0), max(taken, default=0)
+    unlinked = {block for path, block, _, _ in own if "a" not in path or HEADINGS.intersection(path)}
+    # of the region's other blocks, those that have no more marks than its content: all in an article, else what stands between text, and the heading before it
+    marks = max(n for (_, n), near, keep in zip(keys, inside, content, strict=True) if near and keep) if article else min(n for _, n in chosen)
+    first, last = min(taken), max(taken)
+    order, links = [], 0
     for near, (path, block, _, n) in zip(inside, own, strict=True):
-        if near and n <= wrappers and (article or first < block < last and "a" not in path):
-            taken.add(block)
+        if order and order[-1][0] == block:
+            continue
+        links = links + 1 if block not in unlinked else 0
+        order.append((block, near and n <= marks, path, links))
+    before = next(k for k, (block, *_) in enumerate(order) if block == first) - 1
+    if not article and before >= 0 and order[before][1] and HEADINGS.intersection(order[before][2]):
+        taken.add(order[before][0])
+    long = set()  # of lists of links
+    for k, (*_, links) in enumerate(order):
+        if links >= LINKS:
+            long.update(block for block, *_ in order[k - links + 1 : k + 1])
+    taken -= long
+    taken.update(block for block, fits, *_ in order if fits and block not in long and (article or first < block < last and block in unlinked))
     parts: dict[int, list[str]] = {}
     for _, block, piece, _ in nodes:
         if block in taken:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from chronolake.llm import html_paths
@@ -64,3 +65,30 @@ def test_wrapper_named_like_something_else(name):
 def test_names_still_speak_against_a_part():
     page = f"<body><div>{paragraphs('Sentence', 7)}</div><div class='comments'><div>{paragraphs('Reply', 2)}</div></div></body>"
     assert main_text(page).count("Sentence") == 7 and "Reply" not in main_text(page)
+
+
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_scores_decide(monkeypatch, tag):
+    """Boilerplate with neutral names goes by its path's ratio alone; with constant scores it stays."""
+    page = (
+        f"<body><div><span>Log in</span></div><table><tr><td>EUR 1.08</td><td>USD 1.02</td></tr></table><{tag}><h2>Title</h2>{paragraphs('Sentence', 6)}</{tag}>"
+        "<dl><dt>Imprint</dt><dd>Berlin</dd><dt>Phone</dt><dd>12345</dd></dl></body>"
+    )
+    text = main_text(page)
+    assert text.split("\n\n")[0] == "Title" and text.count("Sentence") == 6 and not any(w in text for w in ("Log in", "EUR", "Imprint", "Berlin"))
+    monkeypatch.setattr(html_paths, "_ratios", lambda nodes, length: 1.0 + 0 * length)
+    constant = main_text(page)
+    assert constant != text or tag == "article"  # an article element is evidence enough here
+    monkeypatch.setattr(html_paths, "path_scores", lambda nodes: (np.ones(len(nodes)), np.ones(len(nodes)), 0.5))
+    assert {"Log in", "Imprint"} <= set(main_text(page).split("\n\n"))
+
+
+def test_names_are_weak_evidence():
+    page = f"<body>{menu('Home', 'News', 'Mail')}<article><div class='article-header'><h1>A title</h1></div>{paragraphs('Sentence', 4)}<div class='share-price'>ACME 12.50</div>{paragraphs('More', 3)}</article></body>"
+    text = main_text(page).split("\n\n")
+    assert text[0] == "A title" and "ACME 12.50" in text and "Home" not in text
+
+
+def test_list_of_links_in_an_article():
+    page = f"<body><article><h1><a>A title</a></h1>{paragraphs('Sentence', 4)}<ul>{'<li><a>Read on</a></li>' * 4}</ul></article></body>"
+    assert "A title" in main_text(page) and "Read on" not in main_text(page)
