@@ -8,8 +8,8 @@ suffixes are ever compared byte by byte over long ties, and memory is bounded by
 first: starts at about the same distance from the anchor share the middle of their strings, and its hash is a bucket of its own; at
 the last level that is the whole string.
 
-A repeat of LENGTH bytes lies in a run of repeats of PASSAGE bytes, so the longer ones are sought only in documents that have such a
-run; the runs themselves tell repeated passages of more than WORDS words.
+A repeat of LENGTH bytes lies in a run of repeats of PASSAGE bytes, so the longer ones are sought only in such runs; the runs
+themselves tell repeated passages of more than WORDS words.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import released, stored
@@ -428,16 +428,17 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.xxhash64("doc_id", "text").alias("version"), F.col("text").cast("binary").alias("bytes"))
 
 
-def _longest_run() -> Column:
-    """The bytes of the longest maximal run of spans."""
-    start = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("z"), F.lit(0).alias("most"))
-
-    def add(run: Column, x: Column) -> Column:
-        a = F.when(x["start"] <= run["z"], run["a"]).otherwise(x["start"])
-        z = F.greatest(run["z"], x["end"])
-        return F.struct(a.alias("a"), z.alias("z"), F.greatest(run["most"], z - a).alias("most"))
-
-    return F.aggregate(F.array_sort("spans"), start, add, lambda run: run["most"])
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of a text that may hold a string of LENGTH bytes, as texts of their own."""
+    for batch in batches:
+        row, start, found = [], [], []
+        for i, (text, spans) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            data = memoryview(text.as_buffer())
+            for a, z in merged(_spans(spans)):
+                if z - a >= LENGTH:
+                    row.append(i), start.append(a), found.append(bytes(data[a:z]))
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(found, pa.binary())], ["doc_id", "version", "run", "text"])
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -452,13 +453,16 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     same = lambda a, b: (F.col(f"{a}.version") == F.col(f"{b}.version")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
     short = stored(repeated_spans(documents, PASSAGE), "spans")
+    keyed = _keyed(documents)
+    met = keyed.alias("d").join(short.alias("s"), same("d", "s")).select("d.doc_id", "d.version", "bytes", "spans")
+    runs = stored(met.mapInArrow(_run_rows, f"doc_id {kind}, version long, run int, text binary"), "runs")
     # all places of a repeated string of 400 bytes lie in runs of repeated strings of 200
-    runs = short.where(_longest_run() >= LENGTH).select("doc_id", "version")
-    keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("version"))
-    some = stored(keyed.alias("d").join(runs.alias("r"), same("d", "r"), "left_semi").select("doc_id", "text"), "texts")
-    long = repeated_spans(some, LENGTH)
+    long = repeated_spans(runs.select(F.struct("doc_id", "version", "run").alias("doc_id"), "text"), LENGTH)
+    long = long.select("doc_id.*", "spans")
+    shifted = F.transform("spans", lambda x: F.struct((x["start"] + F.col("run")).alias("start"), (x["end"] + F.col("run")).alias("end")))
+    long = long.select("doc_id", "version", shifted.alias("spans")).groupBy("doc_id", "version").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = short.alias("s").join(long.alias("l"), same("s", "l"), "left").select("s.doc_id", "s.version", F.col("l.spans").alias("long"), F.col("s.spans").alias("short"))
     spans = stored(spans, "spans")
-    met = _keyed(documents).alias("d").join(spans.alias("s"), same("d", "s"), "left")
+    met = keyed.alias("d").join(spans.alias("s"), same("d", "s"), "left")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_bytes long"
     return met.select("d.doc_id", "bytes", "long", "short").mapInArrow(_removed, schema)
