@@ -16,6 +16,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
+from heapq import heapify, heappop, heappush
 from operator import add
 
 import numpy as np
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, stored
 
-#: Most words in a lexicon; it only saves merging, so results don't depend on it. About 6 MB compiled.
-MAX_WORDS = 131_072
-#: Words that a worker keeps encoded, and words that it counts before it hands the counts on.
-KEEP, COUNT_AT_ONCE = 1_000_000, 300_000
+#: Most words in a lexicon, and the most letters of each; it only saves merging, so results don't depend on it. About 6 MB compiled.
+MAX_WORDS, MAX_LETTERS = 131_072, 64
+#: Words that a worker keeps encoded, their letters in all, and words that it counts before it hands the counts on.
+KEEP, KEEP_LETTERS, COUNT_AT_ONCE = 400_000, 16_000_000, 200_000
 #: Pieces of more bytes are merged one by one; texts are encoded so many at a time.
 LONG, TEXTS = 40, 500
 NONE, NO_RANK, TOGETHER = (1 << 20) - 1, 1 << 30, 2048
@@ -72,16 +73,30 @@ class Merger:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, piece: str) -> list[int]:
+        """The ids of one piece: pairs wait in a heap by rank and place, symbols are a linked list, so a piece of n letters takes n log n."""
         letters = self.letters
-        parts = [letters[b] for b in piece.encode()]
+        parts: list[str | None] = [letters[b] for b in piece.encode()]
         parts[-1] += END
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = min((rank(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.vocab[p] for p in parts]
+        n, rank = len(parts), self.ranks.get
+        behind, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i) for i, pair in enumerate(zip(parts, parts[1:])) if (r := rank(pair)) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = behind[i]
+            if parts[i] is None or j < 0 or rank((parts[i], parts[j])) != r:
+                continue  # one of the two has been merged since
+            parts[i] += parts[j]
+            parts[j] = None
+            k = behind[i] = behind[j]
+            if k >= 0:
+                before[k] = i
+                if (r := rank((parts[i], parts[k]))) is not None:
+                    heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank((parts[h], parts[i]))) is not None:
+                heappush(heap, (r, h))
+        return [self.vocab[p] for p in parts if p is not None]
 
     def pieces(self, word: str) -> list[str | int]:
         """The pieces of a word that are merged on their own, and the ids of special tokens in it."""
@@ -293,7 +308,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(split_words(text or ""))
+            counts.update(w for w in split_words(text or "") if len(w) <= MAX_LETTERS)
             if len(counts) > COUNT_AT_ONCE:
                 yield out()
                 counts.clear()
@@ -301,7 +316,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(documents: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
-    """The words of the most occurrences over all documents, at most max_words and at least two occurrences each.
+    """The words of the most occurrences over all documents, at most max_words, of MAX_LETTERS letters and at least two occurrences each.
 
     The least count is found from the distribution of counts, so that no task sorts all words.
     """
@@ -345,13 +360,15 @@ class _Encoded(dict):
     """word -> its ids as little-endian int32 bytes."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon):
-        self.merger, self.lexicon = merger, lexicon
+        self.merger, self.lexicon, self.letters = merger, lexicon, 0
 
     def learn(self, words: set[str]) -> None:
         """Adds those of the words that are not known, from the lexicon or else merged all together; then all of them are known."""
-        if len(self) > KEEP:  # before it is seen which words are known: what is needed again is learned again
+        if len(self) > KEEP or self.letters > KEEP_LETTERS:  # before it is seen which words are known: what is needed again is learned again
             self.clear()
+            self.letters = 0
         listed = list(words.difference(self))
+        self.letters += sum(map(len, listed))
         lacking = []
         for w, found in zip(listed, self.lexicon.find_all([w.encode() for w in listed]), strict=True):
             if found is None:

@@ -102,7 +102,7 @@ def _features(threshold: int):
     bands, rows = band_shape(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "digest", "keys", "short"]
+        names = ["doc_id", "version", "n_shingles", "digest", "keys", "short"]
         for batch in batches:
             sizes, digests, keys, shorts = [], [], [], []
             for text in batch.column(1):
@@ -116,7 +116,7 @@ def _features(threshold: int):
                 keys.append(band_keys(least, bands, rows))
                 shorts.append(least.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(shorts, pa.binary())], names
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(shorts, pa.binary())], names
             )
         _hashes.clear()  # the worker's memory is free for what runs in it next
 
@@ -238,19 +238,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
-def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
+def near_duplicates(documents: DataFrame, threshold: int = 80) -> DataFrame:
     """documents(doc_id, text) linked where 100 * intersection >= threshold * union of their shingle sets.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included), kept (doc_id is
     component_id). Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows each give a row
-    with the same result; a null doc_id takes no part, has no component and is kept. No rows give no rows; other columns
-    are ignored. Texts are read whole.
+    with the same result; rows of one doc_id and different texts give a row each, of the text's own component; a null doc_id takes
+    no part, has no component and is kept. doc_id is a whole number (its values are cast to long; others raise an error).
+    No rows give no rows; other columns are ignored. Texts are read whole.
     """
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    features = stored(documents.mapInArrow(_features(threshold), "doc_id long, n_shingles long, digest binary, keys array<long>, short binary"), "features")
+    found = _classified(documents, threshold)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _classified(documents: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, version, n_shingles, component_id) of each row; version is a hash of the row's text."""
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("version", F.xxhash64("text"))
+    schema = "doc_id long, version long, n_shingles long, digest binary, keys array<long>, short binary"
+    features = stored(documents.select("doc_id", "text", "version").mapInArrow(_features(threshold), schema), "features")
     known = features.where("n_shingles > 0 and doc_id is not null")
-    # one class for each set; its id is its smallest document
-    classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short")), "classes")
+    # one class for each set; its id is that of its least document
+    known = _numbered(known)
+    least = F.min(F.struct("id", "doc_id", "version")).alias("one")
+    classes = known.groupBy("digest").agg(least, F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short"))
+    classes = stored(classes.select("digest", "one.*", "n", "keys", "short"), "classes")
 
     banded = classes.select("id", F.explode("keys").alias("key"))
     shared = stored(banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).where("members > 1").select("key", "hub"), "shared")
@@ -263,7 +274,7 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     stars = stars.join(hubs, "hub").where(100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n"))
     stars = stars.mapInArrow(_alike, "id long, hub long, alike double").where(F.col("alike") >= least_alike(threshold))
     stars = stars.groupBy("id").agg(F.max_by("hub", F.struct("alike", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
-    first = stored(_linked(documents, stars, threshold), "links")
+    first = stored(_linked(documents, classes, stars, threshold), "links")
     labels = components(first)
 
     # members of one hub in different components; cells of two blocks of them, so that no task holds a large group
@@ -284,19 +295,35 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     cells = stored(cells, "cells")
     ordered = lambda rows: rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     likely = stored(ordered(cells).mapInArrow(_involved(threshold), "hub long, i int, j int, id long"), "likely")
-    sets = _sets_of(documents, likely.select("id").distinct())
+    sets = _sets_of(documents, classes, likely.select("id").distinct())
     ready = cells.join(likely, ["hub", "i", "j", "id"]).join(sets, "id").select("hub", "i", "j", "block", "id", "component", "n", "short", "hubs", "own")
     second = stored(ordered(ready).mapInArrow(_joined(threshold), "a long, b long"), "links")
     labels = components(first.union(second))
 
-    named = known.select("doc_id", "digest").join(classes.select("digest", "id"), "digest").join(labels, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
-    named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return features.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+    # of the rows of a component the least document stands for it
+    named = known.select("doc_id", "version", "digest").join(classes.select("digest", "id"), "digest").join(labels, "id", "left")
+    named = named.select("doc_id", "version", F.coalesce("component", "id").alias("component")).distinct()
+    named = stored(named, "named")
+    heads = named.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("head"))
+    named = named.join(heads, "component").select("doc_id", "version", "head")
+    return features.select("doc_id", "version", "n_shingles").join(named, ["doc_id", "version"], "left").select(
+        "doc_id", "version", "n_shingles", F.coalesce("head.doc_id", "doc_id").alias("component_id"),
+        F.coalesce((F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.version") == F.col("version")), F.lit(True)).alias("heads"),
     )
 
 
+def _numbered(known: DataFrame) -> DataFrame:
+    """known with an id for each document: doc_id, or numbers below all of them where one doc_id has several texts."""
+    several = known.groupBy("doc_id").agg(F.min("version").alias("a"), F.max("version").alias("z")).where("a <> z").select("doc_id")
+    several = stored(several, "several")
+    if several.isEmpty():
+        return known.withColumn("id", F.col("doc_id"))
+    below = known.agg(F.min("doc_id")).first()[0]
+    texts = known.join(several, "doc_id", "left_semi").select("doc_id", "version").distinct()
+    texts = stored(texts.withColumn("number", F.lit(below - 1) - F.monotonically_increasing_id()), "texts")
+    return stored(known.join(texts, ["doc_id", "version"], "left").withColumn("id", F.coalesce("number", "doc_id")).drop("number"), "known")
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = {name: k for k, name in enumerate(batch.schema.names)}
@@ -306,22 +333,28 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(at["id"]), batch.column(at["hub"]), pa.array((a == b).mean(axis=1))], ["id", "hub", "alike"])
 
 
-def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, own): the shingle sets of the classes with these ids."""
-    wanted = stored(ids.select(F.col("id").alias("doc_id")), "wanted")
-    texts = documents.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stored(texts.mapInArrow(_sets, "id long, own binary"), "sets")
+def _sets_of(documents: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, own): the shingle sets of the classes with these ids, from the text of each one's own document."""
+    wanted = stored(classes.join(ids, "id", "left_semi").select("id", "doc_id", "version"), "wanted")
+    texts = documents.join(wanted, ["doc_id", "version"]).dropDuplicates(["id"])
+    return stored(texts.select("id", "text").mapInArrow(_sets, "id long, own binary"), "sets")
 
 
-def _linked(documents: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+def _linked(documents: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs(a, b) of class ids whose full sets are similar enough."""
     pairs = stored(pairs, "pairs")
-    sets = _sets_of(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = _sets_of(documents, classes, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     left, right = sets.select(F.col("id").alias("a"), F.col("own").alias("a_own")), sets.select(F.col("id").alias("b"), F.col("own").alias("b_own"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_own", "b_own").mapInArrow(_confirm(threshold), "a long, b long")
 
 
 def keep_one(documents: DataFrame, threshold: int = 80) -> DataFrame:
-    """One row of documents, with all its columns, for each group of near duplicates; rows without doc_id stay."""
-    kept = near_duplicates(documents, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
-    return documents.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+    """One row of documents, with all its columns, for each group of near duplicates: that of the least doc_id, and of its texts one.
+
+    Texts of one doc_id that are no near duplicates all stay; rows that stand twice count as one; rows without doc_id stay, and so do
+    texts without words. No rows give no rows.
+    """
+    heads = _classified(documents, threshold).where("heads and doc_id is not null").select(F.col("doc_id").alias("_head"), F.col("version").alias("_version")).distinct()
+    rows = documents.where("doc_id is not null").withColumn("_text", F.xxhash64(F.col("text").cast("binary")))
+    kept = rows.join(heads, (F.col("doc_id") == F.col("_head")) & (F.col("_text") == F.col("_version")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text").unionByName(documents.where("doc_id is null"))

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -83,3 +84,23 @@ def test_words_known_before_a_clear(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], ["doc_id", "text"]) for k, t in enumerate(texts)]
     got = [b.column(1).to_pylist()[0] for b in bpe.encode(Documents(), PATH, "lexicon")(iter(batches))]
     assert got == [[i for w in t.split() for i in merger.encode(w)] for t in texts]
+
+
+def test_very_long_words(library):
+    """Words of any length merge as the library does, in time that hardly grows faster than they do."""
+    rnd, merger = random.Random(9), bpe.Merger(PATH)
+    for n in (41, 300, 3000):
+        for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyz", "éüa"):
+            word = "".join(rnd.choice(alphabet) for _ in range(n))
+            assert merger.encode(word) == library.encode(word, add_special_tokens=False).ids
+    start = time.perf_counter()
+    assert len(merger.encode("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)))) > 300_000
+    assert time.perf_counter() - start < 60
+
+
+def test_long_words_are_not_in_the_lexicon(spark):
+    long = "x" * (bpe.MAX_LETTERS + 1)
+    docs = spark.createDataFrame([(k, f"{long} {long} short") for k in range(3)], "doc_id long, text string")
+    assert bpe.frequent_words(docs) == ["short"]
+    got = bpe.encode(docs, PATH).collect()
+    assert {tuple(r.ids) for r in got} == {tuple(2 * bpe.Merger(PATH).encode(long) + bpe.Merger(PATH).encode("short"))}

@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -38,13 +38,30 @@ def result(df):
 
 
 def test_edge_cases(edge_docs, no_docs):
-    got = minhash.near_duplicates(edge_docs)
+    got = minhash.near_duplicates(edge_docs, 85)
     own = [(r.doc_id, r.text) for r in edge_docs.collect() if r.doc_id is not None]
     assert result(got.where("doc_id is not null")) == brute(own)
     assert [(r.component_id, r.kept) for r in got.where("doc_id is null").collect()] == [(None, True)]
     assert minhash.near_duplicates(no_docs).count() == 0 and minhash.keep_one(no_docs).count() == 0
     kept = minhash.keep_one(edge_docs)
-    assert kept.columns == edge_docs.columns and kept.count() == sum(k for *_, k in set(brute(own))) + 1
+    assert kept.columns == edge_docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [i for i, *_, k in sorted(set(brute(own, 80))) if k]
+    assert kept.where("doc_id is null").count() == 1
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text of an id is a document: copies go, and no text is lost."""
+    rnd = random.Random(4)
+    a, b, c = (" ".join(words(rnd, 60)) for _ in range(3))
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (1, b), (2, a), (3, b), (5, c), (5, c), (4, c), (7, near), (7, "other words here"), (8, ""), (8, " "), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for _ in range(2):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+        n = len(a.split()) - 4
+        assert got == Counter([(1, n, 1, True), (1, n, 1, True), (2, n, 1, False), (3, n, 1, False), (4, n, 4, True), (5, n, 4, False), (5, n, 4, False), (7, n, 1, False), (7, 1, 7, True), (8, 0, 8, True), (8, 0, 8, True), (8, 0, 8, True)])
+    assert Counter(map(tuple, minhash.keep_one(docs).collect())) == Counter([(1, a), (1, b), (4, c), (7, "other words here"), (8, ""), (8, " ")])
+    two = spark.createDataFrame([(1, a), (1, near)], "doc_id long, text string")
+    assert minhash.keep_one(two).count() == 1
 
 
 def test_groups_of_near_copies(spark):
@@ -65,10 +82,10 @@ def test_groups_of_near_copies(spark):
     rows += [(200 + i, " ".join(words(rnd, 60))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows)
-    assert result(minhash.near_duplicates(docs)) == want
+    assert result(minhash.near_duplicates(docs, 85)) == want
     minhash.BLOCK, block = 16, minhash.BLOCK  # cells of two blocks
     try:
-        assert result(minhash.near_duplicates(docs)) == want
+        assert result(minhash.near_duplicates(docs, 85)) == want
     finally:
         minhash.BLOCK = block
 
