@@ -212,8 +212,15 @@ def align(series: DataFrame, channels: list[str], per_test: bool = True) -> Data
     first = [] if per_test else [F.min("test_run_id").alias("test_run_id")]
     rows = own.groupBy(*key, "_us").agg(*first, F.min("test_run_code").alias("test_run_code"), F.min("x_ms").alias("x_ms"), *values)
     rows = rows.where(reduce(lambda a, b: a & b, (finite(F.col(f"v{i}")) for i in range(len(names)))))
-    order = Window.partitionBy(*key).orderBy("x_ms") if key else Window.partitionBy(F.lit(0)).orderBy("x_ms")
-    return rows.withColumn("_dt", F.coalesce(F.greatest(F.lit(0.0), (F.col("x_ms") - F.lag("x_ms").over(order)) / 1000), F.lit(0.0)))
+    # the row before is in the same day or is the last of an earlier one, so that a long run is not sorted by one task
+    day = F.floor(F.col("x_ms") / 86_400_000.0)
+    rows = rows.withColumn("_day", day)
+    lasts = rows.groupBy(*key, "_day").agg(F.max("x_ms").alias("_last"))
+    run = Window.partitionBy(*key).orderBy("_day") if key else Window.orderBy("_day")  # a row for each day
+    lasts = lasts.withColumn("_earlier", F.lag("_last").over(run)).drop("_last")
+    met = rows.join(lasts, [*key, "_day"])
+    before = F.coalesce(F.lag("x_ms").over(Window.partitionBy(*key, "_day").orderBy("x_ms")), F.col("_earlier"))
+    return met.withColumn("_dt", F.coalesce(F.greatest(F.lit(0.0), (F.col("x_ms") - before) / 1000), F.lit(0.0))).drop("_day", "_earlier")
 
 
 def evaluate(aligned: DataFrame, formula: str, n_channels: int, by: list[str]) -> DataFrame:
@@ -234,3 +241,11 @@ def formula_channel(series: DataFrame, spec: CalculatedChannel, per_test: bool =
         rows, by = rows.withColumn("_all", F.lit(0)), ["_all"]
     out = evaluate(rows, spec.formula, len(spec.channels), by)
     return out.withColumns({"channel_name": F.lit(spec.name), "unit": F.lit(spec.unit).cast("string")}).select(*SERIES_COLUMNS)
+
+
+def mask_by_formula(series: DataFrame, channels: list[str], formula: str, keep_missing: bool = False) -> DataFrame:
+    """Samples at times of their run at which the formula of the channels is not zero; with keep_missing also those of times it has no value for."""
+    rows = evaluate(align(series, channels), formula, len(channels), ["test_run_id"])
+    marks = rows.select("test_run_id", F.round(F.col("x_ms") * 1000).cast("long").alias("_us"), (F.col("y") != 0).alias("_on"))
+    met = series.withColumn("_us", F.round(F.col("x_ms") * 1000).cast("long")).join(marks, ["test_run_id", "_us"], "left")
+    return met.where(F.coalesce(F.col("_on"), F.lit(keep_missing))).select(*SERIES_COLUMNS)

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.definitions import THRESHOLDS, parents_first, parse_config
 from ..schema import KEY
 
+RANGES_OF_DEFINITIONS = "test_run_id long, definition string, node string, parent_node string, name string, label string, color string, start_ms double, end_ms double"
+
 #: Conditions on a value; the last two compare with a pair.
 CONDITIONS = {
     ">": lambda y, a: y > a, ">=": lambda y, a: y >= a, "<": lambda y, a: y < a, "<=": lambda y, a: y <= a,
@@ -51,15 +54,26 @@ def extremum_ranges(series: DataFrame, greatest: bool = True, window_ms: float =
 
 
 def detect(series: DataFrame, rule: dict) -> DataFrame:
-    """Ranges by a rule: kind threshold (operator, value, sustain_ms), edge (direction, value, window_ms) or formula (extremum, window_ms)."""
-    kind, config = rule["kind"], rule.get("config", {})
+    """Ranges by a rule of kind threshold (op, value, sustain_ms), edge (direction, threshold, window_ms) or formula (expr, window_ms).
+
+    The config may be JSON. What it does not say has a default; unknown kinds, ops, directions and expressions are errors.
+    """
+    kind, config = str(rule["kind"]).strip().lower(), parse_config(rule.get("config") or {})
     own = series.where(F.col("channel_name") == rule["channel_name"]) if rule.get("channel_name") else series
+    window_ms = max(0.0, float(config.get("window_ms") or 0))
+
+    def choice(key: str, default: str, known: tuple[str, ...]) -> str:
+        value = str(config.get(key) or default).strip().lower()
+        if value not in known:
+            raise ValueError(f"{key} of a {kind} rule must be one of {', '.join(known)}")
+        return value
+
     if kind == "threshold":
-        return threshold_ranges(own, config.get("operator", ">"), float(config["value"]), float(config.get("sustain_ms", 0)))
+        return threshold_ranges(own, choice("op", ">", THRESHOLDS), float(config["value"]), float(config.get("sustain_ms") or 0))
     if kind == "edge":
-        return edge_ranges(own, float(config["value"]), config.get("direction", "rising") == "rising", float(config.get("window_ms", 0)))
+        return edge_ranges(own, float(config["threshold"]), choice("direction", "rising", ("rising", "falling")) == "rising", window_ms)
     if kind == "formula":
-        return extremum_ranges(own, config.get("extremum", "max") == "max", float(config.get("window_ms", 0)))
+        return extremum_ranges(own, choice("expr", "max", ("max", "min")) == "max", window_ms)
     raise ValueError(f"unknown rule kind {kind!r}")
 
 
@@ -84,18 +98,50 @@ def pair(starts: DataFrame, ends: DataFrame, last: bool = False) -> DataFrame:
     return found.where((F.col("side") == 1) & F.col("end_ms").isNotNull()).select("test_run_id", F.col("at").alias("start_ms"), "end_ms")
 
 
-def apply_definition(series: DataFrame, node: dict) -> DataFrame:
-    """Ranges of a definition node: from each region of its start condition to the first or last end region behind."""
-    def regions(part: dict) -> DataFrame:
-        own = series.where(F.col("channel_name") == part["channel"])
-        return threshold_ranges(own, part["op"], part["value"], float(part.get("sustain_ms", 0)))
+def apply_definition(series: DataFrame, node: dict) -> DataFrame | None:
+    """(test_run_id, start_ms, end_ms, name): the range of a definition node in each run, None where the node has no threshold conditions.
 
-    found = pair(regions(node["start"]), regions(node["end"]), node.get("occurrence", "first") == "last")
-    if node.get("occurrence", "first") != "every":
-        found = found.groupBy("test_run_id").agg(F.min(F.struct("start_ms", "end_ms")).alias("r")).select("test_run_id", "r.start_ms", "r.end_ms")
+    It goes from the start of the first (or last) region of the start condition to the first (or last) end of a region of the end
+    condition behind that; runs without either have none. Both are aggregates by run, so nothing is paired.
+    """
+    def regions(part: dict) -> DataFrame | None:
+        names = part.get("channels") or []
+        if not names or part.get("value") is None or part.get("op", ">") not in THRESHOLDS:
+            return None
+        return threshold_ranges(series.where(F.col("channel_name") == names[0]), part.get("op", ">"), float(part["value"]))
+
+    starts, ends = regions(node["start"]), regions(node["end"])
+    if starts is None or ends is None:
+        return None
+    pick = lambda part: F.max if part.get("occurrence") == "last" else F.min
+    first = starts.groupBy("test_run_id").agg(pick(node["start"])("start_ms").alias("start_ms"))
+    behind = ends.select("test_run_id", "end_ms").join(first, "test_run_id").where(F.col("end_ms") > F.col("start_ms"))
+    found = behind.groupBy("test_run_id", "start_ms").agg(pick(node["end"])("end_ms").alias("end_ms"))
     return found.withColumn("name", F.lit(node["name"]))
 
 
+def apply_definitions(series: DataFrame, definitions: list[dict]) -> DataFrame:
+    """(test_run_id, definition, node, parent_node, name, label, color, start_ms, end_ms) of the nodes of all definitions, parents included.
+
+    parent_node is null where the parent has no range in the run.
+    """
+    columns = ["test_run_id", "definition", "node", "parent_node", "name", "label", "color", "start_ms", "end_ms"]
+    out = series.sparkSession.createDataFrame([], RANGES_OF_DEFINITIONS)
+    for definition in definitions:
+        made: dict[str, DataFrame] = {}
+        for node in parents_first(definition["nodes"]):
+            found = apply_definition(series, node)
+            if found is None:
+                continue
+            given = made.get(node.get("parent_id"))
+            runs = given.select("test_run_id", F.lit(node["parent_id"]).alias("parent_node")) if given is not None else None
+            found = found.join(runs, "test_run_id", "left") if runs is not None else found.withColumn("parent_node", F.lit(None).cast("string"))
+            made[node["id"]] = found
+            values = {"definition": definition["name"], "node": node["id"], "label": node.get("label"), "color": node.get("color")}
+            out = out.unionByName(found.withColumns({k: F.lit(v).cast("string") for k, v in values.items()}).select(*columns))
+    return out
+
+
 def source_ranges(series: DataFrame) -> DataFrame:
     """The full span of each run."""
     return series.groupBy("test_run_id").agg(F.min("x_ms").alias("start_ms"), F.max("x_ms").alias("end_ms"))
@@ -112,6 +158,34 @@ def adopt(ranges: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("parent_range_id", F.when(F.coalesce(inside, F.lit(False)), F.col("_source")).otherwise(F.col("parent_range_id"))).select(*ranges.columns)
 
 
+def with_parents_checked(ranges: DataFrame, parents: DataFrame) -> DataFrame:
+    """ranges with a column fault: why a range can't have its parent_range_id, null where it can or has none.
+
+    parents(range_id, test_run_id, start_ms, end_ms). A parent must exist, be another range, be of the same run, and contain its child.
+    """
+    p = parents.select(F.col("range_id").alias("_id"), F.col("test_run_id").alias("_run"), F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"))
+    joined = ranges.join(p, F.col("parent_range_id") == F.col("_id"), "left")
+    fault = (
+        F.when(F.col("parent_range_id").isNull(), None)
+        .when(F.col("parent_range_id").eqNullSafe(F.col("range_id")), "own parent")
+        .when(F.col("_id").isNull(), "no such parent")
+        .when(~F.col("_run").eqNullSafe(F.col("test_run_id")), "parent of another run")
+        .when((F.col("start_ms") < F.col("_from")) | (F.col("end_ms") > F.col("_to")), "not inside its parent")
+    )
+    return joined.withColumn("fault", fault).select(*ranges.columns, "fault")
+
+
+def unified(sources: list[DataFrame]) -> DataFrame:
+    """Ranges of several sources in time order; of those with one range_id, artifact_id and test_id the first source's stays."""
+    rows = None
+    for k, df in enumerate(sources):
+        own = df.withColumn("_source", F.lit(k))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    rows = rows if "artifact_id" in rows.columns else rows.withColumn("artifact_id", F.lit(None).cast("string"))
+    by = Window.partitionBy("range_id", "artifact_id", "test_id").orderBy("_source", "start_ms")
+    return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n", "_source").orderBy("start_ms", "range_id")
+
+
 def delete_range(ranges: DataFrame, range_id: int) -> DataFrame:
     """Without the range, unless it is a source range; its children go to their run's source range."""
     sources = ranges.where(F.col("source") == "source").groupBy("test_run_id").agg(F.min("range_id").alias("_source"))

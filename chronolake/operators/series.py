@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,45 +87,58 @@ def decimate(series: DataFrame, hz: float) -> DataFrame:
     return kept.select("test_run_id", "p.test_run_code", "channel_name", "p.unit", "p.x_ms", "p.y")
 
 
-def _triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Picks a point of each bucket; rows come by series and position. Only the bucket that is read is held."""
-    picked: list[tuple] = []
-    now, slot, best, area, last = None, None, None, -1.0, (0.0, 0.0)
+def by_index(series: DataFrame) -> DataFrame:
+    """Times replaced by the number of the sample in its series, from 0."""
+    order = Window.partitionBy(*KEY).orderBy("x_ms", "y")
+    return series.withColumn("x_ms", (F.row_number().over(order) - 1).cast("double")).select(*SERIES_COLUMNS)
+
+
+def renamed(series: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Channels by their aliases; channels without one keep their name."""
+    if not aliases:
+        return series
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return series.withColumn("channel_name", F.coalesce(F.try_element_at(known, F.col("channel_name")), F.col("channel_name")))
+
+
+def only(series: DataFrame, channels: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """The channels of these names, then by their aliases."""
+    return renamed(select_channels(series, channels), aliases or {})
+
+
+def _triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Picks a point of each bucket; a row is a bucket, and rows come by series and bucket. The point picked before is all that is kept."""
+    now, last = None, (0.0, 0.0)
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            key = (row.test_run_id, row.channel_name)
-            if (key, row.slot) != (now, slot):
-                if best is not None:
-                    picked.append(best[0])
-                    last = best[1]
-                if key != now:
-                    last = (0.0, 0.0)
-                now, slot, best, area = key, row.slot, None, -1.0
-            size = abs((last[0] - row.next_x) * (row.y - last[1]) - (last[0] - row.place) * (row.next_y - last[1])) * 0.5 if row.inner else 0.0
-            if best is None or size > area:
-                best, area = ((row.test_run_id, row.test_run_code, row.channel_name, row.unit, row.x_ms, row.y), (float(row.place), row.y)), size
-        if len(picked) > 5000:
-            yield pd.DataFrame(picked, columns=SERIES_COLUMNS)
-            picked = []
-    if best is not None:
-        picked.append(best[0])
-    yield pd.DataFrame(picked, columns=SERIES_COLUMNS)
+        at = {name: k for k, name in enumerate(batch.schema.names)}
+        plain = lambda name: batch.column(at[name]).to_pylist()
+        picked = []
+        for k, (run, channel, inner, nx, ny) in enumerate(zip(*map(plain, ("test_run_id", "channel_name", "inner", "next_x", "next_y")), strict=True)):
+            if (run, channel) != now:
+                now, last = (run, channel), (0.0, 0.0)
+            points = batch.column(at["points"])[k].values
+            place, y = (points.field(c).to_numpy() for c in ("place", "y"))
+            best = int(np.abs((last[0] - nx) * (y - last[1]) - (last[0] - place) * (ny - last[1])).argmax()) if inner else 0
+            last = float(place[best]), float(y[best])
+            picked.append((run, points.field("test_run_code")[best].as_py(), channel, points.field("unit")[best].as_py(), points.field("x_ms")[best].as_py(), last[1]))
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*picked) if picked else [[]] * 6, kinds, strict=True)], SERIES_COLUMNS)
 
 
 def lttb(series: DataFrame, points: int) -> DataFrame:
     """Largest-triangle-three-buckets: `points` of each series, chosen by position; shorter series stay whole.
 
-    Positions, buckets and the mean of the bucket behind come from Spark; only the choice, which needs the point chosen before,
-    goes through rows in order. A series is read by one task but never held.
+    Positions, buckets and the mean of the bucket behind come from Spark. A bucket is one row then, and only the choice from bucket to bucket,
+    which needs the point chosen before, goes through them in order: `points` steps for a series, whatever its length.
     """
     if points <= 0:
         return series
     points = max(points, 2)
+    counted = series.where(finite(F.col("y")))
+    counted = counted.join(counted.groupBy(*KEY).agg(F.count("*").alias("n")), KEY)
+    short = counted.where(F.col("n") <= points).select(*SERIES_COLUMNS)
     order = Window.partitionBy(*KEY).orderBy("x_ms", "y")
-    placed = series.where(finite(F.col("y"))).withColumn("place", F.row_number().over(order) - 1)
-    placed = placed.join(placed.groupBy(*KEY).agg(F.count("*").alias("n")), KEY)
-    short = placed.where(F.col("n") <= points).select(*SERIES_COLUMNS)
-    long = placed.where(F.col("n") > points)
+    long = counted.where(F.col("n") > points).withColumn("place", (F.row_number().over(order) - 1).cast("double"))
     width = (F.col("n") - 2) / F.lit(float(max(points - 2, 1)))
     ends = (F.col("place") == 0) | (F.col("place") == F.col("n") - 1)
     guess = F.floor((F.col("place") - 1) / width)
@@ -133,7 +147,10 @@ def lttb(series: DataFrame, points: int) -> DataFrame:
     slot = F.least(slot, F.lit(points - 3))
     slot = F.when(F.col("place") == 0, -1).when(F.col("place") == F.col("n") - 1, F.lit(points - 2)).otherwise(slot)
     long = long.withColumn("slot", slot.cast("long")).where(F.lit(points > 2) | ends)
-    behind = long.groupBy(*KEY, (F.col("slot") - 1).alias("slot")).agg(F.avg("place").alias("next_x"), F.avg("y").alias("next_y"))
-    ready = long.join(behind, [*KEY, "slot"], "left").withColumn("inner", ~ends).na.fill(0.0, ["next_x", "next_y"])
-    ready = ready.repartition(*KEY).sortWithinPartitions(*KEY, "place")
-    return short.unionByName(ready.mapInPandas(_triangles, SERIES))
+    point = F.struct("place", "y", "x_ms", "test_run_code", "unit")
+    buckets = long.groupBy(*KEY, "slot").agg(F.array_sort(F.collect_list(point)).alias("points"), F.avg("place").alias("mean_x"), F.avg("y").alias("mean_y"))
+    by = Window.partitionBy(*KEY).orderBy("slot")
+    inner = F.col("slot").between(0, points - 3)
+    ready = buckets.select(*KEY, "slot", "points", inner.alias("inner"), F.lead("mean_x", 1, 0.0).over(by).alias("next_x"), F.lead("mean_y", 1, 0.0).over(by).alias("next_y"))
+    ready = ready.repartition(*KEY).sortWithinPartitions(*KEY, "slot")
+    return short.unionByName(ready.mapInArrow(_triangles, SERIES))

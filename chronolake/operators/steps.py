@@ -10,11 +10,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from ..schema import finite
+
 
 def _levels(value: str, lo: float, hi: float, by: list[str]) -> tuple[Column, Column]:
     """Absolute levels; both in [0, 1] they are shares of the span. Null where there are none."""
@@ -74,35 +79,124 @@ def settling_time(df: DataFrame, value: str, out: str, by: list[str], band: floa
     return df.drop("_x", "_from", "_to", "_band", "_left", "_in", "_first", "_run", "_kept", "_t1", "_event")
 
 
+#: Rows whose steps are composed together, and the hours of a slice of a run.
+SCAN, SLICE_HOURS = 4096, 24.0
+
+
+def _scan(keep: np.ndarray, add: np.ndarray, state: float) -> np.ndarray:
+    """The states of state = keep * state + add from row to row, by composing steps over doubling distances.
+
+    Shares to keep lie in [0, 1], so nothing grows.
+    """
+    out = np.empty(len(keep))
+    for at in range(0, len(keep), SCAN):
+        k, a = keep[at : at + SCAN].copy(), add[at : at + SCAN].copy()
+        step = 1
+        while step < len(k):
+            a[step:] = k[step:] * a[:-step] + a[step:]
+            k[step:] = k[step:] * k[:-step]
+            step *= 2
+        out[at : at + SCAN] = k * state + a
+        state = out[min(at + SCAN, len(keep)) - 1]
+    return out
+
+
 def band_pass(df: DataFrame, value: str, dt: str, out: str, by: list[str], low_hz: float, high_hz: float) -> DataFrame:
     """Adds the difference of two first-order low-passes, of the upper and the lower frequency; seconds since the row before are in dt.
 
-    Rows whose value is null or not finite pass through unfiltered and leave the states alone, as do invalid frequencies.
+    Rows whose value is null or not finite pass through unfiltered and leave the states alone, as do invalid frequencies. A low-pass is
+    an affine step for each row. The steps of a time slice are composed into one by a task of its own, the few slices of a run are put
+    one behind the other, and then each slice starts from its state: a long run is not one task.
     """
     if not (0 < low_hz < high_hz < math.inf):
         return df.withColumn(out, F.col(value))
-    names = df.columns
-    v, d, keys = names.index(value), names.index(dt), [names.index(k) for k in by]
-    slow, fast = 1 / (2 * math.pi * low_hz), 1 / (2 * math.pi * high_hz)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
+    names = [*df.columns, "_slice", "_begins"]
+    v, d = names.index(value), names.index(dt)
+    times = [1 / (2 * math.pi * high_hz), 1 / (2 * math.pi * low_hz)]
+    good = finite(F.col(value))
+    df = df.withColumn("_slice", F.floor(F.col("x_ms") / (SLICE_HOURS * 3_600_000)))
+    starts = df.where(good).groupBy(*by).agg(F.min("x_ms").alias("_first"))
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by]
+    df = df.alias("d").join(starts.alias("s"), on, "left").select("d.*", F.coalesce((F.col("x_ms") == F.col("_first")) & good, F.lit(False)).alias("_begins"))
+    ordered = df.repartition(*by, "_slice").sortWithinPartitions(*by, "_slice", "x_ms")
+    keys = [*by, "_slice"]
+
+    def steps(batch: pa.RecordBatch, start: int, end: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Which rows count, their values, and for each low-pass what rows keep of the state and what they add."""
+        part = batch.slice(start, end - start)
+        x = part.column(v).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+        seconds = np.maximum(np.nan_to_num(part.column(d).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)), 1e-6)
+        begins = part.column(names.index("_begins")).to_numpy(zero_copy_only=False).astype(bool)
+        counts = np.isfinite(x)
+        both = []
+        for time in times:
+            share = np.where(begins, 1.0, seconds / (time + seconds))[counts]  # the first value is the first state
+            both.append((1 - share, share * x[counts]))
+        return counts, x, both
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+        """(key, start, end) of the stretches of rows of one slice."""
+        columns = [batch.column(names.index(k)) for k in keys]
+        codes = [pc.fill_null(pc.dictionary_encode(c).indices, -1).to_numpy(zero_copy_only=False) for c in columns]
+        new = np.zeros(batch.num_rows, bool)
+        for code in codes:
+            new[1:] |= code[1:] != code[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, z in zip(edges, edges[1:], strict=False):
+            if z > a:
+                yield tuple(c[a].as_py() for c in columns), a, z
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, maps = None, [(1.0, 0.0)] * 2
+        done: list[tuple] = []
+        for batch in batches:
+            for key, a, z in pieces(batch):
+                if key != now:
+                    if now is not None:
+                        done.append((*now, *maps[0], *maps[1]))
+                    now, maps = key, [(1.0, 0.0)] * 2
+                _, _, both = steps(batch, a, z)
+                for k, (keep, add) in enumerate(both):
+                    if len(keep):
+                        maps[k] = maps[k][0] * float(np.prod(keep)), float(_scan(keep, add, maps[k][1])[-1])
+        if now is not None:
+            done.append((*now, *maps[0], *maps[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done) if done else [[]] * len(kinds), kinds, strict=True)], [*keys, "k0", "a0", "k1", "a1"])
+
+    kinds = [*(to_arrow_type(df.schema[k].dataType) for k in keys), *[pa.float64()] * 4]
+    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    composed = ordered.mapInArrow(compose, f"{key_schema}, k0 double, a0 double, k1 double, a1 double")
+    # the states before each slice: slices of a run are folded in order, a row for each
+    each = F.struct("_slice", "k0", "a0", "k1", "a1")
+    run_of = composed.groupBy(*by).agg(F.array_sort(F.collect_list(each)).alias("_all"))
+    zero = F.array().cast("array<struct<_slice: bigint, u: double, l: double>>")
+    begin = F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("l"), zero.alias("before"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        here = F.struct(x["_slice"].alias("_slice"), acc["u"].alias("u"), acc["l"].alias("l"))
+        return F.struct((x["k0"] * acc["u"] + x["a0"]).alias("u"), (x["k1"] * acc["l"] + x["a1"]).alias("l"), F.concat(acc["before"], F.array(here)).alias("before"))
+
+    states = run_of.select(*by, F.explode(F.aggregate("_all", begin, fold, lambda acc: acc["before"])).alias("_b")).select(*by, F.col("_b._slice").alias("_slice"), F.col("_b.u").alias("_u"), F.col("_b.l").alias("_l"))
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    ready = df.alias("d").join(states.alias("s"), on, "left").select("d.*", "_u", "_l")
+    ready = ready.repartition(*by, "_slice").sortWithinPartitions(*by, "_slice", "x_ms")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, [0.0, 0.0]
         for batch in batches:
-            found = []
-            columns = [batch.column(k).to_pylist() for k in keys]
-            for key, x, s in zip(zip(*columns, strict=True), batch.column(v).to_pylist(), batch.column(d).to_pylist(), strict=True):
+            found = np.empty(batch.num_rows)
+            nulls = batch.column(v).is_null().to_numpy(zero_copy_only=False)
+            for key, a, z in pieces(batch):
                 if key != now:
-                    now, state = key, None
-                if x is None or not math.isfinite(x):
-                    found.append(x)
-                    continue
-                s = max(1e-6, s or 0.0)
-                upper, lower = state or (x, x)
-                upper += s / (fast + s) * (x - upper)
-                lower += s / (slow + s) * (x - lower)
-                state = upper, lower
-                found.append(upper - lower)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, out])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` double"
-    return df.repartition(*by).sortWithinPartitions(*by, "x_ms").mapInArrow(run, schema)
+                    now, state = key, [batch.column(len(names) + k)[a].as_py() for k in range(2)]
+                counts, x, both = steps(batch, a, z)
+                passed = [_scan(keep, add, state[k]) for k, (keep, add) in enumerate(both)]
+                own = x.copy()
+                own[counts] = passed[0] - passed[1]
+                found[a:z] = own
+                if counts.any():
+                    state = [float(p[-1]) for p in passed]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], pa.array(found, pa.float64(), mask=nulls)], [*names[:-2], out])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop("_slice", "_begins").schema.fields) + f", `{out}` double"
+    return ready.mapInArrow(apply, schema)

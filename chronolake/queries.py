@@ -255,7 +255,7 @@ def range_threshold(spark, sf_dir):
 
 @query(f"WITH {_S}, {_ISLANDS} SELECT * FROM i WHERE end_ms - start_ms >= 3600000")
 def range_threshold_sustain(spark, sf_dir):
-    return ranges.detect(runs(spark, sf_dir), {"kind": "threshold", "config": {"operator": ">", "value": 40, "sustain_ms": HOUR}})
+    return ranges.detect(runs(spark, sf_dir), {"kind": "threshold", "config": {"op": ">", "value": 40, "sustain_ms": HOUR}})
 
 
 _EDGE = "e AS (SELECT *, lag(y) OVER (PARTITION BY test_run_id, channel_name ORDER BY x_ms, y) AS b FROM s)"
@@ -263,7 +263,7 @@ _EDGE = "e AS (SELECT *, lag(y) OVER (PARTITION BY test_run_id, channel_name ORD
 
 @query(f"WITH {_S}, {_EDGE} SELECT test_run_id, channel_name, x_ms AS start_ms, x_ms + 5000 AS end_ms FROM e WHERE b < 50 AND y >= 50")
 def range_edge_rising(spark, sf_dir):
-    return ranges.detect(runs(spark, sf_dir), {"kind": "edge", "config": {"value": 50, "direction": "rising", "window_ms": 5000}})
+    return ranges.detect(runs(spark, sf_dir), {"kind": "edge", "config": {"threshold": 50, "direction": "rising", "window_ms": 5000}})
 
 
 @query(f"WITH {_S}, {_EDGE} SELECT test_run_id, channel_name, x_ms AS start_ms, x_ms + 1 AS end_ms FROM e WHERE b > 50 AND y <= 50")
@@ -336,7 +336,7 @@ p AS (SELECT a.test_run_id, a.start_ms, max(b.end_ms) AS end_ms FROM a JOIN b ON
 SELECT test_run_id, min(start_ms) AS start_ms, arg_min(end_ms, start_ms) AS end_ms, 'phase' AS name FROM p GROUP BY 1""")
 def range_definition_node(spark, sf_dir):
     part = {"op": ">", "value": 40.0}
-    node = {"name": "phase", "occurrence": "last", "start": part | {"channel": "click"}, "end": part | {"channel": "view"}}
+    node = {"name": "phase", "start": part | {"channels": ["click"]}, "end": part | {"channels": ["view"], "occurrence": "last"}}
     return ranges.apply_definition(runs(spark, sf_dir), node)
 
 

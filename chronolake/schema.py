@@ -11,15 +11,17 @@ KEY = ["test_run_id", "channel_name"]
 
 TESTS = (
     "test_id long, artifact_id string, run_code string, source_path string, source_type string, status string, "
-    "start_time timestamp, end_time timestamp, duration_s double, created_at timestamp, notes string, catalog string, rule string"
+    "start_time timestamp, end_time timestamp, duration_s double, created_at timestamp, notes string, catalog string, rule string, "
+    "source_size long, source_modified timestamp"
 )
 CHANNELS = "test_id long, channel_name string, display_name string, unit string, parquet_uri string, point_count long, start_ms double, end_ms double"
 PARAMETERS = "test_id long, key string, value_text string, value_num double"
 RANGES = (
     "range_id long, test_id long, parent_range_id long, name string, kind string, start_ms double, end_ms double, "
-    "tags array<string>, source string, rule_id long, notes string, created_at timestamp"
+    "tags array<string>, source string, rule_id long, notes string, created_at timestamp, label string, status string, color string, updated_at timestamp"
 )
-RANGE_RULES = "rule_id long, name string, kind string, channel_name string, config string"
+RANGE_PARAMETERS = "range_id long, key string, value_text string, value_num double"
+RANGE_RULES = "rule_id long, name string, kind string, channel_name string, config string, default_label string, default_color string"
 RESULTS = "result_id long, test_id long, range_id long, analysis_name string, key string, value_text string, value_num double"
 
 

@@ -22,7 +22,11 @@ FORMATS = {
 PER_SECOND = {"s": 1, "ms": 1_000, "us": 1_000_000, "ns": 1_000_000_000}
 #: Below this many seconds a number is elapsed time, not an epoch.
 EPOCH = 1e8
-_header = re.compile(r"^\s*(.+?)\s*[(\[]\s*([^()\[\]]+?)\s*[)\]]\s*$")
+_header = re.compile(r"^\s*(.+?)\s*(?:\(\s*([^()\[\]]+?)\s*\)|\[\s*([^()\[\]]+?)\s*\])\s*$")
+# Above how great a number, and within how great a span, times count nano-, micro- or milliseconds since the epoch; and
+# below how great a number, by unit, they are elapsed times.
+NANOSECONDS, NANOSECONDS_IN, NANOSECONDS_SPAN, MICROSECONDS, MILLISECONDS = 1e17, 1e14, 1e11, 1e14, 1e11
+ELAPSED = {"s": EPOCH + 1, "ms": 1e11, "us": 1e14, "ns": 1e17}
 
 
 def detect_format(path: str) -> str:
@@ -76,7 +80,7 @@ def header_units(columns: list[str], skip: set[str] = frozenset()) -> tuple[dict
         found = None if c in skip else _header.match(c)
         if not found:
             continue
-        name, unit = found.groups()
+        name, unit = found[1], found[2] or found[3]
         seen[name] = seen.get(name, 0) + 1
         name = name if seen[name] == 1 else f"{name}_{seen[name]}"
         renamed[c], units[name] = name, unit
@@ -94,15 +98,15 @@ class TimeScale:
 def time_scale(low: float, high: float, unit: str | None = None) -> TimeScale:
     """Unit of a numeric time column from its least and greatest value, whether it is elapsed time, and whether unset slots pad it."""
     if unit is None:
-        if high > 1e17 or high > 1e14 and high - low <= 1e11:
+        if high > NANOSECONDS or high > NANOSECONDS_IN and high - low <= NANOSECONDS_SPAN:
             unit = "ns"
-        elif high > 1e14:
+        elif high > MICROSECONDS:
             unit = "us"
         else:
-            unit = "ms" if high > 1e11 else "s"
+            unit = "ms" if high > MILLISECONDS else "s"
         relative = high <= EPOCH and low >= 0
     else:
-        relative = low >= 0 and high < {"s": EPOCH + 1, "ms": 1e11, "us": 1e14, "ns": 1e17}[unit]
+        relative = low >= 0 and high < ELAPSED[unit]
     return TimeScale(unit, relative, high > EPOCH > low, low)
 
 

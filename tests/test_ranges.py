@@ -26,7 +26,13 @@ def test_pulse(spark):
 def test_edges(spark):
     df = frame(spark, [1, 2, 3, 1], step=1000.0)
     assert spans(ranges.edge_ranges(df, 1.5)) == [(1000.0, 1001.0)]
-    assert spans(ranges.detect(df, {"kind": "edge", "config": {"value": 1.5, "direction": "falling", "window_ms": 5}})) == [(3000.0, 3005.0)]
+    assert spans(ranges.detect(df, {"kind": "edge", "config": {"threshold": 1.5, "direction": "falling", "window_ms": 5}})) == [(3000.0, 3005.0)]
+    assert spans(ranges.detect(df, {"kind": "threshold", "config": '{"op": "<", "value": 1.5}'})) == [(0.0, 0.0), (3000.0, 3000.0)]
+    assert spans(ranges.detect(df, {"kind": "Formula", "config": {"expr": "min"}})) == [(0.0, 1.0)]
+    for wrong in ({"kind": "edge", "config": {"threshold": 1, "direction": "up"}}, {"kind": "threshold", "config": {"op": "=", "value": 1}}, {"kind": "x"},
+                  {"kind": "formula", "config": {"expr": "mean"}}, {"kind": "threshold", "config": "[1]"}, {"kind": "threshold", "config": "{"}):
+        with pytest.raises(ValueError):
+            ranges.detect(df, wrong)
 
 
 def test_extrema_take_the_first(spark):
