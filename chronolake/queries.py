@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .catalog import store
-from .functions import formula, units
-from .operators import ranges, rolling, series
+from .functions import definitions, formula, units
+from .operators import ranges, rolling, series, spectral
+from .plans import catalog_query, ingest, lod
 from .plans.query import SeriesRequest, calculate, run
-from .schema import series_from_events
+from .schema import SERIES, series_from_events
+from .session import scratch_folder
 from .sinks import export
+from .sinks import lake as lake_sink
 from .sources import star, tabular
 
 DAY, HOUR = 86_400_000.0, 3_600_000.0
@@ -180,6 +183,7 @@ _formula("arith", "= (A + 2 * B) / (A - 50) % 7 - A // 3 + 2 ** 3", "((v0 + 2 *
 _formula("align_join", "A + B", "v0 + v1", over_days=True)
 _formula("scalar_fns", "SQRT(ABS(A - B)) + LOG(A) * LOG10(B) + MIN(A, B, 40) + CLAMP(B, 45, 55) + SIN(A) + ATAN(B) + EXP(A / 100) + POW(A, 0.5) + FLOOR(A) - CEIL(B)",
          "sqrt(abs(v0 - v1)) + ln(v0) * log10(v1) + least(v0, v1, 40) + least(greatest(v1, 45), 55) + sin(v0) + atan(v1) + exp(v0 / 100) + pow(v0, 0.5) + floor(v0) - ceil(v1)", over_days=True)
+_formula("trigonometry", "TAN(A / 100) + COS(A) + ASIN(A / 200) + ACOS(B / 200) + MAX(A, B, 50) + ROUND(A + 0.3)", "tan(v0 / 100) + cos(v0) + asin(v0 / 200) + acos(v1 / 200) + greatest(v0, v1, 50) + round_even(v0 + 0.3, 0)", over_days=True)
 _formula("compare", "(A > B) * A + (A <= B) * B", "CASE WHEN v0 > v1 THEN v0 ELSE v1 END", over_days=True)
 _formula("nested", "SMOOTH(SQRT(A - 50), 3)",
          "avg(q) OVER (PARTITION BY test_run_id ORDER BY x_ms ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", extra=", b AS (SELECT *, sqrt(v0 - 50) AS q FROM a WHERE v0 >= 50)")
@@ -380,10 +384,10 @@ def tests_left_t0(spark, sf_dir):
     return star.tests_with_start(tests, readings.where("value > 45")).select("id", "run_code", F.unix_micros(F.col("t0").cast("timestamp")).alias("t0"))
 
 
-@query("SELECT DISTINCT p_name AS channel_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey <= 100")
+@query("SELECT DISTINCT p_name AS channel_name FROM lineitem JOIN part ON l_partkey = p_partkey")
 def channels_distinct(spark, sf_dir):
     readings, names, _ = _star(spark, sf_dir)
-    used = readings.where("test_run_id <= 100").select(F.col("channel_id").alias("id"))
+    used = readings.select(F.col("channel_id").alias("id"))
     return names.join(used, "id", "left_semi").select("channel_name").distinct()
 
 
@@ -465,3 +469,263 @@ def artifact_ids(spark, sf_dir):
     path = F.concat(F.lit("/data/"), F.col("event_id").cast("string"), F.lit(".csv"))
     rows = read(spark, sf_dir, "events").select("event_id", store.artifact_id(F.lit("csv"), path).alias("artifact_id"))
     return rows.withColumn("test_id", store.test_id(F.col("artifact_id")))
+
+
+# --- rules, definitions and the range store -------------------------------------------------------------------------
+
+_BELOW = _ISLANDS.replace("y > 40", "y < 5")
+
+
+@query(f"WITH {_S}, {_BELOW} SELECT test_run_id, channel_name, start_ms, end_ms FROM i WHERE channel_name = 'click'")
+def range_rule_lt(spark, sf_dir):
+    return ranges.detect(runs(spark, sf_dir), {"kind": "threshold", "channel_name": "click", "config": '{"op": "<", "value": 5}'})
+
+
+@query(f"WITH {_S}, {_EDGE} SELECT test_run_id, channel_name, x_ms AS start_ms, x_ms + 1 AS end_ms FROM e WHERE b > 50 AND y <= 50")
+def range_rule_edge_falling(spark, sf_dir):
+    return ranges.detect(runs(spark, sf_dir), {"kind": "edge", "config": {"threshold": 50, "direction": "falling"}})
+
+
+@query(_extremum("ASC"))
+def range_rule_formula_min(spark, sf_dir):
+    return ranges.detect(runs(spark, sf_dir), {"kind": "formula", "config": {"expr": "min", "window_ms": 2000}})
+
+
+_PARTS = f"""WITH {_S}, {_ISLANDS}, a AS (SELECT * FROM i WHERE channel_name = 'click'), b AS (SELECT * FROM i WHERE channel_name = 'view'),
+o1 AS (SELECT test_run_id, min(start_ms) AS start_ms FROM a GROUP BY 1), o AS (SELECT test_run_id, o1.start_ms, max(b.end_ms) AS end_ms FROM o1 JOIN b USING (test_run_id) WHERE b.end_ms > o1.start_ms GROUP BY 1, 2),
+n1 AS (SELECT test_run_id, max(start_ms) AS start_ms FROM b GROUP BY 1), n AS (SELECT test_run_id, start_ms, min(end_ms) AS end_ms FROM n1 JOIN (SELECT test_run_id, end_ms FROM b) USING (test_run_id) WHERE end_ms > n1.start_ms GROUP BY 1, 2)"""
+
+
+@query(f"""{_PARTS} SELECT test_run_id, 'outer' AS node, CAST(NULL AS VARCHAR) AS parent_node, start_ms, end_ms FROM o
+UNION ALL SELECT n.test_run_id, 'inner', CASE WHEN o.test_run_id IS NOT NULL THEN 'outer' END, n.start_ms, n.end_ms FROM n LEFT JOIN o ON n.test_run_id = o.test_run_id""")
+def range_definition_tree(spark, sf_dir):
+    click, view = ({"channels": [c], "op": ">", "value": 40} for c in ("click", "view"))
+    nodes = [
+        {"id": "inner", "parent_id": "outer", "name": "inner", "start": view | {"occurrence": "last"}, "end": view},
+        {"id": "outer", "name": "outer", "start": click, "end": {"expression": "view > 40", "occurrence": "last"}},
+    ]
+    found = ranges.apply_definitions(runs(spark, sf_dir), [definitions.clean_definition({"name": "d", "nodes": nodes})])
+    return found.select("test_run_id", "node", "parent_node", "start_ms", "end_ms")
+
+
+def _stored_ranges(spark, sf_dir) -> DataFrame:
+    """Source ranges of all runs as a catalog holds them."""
+    spans = ranges.source_ranges(runs(spark, sf_dir).where("channel_name = 'view'"))
+    kinds = {"range_id": F.col("test_run_id"), "test_id": F.col("test_run_id"), "parent_range_id": F.lit(None).cast("long"), "source": F.lit("source"), "name": F.lit("Source")}
+    return spans.select(*[c.alias(n) for n, c in kinds.items()], "start_ms", "end_ms")
+
+
+_HELD = """src AS (SELECT test_run_id, min(x_ms) AS start_ms, max(x_ms) AS end_ms FROM s WHERE channel_name = 'view' GROUP BY 1),
+c AS (SELECT test_run_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM i WHERE channel_name = 'click' GROUP BY 1)"""
+
+
+@query(f"""WITH {_S}, {_ISLANDS}, {_HELD} SELECT c.test_run_id AS test_id, 'burn' AS name, c.start_ms, c.end_ms,
+CASE WHEN c.start_ms >= src.start_ms AND c.end_ms <= src.end_ms THEN src.test_run_id END AS parent_range_id, CAST(NULL AS VARCHAR) AS fault FROM c LEFT JOIN src USING (test_run_id)""")
+def range_create_contained(spark, sf_dir):
+    found = ranges.threshold_ranges(runs(spark, sf_dir), ">", 40.0).where("channel_name = 'click'")
+    new = found.groupBy(F.col("test_run_id").alias("test_id")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).withColumn("name", F.lit("burn"))
+    return store.place_ranges(new, _stored_ranges(spark, sf_dir)).select("test_id", "name", "start_ms", "end_ms", "parent_range_id", "fault")
+
+
+@query(f"""WITH {_S}, {_ISLANDS}, {_HELD} SELECT c.test_run_id AS test_id, CASE WHEN c.test_run_id % 3 = 0 THEN CASE WHEN src.test_run_id IS NULL THEN 'no such parent'
+WHEN c.start_ms < src.start_ms OR c.end_ms > src.end_ms THEN 'not inside its parent' END WHEN c.test_run_id % 3 = 1 THEN 'no such parent' ELSE 'second' END AS fault
+FROM c LEFT JOIN src USING (test_run_id) WHERE c.test_run_id % 3 < 2 OR src.test_run_id IS NOT NULL""")
+def range_create_faults(spark, sf_dir):
+    found = ranges.threshold_ranges(runs(spark, sf_dir), ">", 40.0).where("channel_name = 'click'")
+    new = found.groupBy(F.col("test_run_id").alias("test_id")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).withColumn("name", F.lit("burn"))
+    kind = F.col("test_id") % 3
+    new = new.withColumn("parent_range_id", F.when(kind == 0, F.col("test_id")).when(kind == 1, -F.col("test_id"))).withColumn("source", F.when(kind == 2, "source").otherwise("user"))
+    placed = store.place_ranges(new, _stored_ranges(spark, sf_dir))
+    fault = F.when(F.col("fault") == "a second source range", "second").otherwise(F.col("fault"))
+    return placed.withColumn("fault", fault).where("test_id % 3 < 2 or fault is not null").select("test_id", "fault")
+
+
+@query("""SELECT l_orderkey AS range_id, string_agg(l_returnflag || '=' || n, ';' ORDER BY l_returnflag) AS parameters FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1
+UNION ALL SELECT -1, ''""")
+def range_parameters(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("range_id"), F.col("l_returnflag").alias("key")).agg(F.count("*").cast("double").alias("value_num"))
+    known = rows.select("range_id").distinct().union(spark.createDataFrame([(-1,)], "range_id long"))
+    found = store.with_range_parameters(known, rows.withColumn("value_text", F.lit(None).cast("string")))
+    text = F.transform("parameters", lambda p: F.concat(p["key"], F.lit("="), p["value_num"].cast("long").cast("string")))
+    return found.select("range_id", F.array_join(text, ";").alias("parameters"))
+
+
+@query(f"""WITH {_S}, {_ISLANDS}, n AS (SELECT test_run_id AS test_id, row_number() OVER (PARTITION BY test_run_id ORDER BY start_ms, end_ms, channel_name) AS range_id, start_ms FROM i)
+SELECT test_id, range_id, start_ms FROM n UNION ALL SELECT test_id, -range_id, start_ms FROM n WHERE test_id % 2 = 0""")
+def ranges_unified(spark, sf_dir):
+    by = Window.partitionBy("test_run_id").orderBy("start_ms", "end_ms", "channel_name")
+    kept = ranges.threshold_ranges(runs(spark, sf_dir), ">", 40.0).withColumn("range_id", F.row_number().over(by).cast("long")).select(F.col("test_run_id").alias("test_id"), "range_id", "start_ms")
+    other = kept.where("test_id % 2 = 0").withColumn("range_id", -F.col("range_id"))
+    return ranges.unified([kept, other, kept.withColumn("start_ms", F.lit(0.0))]).select("test_id", "range_id", "start_ms")
+
+
+@query("""SELECT o_orderkey AS range_id, o_custkey AS test_id, CASE WHEN o_orderkey = 1 THEN 'source' ELSE 'user' END AS source,
+CASE WHEN o_orderkey <> 1 AND EXISTS (SELECT 1 FROM orders x WHERE x.o_orderkey = 1 AND x.o_custkey = o.o_custkey) THEN CAST(1 AS BIGINT) END AS parent_range_id FROM orders o""")
+def ranges_legacy_source(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("long").alias("range_id"), F.col("o_custkey").cast("long").alias("test_id"), F.lit(None).cast("long").alias("parent_range_id"),
+        F.lit(0.0).alias("start_ms"), F.lit(1.0).alias("end_ms"), F.lit("user").alias("source"),
+    )
+    return store.promote_legacy(rows).select("range_id", "test_id", "source", "parent_range_id")
+
+
+# --- catalog and ingest ---------------------------------------------------------------------------------------------
+
+
+def _place(spark: SparkSession) -> tuple[store.Catalog, str]:
+    root = scratch_folder(spark, "catalog")
+    return store.Catalog(spark, f"{root}/catalog"), f"{root}/lake"
+
+
+@query("""WITH q AS (SELECT epoch_us(l_shipdate) / 1000.0 AS x_ms, l_quantity AS y FROM lineitem), m AS (SELECT x_ms, max(y) AS y FROM q GROUP BY 1)
+SELECT channel_name, x_ms, round(y, 6) AS y FROM (SELECT 'qty' AS channel_name, x_ms, y FROM q UNION ALL SELECT 'l_discount', epoch_us(l_shipdate) / 1000.0, l_discount FROM lineitem
+UNION ALL SELECT 'twice', x_ms, 2 * y FROM m UNION ALL SELECT 'more', x_ms, 2 * y + 1 FROM m)""")
+def ingest_wide(spark, sf_dir):
+    """A wide table of several readings a day: qty and discount are channels, two calculated ones follow."""
+    catalog, lake = _place(spark)
+    specs = [formula.CalculatedChannel("more", ["twice"], formula="A + 1"), formula.CalculatedChannel("twice", ["qty"], formula="A * 2")]
+    rule = ingest.clean_rule({"name": "lines", "mode": "include", "include": ["qty", "l_discount"], "rename": {"l_quantity": "qty"}, "time_column": "l_shipdate", "calculated": specs})
+    test = ingest.ingest(catalog, lake, f"{sf_dir}/lineitem.parquet", rule)
+    return catalog_query.catalog_series(catalog, lake, test["test_id"]).select("channel_name", "x_ms", F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {_S} SELECT test_run_id, channel_name, x_ms, y FROM s WHERE channel_name IN ('click', 'view') AND x_ms BETWEEN {START} AND {END} AND test_run_id = (SELECT max(test_run_id) FROM s)")
+def catalog_series(spark, sf_dir):
+    """A window of two channels of the newest test, through the catalog; a channel that it lacks is passed over."""
+    catalog, lake = _place(spark)
+    rows = runs(spark, sf_dir)
+    lake_sink.write_series(rows, lake)
+    tests = rows.groupBy(F.col("test_run_id").alias("test_id")).agg(F.max("test_run_code").alias("run_code")).withColumn("status", F.lit("ready")).withColumn("created_at", F.timestamp_seconds("test_id"))
+    catalog.register(tests, ingest.channel_rows(rows, lake), catalog.read("parameters"))
+    newest = catalog.latest_tests(1).first()["test_id"]
+    return catalog_query.catalog_series(catalog, lake, newest, ["click", "view", "none"], START, END).select("test_run_id", "channel_name", "x_ms", "y")
+
+
+@query(f"WITH {_S} SELECT test_run_id AS test_id, channel_name, max(unit) AS unit, count(y) AS point_count, min(x_ms) AS start_ms, max(x_ms) AS end_ms FROM s GROUP BY 1, 2")
+def channel_entries(spark, sf_dir):
+    return ingest.channel_rows(runs(spark, sf_dir), "/lake").select("test_id", "channel_name", "unit", "point_count", "start_ms", "end_ms")
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS tests, (SELECT count(*) FROM lineitem) AS channels")
+def catalog_counts(spark, sf_dir):
+    return store.table_counts(read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem"))
+
+
+@query("SELECT o_orderkey AS test_id, (SELECT min(l_returnflag) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) AS icon FROM orders")
+def tests_with_icons(spark, sf_dir):
+    key = F.when(F.col("l_linenumber") == 1, store.ICON).otherwise("other")
+    parameters = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("test_id"), key.alias("key"), F.col("l_returnflag").alias("value_text"))
+    return store.with_icons(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("test_id")), parameters)
+
+
+@query("SELECT 't' || l_orderkey AS table_name FROM lineitem WHERE l_linenumber IN (1, 2, 4) GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 3")
+def tables_with_columns(spark, sf_dir):
+    columns = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("table_name"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("column_name"))
+    return store.tables_with_columns(columns, ["c1", "c2", "c4"])
+
+
+@query("SELECT DISTINCT p_name AS channel_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'")
+def channels_of_tests(spark, sf_dir):
+    tests = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("test_id"))
+    names = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("channel_name"))
+    return store.channels_of(tests, read(spark, sf_dir, "lineitem").join(names, "l_partkey").select(F.col("l_orderkey").alias("test_id"), "channel_name"))
+
+
+@query("""SELECT o_orderkey AS test_id, 'size' AS analysis_name, o_orderstatus AS key, o_totalprice AS value_num FROM orders WHERE o_orderpriority <> '1-URGENT'
+UNION ALL SELECT o_orderkey, 'size', o_orderstatus, -o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def result_upsert_large(spark, sf_dir):
+    """Results of all orders, those of urgent ones given anew and a tenth of them new."""
+    rows = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("long").alias("test_id"), F.lit(None).cast("long").alias("range_id"), F.lit("size").alias("analysis_name"), F.col("o_orderstatus").alias("key"),
+        F.lit(None).cast("string").alias("value_text"), F.col("o_totalprice").cast("double").alias("value_num"), "o_orderpriority",
+    )
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    old = rows.where(~urgent | (F.col("test_id") % 10 != 0)).drop("o_orderpriority").withColumn("result_id", F.col("test_id"))
+    new = rows.where(urgent).drop("o_orderpriority").withColumn("value_num", -F.col("value_num")).withColumn("result_id", F.lit(None).cast("long"))
+    return store.upsert_results(old, new).select("test_id", "analysis_name", "key", "value_num")
+
+
+@query("SELECT event_id, event_type || '|u' || (user_id % 2) AS tags, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '[\"' || event_type || '\",\"u' || (user_id % 2) || '\"]' END AS json FROM events")
+def tags_cleaned(spark, sf_dir):
+    name, user = F.col("event_type"), F.concat(F.lit("u"), (F.col("user_id") % 2).cast("string"))
+    tags = F.array(F.concat(F.lit("  "), name), F.upper(name), F.lit(" "), user, F.upper(user))
+    rows = read(spark, sf_dir, "events").select("event_id", tags.alias("tags"), F.when(F.col("event_id") % 5 == 0, F.array().cast("array<string>")).otherwise(tags).alias("some"))
+    return rows.select("event_id", F.array_join(store.tags_from_json(F.to_json("tags")), "|").alias("tags"), store.tags_json(F.col("some")).alias("json"))
+
+
+# --- reading and writing --------------------------------------------------------------------------------------------
+
+
+@query("""SELECT unit, event_id, epoch_us(ts) // div * div / 1000.0 AS x_ms FROM events, (VALUES ('s', 1000000), ('ms', 1000), ('us', 1), ('ns', 1)) u(unit, div)""")
+def time_unit_inference(spark, sf_dir):
+    """Times as whole seconds, milli-, micro- and nanoseconds; the unit is found from their size."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    out = None
+    for unit, number in (("s", F.floor(micros / 1_000_000)), ("ms", F.floor(micros / 1000)), ("us", micros), ("ns", micros * 1000)):
+        wide, _, _ = tabular.normalize_time(read(spark, sf_dir, "events").select("event_id", number.cast("long").alias("time")))
+        rows = wide.select(F.lit(unit).alias("unit"), "event_id", "x_ms")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT 'l_quantity' AS name, count(l_quantity) AS n, (SELECT count(*) FROM lineitem) AS rows FROM lineitem UNION ALL SELECT 'half', count(CASE WHEN l_linenumber % 2 = 0 THEN 1 END), count(*) FROM lineitem")
+def probe_columns(spark, sf_dir):
+    wide = read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("time"), "l_quantity", F.when(F.col("l_linenumber") % 2 == 0, 1.0).alias("half"), F.lit(None).cast("double").alias("never"), "l_returnflag")
+    found = tabular.probe(wide)
+    return spark.createDataFrame([(c["name"], c["n"], found["rows"]) for c in found["channels"]], "name string, n long, rows long")
+
+
+@query("SELECT * FROM (VALUES ('overview', 'auto', 'aggregate', 2000), ('overview', 'none', 'raw', 0), ('detail', 'auto', 'raw_lttb', 4000), ('raw', 'auto', 'raw', 0)) t(mode, aggregation, strategy, cap)")
+def plan_strategy(spark, sf_dir):
+    asked = [("overview", "auto"), ("overview", "none"), ("detail", "auto"), ("raw", "auto")]
+    caps = [lod.points_cap(1000, a, None, m) for m, a in asked]
+    return spark.createDataFrame([(m, a, lod.strategy(m, a, c), c or 0) for (m, a), c in zip(asked, caps, strict=True)], "mode string, aggregation string, strategy string, cap int")
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 / 1.0 AS x_ms, round(value, 3) AS y, event_type AS label FROM events")
+def csv_scan(spark, sf_dir):
+    """A table written and scanned as CSV, with a unit in a header."""
+    path = scratch_folder(spark, "csv")
+    rows = read(spark, sf_dir, "events").select("event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("x_ms"), F.round("value", 3).alias("V (mV)"), "event_type")
+    rows.write.option("header", True).csv(path)
+    wide, _, _ = tabular.normalize_time(tabular.read_wide(spark, path, "csv"))
+    names, _ = tabular.header_units(wide.columns)
+    return wide.select(F.col("event_id").cast("long").alias("event_id"), "x_ms", F.col("`V (mV)`").alias("y") if names["V (mV)"] == "V" else F.lit(None), F.col("event_type").alias("label"))
+
+
+@query(f"WITH {_S} SELECT test_run_code AS source, channel_name AS channel, y AS value FROM s")
+def export_parquet(spark, sf_dir):
+    path = scratch_folder(spark, "export")
+    export.export_series(runs(spark, sf_dir), path, "parquet")
+    return spark.read.parquet(path).select("source", "channel", "value")
+
+
+@query(f"WITH {_S} SELECT test_run_id, channel_name, y FROM s")
+def json_rows(spark, sf_dir):
+    rows = export.json_rows(runs(spark, sf_dir)).select(F.from_json("json", SERIES).alias("r"))
+    return rows.select("r.test_run_id", "r.channel_name", "r.y")
+
+
+@query(f"WITH {_S} SELECT test_run_id, CASE channel_name WHEN 'click' THEN 'taps' ELSE channel_name END AS channel_name, x_ms, y FROM s WHERE channel_name IN ('click', 'view')")
+def channel_aliases(spark, sf_dir):
+    return series.only(runs(spark, sf_dir), ["click", "view", "none"], {"click": "taps"}).select("test_run_id", "channel_name", "x_ms", "y")
+
+
+@query(f"WITH {_C} SELECT channel_name, CAST(row_number() OVER (PARTITION BY channel_name ORDER BY x_ms, y) - 1 AS DOUBLE) AS x_ms, y FROM s")
+def index_relative(spark, sf_dir):
+    return series.by_index(channels(spark, sf_dir)).select("channel_name", "x_ms", "y")
+
+
+@query(f"""WITH {_D}, {_WIDE}, k AS (SELECT x_ms FROM a WHERE v0 > v1) SELECT d.channel_name, d.x_ms, round(d.y, 6) AS y FROM d JOIN k USING (x_ms)""")
+def mask_formula(spark, sf_dir):
+    return formula.mask_by_formula(daily(spark, sf_dir), ["click", "view"], "A > B").select("channel_name", "x_ms", F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {_C} SELECT channel_name, x_ms, y FROM s ORDER BY x_ms, channel_name, y LIMIT 500")
+def legacy_first_rows(spark, sf_dir):
+    return catalog_query.first_rows(channels(spark, sf_dir), 500).select("channel_name", "x_ms", "y")
+
+
+@query()
+def welch(spark, sf_dir):
+    return spectral.power_density(daily(spark, sf_dir), 16)

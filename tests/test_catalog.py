@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from chronolake.catalog import store
 from chronolake.catalog.store import Catalog
+from chronolake.functions import definitions
 
 
 def test_register_replace_delete(spark, tmp_path):
@@ -58,3 +60,63 @@ def test_tags_and_ids(spark):
     assert df.select(store.clean_tags(F.col("tags")).alias("t")).first().t == ["Hot", "Cold"]
     row = spark.range(1).select(store.artifact_id(F.lit("csv"), F.lit("/a")).alias("a")).withColumn("t", store.test_id(F.col("a"))).first()
     assert len(row.a) == 16 and row.t == int(row.a[:12], 16)
+
+
+def test_ranges_in_the_catalog(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "cat"))
+    early = c.create_range(1, "early", 1000, 2000, tags=["x"], parameters={"load": 2, "who": "me"})
+    assert early["parent_range_id"] is None and [(p["key"], p["value_num"], p["value_text"]) for p in early["parameters"]] == [("load", 2.0, None), ("who", None, "me")]
+    spans = spark.createDataFrame([(1, 0.0, 10_000.0), (2, 0.0, 5.0)], "test_run_id long, start_ms double, end_ms double")
+    assert c.ensure_source_ranges(spans).count() == 2 and c.ensure_source_ranges(spans).count() == 0
+    source = c.list_ranges(1).where("source = 'source'").first()["range_id"]
+    assert c.get_range(early["range_id"])["parent_range_id"] == source  # adopted
+    inner = c.create_range(1, "inner", 1200, 1500, parent_range_id=early["range_id"])
+    outside = c.create_range(1, "outside", 9000, 12_000)
+    assert inner["parent_range_id"] == early["range_id"] and outside["parent_range_id"] is None
+    for wrong in ({"start_ms": 500, "end_ms": 1500, "parent_range_id": early["range_id"]}, {"start_ms": 1, "end_ms": 2, "parent_range_id": 99}, {"start_ms": 3, "end_ms": 2}, {"start_ms": 1, "end_ms": 2, "source": "source"}):
+        with pytest.raises(ValueError):
+            c.create_range(1, "wrong", wrong.pop("start_ms"), wrong.pop("end_ms"), **wrong)
+    with pytest.raises(ValueError):
+        c.create_range(2, "wrong", 1200, 1500, parent_range_id=early["range_id"])
+    assert c.update_range(inner["range_id"], name="new", end_ms=1600.0, parameters={"a": "b"})["parameters"][0]["key"] == "a"
+    assert c.get_range(inner["range_id"])["end_ms"] == 1600.0
+    assert c.update_range(inner["range_id"], parent_range_id=None)["parent_range_id"] == source
+    assert c.update_range(source, end_ms=1.0, label="all")["end_ms"] == 10_000.0
+    for wrong in ((inner["range_id"], {"end_ms": 1.0}), (inner["range_id"], {"parent_range_id": inner["range_id"]}), (source, {"parent_range_id": 1}), (99, {}), (inner["range_id"], {"parent_range_id": early["range_id"], "end_ms": 3000.0})):
+        with pytest.raises(ValueError):
+            c.update_range(wrong[0], **wrong[1])
+    c.update_range(inner["range_id"], parent_range_id=early["range_id"])
+    c.delete_range(early["range_id"])
+    assert c.get_range(inner["range_id"])["parent_range_id"] == source and c.get_range(early["range_id"]) is None
+    for wrong in (source, 99):
+        with pytest.raises(ValueError):
+            c.delete_range(wrong)
+    assert [r.start_ms for r in c.list_ranges(1).collect()] == [0.0, 1200.0, 9000.0]
+
+
+def test_stored_rules(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "cat"))
+    series = spark.createDataFrame([(r, "r", "T", "u", k * 100.0, float(v)) for r in (1, 2) for k, v in enumerate([0, 5, 0, 6, 0][: 5 - 2 * (r - 1)])], "test_run_id long, test_run_code string, channel_name string, unit string, x_ms double, y double")
+    rule = c.create_rule("hot", "threshold", "T", {"op": ">", "value": 1}, default_label="burn", default_color="red")
+    assert sorted((r.test_id, r.name, r.color) for r in c.apply_rule(rule["rule_id"], series).collect()) == [(1, "burn 1", "red"), (1, "burn 2", "red"), (2, "burn", "red")]
+    assert [r.name for r in c.list_rules().collect()] == ["hot"] and c.get_rule(5) is None
+    for wrong in (("x", "sometimes", "T", {}), ("x", "edge", "T", "[]")):
+        with pytest.raises(ValueError):
+            c.create_rule(*wrong)
+    with pytest.raises(ValueError):
+        c.apply_rule(9, series)
+
+
+def test_definitions_are_checked():
+    part = {"channels": ["T"], "op": ">", "value": "3"}
+    node = lambda i, parent=None: {"id": i, "name": i, "parent_id": parent, "start": part, "end": {"expression": "T2 between 1..4"}}
+    clean = definitions.clean_definition({"name": "d", "nodes": [node("a", "b"), node("b")]})
+    assert [n["id"] for n in definitions.parents_first(clean["nodes"])] == ["b", "a"]
+    assert clean["nodes"][0]["start"] == {"channels": ["T"], "formula": "A", "op": ">", "expression": "T > 3", "occurrence": "first", "edge": "none", "value": 3.0}
+    assert clean["nodes"][0]["end"]["channels"] == ["T2"] and clean["nodes"][0]["end"]["value_b"] == 4.0
+    for nodes in ([node("a", "b"), node("b", "a")], [node("a", "a")], [node("a", "x")], [node("a"), node("a")], [{"id": "a"}], [node("a") | {"start": {}}], [node("a") | {"start": part | {"op": "~"}}],
+                  [node("a") | {"start": part | {"value": "much"}}], [node("a") | {"start": part | {"occurrence": "never"}}], [node("a") | {"start": part | {"edge": "up"}}], [node("a") | {"start": part | {"op": "between"}}]):
+        with pytest.raises(ValueError):
+            definitions.clean_definition({"name": "d", "nodes": nodes})
+    with pytest.raises(ValueError):
+        definitions.clean_definition({"nodes": []})
