@@ -304,7 +304,8 @@ def _classified(documents: DataFrame, threshold: int) -> DataFrame:
     named = known.select("doc_id", "version", "digest").join(classes.select("digest", "id"), "digest").join(labels, "id", "left")
     named = named.select("doc_id", "version", F.coalesce("component", "id").alias("component")).distinct()
     named = stored(named, "named")
-    heads = named.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("head"))
+    # written, so that the join can split the rows of a large component
+    heads = stored(named.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("head")), "heads")
     named = named.join(heads, "component").select("doc_id", "version", "head")
     return features.select("doc_id", "version", "n_shingles").join(named, ["doc_id", "version"], "left").select(
         "doc_id", "version", "n_shingles", F.coalesce("head.doc_id", "doc_id").alias("component_id"),

@@ -12,19 +12,25 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from .bpe import byte_letters
+
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
 #: Pieces of text that a worker keeps encoded.
 KEEP = 1_000_000
 MARKS = ".,;:!?|"
+#: Letters below this one are letters in every version of Unicode.
+LATIN_END = "\u02b0"
 SHARD = "part int, seq int, doc_ids array<{id}>, offsets array<int>, alphabet binary, zeros array<int>, planes array<binary>, ranks array<binary>"
 
 
@@ -141,6 +147,11 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _pieces = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
+def _cuttable(parts: list[str]) -> bool:
+    """Whether single line ends stand between these parts, with nothing else of white space beside them."""
+    return all(p and not p[0].isspace() and not p[-1].isspace() for p in parts)
+
+
 class _Tokenizer:
     """Encodes texts piece by piece; the library encodes each new piece once."""
 
@@ -153,36 +164,52 @@ class _Tokenizer:
         self.tokenizer.no_padding()
         self.kind = kind
         self.marks = {m: array(kind, self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in MARKS}
+        self.line_end = array(kind, self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
+        letters = byte_letters()
+        self.letters = dict(enumerate(letters))
+        self.shown = {"": "", " ": letters[32]}
         self.known: dict[str, bytes] = {}
         self.behind: dict[str, bytes] = {}  # of pieces that a single space precedes
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], prefix: str) -> None:
-        """Adds pieces. A word and one mark behind it are two tokens' worth of text to the pattern, so words are encoded alone."""
+        """Adds pieces. The pattern cuts at a line end between two words and before one mark behind a word, so their parts are encoded alone."""
+        lines = {p: parts for p in pieces if "\n" in p and _cuttable(parts := p.split("\n"))}
+        if lines:
+            pieces = pieces.difference(lines)
+            heads = {parts[0] for parts in lines.values()}.difference(known)
+            self._learn_words(known, pieces.union(heads), prefix)
+            self._learn_words(self.known, {t for parts in lines.values() for t in parts[1:]}.difference(self.known), "")
+            for p, (head, *tail) in lines.items():
+                known[p] = known[head] + b"".join(self.line_end + self.known[t] for t in tail)
+        else:
+            self._learn_words(known, pieces, prefix)
+
+    def _learn_words(self, known: dict[str, bytes], pieces: set[str], prefix: str) -> None:
         split = {p for p in pieces if p[-1:] in MARKS and p[:-1].isalpha()}
         bodies = {p[:-1] for p in split}.difference(known)
-        plain = list(bodies.union(pieces.difference(split)))
+        plain, words = [], []  # letters alone are one word to the pattern
+        for p in bodies.union(pieces.difference(split)):
+            (words if p.isalpha() and (p.isascii() or max(p) < LATIN_END) else plain).append(p)
+        merge, start = self.tokenizer.model.tokenize, self.shown[prefix]
+        flat: list[int] = []
+        ends = [0]
+        for p in words:
+            shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            flat += [t.id for t in merge(start + shown)]
+            ends.append(len(flat))
+        self._keep(known, words, array(self.kind, flat), ends)
         for at in range(0, len(plain), 4096):
             own = plain[at : at + 4096]
             found = self.tokenizer.encode([prefix + p for p in own], is_pretokenized=True, add_special_tokens=False)
-            ids = array(self.kind, found.ids)
-            ends = (np.searchsorted(np.array(found.word_ids), np.arange(len(own) + 1)) * ids.itemsize).tolist()
-            data = ids.tobytes()
-            for piece, start, end in zip(own, ends, ends[1:], strict=False):
-                known[piece] = data[start:end]
+            self._keep(known, own, array(self.kind, found.ids), np.searchsorted(np.array(found.word_ids), np.arange(len(own) + 1)).tolist())
         for p in split:
             known[p] = known[p[:-1]] + self.marks[p[-1]]
 
-    def _find(self, known: dict[str, bytes], texts: list[list[str]], prefix: str) -> list[list[bytes]]:
-        if len(known) > KEEP:
-            known.clear()
-        found = [list(map(known.get, own)) for own in texts]
-        open_ = [k for k, values in enumerate(found) if None in values]
-        lacking = {p for k in open_ for p, v in zip(texts[k], found[k], strict=True) if v is None}
-        if lacking:
-            self._learn(known, lacking, prefix)
-            for k in open_:
-                found[k] = [known[p] if v is None else v for p, v in zip(texts[k], found[k], strict=True)]
-        return found
+    @staticmethod
+    def _keep(known: dict[str, bytes], pieces: list[str], ids: array, ends: list[int]) -> None:
+        data, size = ids.tobytes(), ids.itemsize
+        for piece, a, z in zip(pieces, ends, ends[1:], strict=False):
+            known[piece] = data[a * size : z * size]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, of the array type of the tokenizer."""
@@ -194,8 +221,13 @@ class _Tokenizer:
             else:
                 head, *tail = text.split(" ")
                 heads.append([head] if head else []), tails.append(tail)
-        first, rest = self._find(self.known, heads, ""), self._find(self.behind, tails, " ")
-        return [b"".join(h + t) for h, t in zip(first, rest, strict=True)]
+        # first it is made room, then each piece that is not known is learned, then all are found
+        for known, own, prefix in ((self.known, heads, ""), (self.behind, tails, " ")):
+            if len(known) > KEEP:
+                known.clear()
+            self._learn(known, set(chain.from_iterable(own)).difference(known), prefix)
+        first, rest = self.known.__getitem__, self.behind.__getitem__
+        return [b"".join(chain(map(first, h), map(rest, t))) for h, t in zip(heads, tails, strict=True)]
 
 
 @cache
@@ -207,12 +239,13 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Writes documents(doc_id, text) in ascending doc_id order (ties by text; nulls first) as shards under path.
 
     Each document's ids are followed by end_id, which is all that null and empty texts have. Ids must be below 2 ** bits. A
-    document lies in one shard; a shard is closed at shard_tokens ids, so it grows beyond that only by its last document.
+    document lies in one shard; a shard is closed at shard_tokens ids, so it grows beyond that only by its last document. doc_id may
+    be of any type that Spark can sort.
     Other columns are ignored; no rows give a dataset without shards.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = SHARD.format(id=kind)
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_id = to_arrow_type(documents.schema["doc_id"].dataType)
     fields = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(arrow_id)), ("offsets", pa.list_(pa.int32())), ("alphabet", pa.binary()), ("zeros", pa.list_(pa.int32())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
     code = "H" if bits <= 16 else "I"
     end = array(code, [end_id]).tobytes()

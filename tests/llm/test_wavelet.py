@@ -56,7 +56,17 @@ def test_shards_round_trip(spark, edge_docs, no_docs, tmp_path):
 
 def test_pieces_as_the_library():
     rnd, library, own = random.Random(9), Tokenizer.from_file(PATH), wavelet._tokenizer(PATH, "H")
-    texts = ["".join(rnd.choice([*"abc 'srtd,.|\n\t  \x1c\x85\u3000é12漢", "<|endoftext|>", "word,", "\n\n"]) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    texts = ["".join(rnd.choice([*"abc 'srtd,.|\n\t  \x1c\x85\u3000é12漢", "<|endoftext|>", "word,", "\n\n", "inwh.\nWas", "éaie.\nAnè", "ÀÖß", "don't\nI'll", "x\n y", "x \ny", "ŉǆɐʰˠ", "字\n字"]) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
     for text, ids in zip(texts, own.encode(texts)):
         assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
     assert zlib.crc32(own.encode(["x"])[0]) == zlib.crc32(own.encode(["x"])[0])
+
+
+def test_other_ids(spark, tmp_path):
+    """Ids of any type that sorts."""
+    for kind, ids in (("date", ["2024-01-02", "2024-01-01"]), ("decimal(10,2)", ["2.50", "1.25"]), ("string", ["b", "a"]), ("smallint", ["2", "1"])):
+        docs = spark.createDataFrame([(i, t) for i, t in zip(ids, ["two words", "one"])], "doc_id string, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+        path = str(tmp_path / kind)
+        wavelet.write_shards(docs, path, PATH)
+        got = sorted((str(r.doc_id), r.start) for r in wavelet.read_documents(spark, path).collect())
+        assert got == [(ids[1], 0), (ids[0], 2)]
