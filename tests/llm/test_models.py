@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -158,3 +159,55 @@ def test_junk_goes_and_clean_stays(spark):
     rows = perplexity.rules(docs).join(labels, "doc_id").where("not base_failed").collect()
     clean, junk = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
     assert sum(r.kept for r in clean) / len(clean) > 0.99 and sum(r.kept for r in junk) / len(junk) < 0.6
+
+
+def test_verdicts_against_loops(spark):
+    """Every measure, band and verdict of a small corpus, from the textbook model and plain medians."""
+    rnd = random.Random(12)
+    words = {"en": ["the", "of", "and", "nation", "ten", "toe"], "fr": ["le", "la", "été", "ville", "vers"]}
+    rows = []
+    for i in range(60):
+        lang = ["en", "fr", None][i % 3]
+        own = words.get(lang, words["en"])
+        text = " ".join(rnd.choice(own) for _ in range(rnd.choice([49, 50, 60, 90])))
+        if i % 10 == 4:
+            text = "".join(rnd.sample(text, len(text)))
+        rows.append((i, None if i == 7 else text, lang))
+    got = {r.doc_id: r for r in perplexity.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    for lang in ("en", "fr", None):
+        texts = {i: t.encode() for i, t, x in rows if x == lang and t}
+        p = kneser_ney(list(texts.values()))
+        measure, n = {}, {i: len(t.split()) for i, t in texts.items()}
+        for i, t in texts.items():
+            data = b"\n\n" + t + b"\n\n"
+            measure[i] = -sum(math.log(p(data[k : k + 3])) for k in range(len(data) - 2)) / n[i]
+            assert got[i].measure == pytest.approx(measure[i], rel=1e-5)
+        median = lambda xs: sorted(xs)[(len(xs) - 1) // 2]
+        steps = [math.floor(got[i].measure / perplexity.STEP + 0.5) for i in texts if n[i] >= 50]
+        middle = median(steps)
+        off = median([abs(x - middle) for x in steps])
+        half = perplexity.WIDTH * max(1.4826 * off, perplexity.LEAST_SPREAD * middle, 1.0)
+        for i, t in texts.items():
+            failed = n[i] < 50 or 100 * base(t.decode())[-1] > 50 * n[i]
+            inside = (middle - half) * perplexity.STEP <= got[i].measure <= (middle + half) * perplexity.STEP
+            assert (got[i].base_failed, got[i].kept) == (failed, not failed and inside), i
+    assert got[7].base_failed and got[7].measure is None and len({r.kept for r in got.values() if not r.base_failed}) == 2
+
+
+def test_scores_against_loops(spark):
+    """Scores of both classifiers over whole texts, from sums over terms and look-ups of single features."""
+    rnd = random.Random(13)
+    docs = [(i, " ".join(rnd.choice(["good", "bad", "idiot", "group", "tree", "ROT", "a1"]) for _ in range(rnd.randint(0, 30))) or None) for i in range(300)]
+    labels = [(i, int("idiot" in (t or "")), int(len(t or "") > 60)) for i, t in docs]
+    frame, truth = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    m = toxicity.learn(frame, truth)
+    for r in toxicity.verdicts(frame, truth).collect():
+        at = [m.place[t] for t in toxicity.terms(docs[r.doc_id][1]) if m.place[t] >= 0]
+        z = m.bias + sum(m.weights[i] for i in at) + sum(float(m.factors[i] @ m.factors[j]) for k, i in enumerate(at) for j in at[:k])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5)
+    g = quality_gam.learn(frame, truth)
+    for r in quality_gam.verdicts(frame, truth).collect():
+        x = quality_gam.features(docs[r.doc_id][1])
+        z = g.base + sum(t[np.searchsorted(e, x[k], "right")] for k, (e, t) in enumerate(g.single))
+        z += sum(t[np.searchsorted(a, x[i], "right"), np.searchsorted(b, x[j], "right")] for i, j, a, b, t in g.pairs)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
