@@ -17,7 +17,7 @@ from ..functions.formula import CalculatedChannel
 from ..operators import ranges as range_ops
 from ..operators import series as ops
 from ..sinks.lake import read_series, write_series
-from ..sources import tabular
+from ..sources import hdf5, tabular, tdms
 from .lod import dependency_order
 from .query import calculate
 
@@ -77,7 +77,11 @@ def read_normalized(spark: SparkSession, path: str, rule: IngestRule) -> tuple[D
         raise ValueError(f"{path}: {'; '.join(report['errors'])}")
     time_name = report["time_column"]
     renamed, units = tabular.header_units(wide.columns, {time_name})
-    wide, _, _ = tabular.normalize_time(wide, time_name, rule.t0_utc or datetime.now(timezone.utc), rule.time_unit)
+    if tabular.detect_format(path) == "h5":
+        wide, extra = _hdf5_times(wide, path, rule)
+        units |= extra
+    else:
+        wide, _, _ = tabular.normalize_time(wide, time_name, rule.t0_utc or datetime.now(timezone.utc), rule.time_unit)
     if wide.isEmpty():
         raise ValueError(f"{path}: no time can be read")
     named = {c: renamed.get(c, c) for c in tabular.numeric_columns(wide, {time_name, "x_ms"})}
@@ -86,6 +90,28 @@ def read_normalized(spark: SparkSession, path: str, rule: IngestRule) -> tuple[D
     return wide, channels, {chosen[n]: u for n, u in units.items() if n in chosen}
 
 
+def _hdf5_times(wide: DataFrame, path: str, rule: IngestRule) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with x_ms by what the file's attributes say of its time, and the units of its datasets."""
+    facts = hdf5.time_facts(path)
+    units = {d["path"]: d["unit"] for d in hdf5.datasets(path) if d["unit"]}
+    unit = rule.time_unit or (facts["unit"] if facts["unit"] != "s" else None)  # seconds may be elapsed or not, which their size tells
+    if facts["start_s"] is None or rule.t0_utc is not None:
+        return tabular.normalize_time(wide, "time", rule.t0_utc or datetime.now(timezone.utc), unit)[0], units
+    wide, _, relative = tabular.normalize_time(wide, "time", None, unit)
+    return (wide.withColumn("x_ms", F.col("x_ms") + F.lit(facts["start_s"] * 1000)) if relative else wide), units
+
+
+def read_series_of(spark: SparkSession, path: str, rule: IngestRule, test_id: int, code: str) -> tuple[DataFrame, list[str]]:
+    """(series, channels) of a file of any kind."""
+    if tabular.detect_format(path) == "tdms":
+        known = [f"{c['group']}/{c['name']}" for c in tdms.channels(path)]
+        chosen = tabular.select_channels(known, rule.mode, rule.include, rule.exclude, rule.rename, rule.require)
+        rows = ops.renamed(tdms.read_tdms(spark, path, list(chosen), rule.t0_utc), chosen)
+        return rows.select(F.lit(test_id).cast("long").alias("test_run_id"), F.lit(code).alias("test_run_code"), "channel_name", "unit", "x_ms", "y"), list(chosen.values())
+    wide, channels, units = read_normalized(spark, path, rule)
+    return tabular.unpivot(wide, channels, test_id, code, units), list(channels.values())
+
+
 def channel_rows(series: DataFrame, lake: str, kinds: dict[str, str] | None = None) -> DataFrame:
     """A catalog row for each channel of the series."""
     by = series.groupBy(F.col("test_run_id").alias("test_id"), "channel_name").agg(
@@ -139,9 +165,9 @@ def ingest(catalog: Catalog, lake: str, path: str, rule: IngestRule = IngestRule
     ids = spark.range(1).select(store.artifact_id(F.lit(kind), F.lit(path)).alias("a")).withColumn("t", store.test_id(F.col("a"))).first()
     artifact, test_id = ids["a"], ids["t"]
     code = run_code or path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    wide, channels, units = read_normalized(spark, path, rule)
-    write_series(tabular.unpivot(wide, channels, test_id, code, units), lake)
-    written = read_series(spark, lake, [test_id], list(channels.values()))
+    series, names = read_series_of(spark, path, rule, test_id, code)
+    write_series(series, lake)
+    written = read_series(spark, lake, [test_id], names)
     rows = channel_rows(written, lake)
     if rows.isEmpty():
         raise ValueError(f"{path}: no channel has values")

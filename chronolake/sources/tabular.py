@@ -50,7 +50,7 @@ def read_wide(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
         from .hdf5 import read_hdf5
 
         return read_hdf5(spark, path)
-    raise ValueError(f"{kind} files need an optional reader that is not installed")
+    raise ValueError(f"{kind} files are no wide tables")
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
