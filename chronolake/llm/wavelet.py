@@ -45,22 +45,19 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         zeros, planes, ranks = [], [], []
-        now, places = ids, np.arange(len(ids), dtype=np.int32)
+        now = ids
         for level in range(bits - 1, -1, -1):
             one = (now & now.dtype.type(1 << level)) != 0
-            upto = np.cumsum(one, dtype=np.int32)
-            ranks.append(np.concatenate([[0], upto[BLOCK - 1 :: BLOCK], upto[-1:][: len(ids) % BLOCK > 0]]).astype("<u4").tobytes())
-            planes.append(np.packbits(one).tobytes())
-            zeros.append(len(ids) - int(upto[-1]) if len(ids) else 0)
-            low, now = now, np.empty_like(now)
-            now[cls._next(one, upto, zeros[-1], places)] = low
+            plane = np.packbits(one)
+            padded = np.zeros(-(-len(ids) // BLOCK) * (BLOCK // 8), np.uint8)
+            padded[: len(plane)] = plane
+            ones = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
+            ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes())
+            planes.append(plane.tobytes())
+            now = np.concatenate([np.compress(~one, now), np.compress(one, now)])
+            zeros.append(len(ids) - int(ones.sum()))
         return cls(len(ids), bits, zeros, planes, ranks)
 
-    @staticmethod
-    def _next(one: np.ndarray, upto: np.ndarray, zeros: int, places: np.ndarray) -> np.ndarray:
-        """Where each entry of a plane stands in the next one."""
-        return np.where(one, upto + np.int32(zeros - 1), places - upto)
-
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones before each position of a plane."""
         at = np.asarray(at, np.int64)
@@ -126,11 +123,11 @@ class WaveletMatrix:
     def all(self) -> np.ndarray:
         """All ids in order: planes are undone from the lowest up."""
         ids = np.zeros(self.size, np.uint16 if self.bits <= 16 else np.uint32)
-        places = np.arange(self.size, dtype=np.int32)
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.size).view(bool)
-            ids = ids[self._next(one, np.cumsum(one, dtype=np.int32), self.zeros[level], places)]
-            ids |= one.astype(ids.dtype) << (self.bits - 1 - level)
+            zeros, above = self.zeros[level], np.empty_like(ids)
+            above[~one], above[one] = ids[:zeros], ids[zeros:] | ids.dtype.type(1 << (self.bits - 1 - level))
+            ids = above
         return ids
 
 
