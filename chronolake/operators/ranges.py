@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.definitions import THRESHOLDS, parents_first, parse_config
 from ..schema import KEY
 
+#: Samples of one day of a series are sorted together.
+DAY_MS = 86_400_000.0
 RANGES_OF_DEFINITIONS = "test_run_id long, definition string, node string, parent_node string, name string, label string, color string, start_ms double, end_ms double"
 
 #: Conditions on a value; the last two compare with a pair.
@@ -26,19 +28,36 @@ def condition(y: Column, op: str, level) -> Column:
 
 
 def threshold_ranges(series: DataFrame, op: str, level, sustain_ms: float = 0.0) -> DataFrame:
-    """(run, channel, start_ms, end_ms) of unbroken stretches on which the condition holds, at least sustain_ms from first to last sample."""
-    order = Window.partitionBy(*KEY).orderBy("x_ms", "y")
-    rows = series.where(F.col("y").isNotNull()).withColumn("_on", condition(F.col("y"), op, level))
-    rows = rows.withColumn("_new", (F.col("_on") & ~F.coalesce(F.lag("_on").over(order), F.lit(False))).cast("int"))
-    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_on")
-    found = rows.groupBy(*KEY, "_run").agg(F.min("x_ms").alias("start_ms"), F.max("x_ms").alias("end_ms"))
+    """(run, channel, start_ms, end_ms) of unbroken stretches on which the condition holds, at least sustain_ms from first to last sample.
+
+    Stretches are found in each day of a series, so that a long series is not sorted by one task. Those that reach the edges of their
+    days are then put together: a row for each stretch.
+    """
+    rows = series.where(F.col("y").isNotNull()).withColumn("_on", condition(F.col("y"), op, level)).withColumn("_day", F.floor(F.col("x_ms") / DAY_MS))
+    order = Window.partitionBy(*KEY, "_day").orderBy("x_ms", "y")
+    rows = rows.withColumn("_before", F.lag("_on").over(order)).withColumn("_ends", F.lead("_on").over(order).isNull())
+    rows = rows.withColumn("_new", (F.col("_on") & ~F.coalesce(F.col("_before"), F.lit(False))).cast("int"))
+    marked = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_on")
+    opens, closes = F.max(F.col("_before").isNull()).alias("_opens"), F.max("_ends").alias("_closes")
+    parts = marked.groupBy(*KEY, "_day", "_run").agg(F.min("x_ms").alias("start_ms"), F.max("x_ms").alias("end_ms"), opens, closes)
+    days = series.where(F.col("y").isNotNull()).groupBy(*KEY, F.floor(F.col("x_ms") / DAY_MS).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    days = days.withColumn("_seq", F.row_number().over(Window.partitionBy(*KEY).orderBy("_day"))).drop("_n")  # days without samples are no gap
+    met = parts.join(days, [*KEY, "_day"])
+    by = Window.partitionBy(*KEY).orderBy("_seq", "_run")
+    goes_on = F.col("_opens") & F.lag("_closes", 1, False).over(by) & (F.lag("_seq").over(by) == F.col("_seq") - 1)
+    met = met.withColumn("_first", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    met = met.withColumn("_group", F.sum("_first").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    found = met.groupBy(*KEY, "_group").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     return found.where(F.col("end_ms") - F.col("start_ms") >= sustain_ms).select(*KEY, "start_ms", "end_ms")
 
 
 def edge_ranges(series: DataFrame, level: float, rising: bool = True, window_ms: float = 0.0) -> DataFrame:
-    """Ranges of window_ms (or 1 ms) from each sample at which the value crosses the level."""
-    before = F.lag("y").over(Window.partitionBy(*KEY).orderBy("x_ms", "y"))
-    rows = series.where(F.col("y").isNotNull()).withColumn("_before", before)
+    """Ranges of window_ms (or 1 ms) from each sample at which the value crosses the level. The sample before may be of an earlier day."""
+    rows = series.where(F.col("y").isNotNull()).withColumn("_day", F.floor(F.col("x_ms") / DAY_MS))
+    lasts = rows.groupBy(*KEY, "_day").agg(F.max_by("y", F.struct("x_ms", "y")).alias("_last"))
+    lasts = lasts.withColumn("_earlier", F.lag("_last").over(Window.partitionBy(*KEY).orderBy("_day"))).drop("_last")
+    before = F.lag("y").over(Window.partitionBy(*KEY, "_day").orderBy("x_ms", "y"))
+    rows = rows.withColumn("_own", before).join(lasts, [*KEY, "_day"]).withColumn("_before", F.coalesce("_own", "_earlier"))
     crossed = (F.col("_before") < level) & (F.col("y") >= level) if rising else (F.col("_before") > level) & (F.col("y") <= level)
     width = window_ms if window_ms > 0 else 1.0
     return rows.where(crossed).select(*KEY, F.col("x_ms").alias("start_ms"), (F.col("x_ms") + width).alias("end_ms"))

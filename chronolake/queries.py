@@ -115,9 +115,9 @@ def detail_hint(spark, sf_dir):
     return series.detail_hint(runs(spark, sf_dir), 10)
 
 
-@query(f"""WITH {_S} SELECT test_run_id, channel_name, count(*) AS n, min(x_ms) AS first_x, max_by(y, x_ms) AS last_y FROM s GROUP BY 1, 2""")
+@query(f"""WITH {_S} SELECT test_run_id, channel_name, least(count(*), 1000) AS n, min(x_ms) AS first_x, max_by(y, x_ms) AS last_y FROM s GROUP BY 1, 2""")
 def series_payload(spark, sf_dir):
-    p = series.payload(runs(spark, sf_dir))
+    p = series.payload(runs(spark, sf_dir), 1000)
     return p.select("test_run_id", "channel_name", F.size("y").cast("long").alias("n"), F.element_at("x_ms", 1).alias("first_x"), F.element_at("y", -1).alias("last_y"))
 
 

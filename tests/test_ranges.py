@@ -79,3 +79,26 @@ def test_summary_status(spark):
 def test_names(spark):
     df = ranges.named(ranges.threshold_ranges(frame(spark, [0, 5, 0, 5]), ">", 1), "burn")
     assert sorted(r.name for r in df.collect()) == ["burn 1", "burn 2"]
+
+
+def test_stretches_over_days_against_loops(spark):
+    """Stretches and crossings that pass from day to day, over days without samples, and by equal times."""
+    rnd = random.Random(7)
+    rows, t = [], 0.0
+    for k in range(400):
+        t += rnd.choice([0.0, 3_600_000.0, 20 * 3_600_000.0, 90 * 3_600_000.0])
+        rows.append((1, "r", "T", "u", t, None if rnd.random() < 0.05 else float(rnd.choice([0, 9, 9, 9]))))
+    df = spark.createDataFrame(rows, SERIES).repartition(5)
+    seen = sorted((x, y) for *_, x, y in rows if y is not None)
+    want, start, last = [], None, None
+    for x, y in seen:
+        if y > 5:
+            start, last = x if start is None else start, x
+        elif start is not None:
+            want.append((start, last))
+            start = None
+    if start is not None:
+        want.append((start, last))
+    assert spans(ranges.threshold_ranges(df, ">", 5)) == want and len(want) > 20
+    assert spans(ranges.edge_ranges(df, 5.0)) == [(x, x + 1) for (_, a), (x, y) in zip(seen, seen[1:]) if a < 5 <= y]
+    assert ranges.threshold_ranges(df.limit(0), ">", 5).count() == 0
