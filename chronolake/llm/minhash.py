@@ -337,7 +337,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets_of(documents: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, own): the shingle sets of the classes with these ids, from the text of each one's own document."""
     wanted = stored(classes.join(ids, "id", "left_semi").select("id", "doc_id", "version"), "wanted")
-    texts = documents.join(wanted, ["doc_id", "version"]).dropDuplicates(["id"])
+    # their number grows with the documents, so they are not sent to every executor at any size
+    texts = documents.join(wanted.hint("merge"), ["doc_id", "version"]).dropDuplicates(["id"])
     return stored(texts.select("id", "text").mapInArrow(_sets, "id long, own binary"), "sets")
 
 
