@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,13 +72,17 @@ def clean_rule(raw: dict) -> IngestRule:
 
 def read_normalized(spark: SparkSession, path: str, rule: IngestRule) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
     """(wide frame with x_ms, column -> channel, channel -> unit) of a file; raises ValueError where it can't be ingested."""
-    wide = tabular.read_wide(spark, path)
+    return normalized(tabular.read_wide(spark, path), path, rule, tabular.detect_format(path))
+
+
+def normalized(wide: DataFrame, path: str, rule: IngestRule, kind: str | None = None) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
+    """read_normalized() of a wide frame; path is its name in errors."""
     report = tabular.validate(wide, rule.time_column)
     if report["errors"]:
         raise ValueError(f"{path}: {'; '.join(report['errors'])}")
     time_name = report["time_column"]
     renamed, units = tabular.header_units(wide.columns, {time_name})
-    if tabular.detect_format(path) == "h5":
+    if kind == "h5":
         wide, extra = _hdf5_times(wide, path, rule)
         units |= extra
     else:
@@ -158,14 +163,32 @@ def ingest(catalog: Catalog, lake: str, path: str, rule: IngestRule = IngestRule
     The order is: check, select, unpivot and write, calculated channels, catalog rows, source range, range rules, definitions. A test
     becomes ready at the end, so a failed ingest leaves none that is.
     """
-    spark, kind, facts = catalog.spark, tabular.detect_format(path), file_facts(catalog.spark, path)
+    kind, facts = tabular.detect_format(path), file_facts(catalog.spark, path)
     known = catalog.artifact_of(path)
     if known and not force and not is_stale(known, facts):
         return known
-    ids = spark.range(1).select(store.artifact_id(F.lit(kind), F.lit(path)).alias("a")).withColumn("t", store.test_id(F.col("a"))).first()
-    artifact, test_id = ids["a"], ids["t"]
+    artifact, test_id = _ids(catalog.spark, kind, path)
     code = run_code or path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    series, names = read_series_of(spark, path, rule, test_id, code)
+    series, names = read_series_of(catalog.spark, path, rule, test_id, code)
+    return _store(catalog, lake, series, names, rule, {"test_id": test_id, "artifact_id": artifact, "run_code": code, "source_path": path, "source_type": kind, "source_size": facts["size"], "source_modified": facts["modified"]})
+
+
+def ingest_frame(catalog: Catalog, lake: str, wide: DataFrame, name: str, rule: IngestRule = IngestRule()) -> dict:
+    """Makes a wide DataFrame a test of the given name, as ingest() does with a file. The same name takes the place of an earlier test."""
+    artifact, test_id = _ids(catalog.spark, "frame", name)
+    wide, channels, units = normalized(wide, name, rule)
+    series = tabular.unpivot(wide, channels, test_id, name, units)
+    return _store(catalog, lake, series, list(channels.values()), rule, {"test_id": test_id, "artifact_id": artifact, "run_code": name, "source_path": name, "source_type": "frame"})
+
+
+def _ids(spark: SparkSession, kind: str, path: str) -> tuple[str, int]:
+    ids = spark.range(1).select(store.artifact_id(F.lit(kind), F.lit(path)).alias("a")).withColumn("t", store.test_id(F.col("a"))).first()
+    return ids["a"], ids["t"]
+
+
+def _store(catalog: Catalog, lake: str, series: DataFrame, names: list[str], rule: IngestRule, facts: dict) -> dict:
+    """Writes a test's series and all that the catalog has of it."""
+    spark, path, test_id = catalog.spark, facts["source_path"], facts["test_id"]
     write_series(series, lake)
     written = read_series(spark, lake, [test_id], names)
     rows = channel_rows(written, lake)
@@ -178,11 +201,8 @@ def ingest(catalog: Catalog, lake: str, path: str, rule: IngestRule = IngestRule
 
     def put(status: str) -> None:
         at = lambda ms: datetime.fromtimestamp(ms / 1000, timezone.utc)
-        test = {
-            "test_id": test_id, "artifact_id": artifact, "run_code": code, "source_path": path, "source_type": kind, "status": status, "start_time": at(low),
-            "end_time": at(high), "duration_s": (high - low) / 1000, "created_at": datetime.now(timezone.utc), "rule": rule.name or None,
-            "source_size": facts["size"], "source_modified": facts["modified"],
-        }
+        times = {"start_time": at(low), "end_time": at(high), "duration_s": (high - low) / 1000, "created_at": datetime.now(timezone.utc)}
+        test = facts | times | {"status": status, "rule": rule.name or None}
         kinds = spark.createDataFrame([], schema.TESTS).schema
         parameters = [(test_id, k, None if isinstance(v, (int, float)) else str(v), float(v) if isinstance(v, (int, float)) else None) for k, v in rule.parameters.items()]
         one = spark.createDataFrame([tuple(test.values())], kinds.__class__([kinds[k] for k in test]))
@@ -209,7 +229,7 @@ def ingest_many(catalog: Catalog, lake: str, paths: list[str], rule: IngestRule
         try:
             test = ingest(catalog, lake, path, rule)
             out.append({"path": path, "test_id": test["test_id"], "error": None})
-        except ValueError as e:
+        except (ValueError, PySparkException) as e:  # what the file or its reader says
             out.append({"path": path, "test_id": None, "error": str(e)})
     return out
 

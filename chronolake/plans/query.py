@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.formula import CalculatedChannel, formula_channel
 from ..operators import series as ops
 from ..operators.rolling import rolling_channel
-from .lod import bucket_seconds, dependency_order, points_cap, reference, strategy, window_ms
+from .lod import MOST_CAP, bucket_seconds, dependency_order, points_cap, reference, strategy, window_ms
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def reduce_series(rows: DataFrame, plan: str, cap: int | None, span_s: float | N
         return ops.bucket_average(rows, bucket_seconds(span_s, cap) * 1000)
     if plan == "raw_lttb":
         return ops.lttb(rows, cap)
-    return ops.head(rows, limit) if limit else rows
+    return ops.head(rows, max(1, min(limit, MOST_CAP))) if limit else rows
 
 
 def run(series: DataFrame, request: SeriesRequest) -> tuple[DataFrame, dict]:

@@ -729,3 +729,26 @@ def legacy_first_rows(spark, sf_dir):
 @query()
 def welch(spark, sf_dir):
     return spectral.power_density(daily(spark, sf_dir), 16)
+
+
+@query("""WITH s AS (SELECT l_orderkey AS test_run_id, p_type AS channel_name, epoch_us(l_shipdate) / 1000.0 AS x_ms, l_quantity AS y,
+row_number() OVER (PARTITION BY l_orderkey, p_type ORDER BY epoch_us(l_shipdate), l_quantity) AS r FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey)
+SELECT test_run_id, channel_name, x_ms, y FROM s WHERE r <= 2""")
+def star_limited(spark, sf_dir):
+    """A raw request over the relational star: a limit for each series, never for all together."""
+    readings = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("test_run_id"), F.col("l_partkey").alias("channel_id"), F.col("l_shipdate").alias("time"), F.col("l_quantity").alias("value"))
+    names = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("channel_name"), F.lit("u").alias("unit"))
+    tests = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("run_code"))
+    out, _ = run(star.star_series(readings, names, tests), SeriesRequest(mode="raw", limit=2))
+    return out.select("test_run_id", "channel_name", "x_ms", "y")
+
+
+@query(f"WITH {_S} SELECT source, test_run_id, channel_name, floor(x_ms / 86400000.0) * 86400000.0 AS x_ms, round(avg(y), 6) AS y FROM s, (VALUES ('a'), ('b')) v(source) WHERE source = 'a' OR channel_name = 'click' GROUP BY 1, 2, 3, 4")
+def overview_of_sources(spark, sf_dir):
+    """Two sources, each reduced by itself to buckets of a day, and put under each other."""
+    s = runs(spark, sf_dir)
+    begin, days = "2024-01-01T00:00:00Z", 500
+    end = "2025-05-15T00:00:00Z"
+    request = SeriesRequest(time_range=[begin, end], max_points=days)
+    out, _ = catalog_query.execute({"a": s, "b": s.where("channel_name = 'click'")}, request)
+    return out.select("source", "test_run_id", "channel_name", "x_ms", F.round("y", 6).alias("y"))

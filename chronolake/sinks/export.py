@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,12 @@ def long_rows(series: DataFrame) -> DataFrame:
     )
 
 
+def safe_filename(name: str, extension: str = "") -> str:
+    """A file name of letters, digits, dots, dashes and underscores; `export` where nothing is left."""
+    cleaned = re.sub(r"[^A-Za-z0-9._-]+", "_", name.strip()).strip("._") or "export"
+    return cleaned if cleaned.lower().endswith(extension.lower()) else cleaned + extension
+
+
 def export_series(series: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
     """Writes long rows as csv, or as parquet with zstd; each task writes its own file."""
     writer = long_rows(series).write.mode(mode)

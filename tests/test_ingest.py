@@ -3,10 +3,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from chronolake import __main__ as commands
 from chronolake.catalog.store import Catalog
 from chronolake.functions.formula import CalculatedChannel
 from chronolake.plans import catalog_query, ingest
 from chronolake.plans.query import SeriesRequest
+from chronolake.sinks import export
 
 T0 = 1_700_000_000
 
@@ -118,3 +120,30 @@ def test_several_sources(spark):
     assert got == sorted(got) and {s for _, s in got} == {"x", "y"}
     assert catalog_query.strategy_summary(["raw", "aggregate"]) == "mixed" and catalog_query.strategy_summary([]) == "raw"
     assert [r.y for r in catalog_query.first_rows(series, 3).collect()] == [0.0, 0.0, 0.0]
+
+
+def test_frames(spark, place):
+    catalog, lake = place
+    wide = spark.createDataFrame([(float(T0 + k), k * 1.0, "x") for k in range(5)], "time double, `A [V]` double, label string")
+    test = ingest.ingest_frame(catalog, lake, wide, "bench 1", rule(require=["A"]))
+    assert test["source_type"] == "frame" and test["duration_s"] == 4.0
+    assert ingest.ingest_frame(catalog, lake, wide.limit(3), "bench 1", rule(require=[]))["test_id"] == test["test_id"]
+    got = catalog_query.catalog_series(catalog, lake, test["test_id"])
+    assert got.count() == 3 and got.first().unit == "V"
+    for wrong in (wide.drop("time"), wide.drop("A [V]"), wide.limit(0)):
+        with pytest.raises(ValueError):
+            ingest.ingest_frame(catalog, lake, wrong, "wrong", rule(require=[]))
+
+
+def test_commands(spark, tmp_path, capsys):
+    where = ["--catalog", str(tmp_path / "c"), "--lake", str(tmp_path / "l")]
+    (tmp_path / "rule.json").write_text(json.dumps({"name": "r", "exclude": ["P"]}))
+    assert commands.main([*where, "ingest", csv(tmp_path, "my run.csv"), str(tmp_path / "none.csv"), "--rule", str(tmp_path / "rule.json")], spark) == 1
+    first, second = map(json.loads, capsys.readouterr().out.splitlines())
+    assert first["error"] is None and second["error"]
+    assert commands.main([*where, "list"], spark) == 0 and json.loads(capsys.readouterr().out)["run_code"] == "my run"
+    start = "2023-11-14T22:13:22Z"
+    assert commands.main([*where, "export", str(first["test_id"]), str(tmp_path / "out"), "--from", start, "--format", "parquet"], spark) == 0
+    path = capsys.readouterr().out.strip()
+    assert path.endswith("/my_run") and spark.read.parquet(path).count() == 8
+    assert [export.safe_filename(x, ".csv") for x in ("a/b c", "..", "x.CSV")] == ["a_b_c.csv", "export.csv", "x.CSV"]
