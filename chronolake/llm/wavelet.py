@@ -125,8 +125,9 @@ class WaveletMatrix:
         ids = np.zeros(self.size, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.size).view(bool)
-            zeros, above = self.zeros[level], np.empty_like(ids)
-            above[~one], above[one] = ids[:zeros], ids[zeros:] | ids.dtype.type(1 << (self.bits - 1 - level))
+            ids[self.zeros[level] :] |= ids.dtype.type(1 << (self.bits - 1 - level))
+            above = np.empty_like(ids)
+            above[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])] = ids
             ids = above
         return ids
 
