@@ -37,12 +37,12 @@ def threshold_ranges(series: DataFrame, op: str, level, sustain_ms: float = 0.0)
     order = Window.partitionBy(*KEY, "_day").orderBy("x_ms", "y")
     rows = rows.withColumn("_before", F.lag("_on").over(order)).withColumn("_ends", F.lead("_on").over(order).isNull())
     rows = rows.withColumn("_new", (F.col("_on") & ~F.coalesce(F.col("_before"), F.lit(False))).cast("int"))
-    marked = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_on")
-    opens, closes = F.max(F.col("_before").isNull()).alias("_opens"), F.max("_ends").alias("_closes")
-    parts = marked.groupBy(*KEY, "_day", "_run").agg(F.min("x_ms").alias("start_ms"), F.max("x_ms").alias("end_ms"), opens, closes)
-    days = series.where(F.col("y").isNotNull()).groupBy(*KEY, F.floor(F.col("x_ms") / DAY_MS).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    days = days.withColumn("_seq", F.row_number().over(Window.partitionBy(*KEY).orderBy("_day"))).drop("_n")  # days without samples are no gap
-    met = parts.join(days, [*KEY, "_day"])
+    marked = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    on = F.when(F.col("_on"), F.col("x_ms"))
+    opens, closes = F.max(F.col("_on") & F.col("_before").isNull()).alias("_opens"), F.max(F.col("_on") & F.col("_ends")).alias("_closes")
+    parts = marked.groupBy(*KEY, "_day", "_run").agg(F.min(on).alias("start_ms"), F.max(on).alias("end_ms"), opens, closes)
+    # days are numbered before those without a stretch go; days without samples are no gap
+    met = parts.withColumn("_seq", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("_day"))).where("start_ms is not null")
     by = Window.partitionBy(*KEY).orderBy("_seq", "_run")
     goes_on = F.col("_opens") & F.lag("_closes", 1, False).over(by) & (F.lag("_seq").over(by) == F.col("_seq") - 1)
     met = met.withColumn("_first", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
