@@ -18,9 +18,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.rolling import trailing
+from ..operators.slices import integral, seconds_before
 from ..operators.steps import band_pass, settling_time, step_time
 from ..plans.lod import reference
 from ..schema import SERIES_COLUMNS, finite
@@ -144,7 +144,8 @@ class _Compiler:
             return self._integral(args[0])
         if name == "BAND_PASS_FILTER" and len(args) == 3:
             low, high = _number(args[1]), _number(args[2])
-            return self._staged(args[0], lambda df, x, out: band_pass(df, x, "_dt", out, self.by, low, high))
+            self._timed()
+            return self._staged(args[0], lambda df, x, out: band_pass(df, f"{x}_in", "_dt", out, self.by, low, high))
         if name in ("RISE", "FALL") and 1 <= len(args) <= 3:
             levels = dict(zip(("lo", "hi"), map(_number, args[1:]), strict=False))
             return self._staged(args[0], lambda df, x, out: step_time(df, x, out, [*self.by, f"{x}_ok"], falling=name == "FALL", **levels))
@@ -167,25 +168,25 @@ class _Compiler:
     def _rolling(self, name: str, args: list[ast.expr]) -> Column:
         width = int(_number(args[1])) if len(args) == 2 else 1
         x = self._argument(args[0])
-        out = f"{x}_out"
-        value = trailing(F.col(x), ROLLING[name], width, *self.by, f"{x}_ok")
-        self.df = self.df.withColumn(out, F.when(F.col(f"{x}_ok"), value))
-        return F.col(out)
+        self.df = trailing(self.df, F.col(x), ROLLING[name], width, f"{x}_out", [*self.by, f"{x}_ok"])
+        return F.when(F.col(f"{x}_ok"), F.col(f"{x}_out"))
 
     def _integral(self, node: ast.expr) -> Column:
         x = self._argument(node)
-        ok = Window.partitionBy(*self.by, f"{x}_ok").orderBy("x_ms")
-        upto = Window.partitionBy(*self.by).orderBy("x_ms").rowsBetween(Window.unboundedPreceding, 0)
-        before = F.lag(x).over(ok)
-        part = F.when(F.col(f"{x}_ok") & before.isNotNull() & (F.col("_dt") > 0), (before + F.col(x)) * 0.5 * F.col("_dt")).otherwise(0.0)
-        self.df = self.df.withColumn(f"{x}_part", part).withColumn(f"{x}_out", F.sum(f"{x}_part").over(upto))
+        self._timed()
+        self.df = integral(self.df, self.by, x, f"{x}_ok", "_dt", f"{x}_out")
         return F.when(F.col(x).isNotNull(), F.col(f"{x}_out"))
 
+    def _timed(self) -> None:
+        """Gives the rows the seconds since the row before, where a call needs them."""
+        if "_dt" not in self.df.columns:
+            self.df = seconds_before(self.df, self.by, "_dt")
+
     def _staged(self, node: ast.expr, stage) -> Column:
         x = self._argument(node)
         ok = F.col(f"{x}_ok")
         self.df = self.df.withColumn(f"{x}_in", F.when(ok, F.col(x)))
-        self.df = stage(self.df, f"{x}_in" if f"{x}_in_ok" in self.df.columns else x, f"{x}_out")
+        self.df = stage(self.df, x, f"{x}_out")
         return F.when(ok, F.col(f"{x}_out"))
 
 
@@ -200,7 +201,7 @@ def _number(node: ast.expr) -> float:
 
 
 def align(series: DataFrame, channels: list[str], per_test: bool = True) -> DataFrame:
-    """A row for each time at which all channels have a finite value, with columns v0, v1, ...; _dt is seconds since the row before.
+    """A row for each time at which all channels have a finite value, with columns v0, v1, ...
 
     Times are equal to the microsecond. Of several values of a channel at a time the greatest counts. Without per_test, times of
     all runs meet, and the rows carry the least run.
@@ -211,16 +212,7 @@ def align(series: DataFrame, channels: list[str], per_test: bool = True) -> Data
     values = [F.max(F.when(F.col("channel_name") == n, F.col("y"))).alias(f"v{i}") for i, n in enumerate(names)]
     first = [] if per_test else [F.min("test_run_id").alias("test_run_id")]
     rows = own.groupBy(*key, "_us").agg(*first, F.min("test_run_code").alias("test_run_code"), F.min("x_ms").alias("x_ms"), *values)
-    rows = rows.where(reduce(lambda a, b: a & b, (finite(F.col(f"v{i}")) for i in range(len(names)))))
-    # the row before is in the same day or is the last of an earlier one, so that a long run is not sorted by one task
-    day = F.floor(F.col("x_ms") / 86_400_000.0)
-    rows = rows.withColumn("_day", day)
-    lasts = rows.groupBy(*key, "_day").agg(F.max("x_ms").alias("_last"))
-    run = Window.partitionBy(*key).orderBy("_day") if key else Window.orderBy("_day")  # a row for each day
-    lasts = lasts.withColumn("_earlier", F.lag("_last").over(run)).drop("_last")
-    met = rows.join(lasts, [*key, "_day"])
-    before = F.coalesce(F.lag("x_ms").over(Window.partitionBy(*key, "_day").orderBy("x_ms")), F.col("_earlier"))
-    return met.withColumn("_dt", F.coalesce(F.greatest(F.lit(0.0), (F.col("x_ms") - before) / 1000), F.lit(0.0))).drop("_day", "_earlier")
+    return rows.where(reduce(lambda a, b: a & b, (finite(F.col(f"v{i}")) for i in range(len(names)))))
 
 
 def evaluate(aligned: DataFrame, formula: str, n_channels: int, by: list[str]) -> DataFrame:

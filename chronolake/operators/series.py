@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.lod import MOST_CAP
 from ..schema import KEY, SERIES, SERIES_COLUMNS, finite
+from .slices import is_small, ranked
 
 
 def time_window(series: DataFrame, start_ms: float | None = None, end_ms: float | None = None) -> DataFrame:
@@ -90,8 +92,7 @@ def decimate(series: DataFrame, hz: float) -> DataFrame:
 
 def by_index(series: DataFrame) -> DataFrame:
     """Times replaced by the number of the sample in its series, from 0."""
-    order = Window.partitionBy(*KEY).orderBy("x_ms", "y")
-    return series.withColumn("x_ms", (F.row_number().over(order) - 1).cast("double")).select(*SERIES_COLUMNS)
+    return ranked(series, KEY, "x_ms", "y").withColumn("x_ms", F.col("_place").cast("double")).select(*SERIES_COLUMNS)
 
 
 def renamed(series: DataFrame, aliases: dict[str, str]) -> DataFrame:
@@ -107,51 +108,128 @@ def only(series: DataFrame, channels: list[str], aliases: dict[str, str] | None
     return renamed(select_channels(series, channels), aliases or {})
 
 
-def _triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Picks a point of each bucket; a row is a bucket, and rows come by series and bucket. The point picked before is all that is kept."""
-    now, last = None, (0.0, 0.0)
+#: What downsampling adds to the rows of a series: the place in it, the bucket (null where the series stays whole), and of the points that a
+#: row stands for their number and the sums of places and values.
+POINTS = f"{SERIES}, place double, slot long, weight double, places double, values double"
+
+
+def _edges(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where buckets begin in rows ordered by series and bucket, and which of them begin a series; a series that stays whole is one bucket."""
+    codes = [table.column(c).combine_chunks().dictionary_encode().indices for c in KEY]
+    run, channel = (pc.fill_null(c, -1).to_numpy(zero_copy_only=False) for c in codes)
+    slot = pc.fill_null(table.column("slot"), -2).to_numpy()
+    series = np.ones(len(slot), bool)
+    series[1:] = (run[1:] != run[:-1]) | (channel[1:] != channel[:-1])
+    bucket = series.copy()
+    bucket[1:] |= slot[1:] != slot[:-1]
+    at = np.flatnonzero(bucket)
+    return at, series[at]
+
+
+def on_hull(bucket: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points, ordered by bucket and x, are corners of their bucket's convex hull.
+
+    A point on or below the line between two others is no corner of the upper hull, whether they are or not, so all such points go at
+    once, until every point left is above the line between its neighbours.
+    """
+    keep = np.zeros(len(x), bool)
+    for sign in (1, -1):
+        at = np.arange(len(x))
+        while len(at) > 2:
+            p, c, q = at[:-2], at[1:-1], at[2:]
+            with np.errstate(over="ignore", invalid="ignore"):
+                side = (x[c] - x[p]) * (y[q] - y[p]) - (y[c] - y[p]) * (x[q] - x[p])
+            gone = (bucket[p] == bucket[q]) & (sign * side >= 0)
+            if not gone.any():
+                break
+            at = np.delete(at, np.flatnonzero(gone) + 1)
+        keep[at] = True
+    return keep
+
+
+def _hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the corners of each bucket's hull, of what a batch has of the bucket; the first corner stands for all its points' sums."""
     for batch in batches:
-        at = {name: k for k, name in enumerate(batch.schema.names)}
-        plain = lambda name: batch.column(at[name]).to_pylist()
-        picked = []
-        for k, (run, channel, inner, nx, ny) in enumerate(zip(*map(plain, ("test_run_id", "channel_name", "inner", "next_x", "next_y")), strict=True)):
-            if (run, channel) != now:
-                now, last = (run, channel), (0.0, 0.0)
-            points = batch.column(at["points"])[k].values
-            place, y = (points.field(c).to_numpy() for c in ("place", "y"))
-            best = int(np.abs((last[0] - nx) * (y - last[1]) - (last[0] - place) * (ny - last[1])).argmax()) if inner else 0
-            last = float(place[best]), float(y[best])
-            picked.append((run, points.field("test_run_code")[best].as_py(), channel, points.field("unit")[best].as_py(), points.field("x_ms")[best].as_py(), last[1]))
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*picked) if picked else [[]] * 6, kinds, strict=True)], SERIES_COLUMNS)
+        table = pa.Table.from_batches([batch])
+        if not len(table):
+            continue
+        at, _ = _edges(table)
+        bucket = np.repeat(np.arange(len(at)), np.diff([*at, len(table)]))
+        keep = on_hull(bucket, table.column("place").to_numpy(), table.column("y").to_numpy()) | table.column("slot").is_null().to_numpy()
+        own = table.select(table.column_names[:8])
+        for name in table.column_names[8:]:
+            sums = np.zeros(len(table))
+            sums[at] = np.add.reduceat(table.column(name).to_numpy(), at)
+            own = own.append_column(name, pa.array(sums))
+        yield from own.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def _triangles(last_slot: int):
+    """Picks a point of each bucket of rows ordered by series, bucket and place: the one that makes the largest triangle with the point picked
+    before and the mean of the bucket behind. What is kept between batches are the rows of two buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, before = None, (0.0, 0.0)
+        for batch in _ended(batches):
+            parts = [t for t in (rest, None if batch is None else pa.Table.from_batches([batch])) if t is not None and len(t)]
+            if not parts:
+                continue
+            table = pa.concat_tables(parts).combine_chunks()
+            at, new = _edges(table)
+            ends = [*at[1:].tolist(), len(table)]
+            place, y, *sums = (table.column(c).to_numpy() for c in ("place", "y", "weight", "places", "values"))
+            weight, places, values = (np.add.reduceat(c, at) for c in sums)
+            slots = pc.fill_null(table.column("slot"), -2).to_numpy()[at].tolist()
+            done = len(at) if batch is None else max(0, len(at) - 2)
+            picked = []
+            for k, a, z in zip(range(done), at.tolist(), ends, strict=False):
+                if slots[k] == -2:
+                    picked += range(a, z)
+                    continue
+                best = a
+                if 0 <= slots[k] < last_slot:
+                    nx, ny = places[k + 1] / weight[k + 1], values[k + 1] / weight[k + 1]
+                    best += int(np.abs((before[0] - nx) * (y[a:z] - before[1]) - (before[0] - place[a:z]) * (ny - before[1])).argmax())
+                before = place[best], y[best]
+                picked.append(best)
+            rest = table.slice(at[done]) if done < len(at) else None
+            yield from table.select(SERIES_COLUMNS).take(pa.array(picked, pa.int64())).combine_chunks().to_batches()
+
+    return run
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def lttb(series: DataFrame, points: int) -> DataFrame:
     """Largest-triangle-three-buckets: `points` of each series, chosen by position; shorter series stay whole.
 
-    Positions, buckets and the mean of the bucket behind come from Spark. A bucket is one row then, and only the choice from bucket to bucket,
-    which needs the point chosen before, goes through them in order: `points` steps for a series, whatever its length.
+    Positions are counted by slices. The area of a triangle grows linearly away from a line, so the point picked is a corner of its bucket's
+    convex hull: tasks shrink what they have of a bucket to its hull, hulls of one bucket are merged by another task, and only the
+    choice from bucket to bucket, which needs the point chosen before, goes through the corners of a series in order. Of equal areas the
+    first place wins. A small input goes through in one pass, without hulls.
     """
     if points <= 0:
         return series
     points = max(points, 2)
-    counted = series.where(finite(F.col("y")))
-    counted = counted.join(counted.groupBy(*KEY).agg(F.count("*").alias("n")), KEY)
-    short = counted.where(F.col("n") <= points).select(*SERIES_COLUMNS)
-    order = Window.partitionBy(*KEY).orderBy("x_ms", "y")
-    long = counted.where(F.col("n") > points).withColumn("place", (F.row_number().over(order) - 1).cast("double"))
-    width = (F.col("n") - 2) / F.lit(float(max(points - 2, 1)))
-    ends = (F.col("place") == 0) | (F.col("place") == F.col("n") - 1)
-    guess = F.floor((F.col("place") - 1) / width)
+    valid = series.where(finite(F.col("y"))).select(*SERIES_COLUMNS)
+    rows = ranked(valid, KEY, "x_ms", "y")
+    place, last = F.col("_place"), F.col("_n") - 1
+    width = (F.col("_n") - 2) / F.lit(float(max(points - 2, 1)))
+    guess = F.floor((place - 1) / width)
     # the bucket i holds places from floor(i * width) + 1 on; rounding may put the guess one off
-    slot = F.when(F.floor((guess + 1) * width) + 1 <= F.col("place"), guess + 1).when(F.floor(guess * width) + 1 > F.col("place"), guess - 1).otherwise(guess)
-    slot = F.least(slot, F.lit(points - 3))
-    slot = F.when(F.col("place") == 0, -1).when(F.col("place") == F.col("n") - 1, F.lit(points - 2)).otherwise(slot)
-    long = long.withColumn("slot", slot.cast("long")).where(F.lit(points > 2) | ends)
-    point = F.struct("place", "y", "x_ms", "test_run_code", "unit")
-    buckets = long.groupBy(*KEY, "slot").agg(F.array_sort(F.collect_list(point)).alias("points"), F.avg("place").alias("mean_x"), F.avg("y").alias("mean_y"))
-    by = Window.partitionBy(*KEY).orderBy("slot")
-    inner = F.col("slot").between(0, points - 3)
-    ready = buckets.select(*KEY, "slot", "points", inner.alias("inner"), F.lead("mean_x", 1, 0.0).over(by).alias("next_x"), F.lead("mean_y", 1, 0.0).over(by).alias("next_y"))
-    ready = ready.repartition(*KEY).sortWithinPartitions(*KEY, "slot")
-    return short.unionByName(ready.mapInArrow(_triangles, SERIES))
+    slot = F.when(F.floor((guess + 1) * width) + 1 <= place, guess + 1).when(F.floor(guess * width) + 1 > place, guess - 1).otherwise(guess)
+    slot = F.when(place == 0, -1).when(place == last, points - 2).otherwise(F.least(slot, F.lit(points - 3)))
+    slot = F.when(F.col("_n") > points, slot.cast("long"))
+    middle = (F.col("_n") > points) & (place > 0) & (place < last)
+    rows = rows.where(~middle) if points == 2 else rows  # only the ends have buckets
+    rows = rows.select(*SERIES_COLUMNS, place.cast("double").alias("place"), slot.alias("slot"), F.lit(1.0).alias("weight"), place.cast("double").alias("places"), F.col("y").alias("values"))
+    if is_small(valid):
+        ordered = rows.sortWithinPartitions(*KEY, "place")  # the windows have put a series into one partition
+    else:
+        shrunk = rows.sortWithinPartitions(*KEY, "place").mapInArrow(_hulls, POINTS)
+        merged = shrunk.repartition(*KEY, "slot").sortWithinPartitions(*KEY, "slot", "place").mapInArrow(_hulls, POINTS)
+        ordered = merged.repartition(*KEY).sortWithinPartitions(*KEY, "place")
+    return ordered.mapInArrow(_triangles(points - 2), SERIES)

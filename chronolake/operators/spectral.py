@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import KEY, finite
+from .slices import ranked
 
 SPECTRA = "test_run_id long, channel_name string, segment long, start_ms double, hz double, power double"
 
@@ -24,8 +25,7 @@ def spectrogram(series: DataFrame, size: int = 256, overlap: float = 0.5) -> Dat
     if size < 4 or not 0 <= overlap < 1:
         raise ValueError("a segment has at least 4 samples and overlaps by less than itself")
     step = max(1, int(size * (1 - overlap)))
-    order = Window.partitionBy(*KEY).orderBy("x_ms", "y")
-    rows = series.where(finite(F.col("y"))).select(*KEY, "x_ms", "y").withColumn("_at", F.row_number().over(order) - 1)
+    rows = ranked(series.where(finite(F.col("y"))).select(*KEY, "x_ms", "y"), KEY, "x_ms", "y").withColumnRenamed("_place", "_at").drop("_n")
     # the segments that a sample is in: from the first that reaches it to the last that has begun
     first = F.greatest(F.lit(0), F.ceil((F.col("_at") - (size - 1)) / F.lit(float(step))))
     rows = rows.withColumn("segment", F.explode(F.sequence(first.cast("long"), F.floor(F.col("_at") / step).cast("long"))))

@@ -1,8 +1,8 @@
-"""Rise, fall and settling times as window expressions, and the band-pass filter.
+"""Rise, fall and settling times, and the band-pass filter.
 
-A rise begins where a run of samples at or above the lower level begins, and ends at the first later sample of that run at
-or above the upper level: gaps and islands, so no row-by-row state is needed. The band-pass recurrence does need it; it
-streams over sorted partitions and carries its two states from batch to batch.
+A rise begins where a run of samples at or above the lower level begins, and ends at the first later sample of that run at or above the
+upper level; a settling is a run of samples inside a band that has lasted long enough. Both are completed stretches. The band-pass
+is an affine step for each sample; steps of a slice are composed.
 """
 
 from __future__ import annotations
@@ -15,188 +15,131 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.window import Window
 
 from ..schema import finite
-
-
-def _levels(value: str, lo: float, hi: float, by: list[str]) -> tuple[Column, Column]:
-    """Absolute levels; both in [0, 1] they are shares of the span. Null where there are none."""
-    if not lo < hi:
-        return F.lit(None).cast("double"), F.lit(None).cast("double")
-    if not (0 <= lo <= 1 and 0 <= hi <= 1):
-        return F.lit(float(lo)), F.lit(float(hi))
-    low, high = F.min(value).over(Window.partitionBy(*by)), F.max(value).over(Window.partitionBy(*by))
-    share = lambda s: F.when(high > low, low + F.lit(float(s)) * (high - low))
-    return share(lo), share(hi)
-
-
-def _held(df: DataFrame, event: Column, by: list[str], out: str) -> DataFrame:
-    upto = Window.partitionBy(*by).orderBy("x_ms").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_event", event).withColumn(out, F.coalesce(F.last("_event", ignorenulls=True).over(upto), F.lit(0.0)))
+from .slices import completed, cut
 
 
 def step_time(df: DataFrame, value: str, out: str, by: list[str], lo: float = 0.1, hi: float = 0.9, falling: bool = False) -> DataFrame:
     """Adds seconds from the lower to the upper level of the last rise (or, falling, from the upper to the lower), else 0.
 
-    df has x_ms and finite values. The columns whose names begin with an underscore are dropped again.
+    df has x_ms and finite values. Levels that both lie in [0, 1] are shares of the run's span; without a span there is no rise.
     """
-    low, high = _levels(value, lo, hi, by)
-    order = Window.partitionBy(*by).orderBy("x_ms")
-    x = F.col("_x")
-    begin, end = ("_high", "_low") if falling else ("_low", "_high")
-    df = df.withColumn("_x", F.col(value)).withColumn("_low", low).withColumn("_high", high)
-    past = (lambda level: x <= F.col(level)) if falling else (lambda level: x >= F.col(level))
-    df = df.withColumn("_in", F.coalesce(past(begin), F.lit(False)))
-    df = df.withColumn("_first", F.col("_in") & ~F.coalesce(F.lag("_in").over(order), F.lit(False)))
-    df = df.withColumn("_run", F.sum(F.col("_first").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(*by, "_run", "_in")
-    done = F.col("_in") & ~F.col("_first") & past(end)
-    df = df.withColumn("_t0", F.min("x_ms").over(run)).withColumn("_t1", F.min(F.when(done, F.col("x_ms"))).over(run))
-    df = _held(df, F.when(F.col("_in") & (F.col("x_ms") == F.col("_t1")), (F.col("_t1") - F.col("_t0")) / 1000), by, out)
-    return df.drop("_x", "_low", "_high", "_in", "_first", "_run", "_t0", "_t1", "_event")
+    c = cut(df, by)
+    low, high = F.lit(float(lo)), F.lit(float(hi))
+    if not lo < hi:
+        low = high = F.lit(None).cast("double")
+    elif 0 <= lo <= 1 and 0 <= hi <= 1:
+        c = c.over_run({"_least": F.min(value), "_most": F.max(value)})
+        low, high = (F.when(F.col("_most") > F.col("_least"), F.col("_least") + share * (F.col("_most") - F.col("_least"))) for share in (low, high))
+    x = F.col(value)
+    inside, hit = (x <= high, x <= low) if falling else (x >= low, x >= high)
+    # the first sample of a stretch can't end it
+    return completed(c, inside, hit, lambda at, start: at > start, lambda start: (F.col("x_ms") - start) / 1000, out).drop("_least", "_most")
 
 
 def settling_time(df: DataFrame, value: str, out: str, by: list[str], band: float = 0.02, hold_s: float = 0.0) -> DataFrame:
     """Adds seconds from leaving the band around the first value until the band around the last has been kept for hold_s."""
-    whole = Window.partitionBy(*by)
-    order = whole.orderBy("x_ms")
-    df = df.withColumn("_x", F.col(value))
-    df = df.withColumn("_from", F.min_by("_x", "x_ms").over(whole)).withColumn("_to", F.max_by("_x", "x_ms").over(whole))
+    x = F.col(value)
+    c = cut(df, by).over_run({"_from": F.min_by(x, "x_ms"), "_to": F.max_by(x, "x_ms"), "_least": F.min(x), "_most": F.max(x)})
     width = F.abs(F.col("_to") - F.col("_from"))
-    width = F.when(width > 0, width).otherwise(F.max("_x").over(whole) - F.min("_x").over(whole))
-    df = df.withColumn("_band", F.lit(float(band)) * width if 0 < band <= 1 else F.lit(abs(float(band))))
-    df = df.withColumn("_left", F.min(F.when(F.abs(F.col("_x") - F.col("_from")) > F.col("_band"), F.col("x_ms"))).over(whole))
-    inside = (F.col("x_ms") >= F.col("_left")) & (F.abs(F.col("_x") - F.col("_to")) <= F.col("_band"))
-    df = df.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    df = df.withColumn("_first", F.col("_in") & ~F.coalesce(F.lag("_in").over(order), F.lit(False)))
-    df = df.withColumn("_run", F.sum(F.col("_first").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(*by, "_run", "_in")
-    kept = F.col("_in") & ((F.col("x_ms") - F.min("x_ms").over(run)) / 1000 >= F.lit(max(0.0, float(hold_s))))
-    df = df.withColumn("_kept", kept).withColumn("_t1", F.min(F.when(F.col("_kept"), F.col("x_ms"))).over(run))
-    df = _held(df, F.when(F.col("_in") & (F.col("x_ms") == F.col("_t1")), (F.col("_t1") - F.col("_left")) / 1000), by, out)
-    return df.drop("_x", "_from", "_to", "_band", "_left", "_in", "_first", "_run", "_kept", "_t1", "_event")
+    width = F.when(width > 0, width).otherwise(F.col("_most") - F.col("_least"))
+    c = c.with_columns({"_band": F.lit(float(band)) * width if 0 < band <= 1 else F.lit(abs(float(band)))})
+    c = c.over_run({"_leaves": F.min(F.when(F.abs(x - F.col("_from")) > F.col("_band"), F.col("x_ms")))})
+    inside = (F.col("x_ms") >= F.col("_leaves")) & (F.abs(x - F.col("_to")) <= F.col("_band"))
+    kept = lambda at, start: (at - start) / 1000 >= F.lit(max(0.0, float(hold_s)))
+    done = completed(c, inside, F.lit(True), kept, lambda _: (F.col("x_ms") - F.col("_leaves")) / 1000, out)
+    return done.drop("_from", "_to", "_least", "_most", "_band", "_leaves")
 
 
-#: Rows whose steps are composed together, and the hours of a slice of a run.
-SCAN, SLICE_HOURS = 4096, 24.0
+#: Rows whose steps are composed together.
+SCAN = 4096
 
 
-def _scan(keep: np.ndarray, add: np.ndarray, state: float) -> np.ndarray:
-    """The states of state = keep * state + add from row to row, by composing steps over doubling distances.
-
-    Shares to keep lie in [0, 1], so nothing grows.
-    """
-    out = np.empty(len(keep))
+def _composed(keep: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The steps state = keep * state + add, each composed with all before it, over doubling distances. Shares to keep lie in [0, 1], so
+    nothing grows."""
+    keep, add = keep.copy(), add.copy()
     for at in range(0, len(keep), SCAN):
-        k, a = keep[at : at + SCAN].copy(), add[at : at + SCAN].copy()
+        k, a = keep[at : at + SCAN], add[at : at + SCAN]
         step = 1
         while step < len(k):
             a[step:] = k[step:] * a[:-step] + a[step:]
             k[step:] = k[step:] * k[:-step]
             step *= 2
-        out[at : at + SCAN] = k * state + a
-        state = out[min(at + SCAN, len(keep)) - 1]
-    return out
+        if at:
+            a += k * add[at - 1]
+            k *= keep[at - 1]
+    return keep, add
 
 
 def band_pass(df: DataFrame, value: str, dt: str, out: str, by: list[str], low_hz: float, high_hz: float) -> DataFrame:
     """Adds the difference of two first-order low-passes, of the upper and the lower frequency; seconds since the row before are in dt.
 
-    Rows whose value is null or not finite pass through unfiltered and leave the states alone, as do invalid frequencies. A low-pass is
-    an affine step for each row. The steps of a time slice are composed into one by a task of its own, the few slices of a run are put
-    one behind the other, and then each slice starts from its state: a long run is not one task.
+    Rows whose value is null or not finite pass through unfiltered and leave the states alone, as do invalid frequencies. One pass in Python
+    gives each row the composed steps of its slice up to it; the states before a slice, folded over the slices of its run, are then applied by a
+    column. The first value of a run is its first state, which is the same as to begin with that value as the state before it.
     """
     if not (0 < low_hz < high_hz < math.inf):
         return df.withColumn(out, F.col(value))
-    names = [*df.columns, "_slice", "_begins"]
-    v, d = names.index(value), names.index(dt)
     times = [1 / (2 * math.pi * high_hz), 1 / (2 * math.pi * low_hz)]
-    good = finite(F.col(value))
-    df = df.withColumn("_slice", F.floor(F.col("x_ms") / (SLICE_HOURS * 3_600_000)))
-    starts = df.where(good).groupBy(*by).agg(F.min("x_ms").alias("_first"))
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by]
-    df = df.alias("d").join(starts.alias("s"), on, "left").select("d.*", F.coalesce((F.col("x_ms") == F.col("_first")) & good, F.lit(False)).alias("_begins"))
-    ordered = df.repartition(*by, "_slice").sortWithinPartitions(*by, "_slice", "x_ms")
-    keys = [*by, "_slice"]
-
-    def steps(batch: pa.RecordBatch, start: int, end: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Which rows count, their values, and for each low-pass what rows keep of the state and what they add."""
-        part = batch.slice(start, end - start)
-        x = part.column(v).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
-        seconds = np.maximum(np.nan_to_num(part.column(d).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)), 1e-6)
-        begins = part.column(names.index("_begins")).to_numpy(zero_copy_only=False).astype(bool)
-        counts = np.isfinite(x)
-        both = []
-        for time in times:
-            share = np.where(begins, 1.0, seconds / (time + seconds))[counts]  # the first value is the first state
-            both.append((1 - share, share * x[counts]))
-        return counts, x, both
-
-    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
-        """(key, start, end) of the stretches of rows of one slice."""
-        columns = [batch.column(names.index(k)) for k in keys]
-        codes = [pc.fill_null(pc.dictionary_encode(c).indices, -1).to_numpy(zero_copy_only=False) for c in columns]
-        new = np.zeros(batch.num_rows, bool)
-        for code in codes:
-            new[1:] |= code[1:] != code[:-1]
-        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for a, z in zip(edges, edges[1:], strict=False):
-            if z > a:
-                yield tuple(c[a].as_py() for c in columns), a, z
+    c = cut(df, by)
+    keys = [*by, "_slice"] if c.sliced else list(by)
+    rows = c.df.drop("_key")
+    names = rows.columns
+    v, d, at_keys = names.index(value), names.index(dt), [names.index(k) for k in keys]
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "x_ms")
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, maps = None, [(1.0, 0.0)] * 2
-        done: list[tuple] = []
+        now, state, first = None, [(1.0, 0.0), (1.0, 0.0)], None
         for batch in batches:
-            for key, a, z in pieces(batch):
+            x = batch.column(v).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+            seconds = np.maximum(np.nan_to_num(batch.column(d).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)), 1e-6)
+            counts = np.isfinite(x)
+            found = np.zeros((5, batch.num_rows))
+            new = np.zeros(batch.num_rows, bool)
+            for k in at_keys:
+                code = pc.fill_null(pc.dictionary_encode(batch.column(k)).indices, -1).to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, z in zip(edges, edges[1:], strict=False):
+                if a == z:
+                    continue
+                key = tuple(batch.column(k)[a].as_py() for k in at_keys)
                 if key != now:
-                    if now is not None:
-                        done.append((*now, *maps[0], *maps[1]))
-                    now, maps = key, [(1.0, 0.0)] * 2
-                _, _, both = steps(batch, a, z)
-                for k, (keep, add) in enumerate(both):
-                    if len(keep):
-                        maps[k] = maps[k][0] * float(np.prod(keep)), float(_scan(keep, add, maps[k][1])[-1])
-        if now is not None:
-            done.append((*now, *maps[0], *maps[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done) if done else [[]] * len(kinds), kinds, strict=True)], [*keys, "k0", "a0", "k1", "a1"])
-
-    kinds = [*(to_arrow_type(df.schema[k].dataType) for k in keys), *[pa.float64()] * 4]
-    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    composed = ordered.mapInArrow(compose, f"{key_schema}, k0 double, a0 double, k1 double, a1 double")
-    # the states before each slice: slices of a run are folded in order, a row for each
-    each = F.struct("_slice", "k0", "a0", "k1", "a1")
-    run_of = composed.groupBy(*by).agg(F.array_sort(F.collect_list(each)).alias("_all"))
-    zero = F.array().cast("array<struct<_slice: bigint, u: double, l: double>>")
-    begin = F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("l"), zero.alias("before"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        here = F.struct(x["_slice"].alias("_slice"), acc["u"].alias("u"), acc["l"].alias("l"))
-        return F.struct((x["k0"] * acc["u"] + x["a0"]).alias("u"), (x["k1"] * acc["l"] + x["a1"]).alias("l"), F.concat(acc["before"], F.array(here)).alias("before"))
-
-    states = run_of.select(*by, F.explode(F.aggregate("_all", begin, fold, lambda acc: acc["before"])).alias("_b")).select(*by, F.col("_b._slice").alias("_slice"), F.col("_b.u").alias("_u"), F.col("_b.l").alias("_l"))
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    ready = df.alias("d").join(states.alias("s"), on, "left").select("d.*", "_u", "_l")
-    ready = ready.repartition(*by, "_slice").sortWithinPartitions(*by, "_slice", "x_ms")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, [0.0, 0.0]
-        for batch in batches:
-            found = np.empty(batch.num_rows)
-            nulls = batch.column(v).is_null().to_numpy(zero_copy_only=False)
-            for key, a, z in pieces(batch):
-                if key != now:
-                    now, state = key, [batch.column(len(names) + k)[a].as_py() for k in range(2)]
-                counts, x, both = steps(batch, a, z)
-                passed = [_scan(keep, add, state[k]) for k, (keep, add) in enumerate(both)]
-                own = x.copy()
-                own[counts] = passed[0] - passed[1]
-                found[a:z] = own
-                if counts.any():
-                    state = [float(p[-1]) for p in passed]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], pa.array(found, pa.float64(), mask=nulls)], [*names[:-2], out])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop("_slice", "_begins").schema.fields) + f", `{out}` double"
-    return ready.mapInArrow(apply, schema)
+                    now, state, first = key, [(1.0, 0.0), (1.0, 0.0)], None
+                own = counts[a:z]
+                if own.any():
+                    first = x[a:z][own][0] if first is None else first
+                    for f, time in enumerate(times):
+                        share = seconds[a:z][own] / (time + seconds[a:z][own])
+                        keep, add = _composed(1 - share, share * x[a:z][own])
+                        keep, add = keep * state[f][0], keep * state[f][1] + add
+                        found[2 * f, a:z][own], found[2 * f + 1, a:z][own] = keep, add
+                        state[f] = float(keep[-1]), float(add[-1])
+                found[4, a:z] = np.nan if first is None else first
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f) for f in found)], [*names, "_k0", "_a0", "_k1", "_a1", "_x"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    done = ordered.mapInArrow(compose, f"{schema}, _k0 double, _a0 double, _k1 double, _a1 double, _x double")
+    good = finite(F.col(value))
+    if c.sliced:
+        done = done.withColumn("_key", F.struct(*by))
+        last = F.max_by(F.struct("_k0", "_a0", "_k1", "_a1", "_x"), F.when(good, F.col("x_ms")))
+        each = done.groupBy("_key", "_slice").agg(last.alias("_map")).where("_map is not null")
+        run_of = each.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_slice", "_map"))).alias("_all"))  # a row for each slice
+        none = F.lit(None).cast("double")
+        zero = F.array().cast("array<struct<_slice: bigint, u: double, l: double>>")
+
+        def fold(acc: Column, s: Column) -> Column:
+            m, here = s["_map"], F.struct(s["_slice"].alias("_slice"), acc["u"].alias("u"), acc["l"].alias("l"))
+            after = [(m[f"_k{f}"] * F.coalesce(acc[n], m["_x"]) + m[f"_a{f}"]).alias(n) for f, n in enumerate("ul")]
+            return F.struct(*after, F.concat(acc["before"], F.array(here)).alias("before"))
+
+        states = F.aggregate("_all", F.struct(none.alias("u"), none.alias("l"), zero.alias("before")), fold, lambda acc: acc["before"])
+        states = run_of.select("_key", F.explode(states).alias("_b")).select("_key", "_b._slice", F.col("_b.u").alias("_u"), F.col("_b.l").alias("_l"))
+        done = done.join(states, ["_key", "_slice"], "left").drop("_key")
+    else:
+        done = done.withColumns({"_u": F.lit(None).cast("double"), "_l": F.lit(None).cast("double")})
+    passed = (F.col("_k0") * F.coalesce("_u", "_x") + F.col("_a0")) - (F.col("_k1") * F.coalesce("_l", "_x") + F.col("_a1"))
+    return done.withColumn(out, F.when(good, passed).otherwise(F.col(value))).drop("_slice", "_k0", "_a0", "_k1", "_a1", "_x", "_u", "_l")

@@ -132,13 +132,26 @@ def frequency_decimation(spark, sf_dir):
     return series.decimate(channels(spark, sf_dir), 1 / 3600)
 
 
-@query()
+def _triangles_sql(points: int) -> str:
+    """Largest triangles, bucket after bucket."""
+    return f"""WITH RECURSIVE {_C}, r AS (SELECT *, row_number() OVER (PARTITION BY test_run_id, channel_name ORDER BY x_ms, y) - 1 AS p, count(*) OVER (PARTITION BY test_run_id, channel_name) AS n FROM s WHERE isfinite(y)),
+g AS (SELECT *, (n - 2) / {points - 2}.0::DOUBLE AS w, floor((p - 1) / ((n - 2) / {points - 2}.0::DOUBLE)) AS k0 FROM r WHERE n > {points}),
+b AS (SELECT * EXCLUDE (k0, w, n), CAST(CASE WHEN p = 0 THEN -1 WHEN p = n - 1 THEN {points - 2} ELSE
+  least(CASE WHEN floor((k0 + 1) * w) + 1 <= p THEN k0 + 1 WHEN floor(k0 * w) + 1 > p THEN k0 - 1 ELSE k0 END, {points - 3}) END AS BIGINT) AS k FROM g),
+m AS (SELECT test_run_id, channel_name, k, avg(p) AS mx, avg(y) AS my FROM b GROUP BY ALL),
+f AS (SELECT * FROM b WHERE k = -1 UNION ALL
+SELECT * EXCLUDE rank FROM (SELECT b.*, row_number() OVER (PARTITION BY b.test_run_id, b.channel_name ORDER BY abs((f.p - mx) * (b.y - f.y) - (f.p - b.p) * (my - f.y)) DESC, b.p) AS rank
+  FROM f JOIN b ON b.test_run_id = f.test_run_id AND b.channel_name = f.channel_name AND b.k = f.k + 1
+  LEFT JOIN m ON m.test_run_id = f.test_run_id AND m.channel_name = f.channel_name AND m.k = f.k + 2) WHERE rank = 1)
+SELECT test_run_id, test_run_code, channel_name, unit, x_ms, y FROM f UNION ALL SELECT test_run_id, test_run_code, channel_name, unit, x_ms, y FROM r WHERE n <= {points}"""
+
+
+@query(_triangles_sql(100))
 def lttb(spark, sf_dir):
-    """Sequential by nature; tests hold it against a plain loop."""
     return series.lttb(channels(spark, sf_dir), 100)
 
 
-@query()
+@query(_triangles_sql(600))
 def detail_request(spark, sf_dir):
     out, _ = run(channels(spark, sf_dir), SeriesRequest(mode="detail", resolution_px=150))
     return out
