@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-import re
 import uuid
+from collections.abc import Iterator
 
-# The conditions, occurrences and edges of a definition, and the conditions that detection knows.
+# The conditions, occurrences and edges of a definition, the conditions that detection knows, and other names of keys.
 CONDITIONS = (">", ">=", "<", "<=", "=", "!=", "between", "outside")
 THRESHOLDS = (">", ">=", "<", "<=")
 OCCURRENCES, EDGES = ("first", "last", "all"), ("rising", "falling", "either", "none")
-_expression = re.compile(r"^([A-Za-z_][\w.\-]*)\s*(>=|<=|!=|=|>|<|between|outside)\s*(.+)$", re.I)
-_bounds = re.compile(r"\.\.|to|,", re.I)
+OTHER_KEYS = {"value": "valueA", "value_b": "valueB", "expression": "formula_text"}
+
+WITH_PAIR = CONDITIONS[-2:]
+_SIGNS, _BREAKS = "<>=!", ".,"
 
 
 def parse_config(config: str | dict) -> dict:
@@ -26,97 +28,152 @@ def parse_config(config: str | dict) -> dict:
     return config
 
 
-def _number(value, what: str) -> float:
+# --- expressions ----------------------------------------------------------------------------------------------------
+
+
+def tokens(text: str) -> Iterator[str]:
+    """The words, signs and separators of an expression. A word ends at white space, a sign, a comma or two dots; a dot or hyphen in it belongs to
+    it, so that names may hold both and numbers may be negative."""
+    at = 0
+    while at < len(text):
+        if text[at].isspace():
+            at += 1
+            continue
+        end = at + 1
+        if text[at] in _SIGNS:
+            while end < len(text) and text[end] in _SIGNS:
+                end += 1
+        elif text[at] == "," or text.startswith("..", at):
+            end = at + (1 if text[at] == "," else 2)
+        else:
+            while end < len(text) and not (text[end].isspace() or text[end] in _SIGNS or text[end] == "," or text.startswith("..", end)):
+                end += 1
+        yield text[at:end]
+        at = end
+
+
+def _is_number(word: str) -> bool:
     try:
-        return float(value)
-    except (TypeError, ValueError) as e:
-        raise ValueError(f"{what} must be a number") from e
+        float(word)
+    except ValueError:
+        return False
+    return True
 
 
-def _blank(value) -> bool:
-    return value is None or not str(value).strip()
+def _is_name(word: str) -> bool:
+    """A channel's name; single letters are variables of a formula."""
+    return len(word) > 1 and (word[0].isalpha() or word[0] == "_") and all(c.isalnum() or c in "_.-" for c in word)
 
 
 def from_expression(text: str) -> dict:
-    """Channel, condition and values of an expression such as `THRUST >= 40` or `P between 1..3`; empty if it names no channel."""
-    found = _expression.match(text.strip())
-    if not found or len(found[1]) == 1:  # single letters are variables of a formula
+    """Channel, condition and numbers of `name sign number` or `name between|outside number .. number`, where a comma or the word `to` may stand
+    for the dots; empty if the text is anything else, such as a formula."""
+    words = list(tokens(text))
+    if len(words) < 3 or not _is_name(words[0]) or words[1].lower() not in CONDITIONS:
         return {}
-    op, rest = found[2].lower(), found[3].strip()
-    if op in ("between", "outside"):
-        low, *high = _bounds.split(rest, maxsplit=1)
-        return {"channels": [found[1]], "op": op, "value": low.strip(), "value_b": high[0].strip() if high else None}
-    return {"channels": [found[1]], "op": op, "value": rest}
+    name, op, rest = words[0], words[1].lower(), words[2:]
+    numbers = [w for w in rest if _is_number(w)]
+    if op not in WITH_PAIR:
+        return {"channels": [name], "op": op, "value": float(rest[0])} if len(rest) == len(numbers) == 1 else {}
+    if len(numbers) != 2 or len(rest) > 3 or len(rest) == 3 and rest[1].lower() not in ("..", ",", "to"):
+        return {}
+    return {"channels": [name], "op": op, "value": float(numbers[0]), "value_b": float(numbers[1])}
+
+
+# --- conditions and definitions -------------------------------------------------------------------------------------
+
+
+def _given(raw: dict, key: str):
+    """The value of a key, by its other name too; texts are trimmed, and empty ones are none."""
+    for name in (key, OTHER_KEYS.get(key)):
+        value = raw.get(name)
+        value = value.strip() if isinstance(value, str) else value
+        if value is not None and value != "":
+            return value
+    return None
+
+
+def _one_of(raw: dict, key: str, known: tuple[str, ...], default: str, what: str) -> str:
+    value = str(_given(raw, key) or default).lower()
+    if value not in known:
+        raise ValueError(f"{what}: {key} must be one of {', '.join(known)}")
+    return value
+
+
+def _number(raw: dict, key: str, what: str) -> float | None:
+    value = _given(raw, key)
+    if value is not None and not _is_number(str(value)):
+        raise ValueError(f"{what}: {key} must be a number")
+    return None if value is None else float(value)
 
 
 def clean_condition(raw: dict | None, what: str) -> dict:
-    """A start or end condition with its channels, op, value(s), occurrence, edge and expression; raises ValueError on what can't be one."""
+    """A start or end condition with its channels, op, value(s), occurrence, edge and expression; raises ValueError on what can't be one.
+
+    Fields win over the expression, which is read for what they do not say; an expression that is no threshold of a channel is kept as it is. A
+    condition on channels gets the expression that its fields make.
+    """
     raw = raw if isinstance(raw, dict) else {}
-    names = [str(c).strip() for c in raw.get("channels") or [] if str(c).strip()]
-    op = str(raw.get("op") or ">").strip().lower()
-    if op not in CONDITIONS:
-        raise ValueError(f"{what}: op must be one of {', '.join(CONDITIONS)}")
-    value, upper = raw.get("value", raw.get("valueA")), raw.get("value_b", raw.get("valueB"))
-    formula = str(raw.get("formula") or "").strip()
-    expression = str(raw.get("expression") or raw.get("formula_text") or "").strip()
-    if not names and expression and (known := from_expression(expression)):
-        names, op = known["channels"], known["op"]
-        if value is None:
-            value, upper = known["value"], known.get("value_b", upper)
-    if not names and not expression:
-        raise ValueError(f"{what} needs channels or an expression")
-    if names and _blank(value) and not expression:
+    out = {
+        "op": _one_of(raw, "op", CONDITIONS, ">", what), "occurrence": _one_of(raw, "occurrence", OCCURRENCES, "first", what), "edge": _one_of(raw, "edge", EDGES, "none", what),
+        "channels": [name for name in (str(c).strip() for c in raw.get("channels") or []) if name], "expression": _given(raw, "expression") or "",
+    }
+    numbers = {key: _number(raw, key, what) for key in ("value", "value_b")}
+    if not out["channels"]:
+        if not out["expression"]:
+            raise ValueError(f"{what} needs channels or an expression")
+        said = from_expression(out["expression"])
+        out |= {k: said[k] for k in ("channels", "op") if k in said}
+        if numbers["value"] is None:
+            numbers |= {k: said[k] for k in numbers if k in said}
+    elif numbers["value"] is None and not out["expression"]:
         raise ValueError(f"{what}: a value is required")
-    if names and not _blank(value):
-        value, formula = _number(value, f"{what}: the value"), formula or "A"
-        upper = _number(upper, f"{what}: the upper value") if op in ("between", "outside") else None
-        expression = f"{names[0] if formula == 'A' else formula} {op} {value:g}" + (f"..{upper:g}" if upper is not None else "")
-    elif not names:
-        value, upper = (None if _blank(x) else _number(x, f"{what}: a value") for x in (value, upper))
-    out = {"channels": names, "formula": formula or ("A" if names else ""), "op": op, "expression": expression}
-    for key, known in (("occurrence", OCCURRENCES), ("edge", EDGES)):
-        out[key] = str(raw.get(key) or ("first" if key == "occurrence" else "none")).strip().lower()
-        if out[key] not in known:
-            raise ValueError(f"{what}: {key} must be one of {', '.join(known)}")
-    return out | {k: v for k, v in (("value", value), ("value_b", upper)) if v is not None and not _blank(v)}
+    formula = _given(raw, "formula")
+    if out["channels"] and numbers["value"] is not None:
+        if out["op"] not in WITH_PAIR:
+            numbers["value_b"] = None
+        elif numbers["value_b"] is None:
+            raise ValueError(f"{what}: {out['op']} needs two numbers")
+        left = formula if formula not in (None, "A") else out["channels"][0]
+        out["expression"] = f"{left} {out['op']} " + "..".join(f"{v:g}" for v in numbers.values() if v is not None)
+    return out | {"formula": formula or ("A" if out["channels"] else "")} | {k: v for k, v in numbers.items() if v is not None}
 
 
 def clean_definition(raw: dict) -> dict:
     """A definition with cleaned nodes, whose parents exist and form no cycle."""
-    name = str(raw.get("name") or "").strip()
+    name = _given(raw, "name")
     if not name:
         raise ValueError("a range definition needs a name")
-    nodes = []
-    for row in raw.get("nodes") or []:
-        if not isinstance(row, dict) or not (own := str(row.get("name") or "").strip()):
-            raise ValueError(f"a node of {name!r} needs a name")
-        node = {"id": str(row.get("id") or uuid.uuid4()), "name": own, "parent_id": str(row["parent_id"]).strip() if row.get("parent_id") else None}
-        node |= {end: clean_condition(row.get(end), f"{end} of {own!r}") for end in ("start", "end")}
-        nodes.append(node | {k: str(row[k]).strip() for k in ("label", "color") if not _blank(row.get(k))})
-    check_tree(nodes, name)
-    return {"id": str(raw.get("id") or uuid.uuid4()), "name": name, "description": str(raw.get("description") or "").strip() or None, "nodes": nodes}
+    nodes = [_clean_node(row, str(name)) for row in raw.get("nodes") or []]
+    check_tree(nodes, str(name))
+    return {"id": str(_given(raw, "id") or uuid.uuid4()), "name": str(name), "description": _given(raw, "description"), "nodes": nodes}
+
+
+def _clean_node(row, definition: str) -> dict:
+    name = _given(row, "name") if isinstance(row, dict) else None
+    if name is None:
+        raise ValueError(f"a node of {definition!r} needs a name")
+    parent = _given(row, "parent_id")
+    node = {"id": str(_given(row, "id") or uuid.uuid4()), "name": str(name), "parent_id": None if parent is None else str(parent)}
+    node |= {end: clean_condition(row.get(end), f"{end} of {name!r}") for end in ("start", "end")}
+    return node | {key: str(value) for key in ("label", "color") if (value := _given(row, key)) is not None}
 
 
 def check_tree(nodes: list[dict], name: str) -> None:
+    """Ids are different, and every node is reached from those without a parent."""
     parent_of = {n["id"]: n.get("parent_id") for n in nodes}
     if len(parent_of) != len(nodes):
         raise ValueError(f"nodes of {name!r} have the same id")
-    for node in parent_of:
-        seen, at = set(), node
-        while at is not None:
-            if at not in parent_of:
-                raise ValueError(f"parent {at!r} is no node of {name!r}")
-            if at in seen:
-                raise ValueError(f"nodes of {name!r} form a cycle")
-            seen.add(at)
-            at = parent_of[at]
+    if unknown := [p for p in parent_of.values() if p is not None and p not in parent_of]:
+        raise ValueError(f"parent {unknown[0]!r} is no node of {name!r}")
+    if len(parents_first(nodes)) < len(nodes):
+        raise ValueError(f"nodes of {name!r} form a cycle")
 
 
 def parents_first(nodes: list[dict]) -> list[dict]:
-    """The nodes by their depth in the tree, else in their own order."""
-    parent_of = {n["id"]: n.get("parent_id") for n in nodes}
-
-    def depth(node: str | None) -> int:
-        return 0 if node is None else 1 + depth(parent_of.get(node))
-
-    return sorted(nodes, key=lambda n: depth(n["id"]))
+    """The nodes level by level from those without a parent, each level in its own order; members of cycles are left out."""
+    ids = {n["id"] for n in nodes}
+    ordered = [n for n in nodes if n.get("parent_id") not in ids]
+    for node in ordered:  # grows on the way
+        ordered += [n for n in nodes if n.get("parent_id") == node["id"]]
+    return ordered

@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.definitions import THRESHOLDS, parents_first, parse_config
 from ..schema import KEY
+from ..session import durable
+from .slices import cut, earlier
 
-#: Samples of one day of a series are sorted together.
-DAY_MS = 86_400_000.0
 RANGES_OF_DEFINITIONS = "test_run_id long, definition string, node string, parent_node string, name string, label string, color string, start_ms double, end_ms double"
 
 #: Conditions on a value; the last two compare with a pair.
@@ -28,36 +28,44 @@ def condition(y: Column, op: str, level) -> Column:
 
 
 def threshold_ranges(series: DataFrame, op: str, level, sustain_ms: float = 0.0) -> DataFrame:
-    """(run, channel, start_ms, end_ms) of unbroken stretches on which the condition holds, at least sustain_ms from first to last sample.
+    """(run, channel, start_ms, end_ms) of unbroken stretches on which the condition holds, at least sustain_ms from first to last sample."""
+    rows = series.where(F.col("y").isNotNull()).withColumn("_on", condition(F.col("y"), op, level))
+    return stretches(rows, KEY).where(F.col("end_ms") - F.col("start_ms") >= sustain_ms)
 
-    Stretches are found in each day of a series, so that a long series is not sorted by one task. Those that reach the edges of their
-    days are then put together: a row for each stretch.
+
+def stretches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start_ms, end_ms) of the unbroken stretches of rows that are _on, by x_ms and y.
+
+    Long runs are cut into slices. Stretches that reach the edges of their slices are then put together: a row for each stretch.
     """
-    rows = series.where(F.col("y").isNotNull()).withColumn("_on", condition(F.col("y"), op, level)).withColumn("_day", F.floor(F.col("x_ms") / DAY_MS))
-    order = Window.partitionBy(*KEY, "_day").orderBy("x_ms", "y")
-    rows = rows.withColumn("_before", F.lag("_on").over(order)).withColumn("_ends", F.lead("_on").over(order).isNull())
-    rows = rows.withColumn("_new", (F.col("_on") & ~F.coalesce(F.col("_before"), F.lit(False))).cast("int"))
-    marked = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    c = cut(rows.select(*keys, "x_ms", "y", "_on"), keys)
+    order = c.ordered("x_ms", "y")
+    c = c.with_columns({"_before": F.lag("_on").over(order)} | ({"_ends": F.lead("_on").over(order).isNull()} if c.sliced else {}))
+    c = c.with_columns({"_new": (F.col("_on") & ~F.coalesce(F.col("_before"), F.lit(False))).cast("int")})
+    marked = c.with_columns({"_run": F.sum("_new").over(c.upto("x_ms", "y"))}).df
     on = F.when(F.col("_on"), F.col("x_ms"))
+    if not c.sliced:
+        return marked.where("_on").groupBy(*keys, "_run").agg(F.min("x_ms").alias("start_ms"), F.max("x_ms").alias("end_ms")).drop("_run")
     opens, closes = F.max(F.col("_on") & F.col("_before").isNull()).alias("_opens"), F.max(F.col("_on") & F.col("_ends")).alias("_closes")
-    parts = marked.groupBy(*KEY, "_day", "_run").agg(F.min(on).alias("start_ms"), F.max(on).alias("end_ms"), opens, closes)
-    # days are numbered before those without a stretch go; days without samples are no gap
-    met = parts.withColumn("_seq", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("_day"))).where("start_ms is not null")
-    by = Window.partitionBy(*KEY).orderBy("_seq", "_run")
+    parts = marked.groupBy("_key", "_slice", "_run").agg(F.min(on).alias("start_ms"), F.max(on).alias("end_ms"), opens, closes)
+    # slices are numbered before those without a stretch go; slices without samples are no gap
+    met = parts.withColumn("_seq", F.dense_rank().over(Window.partitionBy("_key").orderBy("_slice"))).where("start_ms is not null")
+    by = Window.partitionBy("_key").orderBy("_seq", "_run")
     goes_on = F.col("_opens") & F.lag("_closes", 1, False).over(by) & (F.lag("_seq").over(by) == F.col("_seq") - 1)
     met = met.withColumn("_first", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
     met = met.withColumn("_group", F.sum("_first").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    found = met.groupBy(*KEY, "_group").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    return found.where(F.col("end_ms") - F.col("start_ms") >= sustain_ms).select(*KEY, "start_ms", "end_ms")
+    found = met.groupBy("_key", "_group").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    return found.select("_key.*", "start_ms", "end_ms")
 
 
 def edge_ranges(series: DataFrame, level: float, rising: bool = True, window_ms: float = 0.0) -> DataFrame:
-    """Ranges of window_ms (or 1 ms) from each sample at which the value crosses the level. The sample before may be of an earlier day."""
-    rows = series.where(F.col("y").isNotNull()).withColumn("_day", F.floor(F.col("x_ms") / DAY_MS))
-    lasts = rows.groupBy(*KEY, "_day").agg(F.max_by("y", F.struct("x_ms", "y")).alias("_last"))
-    lasts = lasts.withColumn("_earlier", F.lag("_last").over(Window.partitionBy(*KEY).orderBy("_day"))).drop("_last")
-    before = F.lag("y").over(Window.partitionBy(*KEY, "_day").orderBy("x_ms", "y"))
-    rows = rows.withColumn("_own", before).join(lasts, [*KEY, "_day"]).withColumn("_before", F.coalesce("_own", "_earlier"))
+    """Ranges of window_ms (or 1 ms) from each sample at which the value crosses the level. The sample before may be of an earlier slice."""
+    c = cut(series.where(F.col("y").isNotNull()).select(*KEY, "x_ms", "y"), KEY)
+    c = c.carried(
+        {"_last": F.max_by("y", F.struct("x_ms", "y"))}, lambda s: {"_last": F.last("_last").over(earlier())}, {"_last": F.lit(None).cast("double")},
+    )
+    before = F.coalesce(F.lag("y").over(c.ordered("x_ms", "y")), F.col("_last"))
+    rows = c.with_columns({"_before": before}).df
     crossed = (F.col("_before") < level) & (F.col("y") >= level) if rising else (F.col("_before") > level) & (F.col("y") <= level)
     width = window_ms if window_ms > 0 else 1.0
     return rows.where(crossed).select(*KEY, F.col("x_ms").alias("start_ms"), (F.col("x_ms") + width).alias("end_ms"))
@@ -117,47 +125,64 @@ def pair(starts: DataFrame, ends: DataFrame, last: bool = False) -> DataFrame:
     return found.where((F.col("side") == 1) & F.col("end_ms").isNotNull()).select("test_run_id", F.col("at").alias("start_ms"), "end_ms")
 
 
+def _threshold_of(part: dict) -> tuple[str, str, float] | None:
+    """(channel, op, value) of a start or end condition that detection knows."""
+    names, op = part.get("channels") or [], part.get("op", ">")
+    return (names[0], op, float(part["value"])) if names and part.get("value") is not None and op in THRESHOLDS else None
+
+
+def _regions(series: DataFrame, wanted: list[tuple[str, str, float]]) -> DataFrame:
+    """(test_run_id, condition, start_ms, end_ms): the stretches of all conditions by their place in wanted, in one pass over the series."""
+    which = F.lit(None).cast("array<int>")
+    for channel in dict.fromkeys(c for c, _, _ in wanted):
+        which = F.when(F.col("channel_name") == channel, F.array(*[F.lit(k) for k, w in enumerate(wanted) if w[0] == channel])).otherwise(which)
+    rows = series.where(F.col("channel_name").isin(sorted({c for c, _, _ in wanted})) & F.col("y").isNotNull()).select("test_run_id", "x_ms", "y", F.explode(which).alias("condition"))
+    on = F.lit(False)
+    for k, (_, op, level) in enumerate(wanted):
+        on = F.when(F.col("condition") == k, condition(F.col("y"), op, level)).otherwise(on)
+    return stretches(rows.withColumn("_on", on), ["test_run_id", "condition"])
+
+
+def _node_ranges(regions: DataFrame, wanted: list[tuple[str, str, float]], node: dict) -> DataFrame:
+    pick = lambda part: F.max if part.get("occurrence") == "last" else F.min
+    of = lambda part: regions.where(F.col("condition") == wanted.index(_threshold_of(part)))
+    first = of(node["start"]).groupBy("test_run_id").agg(pick(node["start"])("start_ms").alias("start_ms"))
+    behind = of(node["end"]).select("test_run_id", "end_ms").join(first, "test_run_id").where(F.col("end_ms") > F.col("start_ms"))
+    return behind.groupBy("test_run_id", "start_ms").agg(pick(node["end"])("end_ms").alias("end_ms")).withColumn("name", F.lit(node["name"]))
+
+
 def apply_definition(series: DataFrame, node: dict) -> DataFrame | None:
     """(test_run_id, start_ms, end_ms, name): the range of a definition node in each run, None where the node has no threshold conditions.
 
     It goes from the start of the first (or last) region of the start condition to the first (or last) end of a region of the end
     condition behind that; runs without either have none. Both are aggregates by run, so nothing is paired.
     """
-    def regions(part: dict) -> DataFrame | None:
-        names = part.get("channels") or []
-        if not names or part.get("value") is None or part.get("op", ">") not in THRESHOLDS:
-            return None
-        return threshold_ranges(series.where(F.col("channel_name") == names[0]), part.get("op", ">"), float(part["value"]))
-
-    starts, ends = regions(node["start"]), regions(node["end"])
-    if starts is None or ends is None:
-        return None
-    pick = lambda part: F.max if part.get("occurrence") == "last" else F.min
-    first = starts.groupBy("test_run_id").agg(pick(node["start"])("start_ms").alias("start_ms"))
-    behind = ends.select("test_run_id", "end_ms").join(first, "test_run_id").where(F.col("end_ms") > F.col("start_ms"))
-    found = behind.groupBy("test_run_id", "start_ms").agg(pick(node["end"])("end_ms").alias("end_ms"))
-    return found.withColumn("name", F.lit(node["name"]))
+    wanted = list(dict.fromkeys(_threshold_of(node[end]) for end in ("start", "end")))
+    return None if None in wanted else _node_ranges(_regions(series, wanted), wanted, node)
 
 
 def apply_definitions(series: DataFrame, definitions: list[dict]) -> DataFrame:
     """(test_run_id, definition, node, parent_node, name, label, color, start_ms, end_ms) of the nodes of all definitions, parents included.
 
-    parent_node is null where the parent has no range in the run.
+    parent_node is null where the parent has no range in the run. The samples are read once, for the stretches of all distinct conditions; these are
+    stored, and nodes are made of the few that they are.
     """
     columns = ["test_run_id", "definition", "node", "parent_node", "name", "label", "color", "start_ms", "end_ms"]
+    nodes = [(d["name"], n) for d in definitions for n in parents_first(d["nodes"]) if _threshold_of(n["start"]) and _threshold_of(n["end"])]
+    wanted = list(dict.fromkeys(_threshold_of(n[end]) for _, n in nodes for end in ("start", "end")))
     out = series.sparkSession.createDataFrame([], RANGES_OF_DEFINITIONS)
-    for definition in definitions:
-        made: dict[str, DataFrame] = {}
-        for node in parents_first(definition["nodes"]):
-            found = apply_definition(series, node)
-            if found is None:
-                continue
-            given = made.get(node.get("parent_id"))
-            runs = given.select("test_run_id", F.lit(node["parent_id"]).alias("parent_node")) if given is not None else None
-            found = found.join(runs, "test_run_id", "left") if runs is not None else found.withColumn("parent_node", F.lit(None).cast("string"))
-            made[node["id"]] = found
-            values = {"definition": definition["name"], "node": node["id"], "label": node.get("label"), "color": node.get("color")}
-            out = out.unionByName(found.withColumns({k: F.lit(v).cast("string") for k, v in values.items()}).select(*columns))
+    if not wanted:
+        return out
+    regions = durable(_regions(series, wanted))
+    made: dict[tuple[str, str], DataFrame] = {}
+    for definition, node in nodes:
+        found = _node_ranges(regions, wanted, node)
+        made[definition, node["id"]] = found.select("test_run_id")
+        given = made.get((definition, node.get("parent_id")))
+        runs = given.withColumn("parent_node", F.lit(node["parent_id"])) if given is not None else None
+        found = found.join(runs, "test_run_id", "left") if runs is not None else found.withColumn("parent_node", F.lit(None).cast("string"))
+        values = {"definition": definition, "node": node["id"], "label": node.get("label"), "color": node.get("color")}
+        out = out.unionByName(found.withColumns({k: F.lit(v).cast("string") for k, v in values.items()}).select(*columns))
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .catalog import store
 from .functions import definitions, formula, units
-from .operators import ranges, rolling, series, spectral
+from .operators import ranges, rolling, series, spectral, views
 from .plans import catalog_query, ingest, lod
 from .plans.query import SeriesRequest, calculate, run
 from .schema import SERIES, series_from_events
@@ -258,6 +258,71 @@ def calculated_chain(spark, sf_dir):
     return out.select("test_run_id", "channel_name", "x_ms", F.round("y", 6).alias("y"))
 
 
+# --- views over events and cursors ----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_S}, e AS (SELECT row_number() OVER (ORDER BY test_run_id, x_ms, y) AS event_id, test_run_id, x_ms AS at_ms FROM
+(SELECT *, lag(y) OVER (PARTITION BY test_run_id ORDER BY x_ms, y) AS b FROM s WHERE channel_name = 'click') WHERE b < 50 AND y >= 50),
+m AS (SELECT e.event_id, s.channel_name, s.y, floor((s.x_ms - e.at_ms) / 21600000.0) * 21600000.0 AS bin_ms FROM s JOIN e ON s.test_run_id = e.test_run_id AND s.x_ms BETWEEN e.at_ms - 172800000 AND e.at_ms + 259200000)
+SELECT channel_name, bin_ms, count(*) AS n, count(DISTINCT event_id) AS n_events, min(y) AS min_y, round(avg(y), 8) AS mean_y, max(y) AS max_y,
+quantile_disc(y, 0.1) AS low_y, quantile_disc(y, 0.9) AS high_y FROM m GROUP BY 1, 2""")
+def event_envelope(spark, sf_dir):
+    """All channels around every rising edge of clicks, from two days before to three days after."""
+    s = runs(spark, sf_dir)
+    edges = ranges.edge_ranges(s.where("channel_name = 'click'"), 50.0)
+    events = edges.select(F.struct("test_run_id", "start_ms").alias("event_id"), "test_run_id", F.col("start_ms").alias("at_ms"))
+    return views.event_envelope(s, events, 2 * DAY, 3 * DAY, DAY / 4, (0.1, 0.9)).withColumn("mean_y", F.round("mean_y", 8))
+
+
+@query(f"""WITH {_S}, c AS (SELECT CAST(o_custkey AS BIGINT) AS run, CAST(o_orderkey AS BIGINT) AS cursor_id, {START} + (o_orderkey % 1000) * 864000.0 AS at_ms FROM orders),
+k AS (SELECT DISTINCT test_run_id, channel_name FROM s), q AS (SELECT k.*, cursor_id, at_ms FROM c JOIN k ON c.run = k.test_run_id),
+u AS (SELECT test_run_id, channel_name, x_ms, max(y) AS hi, min(y) AS lo FROM s GROUP BY ALL),
+b AS (SELECT q.*, u.x_ms AS x0, u.hi AS y0 FROM q ASOF LEFT JOIN u ON q.test_run_id = u.test_run_id AND q.channel_name = u.channel_name AND q.at_ms >= u.x_ms),
+a AS (SELECT b.*, u.x_ms AS x1, u.lo AS y1 FROM b ASOF LEFT JOIN u ON b.test_run_id = u.test_run_id AND b.channel_name = u.channel_name AND b.at_ms < u.x_ms),
+v AS (SELECT *, CASE WHEN x0 = at_ms THEN y0 ELSE y0 + (y1 - y0) * ((at_ms - x0) / (x1 - x0)) END AS y FROM a)
+SELECT cursor_id, test_run_id, channel_name, at_ms, round(y, 6) AS y, at_ms - lag(at_ms) OVER w AS delta_ms, round(y - lag(y) OVER w, 6) AS delta_y FROM v WINDOW w AS (PARTITION BY test_run_id, channel_name ORDER BY at_ms, cursor_id)""")
+def cursor_values(spark, sf_dir):
+    """A cursor for each order, in the run of its customer."""
+    at = F.lit(START) + (F.col("o_orderkey") % 1000) * F.lit(864_000.0)
+    cursors = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("cursor_id"), F.col("o_custkey").cast("long").alias("test_run_id"), at.alias("at_ms"))
+    return views.cursor_values(runs(spark, sf_dir), cursors).withColumns({"y": F.round("y", 6), "delta_y": F.round("delta_y", 6)})
+
+
+@query(f"""WITH {_S}, p AS (SELECT test_run_id, x_ms, y FROM s WHERE channel_name = 'click'), u AS (SELECT test_run_id, x_ms, max(y) AS hi, min(y) AS lo FROM s WHERE channel_name = 'view' GROUP BY ALL),
+b AS (SELECT p.*, u.x_ms AS x0, u.hi AS y0 FROM p ASOF JOIN u ON p.test_run_id = u.test_run_id AND p.x_ms >= u.x_ms),
+a AS (SELECT b.*, u.x_ms AS x1, u.lo AS y1 FROM b ASOF LEFT JOIN u ON b.test_run_id = u.test_run_id AND b.x_ms < u.x_ms),
+v AS (SELECT *, CASE WHEN x0 = x_ms THEN y0 WHEN x1 - x0 <= 432000000 THEN y0 + (y1 - y0) * ((x_ms - x0) / (x1 - x0)) END AS b FROM a)
+SELECT test_run_id, x_ms, y AS a, round(b, 6) AS b, round(y - b, 6) AS residual FROM v WHERE b IS NOT NULL""")
+def channel_residual(spark, sf_dir):
+    """Clicks against views, which have other times, over gaps of five days at most."""
+    return views.residual(runs(spark, sf_dir), "click", "view", 5 * DAY).withColumns({c: F.round(c, 6) for c in ("b", "residual")})
+
+
+@query(f"""WITH {_S}, u AS (SELECT test_run_id, channel_name, x_ms, max(y) AS hi, min(y) AS lo FROM s GROUP BY ALL),
+g AS (SELECT test_run_id, channel_name, unnest(range(CAST(ceil(min(x_ms) / 86400000.0) AS BIGINT), CAST(floor(max(x_ms) / 86400000.0) AS BIGINT) + 1)) * 86400000.0 AS x_ms FROM s GROUP BY 1, 2),
+b AS (SELECT g.*, u.x_ms AS x0, u.hi AS y0 FROM g ASOF JOIN u ON g.test_run_id = u.test_run_id AND g.channel_name = u.channel_name AND g.x_ms >= u.x_ms),
+a AS (SELECT b.*, u.x_ms AS x1, u.lo AS y1 FROM b ASOF LEFT JOIN u ON b.test_run_id = u.test_run_id AND b.channel_name = u.channel_name AND b.x_ms < u.x_ms)
+SELECT test_run_id, channel_name, x_ms, round(CASE WHEN x0 = x_ms THEN y0 ELSE y0 + (y1 - y0) * ((x_ms - x0) / (x1 - x0)) END, 6) AS y FROM a WHERE x0 = x_ms OR x1 - x0 <= 432000000""")
+def grid_resampled(spark, sf_dir):
+    """Every series at midnights, over gaps of five days at most."""
+    return views.resampled(runs(spark, sf_dir), DAY, 5 * DAY).select("test_run_id", "channel_name", "x_ms", F.round("y", 6).alias("y"))
+
+
+@query(f"""WITH {_S}, m AS (SELECT channel_name, min(x_ms) AS x0, max(x_ms) AS x1, min(y) AS y0, max(y) AS y1 FROM s GROUP BY 1)
+SELECT channel_name, CAST(least(floor((x_ms - x0) / (x1 - x0) * 40), 39) AS BIGINT) AS time_bin, CAST(least(floor((y - y0) / (y1 - y0) * 25), 24) AS BIGINT) AS value_bin,
+count(*) AS n, count(DISTINCT test_run_id) AS n_runs FROM s JOIN m USING (channel_name) GROUP BY 1, 2, 3""")
+def density_cells(spark, sf_dir):
+    return views.density(runs(spark, sf_dir), 40, 25)
+
+
+@query(f"""WITH {_S}, q AS (SELECT channel_name, quantile_disc(y, [0.25, 0.5, 0.75]) AS e, min(x_ms) AS x0, max(x_ms) AS x1 FROM s GROUP BY 1)
+SELECT channel_name, CAST(least(floor((x_ms - x0) / (x1 - x0) * 30), 29) AS BIGINT) AS time_bin, CAST(len([v FOR v IN e IF v < y]) AS BIGINT) AS value_bin, count(*) AS n, count(DISTINCT test_run_id) AS n_runs
+FROM s JOIN q USING (channel_name) GROUP BY 1, 2, 3""")
+def heatmap_quartiles(spark, sf_dir):
+    """How many samples of each quartile of its values a channel has over time."""
+    return views.density(runs(spark, sf_dir), 30, 4, even=False)
+
+
 # --- ranges ---------------------------------------------------------------------------------------------------------
 
 _ISLANDS = """on_ AS (SELECT *, y > 40 AS on_ FROM s), m AS (SELECT *, CASE WHEN on_ AND NOT coalesce(lag(on_) OVER w, false) THEN 1 ELSE 0 END AS new FROM on_ WINDOW w AS (PARTITION BY test_run_id, channel_name ORDER BY x_ms, y)),

@@ -120,3 +120,16 @@ def test_definitions_are_checked():
             definitions.clean_definition({"name": "d", "nodes": nodes})
     with pytest.raises(ValueError):
         definitions.clean_definition({"nodes": []})
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("THRUST >= 40", (["THRUST"], ">=", 40.0, None)), ("P.x-1<-2.5e1", (["P.x-1"], "<", -25.0, None)), ("tot between 1 to 4", (["tot"], "between", 1.0, 4.0)),
+        ("tot OUTSIDE 1,4", (["tot"], "outside", 1.0, 4.0)), ("T2 between -1..4.5", (["T2"], "between", -1.0, 4.5)), ("T2 between 1 4", (["T2"], "between", 1.0, 4.0)),
+        ("between a_to_b", None), ("T2 between a_to_b", None), ("A > 3", None), ("T2 > x", None), ("T2 between 1", None), ("SMOOTH(T2, 3) > 1", None), ("", None), ("T2", None), ("T2 > 1 2", None),
+    ],
+)
+def test_expressions(text, want):
+    found = definitions.from_expression(text)
+    assert ((found["channels"], found["op"], found["value"], found.get("value_b")) if found else None) == want

@@ -8,7 +8,7 @@ import pytest
 
 from chronolake.functions.formula import CalculatedChannel, formula_channel
 from chronolake.operators import series as ops
-from chronolake.operators import slices, spectral
+from chronolake.operators import ranges, slices, spectral
 from chronolake.operators.rolling import rolling_channel
 from chronolake.schema import SERIES
 
@@ -83,6 +83,14 @@ def test_lttb(spark, runs, small_slices, points):
         assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_stretches_and_edges(spark, runs, small_slices):
+    own = runs.where("test_run_id is not null")
+    found = lambda: (sorted(map(str, ranges.threshold_ranges(own, ">", 40).collect())), sorted(map(str, ranges.edge_ranges(own, 50.0, False).collect())))
+    want = found()
+    small_slices(12)
+    assert found() == want and min(map(len, want)) > 30
+
+
 def test_numbers_and_spectra(spark, runs, small_slices):
     own = runs.where("y is not null and not isnan(y)")
     want, power = rows_of(ops.by_index(own)), sorted(map(str, spectral.power_density(own.where("test_run_id = 1"), 16).collect()))
