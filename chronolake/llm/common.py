@@ -11,12 +11,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of a batch of rows that goes to a Python worker: with very long texts it is fewer rows.
+BATCH_BYTES, BATCH_SETTING = 64 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table. A session that sets no smaller bound for batches of rows to Python gets one."""
+    if int(spark.conf.get(BATCH_SETTING, str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many more underscores before it as make it none of df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where a cluster names none there is none to guess.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 SHINGLE = 5
 COORDINATES = 192
@@ -29,14 +29,17 @@ MISSED = 1e-6
 #: Pairs whose signatures agree by so many standard deviations less than the threshold are not confirmed.
 SLACK = 5.8
 BLOCK = 2048
-KEEP_WORDS = 200_000
+#: Words whose hashes a worker keeps, of so many bytes at most.
+KEEP_WORDS, KEEP_BYTES = 200_000, 64
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KEEP_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEEP_BYTES:
+            if len(self) > KEEP_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -356,7 +359,8 @@ def keep_one(documents: DataFrame, threshold: int = 80) -> DataFrame:
     Texts of one doc_id that are no near duplicates all stay; rows that stand twice count as one; rows without doc_id stay, and so do
     texts without words. No rows give no rows.
     """
-    heads = _classified(documents, threshold).where("heads and doc_id is not null").select(F.col("doc_id").alias("_head"), F.col("version").alias("_version")).distinct()
-    rows = documents.where("doc_id is not null").withColumn("_text", F.xxhash64(F.col("text").cast("binary")))
-    kept = rows.join(heads, (F.col("doc_id") == F.col("_head")) & (F.col("_text") == F.col("_version")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text").unionByName(documents.where("doc_id is null"))
+    head, version, own = unused(documents, "_head", "_version", "_text")
+    heads = _classified(documents, threshold).where("heads and doc_id is not null").select(F.col("doc_id").alias(head), F.col("version").alias(version)).distinct()
+    rows = documents.where("doc_id is not null").withColumn(own, F.xxhash64(F.col("text").cast("binary")))
+    kept = rows.join(heads, (F.col("doc_id") == F.col(head)) & (F.col(own) == F.col(version)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own).unionByName(documents.where("doc_id is null"))

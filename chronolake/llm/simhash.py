@@ -196,6 +196,8 @@ def tables(radius: int, blocks: int) -> list[list[tuple[int, int]]]:
 def _value(own: Column, cut: list[tuple[int, int]]) -> Column:
     """The bits of the blocks, one behind the other."""
     value = F.lit(0).cast("long")
+    if cut == [(0, BITS)]:
+        return own
     for first, bits in cut:
         value = F.shiftleft(value, bits).bitwiseOR(F.shiftrightunsigned(own, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
     return value

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import released, stored, unused
 
 #: Bytes of a string that is removed wherever it is repeated.
 LENGTH = 400
@@ -358,9 +358,10 @@ def without_repeats(documents: DataFrame, length: int = PASSAGE, words: int = WO
     null and empty ones empty; repeated rows are each other's copies and lose the same passages; null ids are documents like others;
     no rows give no rows. Texts are read whole.
     """
-    spans = stored(repeated_spans(documents, length), "spans").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
-    same = (F.xxhash64("doc_id", "text") == F.col("_version")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    met = documents.join(spans, same, "left").drop("_id", "_version")
+    id_, version, own_spans = unused(documents, "_id", "_version", "_spans")
+    spans = stored(repeated_spans(documents, length), "spans").select(F.col("doc_id").alias(id_), F.col("version").alias(version), F.col("spans").alias(own_spans))
+    same = (F.xxhash64("doc_id", "text") == F.col(version)) & F.col("doc_id").eqNullSafe(F.col(id_))
+    met = documents.join(spans, same, "left").drop(id_, version)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -164,7 +164,11 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
-    """The rows of documents whose texts score below the threshold, with all their columns."""
+    """The rows of documents whose texts score below the threshold, with all their columns, whatever their names.
+
+    Null and empty texts have the score of a text without terms, that of the labels' share; rows that stand twice have one score and stay or
+    go alike; null ids are documents like others; no rows give no rows. Texts are read whole.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(machine)
     at = documents.columns.index("text")
 

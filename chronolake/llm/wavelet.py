@@ -26,8 +26,8 @@ from .bpe import byte_letters
 
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
-#: Pieces of text that a worker keeps encoded.
-KEEP = 1_000_000
+#: Pieces of text that a worker keeps encoded, and their letters, at most (but for what one batch needs).
+KEEP, KEEP_LETTERS = 1_000_000, 16_000_000
 MARKS = ".,;:!?|"
 #: Letters below this one are letters in every version of Unicode.
 LATIN_END = "\u02b0"
@@ -168,6 +168,7 @@ class _Tokenizer:
         self.shown = {"": "", " ": letters[32]}
         self.known: dict[str, bytes] = {}
         self.behind: dict[str, bytes] = {}  # of pieces that a single space precedes
+        self.held = {"": 0, " ": 0}  # letters of both, by what precedes the pieces
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], prefix: str) -> None:
         """Adds pieces. The pattern cuts at a line end between two words and before one mark behind a word, so their parts are encoded alone."""
@@ -221,9 +222,12 @@ class _Tokenizer:
                 heads.append([head] if head else []), tails.append(tail)
         # first it is made room, then each piece that is not known is learned, then all are found
         for known, own, prefix in ((self.known, heads, ""), (self.behind, tails, " ")):
-            if len(known) > KEEP:
+            if len(known) > KEEP or self.held[prefix] > KEEP_LETTERS:
                 known.clear()
-            self._learn(known, set(chain.from_iterable(own)).difference(known), prefix)
+                self.held[prefix] = 0
+            new = set(chain.from_iterable(own)).difference(known)
+            self.held[prefix] += sum(map(len, new))
+            self._learn(known, new, prefix)
         first, rest = self.known.__getitem__, self.behind.__getitem__
         return [b"".join(chain(map(first, h), map(rest, t))) for h, t in zip(heads, tails, strict=True)]
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, repeat_rows
+from .common import lower_ascii, repeat_rows, unused
 
 WINDOW, K = 13, 4
 #: Benchmark fingerprints up to this number are broadcast (about 0.6 KB each with their words); beyond, the join shuffles.
@@ -137,9 +137,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, share: int = 20) -> DataFrame:
-    """The rows of documents that are not contaminated, with all their columns."""
-    bad = _judged(documents, benchmark, window, k, share).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left_anti")
+    """The rows of documents that are not contaminated, with all their columns, whatever their names.
+
+    Null and empty texts have no words and stay; rows that stand twice are judged alike, and so are texts of one doc_id, each by itself; a null
+    doc_id is one like others. Without items, or with items without words, all rows stay; no rows give no rows. Texts are read whole.
+    """
+    id_, version = unused(documents, "_id", "_version")
+    bad = _judged(documents, benchmark, window, k, share).where("contaminated").select(F.col("doc_id").alias(id_), F.col("version").alias(version))
+    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(version)), "left_anti")
 
 
 def _judged(documents: DataFrame, benchmark: DataFrame, window: int, k: int, share: int) -> DataFrame:

@@ -21,7 +21,7 @@ def brute(rows, labels):
 
     found = [(i, s, fails(i, t)) for i, t, s in rows]
     out = {}
-    for part in {s for _, s, _ in rows}:
+    for part in {s for _, _, s in rows}:
         own = [(i, f) for i, s, f in found if s == part]
         sums = dict.fromkeys("ABCDE", 0)
         for order in permutations("ABCDE"):
