@@ -65,8 +65,8 @@ def test_cursors(spark, data, runs):
 
 
 def test_residual_and_grid(spark, data, runs):
-    got = sorted((r.test_run_id, r.x_ms, r.residual) for r in views.residual(runs, "A", "B", 80.0).collect())
-    want = sorted((run, x, y - b) for run in (1, 2) for x, y in points(data, run, "A") if (b := line(points(data, run, "B"), x, 80.0)) is not None)
+    got = sorted((r.test_run_id, r.x_ms, r.residual) for r in views.residual(runs, "A", "B", 700.0).collect())
+    want = sorted((run, x, y - b) for run in (1, 2) for x, y in points(data, run, "A") if (b := line(points(data, run, "B"), x, 700.0)) is not None)
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want]) and len(got) > 50
     got = {(r.test_run_id, r.channel_name, r.x_ms): r.y for r in views.resampled(runs, 25.0, 100.0).collect()}
     want = {}
@@ -106,7 +106,7 @@ def test_density(spark, data):
     want = defaultdict(list)
     for c in "AB":
         own = [(run, x, y) for run in (1, 2) for x, y in points(data, run, c)]
-        (x0, x1), (y0, y1) = ((f(p[k] for p in own) for f in (min, max)) for k in (1, 2))
+        (x0, x1), (y0, y1) = [[f(p[k] for p in own) for f in (min, max)] for k in (1, 2)]
         for run, x, y in own:
             want[c, min(4, int((x - x0) / (x1 - x0) * 5)), min(3, int((y - y0) / (y1 - y0) * 4))].append(run)
     assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
