@@ -1,13 +1,20 @@
-"""The catalog: dimension tables as Parquet snapshots. A change reads the newest snapshot and writes the next.
+"""The catalog: dimension tables in Parquet folders under an optimistic commit log.
 
-Tables are small (a row for each test, channel, range, ...). A snapshot is complete once written, so readers never see half a
-change; two writers at once are not supported.
+Tables are small (a row for each test, channel, range, ...). A change sees one version throughout, stages its folders and commits them as the
+next version; if another writer has won that, the change is made again on what is now the newest. Rows that are added are a folder of
+their own, and a table of many folders is compacted by the next change of it. Readers see whole versions.
 """
 
 from __future__ import annotations
 
 import json
+import random
+import threading
+import time
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,61 +23,130 @@ from .. import schema
 from ..functions.definitions import parse_config
 from ..operators import ranges as ops
 from ..session import durable
+from .log import EMPTY, CommitLog
 
 TABLES = {
     "tests": schema.TESTS, "channels": schema.CHANNELS, "parameters": schema.PARAMETERS, "ranges": schema.RANGES,
     "range_parameters": schema.RANGE_PARAMETERS, "range_rules": schema.RANGE_RULES, "results": schema.RESULTS,
 }
-#: Snapshots of a table that stay for readers that have begun.
-KEPT = 3
+#: Versions whose folders stay for readers that have begun, folders of a table before it is compacted, and attempts of a change.
+KEPT, MOST_FOLDERS, ATTEMPTS = 3, 12, 50
 #: The parameter that holds a test's icon.
 ICON = "ui_icon"
 
 
+class Conflict(RuntimeError):
+    """Other writers have won every version that a change has tried for."""
+
+
+class _Change:
+    """What a change sees (a version) and what it has staged."""
+
+    def __init__(self, version: int, content: dict):
+        self.version, self.staged = version, []
+        self.tables = {t: list(f) for t, f in content["tables"].items()}
+        self.ids = dict(content["ids"])
+
+
+def changes(method: Callable) -> Callable:
+    """A method whose reads and writes are one change of the catalog. Within another change it is part of that."""
+
+    @wraps(method)
+    def run(self: Catalog, *args, **kw):
+        if self._change is not None:
+            return method(self, *args, **kw)
+        for attempt in range(ATTEMPTS):
+            change = self._local.change = _Change(*self.log.latest())
+            try:
+                out = method(self, *args, **kw)
+                if not change.staged:
+                    return out
+                won = self.log.commit(change.version + 1, {"tables": change.tables, "ids": change.ids})
+            except BaseException:
+                self._discard(change)
+                raise
+            finally:
+                self._local.change = None
+            if won:
+                self._expire(change.version + 1)
+                return out
+            self._discard(change)
+            time.sleep(random.uniform(0, 0.05 * (attempt + 1)))
+        raise Conflict(f"{method.__name__}: {ATTEMPTS} attempts were overtaken")
+
+    return run
+
+
 class Catalog:
+    """Each thread's changes are its own, also with one Catalog."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.log, self._local = CommitLog(spark, root), threading.local()
 
-    def _versions(self, table: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        done = [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+    @property
+    def _change(self) -> _Change | None:
+        return getattr(self._local, "change", None)
 
     def read(self, table: str) -> DataFrame:
-        """The newest snapshot; columns that it lacks are null, so schemas may grow."""
-        versions = self._versions(table)
+        """The table in the newest version, or in that of the change; columns that its folders lack are null, so schemas may grow."""
+        folders = self._change.tables.get(table) if self._change else self.log.latest()[1]["tables"].get(table)
         wanted = TABLES[table]
-        if not versions:
+        if not folders:
             return self.spark.createDataFrame([], wanted)
-        return self.spark.read.schema(wanted).parquet(f"{self.root}/{table}/v{versions[-1]}")
+        return self.spark.read.schema(wanted).parquet(*[f"{self.root}/{f}" for f in folders])
 
-    def write(self, table: str, rows: DataFrame) -> None:
-        """Writes the next snapshot and deletes all but the last few."""
-        versions = self._versions(table)
-        version = (versions or [0])[-1] + 1
+    def _stage(self, table: str, rows: DataFrame) -> str:
         wanted = self.spark.createDataFrame([], TABLES[table]).schema
         columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields]
-        rows.select(*columns).coalesce(1).write.parquet(f"{self.root}/{table}/v{version}")
-        for old in versions[: 1 - KEPT]:
-            self._delete(f"{self.root}/{table}/v{old}")
-
-    def _delete(self, path: str) -> None:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        folder = f"{table}/{uuid.uuid4().hex}"
+        self._change.staged.append(folder)
+        rows.select(*columns).coalesce(1).write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _discard(self, change: _Change) -> None:
+        for folder in change.staged:
+            self.log.delete(f"{self.root}/{folder}")
+
+    def _expire(self, version: int) -> None:
+        """Deletes the folders that the version which has just left the kept ones was the last to have."""
+        old = self.log.read(version - KEPT) if version > KEPT else None
+        if old:
+            folders = lambda content: {f for t in (content or EMPTY)["tables"].values() for f in t}
+            for folder in folders(old) - set().union(*(folders(self.log.read(v)) for v in range(version - KEPT + 1, version + 1))):
+                self.log.delete(f"{self.root}/{folder}")
+
+    @changes
+    def write(self, table: str, rows: DataFrame) -> None:
+        """Puts rows in place of the table."""
+        self._change.tables[table] = [self._stage(table, rows)]
 
-    def append(self, table: str, rows: DataFrame, id_column: str | None = None) -> None:
-        old = self.read(table)
+    @changes
+    def append(self, table: str, rows: DataFrame, id_column: str | None = None) -> DataFrame:
+        """Adds rows to the table, numbered if an id column is named, and returns them."""
         if id_column:
-            rows = with_ids(rows, old, id_column)
-        self.write(table, old.unionByName(rows, allowMissingColumns=True).select(*old.columns))
+            rows = durable(self.with_new_ids(table, rows, id_column))
+        folders = self._change.tables.get(table, [])
+        if len(folders) >= MOST_FOLDERS:
+            folders = [self._stage(table, self.read(table))]
+        self._change.tables[table] = [*folders, self._stage(table, rows)]
+        return rows
+
+    def with_new_ids(self, table: str, rows: DataFrame, id_column: str) -> DataFrame:
+        """rows numbered behind all ids that the table has or ever gave."""
+        numbered = durable(with_ids(rows, self.read(table), id_column, self._change.ids.get(table, 0)))
+        self._gave(table, numbered, id_column)
+        return numbered
+
+    def _gave(self, table: str, rows: DataFrame, id_column: str) -> None:
+        self._change.ids[table] = max(self._change.ids.get(table, 0), rows.agg(F.max(id_column)).first()[0] or 0)
+
+    def _delete(self, path: str) -> None:
+        self.log.delete(path)
 
     # --- tests, channels, parameters ---
 
+    @changes
     def register(self, test: DataFrame, channels: DataFrame, parameters: DataFrame) -> None:
         """Puts a test, its channels and parameters in place of what the catalog had of the same test."""
         ids = test.select("test_id")
@@ -105,6 +181,7 @@ class Catalog:
     def counts(self) -> DataFrame:
         return table_counts(self.read("tests"), self.read("channels"))
 
+    @changes
     def update_test(self, test_id: int, run_code: str | None = None, notes: str | None = None, icon: str | None = None) -> dict:
         """Renames a test, sets its notes or its icon; an empty icon is taken away."""
         if self.get_test(test_id) is None:
@@ -124,6 +201,7 @@ class Catalog:
             self.write("parameters", parameters)
         return self.get_test(test_id)
 
+    @changes
     def delete_test(self, test_id: int, lake: str | None = None) -> None:
         """Deletes a test with all that belongs to it, and its partitions of the lake if that is named."""
         ranges = self.read("ranges")
@@ -137,6 +215,7 @@ class Catalog:
 
     # --- ranges ---
 
+    @changes
     def create_ranges(self, new: DataFrame) -> DataFrame:
         """Adds ranges(test_id, name, start_ms, end_ms, ...) and returns them with their ids and parents.
 
@@ -144,10 +223,14 @@ class Catalog:
         a second source range would come to a test. A source range becomes the parent of the roots inside it.
         """
         old = self.read("ranges")
-        added = durable(place_ranges(new, old))
+        added = durable(place_ranges(new, old, self._change.ids.get("ranges", 0)))
+        self._gave("ranges", added, "range_id")
         if faulty := added.where("fault is not null").select("name", "fault").first():
             raise ValueError(f"range {faulty.name!r}: {faulty.fault}")
         added = added.drop("fault")
+        if added.where("source = 'source'").isEmpty():
+            self.append("ranges", added)
+            return added
         rows = old.unionByName(added, allowMissingColumns=True).select(*old.columns)
         sources = rows.where("source = 'source'").withColumnRenamed("test_id", "test_run_id")
         made = added.where("source = 'source'").select(F.col("test_id").alias("test_run_id")).distinct()
@@ -156,6 +239,7 @@ class Catalog:
         self.write("ranges", adopted.withColumnRenamed("test_run_id", "test_id"))
         return added
 
+    @changes
     def create_range(self, test_id: int, name: str, start_ms: float, end_ms: float, parameters: dict | None = None, **other) -> dict:
         row = {"test_id": test_id, "name": name, "start_ms": float(start_ms), "end_ms": float(end_ms), "source": "user"} | other
         kinds = self.spark.createDataFrame([], schema.RANGES).schema
@@ -170,6 +254,7 @@ class Catalog:
         left = self.read("range_parameters").where(F.col("range_id") != range_id)
         self.write("range_parameters", left.unionByName(self.spark.createDataFrame(rows, schema.RANGE_PARAMETERS)))
 
+    @changes
     def ensure_source_ranges(self, spans: DataFrame) -> DataFrame:
         """Gives the tests of spans(test_run_id, start_ms, end_ms) that have no source range one over their whole time."""
         have = self.read("ranges").where("source = 'source'").select(F.col("test_id").alias("test_run_id"))
@@ -186,6 +271,7 @@ class Catalog:
         found = with_range_parameters(self.read("ranges").where(F.col("range_id") == range_id), self.read("range_parameters")).first()
         return found.asDict(recursive=True) if found else None
 
+    @changes
     def update_range(self, range_id: int, parameters: dict | None = None, **changes) -> dict:
         """Changes a range. The bounds of a source range are locked and it has no parent; another one must stay inside its parent.
 
@@ -222,6 +308,7 @@ class Catalog:
             self._put_range_parameters(range_id, parameters)
         return self.get_range(range_id)
 
+    @changes
     def delete_range(self, range_id: int) -> None:
         """Deletes a range; source ranges stay, and children go to their test's source range."""
         now = self.get_range(range_id)
@@ -233,13 +320,14 @@ class Catalog:
 
     # --- rules ---
 
+    @changes
     def create_rule(self, name: str, kind: str, channel_name: str, config: str | dict, default_label: str | None = None, default_color: str | None = None) -> dict:
         if kind not in ("threshold", "edge", "formula"):
             raise ValueError(f"unknown rule kind {kind!r}")
         text = json.dumps(parse_config(config))
         row = self.spark.createDataFrame([(name, kind, channel_name, text, default_label, default_color)], "name string, kind string, channel_name string, config string, default_label string, default_color string")
-        self.append("range_rules", row, "rule_id")
-        return self.read("range_rules").orderBy(F.col("rule_id").desc()).first().asDict()
+        made = self.append("range_rules", row, "rule_id").first()
+        return self.get_rule(made["rule_id"])
 
     def list_rules(self) -> DataFrame:
         return self.read("range_rules").orderBy("name", "rule_id")
@@ -248,6 +336,7 @@ class Catalog:
         found = self.read("range_rules").where(F.col("rule_id") == rule_id).first()
         return found.asDict() if found else None
 
+    @changes
     def apply_rule(self, rule_id: int, series: DataFrame) -> DataFrame:
         """Ranges by a stored rule in all runs of the series, added to the catalog."""
         rule = self.get_rule(rule_id)
@@ -258,6 +347,7 @@ class Catalog:
         new = found.select(F.col("test_run_id").alias("test_id"), "name", "start_ms", "end_ms", F.lit(rule_id).cast("long").alias("rule_id"), *[F.lit(v).cast("string").alias(k) for k, v in values.items()])
         return self.create_ranges(new)
 
+    @changes
     def apply_definitions(self, definitions: list[dict], series: DataFrame) -> DataFrame:
         """Ranges of definition trees, added to the catalog level by level, so that children get their parents' ids."""
         found = durable(ops.apply_definitions(series, definitions))
@@ -275,16 +365,20 @@ class Catalog:
 
     # --- results ---
 
+    @changes
     def put_results(self, rows: DataFrame) -> None:
-        self.write("results", upsert_results(self.read("results"), rows))
+        done = durable(upsert_results(self.read("results"), rows, self._change.ids.get("results", 0)))
+        self._gave("results", done, "result_id")
+        self.write("results", done)
 
     def list_results(self, test_id: int | None = None, analysis: str | None = None) -> DataFrame:
         return filter_results(self.read("results"), test_id, analysis).orderBy("test_id", "analysis_name", "key", "result_id")
 
 
-def with_ids(rows: DataFrame, old: DataFrame, column: str) -> DataFrame:
-    """rows, numbered in order behind the greatest id of old. Each range of rows is numbered on its own, behind the counts of those before it."""
-    top = old.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
+def with_ids(rows: DataFrame, old: DataFrame, column: str, above: int = 0) -> DataFrame:
+    """rows, numbered in order behind the greatest id of old, and above the given one. Each range of rows is numbered on its own, behind the
+    counts of those before it."""
+    top = max(above, old.agg(F.coalesce(F.max(column), F.lit(0))).first()[0])
     order = [c for c in rows.columns if c != column and rows.schema[c].dataType.simpleString() in ("string", "bigint", "double")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
     # the number of the range in the upper bits, the place in it in the lower 33; kept, so that counts and rows are of the same ranges
@@ -298,13 +392,13 @@ def with_ids(rows: DataFrame, old: DataFrame, column: str) -> DataFrame:
     return placed.withColumn(column, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_range", "_at", "_start")
 
 
-def place_ranges(new: DataFrame, old: DataFrame) -> DataFrame:
+def place_ranges(new: DataFrame, old: DataFrame, above: int = 0) -> DataFrame:
     """new(test_id, name, start_ms, end_ms, ...) with ids behind those of old, parents, and a column fault, null where a range can be added."""
     for column, kind in (("parent_range_id", "long"), ("source", "string"), ("created_at", "timestamp")):
         if column not in new.columns:
             new = new.withColumn(column, F.lit(None).cast(kind))
     new = new.withColumn("source", F.coalesce("source", F.lit("user"))).withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
-    new = with_ids(new, old, "range_id").withColumnRenamed("test_id", "test_run_id")
+    new = with_ids(new, old, "range_id", above).withColumnRenamed("test_id", "test_run_id")
     old = old.withColumnRenamed("test_id", "test_run_id").select("range_id", "test_run_id", "parent_range_id", "start_ms", "end_ms", "source")
     both = old.unionByName(new.select(*old.columns))
     sources = both.where("source = 'source'")
@@ -371,7 +465,7 @@ def latest_tests(tests: DataFrame, limit: int) -> DataFrame:
     return tests.orderBy(F.coalesce("start_time", "created_at").desc_nulls_last(), F.col("test_id").desc()).limit(max(1, min(limit, 10_000)))
 
 
-def upsert_results(old: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_results(old: DataFrame, new: DataFrame, above: int = 0) -> DataFrame:
     """old with the values of new for equal test, range (null equals null), analysis and key; others are added with new ids."""
     key = ["test_id", "range_id", "analysis_name", "key"]
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]
@@ -379,7 +473,7 @@ def upsert_results(old: DataFrame, new: DataFrame) -> DataFrame:
     ids = old.select(*key, "result_id")
     met = new.drop("result_id").alias("n").join(ids.alias("o"), same("n", "o"), "left").select("n.*", "o.result_id")
     known = met.where("result_id is not null")
-    added = with_ids(met.where("result_id is null"), old, "result_id")
+    added = with_ids(met.where("result_id is null"), old, "result_id", above)
     return kept.unionByName(known.select(*old.columns)).unionByName(added.select(*old.columns))
 
 

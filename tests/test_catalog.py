@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,64 @@ def test_definitions_are_checked():
 def test_expressions(text, want):
     found = definitions.from_expression(text)
     assert ((found["channels"], found["op"], found["value"], found.get("value_b")) if found else None) == want
+
+
+def test_two_writers(spark, tmp_path):
+    """Writers in threads lose no row and give no id twice; a change that fails leaves no trace."""
+    root = str(tmp_path / "cat")
+    made, failed = [], []
+
+    def write(name):
+        c = Catalog(spark, root)
+        for k in range(3):
+            try:
+                made.append((name, k, c.create_rule(f"{name}{k}", "edge", "T", {"threshold": k})["rule_id"]))
+            except Exception as e:  # seen below
+                failed.append(e)
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in "ab"]
+    [t.start() for t in threads], [t.join() for t in threads]
+    c = Catalog(spark, root)
+    assert not failed and c.log.versions() == list(range(1, 7))
+    assert sorted(r.name for r in c.list_rules().collect()) == ["a0", "a1", "a2", "b0", "b1", "b2"]
+    assert sorted(i for *_, i in made) == [1, 2, 3, 4, 5, 6] and {(r.name, r.rule_id) for r in c.list_rules().collect()} == {(f"{n}{k}", i) for n, k, i in made}
+    before, folders = c.log.latest(), set((tmp_path / "cat").glob("*/*"))
+
+    @store.changes
+    def half(self):
+        self.write("range_rules", self.read("range_rules").limit(0))
+        assert self.list_rules().count() == 0
+        raise KeyError("stop")
+
+    with pytest.raises(KeyError):
+        half(c)
+    assert c.log.latest() == before and set((tmp_path / "cat").glob("*/*")) == folders and c.list_rules().count() == 6
+
+
+def test_overtaken_changes_and_ids_of_deleted_rows(spark, tmp_path):
+    c, other = (Catalog(spark, str(tmp_path / "cat")) for _ in range(2))
+    first = c.create_range(1, "a", 0, 5)["range_id"]
+    seen = []
+
+    @store.changes
+    def slow(self):
+        seen.append(self.read("ranges").count())
+        if len(seen) == 1:
+            other.create_range(1, "b", 1, 2)  # wins the version that this change has begun to try for
+        return self.create_range(1, "c", 2, 3)["range_id"]
+
+    assert slow(c) == first + 2 and seen == [1, 2]
+    c.delete_range(first + 2)
+    assert c.create_range(1, "d", 3, 4)["range_id"] == first + 3  # an id is not given again
+    assert sorted(r.name for r in other.list_ranges().collect()) == ["a", "b", "d"]
+    assert not c.log.commit(1, {}) and c.log.read(1)["ids"] == {"ranges": first}
+
+
+def test_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MOST_FOLDERS", 2)
+    c = Catalog(spark, str(tmp_path / "cat"))
+    for k in range(4):
+        c.append("parameters", spark.createDataFrame([(k, "k", "v", None)], "test_id long, key string, value_text string, value_num double"))
+        assert len(c.log.latest()[1]["tables"]["parameters"]) <= 2 and c.read("parameters").count() == k + 1
+    kept = {f for v in c.log.versions()[-store.KEPT :] for f in c.log.read(v)["tables"]["parameters"]}
+    assert {f"parameters/{p.name}" for p in (tmp_path / "cat" / "parameters").iterdir()} <= kept | {"parameters/.crc"}
