@@ -23,6 +23,7 @@ from .. import schema
 from ..functions.definitions import parse_config
 from ..operators import ranges as ops
 from ..session import durable
+from ..sinks.lake import delete_tests
 from .log import EMPTY, CommitLog
 
 TABLES = {
@@ -141,9 +142,6 @@ class Catalog:
     def _gave(self, table: str, rows: DataFrame, id_column: str) -> None:
         self._change.ids[table] = max(self._change.ids.get(table, 0), rows.agg(F.max(id_column)).first()[0] or 0)
 
-    def _delete(self, path: str) -> None:
-        self.log.delete(path)
-
     # --- tests, channels, parameters ---
 
     @changes
@@ -203,7 +201,7 @@ class Catalog:
 
     @changes
     def delete_test(self, test_id: int, lake: str | None = None) -> None:
-        """Deletes a test with all that belongs to it, and its partitions of the lake if that is named."""
+        """Deletes a test with all that belongs to it, and its series of the lake if that is named."""
         ranges = self.read("ranges")
         gone = ranges.where(F.col("test_id") == test_id).select("range_id")
         parameters = self.read("range_parameters")
@@ -211,7 +209,7 @@ class Catalog:
         for table in ("tests", "channels", "parameters", "ranges", "results"):
             self.write(table, self.read(table).where(F.col("test_id") != test_id))
         if lake:
-            self._delete(f"{lake.rstrip('/')}/test_id={int(test_id)}")
+            delete_tests(self.spark, lake, [int(test_id)])
 
     # --- ranges ---
 

@@ -122,7 +122,7 @@ def channel_rows(series: DataFrame, lake: str, kinds: dict[str, str] | None = No
     by = series.groupBy(F.col("test_run_id").alias("test_id"), "channel_name").agg(
         F.first("unit", ignorenulls=True).alias("unit"), F.count("y").alias("point_count"), F.min("x_ms").alias("start_ms"), F.max("x_ms").alias("end_ms")
     )
-    uri = F.concat(F.lit(f"{lake.rstrip('/')}/test_id="), F.col("test_id").cast("string"), F.lit("/channel_name="), F.col("channel_name"))
+    uri = F.concat(F.lit(f"{lake.rstrip('/')}?test_id="), F.col("test_id").cast("string"), F.lit("&channel_name="), F.col("channel_name"))
     return by.select("test_id", "channel_name", F.col("channel_name").alias("display_name"), "unit", uri.alias("parquet_uri"), "point_count", "start_ms", "end_ms")
 
 
@@ -250,8 +250,8 @@ def ingest_meta(catalog: Catalog, test_id: int) -> dict:
 
 
 def write_meta(catalog: Catalog, lake: str, test_id: int) -> str:
-    """Writes meta.json beside a test's partitions and returns its path."""
-    path = f"{lake.rstrip('/')}/test_id={int(test_id)}/_meta.json"  # readers of the lake pass over names with an underscore
+    """Writes a test's meta.json below the lake and returns its path."""
+    path = f"{lake.rstrip('/')}/meta/{int(test_id)}/meta.json"
     jvm = catalog.spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(catalog.spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)

@@ -667,11 +667,11 @@ def ingest_wide(spark, sf_dir):
     return catalog_query.catalog_series(catalog, lake, test["test_id"]).select("channel_name", "x_ms", F.round("y", 6).alias("y"))
 
 
-@query(f"WITH {_C} SELECT test_run_id, channel_name, x_ms, y FROM s WHERE channel_name IN ('click', 'view') AND x_ms BETWEEN {START} AND {END}")
+@query(f"WITH {_S} SELECT test_run_id, channel_name, x_ms, y FROM s WHERE test_run_id = (SELECT max(user_id) FROM events) AND channel_name IN ('click', 'view') AND x_ms BETWEEN {START} AND {END}")
 def catalog_series(spark, sf_dir):
     """A window of two channels of the newest test, through the catalog; a channel that it lacks is passed over."""
     catalog, lake = _place(spark)
-    rows = channels(spark, sf_dir)
+    rows = runs(spark, sf_dir)
     lake_sink.write_series(rows, lake)
     tests = rows.groupBy(F.col("test_run_id").alias("test_id")).agg(F.max("test_run_code").alias("run_code")).withColumn("status", F.lit("ready")).withColumn("created_at", F.timestamp_seconds("test_id"))
     catalog.register(tests, ingest.channel_rows(rows, lake), catalog.read("parameters"))

@@ -1,6 +1,9 @@
 import random
+import re
+import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronolake.functions.formula import CalculatedChannel
 from chronolake.operators import series as ops
@@ -89,8 +92,48 @@ def test_scan_prunes(spark, tmp_path):
 
     path = str(tmp_path / "lake")
     write_series(frame(spark, [1, 2, 3]).union(frame(spark, [9, 9], channel="B/x y")), path)
-    write_series(frame(spark, [7, 8], channel="A"), path)  # replaces one partition only
+    write_series(frame(spark, [7, 8], channel="A"), path)  # replaces one series only
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     got = read_series(spark, path, [1], ["A"], 1000.0)
     plan = got._jdf.queryExecution().toString()
-    assert [r.y for r in got.collect()] == [8.0] and "PartitionFilters: [isnotnull(test_id" in plan and "GreaterThanOrEqual(x_ms,1000.0)" in plan
+    pushed = re.findall(r"PushedFilters: (.*?)ReadSchema", plan, re.S)
+    assert [r.y for r in got.collect()] == [8.0]
+    assert any(all(re.search(f, p) for f in (r"EqualTo\(test_id,1|In\(test_id", r"EqualTo\(channel_name,A|In\(channel_name", r"GreaterThanOrEqual\(x_ms,1000")) for p in pushed), pushed
+    assert read_series(spark, path, [5]).count() == 0 and "parquet" not in read_series(spark, path, [5])._jdf.queryExecution().toString().lower()
     assert read_series(spark, path, channels=["B/x y"]).count() == 2
+
+
+def test_lake_of_short_tests(spark, tmp_path, monkeypatch):
+    """Very many short tests are few files; replaced and deleted series are gone, also after small parts are merged; writers do not lose each other's parts."""
+    from chronolake.sinks import lake
+
+    path = str(tmp_path / "lake")
+    many = spark.range(2000).selectExpr("id AS test_run_id", "concat('r', id) AS test_run_code", "explode(array('A', 'B')) AS channel_name", "'u' AS unit").selectExpr("*", "explode(array(0D, 1000D, 2000D)) AS x_ms").withColumn("y", F.rand(1))
+    lake.write_series(many, path)
+    assert len(list((tmp_path / "lake").glob("parts/*/*.parquet"))) <= 8 and lake.read_series(spark, path).count() == 12_000
+    new = many.where("test_run_id = 3 AND channel_name = 'A'").withColumn("y", F.lit(7.0))
+    other = many.where("test_run_id = 5").withColumn("test_run_id", F.lit(9000).cast("long"))
+    threads = [threading.Thread(target=lake.write_series, args=(df, path)) for df in (new, other)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    lake.delete_tests(spark, path, [17, 18])
+
+    def check():
+        assert lake.read_series(spark, path).count() == 12_000 + 6 - 12
+        assert [r.y for r in lake.read_series(spark, path, [3], ["A"]).collect()] == [7.0] * 3
+        assert [lake.read_series(spark, path, [t]).count() for t in (3, 17, 18, 19, 9000)] == [6, 0, 0, 6, 6]
+
+    check()
+    lake.merge_small(spark, path)
+    check()
+    assert len(lake._state(lake.CommitLog(spark, path))[1]["parts"]) == 1
+    assert lake.expire(spark, path, 1) > 0
+    check()
+
+
+def test_a_batch_is_written_once(spark, tmp_path):
+    from chronolake.sinks import lake
+
+    path = str(tmp_path / "lake")
+    write = lambda number, values: lake.write_series(frame(spark, values), path, replace=False, batch=("s", number))
+    assert [write(0, [1]), write(0, [1]), write(1, [2, 3]), write(0, [9])] == [True, False, True, False]
+    assert sorted(r.y for r in lake.read_series(spark, path).collect()) == [1.0, 2.0, 3.0]
