@@ -19,6 +19,8 @@ from ..operators import ranges as range_ops
 from ..operators import series as ops
 from ..sinks.lake import read_series, write_series
 from ..sources import hdf5, tabular, tdms
+from ..sources.arrow_ipc import field_units
+from ..sources.remote import arrow_schema, first_file
 from .lod import dependency_order
 from .query import calculate
 
@@ -72,16 +74,24 @@ def clean_rule(raw: dict) -> IngestRule:
 
 def read_normalized(spark: SparkSession, path: str, rule: IngestRule) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
     """(wide frame with x_ms, column -> channel, channel -> unit) of a file; raises ValueError where it can't be ingested."""
-    return normalized(tabular.read_wide(spark, path), path, rule, tabular.detect_format(path))
+    kind = tabular.detect_format(path)
+    return normalized(tabular.read_wide(spark, path), path, rule, kind, units_of_fields(spark, path, kind))
 
 
-def normalized(wide: DataFrame, path: str, rule: IngestRule, kind: str | None = None) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
-    """read_normalized() of a wide frame; path is its name in errors."""
+def units_of_fields(spark: SparkSession, path: str, kind: str) -> dict[str, str]:
+    """column -> unit by the metadata of a file's fields, which only Arrow and Parquet files have."""
+    found = arrow_schema(spark, first_file(spark, path), kind) if kind in ("parquet", "arrow") else None
+    return field_units(found) if found is not None else {}
+
+
+def normalized(wide: DataFrame, path: str, rule: IngestRule, kind: str | None = None, field_units: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
+    """read_normalized() of a wide frame; path is its name in errors. A unit in a header goes before that of the field's metadata."""
     report = tabular.validate(wide, rule.time_column)
     if report["errors"]:
         raise ValueError(f"{path}: {'; '.join(report['errors'])}")
     time_name = report["time_column"]
     renamed, units = tabular.header_units(wide.columns, {time_name})
+    units = {renamed.get(c, c): u for c, u in (field_units or {}).items()} | units
     if kind == "h5":
         wide, extra = _hdf5_times(wide, path, rule)
         units |= extra

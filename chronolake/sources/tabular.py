@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import PurePosixPath
@@ -22,11 +21,10 @@ FORMATS = {
 PER_SECOND = {"s": 1, "ms": 1_000, "us": 1_000_000, "ns": 1_000_000_000}
 #: Below this many seconds a number is elapsed time, not an epoch.
 EPOCH = 1e8
-_header = re.compile(r"^\s*(.+?)\s*(?:\(\s*([^()\[\]]+?)\s*\)|\[\s*([^()\[\]]+?)\s*\])\s*$")
 # Above how great a number, and within how great a span, times count nano-, micro- or milliseconds since the epoch; and
-# below how great a number, by unit, they are elapsed times.
+# below how great a number, by unit, they are elapsed times; seconds up to the very number.
 NANOSECONDS, NANOSECONDS_IN, NANOSECONDS_SPAN, MICROSECONDS, MILLISECONDS = 1e17, 1e14, 1e11, 1e14, 1e11
-ELAPSED = {"s": EPOCH + 1, "ms": 1e11, "us": 1e14, "ns": 1e17}
+ELAPSED = {"s": EPOCH, "ms": 1e11, "us": 1e14, "ns": 1e17}
 
 
 def detect_format(path: str) -> str:
@@ -73,14 +71,24 @@ def time_column(columns: list[str], override: str | None = None) -> str | None:
     return None
 
 
+def _name_and_unit(header: str) -> tuple[str, str] | None:
+    """What a header that ends in brackets of one kind says; the unit holds no brackets itself."""
+    text = header.strip()
+    for first, last in ("()", "[]"):
+        name, opened, unit = text.removesuffix(last).rpartition(first)
+        if text.endswith(last) and opened and name.strip() and unit.strip() and not set("()[]") & set(unit):
+            return name.strip(), unit.strip()
+    return None
+
+
 def header_units(columns: list[str], skip: set[str] = frozenset()) -> tuple[dict[str, str], dict[str, str]]:
     """(column -> channel, channel -> unit) for headers such as `THRUST (N)` and `P[psi]`; repeated names get _2, _3, ..."""
     renamed, units, seen = {}, {}, {}
     for c in columns:
-        found = None if c in skip else _header.match(c)
+        found = None if c in skip else _name_and_unit(c)
         if not found:
             continue
-        name, unit = found[1], found[2] or found[3]
+        name, unit = found
         seen[name] = seen.get(name, 0) + 1
         name = name if seen[name] == 1 else f"{name}_{seen[name]}"
         renamed[c], units[name] = name, unit
@@ -106,7 +114,7 @@ def time_scale(low: float, high: float, unit: str | None = None) -> TimeScale:
             unit = "ms" if high > MILLISECONDS else "s"
         relative = high <= EPOCH and low >= 0
     else:
-        relative = low >= 0 and high < ELAPSED[unit]
+        relative = low >= 0 and (high < ELAPSED[unit] or unit == "s" and high == EPOCH)
     return TimeScale(unit, relative, high > EPOCH > low, low)
 
 

@@ -36,8 +36,8 @@ def start_ms(properties: dict, otherwise: datetime) -> float:
 def read_tdms(spark: SparkSession, path: str, include: list[str] | None = None, t0_utc: datetime | None = None) -> DataFrame:
     """(channel_name, unit, x_ms, y), a task for each channel; a channel is named group/name.
 
-    Its time is its start plus its own track of seconds, or fixed steps. Without a start it begins at t0_utc, or now. Channels that
-    can't be read are passed over, as are values that are no numbers.
+    Its time is its start plus its own track of seconds, or fixed steps. Without a start it begins at t0_utc, or now. Channels of which nothing
+    can be read are passed over, as are values that are no numbers; an error behind a channel's first values is raised.
     """
     _nptdms()
     now = t0_utc or datetime.now(timezone.utc)
@@ -53,6 +53,7 @@ def read_tdms(spark: SparkSession, path: str, include: list[str] | None = None,
 
         for batch in batches:
             for group, name, unit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                begun = False
                 try:
                     with nptdms.TdmsFile.open(path) as f:
                         channel = f[group][name]
@@ -69,8 +70,10 @@ def read_tdms(spark: SparkSession, path: str, include: list[str] | None = None,
                             good = ~np.isnan(y)
                             size = int(good.sum())
                             columns = [pa.array([f"{group}/{name}"] * size, pa.string()), pa.array([unit] * size, pa.string()), pa.array((begin + 1000 * seconds)[good]), pa.array(y[good])]
+                            begun = True
                             yield pa.RecordBatch.from_arrays(columns, ["channel_name", "unit", "x_ms", "y"])
                 except (OSError, KeyError, TypeError, ValueError):
-                    continue
+                    if begun:
+                        raise
 
     return listed.repartition(len(wanted)).mapInArrow(rows, "channel_name string, unit string, x_ms double, y double")

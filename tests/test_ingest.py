@@ -81,6 +81,23 @@ def test_many_files_and_errors(spark, tmp_path, place):
         catalog_query.catalog_series(catalog, lake, first)
 
 
+def test_units_of_field_metadata(spark, tmp_path, place):
+    """Units in the fields of Parquet and Arrow files become those of the channels, renamed ones too; a header's unit goes before them."""
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    catalog, lake = place
+    fields = [pa.field("time_s", pa.float64()), pa.field("thrust_n", pa.float64(), metadata={b"unit": b"N"}), pa.field("P [psi]", pa.float64(), metadata={b"unit": b"bar"}), pa.field("free", pa.float64())]
+    table = pa.table([pa.array([1.0, 2.0, 3.0])] * 4, schema=pa.schema(fields))
+    parquet.write_table(table, tmp_path / "a.parquet")
+    with pa.OSFile(str(tmp_path / "b.arrow"), "wb") as out, pa.ipc.new_file(out, table.schema) as writer:
+        writer.write_table(table)
+    for name in ("a.parquet", "b.arrow"):
+        test = ingest.ingest(catalog, lake, str(tmp_path / name), ingest.clean_rule({"name": "r", "rename": {"thrust_n": "thrust"}}))
+        assert {r.channel_name: r.unit for r in catalog.channel_entries(test["test_id"]).collect()} == {"thrust": "N", "P": "psi", "free": None}
+        assert {r.unit for r in read_series(spark, lake, [test["test_id"]], ["thrust"]).collect()} == {"N"}
+
+
 def test_update_test_and_icons(spark, tmp_path, place):
     catalog, lake = place
     one = ingest.ingest(catalog, lake, csv(tmp_path), rule())["test_id"]
