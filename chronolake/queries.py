@@ -830,3 +830,109 @@ def overview_of_sources(spark, sf_dir):
     request = SeriesRequest(time_range=[begin, end], max_points=days)
     out, _ = catalog_query.execute({"a": s, "b": s.where("channel_name = 'click'")}, request)
     return out.select("source", "test_run_id", "channel_name", "x_ms", F.round("y", 6).alias("y"))
+
+
+# --- changes of the catalog, as it is after them ---------------------------------------------------------------------
+
+_L = "l AS (SELECT CAST(l_orderkey AS BIGINT) AS test_id, l_returnflag AS key, CAST(max(l_quantity) AS DOUBLE) AS value_num, min(l_linenumber) AS first_line FROM lineitem GROUP BY ALL)"
+
+
+@query(f"""WITH {_L}, a AS (SELECT *, row_number() OVER (ORDER BY test_id, key) AS result_id FROM l WHERE first_line = 1),
+b AS (SELECT l.*, row_number() OVER (ORDER BY l.test_id, l.key) + (SELECT count(*) FROM a) AS result_id FROM l WHERE first_line > 1)
+SELECT result_id, test_id, 'most' AS analysis_name, key, value_num + 1 AS value_num FROM a UNION ALL SELECT result_id, test_id, 'most', key, value_num + 1 FROM b""")
+def result_ids(spark, sf_dir):
+    """Results that are put twice, the second time with new ones among them: known ones keep their ids, new ones get the next."""
+    catalog, _ = _place(spark)
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("test_id"), F.col("l_returnflag").alias("key")).agg(F.max("l_quantity").alias("value_num"), F.min("l_linenumber").alias("first_line"))
+    rows = rows.select("test_id", F.lit(None).cast("long").alias("range_id"), F.lit("most").alias("analysis_name"), "key", F.lit(None).cast("string").alias("value_text"), "value_num", "first_line")
+    catalog.put_results(rows.where("first_line = 1").drop("first_line"))
+    catalog.put_results(rows.withColumn("value_num", F.col("value_num") + 1).drop("first_line"))
+    return catalog.list_results(analysis="most").select("result_id", "test_id", "analysis_name", "key", "value_num")
+
+
+@query(f"""WITH {_S}, t AS (SELECT test_run_id AS test_id, count(DISTINCT channel_name) AS channels FROM s GROUP BY 1)
+SELECT test_id, CASE WHEN test_id = (SELECT min(test_id) FROM t) THEN 'renamed' ELSE 'run-' || test_id END AS run_code,
+CASE WHEN test_id = (SELECT min(test_id) FROM t) THEN 'star' END AS icon, channels FROM t WHERE test_id < (SELECT max(test_id) FROM t)""")
+def tests_changed(spark, sf_dir):
+    """All runs as tests; the first is renamed and gets an icon, the last is deleted with its channels."""
+    catalog, lake = _place(spark)
+    rows = runs(spark, sf_dir)
+    tests = rows.groupBy(F.col("test_run_id").alias("test_id")).agg(F.max("test_run_code").alias("run_code")).withColumns({"status": F.lit("ready"), "created_at": F.timestamp_seconds("test_id")})
+    catalog.register(tests, ingest.channel_rows(rows, lake), catalog.read("parameters"))
+    last, first = (r["test_id"] for r in catalog.read("tests").agg(F.max("test_id").alias("z"), F.min("test_id").alias("a")).select(F.explode(F.array("z", "a")).alias("test_id")).collect())
+    catalog.update_test(first, run_code=" renamed ", icon="star")
+    catalog.delete_test(last)
+    channels_of = catalog.read("channels").groupBy("test_id").agg(F.count("*").alias("channels"))
+    return catalog.list_tests().join(channels_of, "test_id").select("test_id", "run_code", "icon", "channels")
+
+
+@query(f"""WITH {_S}, {_ISLANDS}, n AS (SELECT test_run_id AS test_id, start_ms, end_ms, row_number() OVER (ORDER BY test_run_id, start_ms, end_ms) AS range_id FROM i WHERE channel_name = 'click' AND end_ms > start_ms)
+SELECT range_id, test_id, start_ms, CASE WHEN range_id = 1 THEN end_ms + 1000 ELSE end_ms END AS end_ms, CASE WHEN range_id = 1 THEN 'longer' ELSE 'burn' END AS name FROM n WHERE range_id <> 2""")
+def ranges_changed(spark, sf_dir):
+    """Stretches as ranges with ids of the catalog; the first is changed, the second deleted."""
+    catalog, _ = _place(spark)
+    found = ranges.threshold_ranges(runs(spark, sf_dir).where("channel_name = 'click'"), ">", 40.0).where("end_ms > start_ms")
+    catalog.create_ranges(found.select(F.col("test_run_id").alias("test_id"), F.lit("burn").alias("name"), "start_ms", "end_ms"))
+    catalog.update_range(1, name="longer", end_ms=catalog.get_range(1)["end_ms"] + 1000)
+    catalog.delete_range(2)
+    return catalog.list_ranges().select("range_id", "test_id", "start_ms", "end_ms", "name")
+
+
+@query(f"""WITH {_S}, {_ISLANDS}, {_EDGE}, k AS (SELECT channel_name, row_number() OVER (ORDER BY channel_name) AS rule_id FROM (SELECT DISTINCT channel_name FROM s) ORDER BY 1 LIMIT 2),
+r AS (SELECT rule_id, i.test_run_id, start_ms, end_ms FROM i JOIN k USING (channel_name) WHERE rule_id = 1 UNION ALL
+SELECT rule_id, e.test_run_id, x_ms, x_ms + 1 FROM e JOIN k USING (channel_name) WHERE rule_id = 2 AND b < 50 AND y >= 50)
+SELECT rule_id, test_run_id AS test_id, start_ms, end_ms, CASE WHEN count(*) OVER w > 1 THEN 'rule ' || rule_id || ' ' || row_number() OVER (PARTITION BY rule_id, test_run_id ORDER BY start_ms, end_ms) ELSE 'rule ' || rule_id END AS name
+FROM r WINDOW w AS (PARTITION BY rule_id, test_run_id)""")
+def rules_applied(spark, sf_dir):
+    """Two stored rules, of stretches of the first channel and of edges of the second, applied to all runs."""
+    catalog, _ = _place(spark)
+    s = runs(spark, sf_dir)
+    first, second = (r["channel_name"] for r in s.select("channel_name").distinct().orderBy("channel_name").limit(2).collect())
+    made = [catalog.create_rule("rule 1", "threshold", first, {"op": ">", "value": 40}), catalog.create_rule("rule 2", "edge", second, {"threshold": 50})]
+    for rule in made:
+        catalog.apply_rule(rule["rule_id"], s)
+    return catalog.list_ranges().join(catalog.list_rules().select("rule_id"), "rule_id").select("rule_id", "test_id", "start_ms", "end_ms", "name")
+
+
+@query("""WITH q AS (SELECT epoch_us(l_shipdate) / 1000.0 AS x_ms, CAST(l_quantity AS DOUBLE) AS y FROM lineitem) SELECT channel_name, x_ms, y FROM (SELECT 'l_quantity' AS channel_name, x_ms, y FROM q) WHERE x_ms BETWEEN 788918400000 AND 820454400000""")
+def artifact_window(spark, sf_dir):
+    """A year of one channel of the test that was made of a file, by the file's artifact; a channel that it lacks is passed over."""
+    catalog, lake = _place(spark)
+    rule = ingest.clean_rule({"name": "r", "mode": "include", "include": ["l_quantity"], "time_column": "l_shipdate"})
+    test = ingest.ingest(catalog, lake, f"{sf_dir}/lineitem.parquet", rule)
+    return catalog_query.artifact_series(catalog, lake, test["artifact_id"], ["l_quantity", "none"], 788_918_400_000.0, 820_454_400_000.0).select("channel_name", "x_ms", "y")
+
+
+@query("SELECT 'total' AS channel_name, 'USD' AS unit, epoch_us(o_orderdate) / 1000.0 AS x_ms, CAST(o_totalprice AS DOUBLE) AS y FROM orders WHERE o_orderstatus = 'O'")
+def frame_ingested(spark, sf_dir):
+    """Open orders as a wide frame that becomes a test."""
+    catalog, lake = _place(spark)
+    wide = read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderdate").alias("time"), F.col("o_totalprice").alias("total [USD]"))
+    test = ingest.ingest_frame(catalog, lake, wide, "open orders")
+    return catalog_query.catalog_series(catalog, lake, test["test_id"]).select("channel_name", "unit", "x_ms", "y")
+
+
+@query(f"""WITH {_C}, w AS (SELECT least(greatest((max(x_ms) - min(x_ms)) / 1000 / 500, 0.001), 86400.0) * 1000 AS w FROM s), n AS (SELECT channel_name, count(*) AS n, count(DISTINCT floor(x_ms / w)) AS buckets FROM s, w GROUP BY 1)
+SELECT 'aggregate' AS strategy, channel_name, buckets AS rows FROM n UNION ALL SELECT 'raw_lttb', channel_name, least(n, 600) FROM n UNION ALL SELECT 'raw', channel_name, n FROM n UNION ALL SELECT 'mixed', channel_name, n + least(n, 600) FROM n""")
+def strategies(spark, sf_dir):
+    """How many rows of each channel every strategy of a request gives, and two requests of different strategies together."""
+    s, out, plans = channels(spark, sf_dir), None, []
+    for request in (SeriesRequest(resolution_px=250), SeriesRequest(mode="detail", resolution_px=150), SeriesRequest(mode="raw")):
+        rows, plan = run(s, request)
+        plans.append((plan["strategy"], rows))
+    both = plans[1][1].unionByName(plans[2][1])
+    plans.append((catalog_query.strategy_summary([p for p, _ in plans[1:]]), both))
+    for strategy, rows in plans:
+        own = rows.groupBy("channel_name").agg(F.count("*").alias("rows")).withColumn("strategy", F.lit(strategy))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""WITH {_S}, b AS (SELECT least(greatest((max(x_ms) - min(x_ms)) / 1000 / 500, 0.001), 86400.0) * 1000 AS w FROM s WHERE channel_name = 'click'), c AS (SELECT least(greatest((max(x_ms) - min(x_ms)) / 1000 / 500, 0.001), 86400.0) * 1000 AS w FROM s WHERE channel_name = 'view')
+SELECT 'one' AS source, test_run_id, channel_name, floor(x_ms / w) * w AS x_ms, round(avg(y), 6) AS y FROM s, b WHERE channel_name = 'click' GROUP BY ALL
+UNION ALL SELECT 'two', test_run_id, channel_name, floor(x_ms / w) * w, round(avg(y), 6) FROM s, c WHERE channel_name = 'view' GROUP BY ALL""")
+def envelope_of_sources(spark, sf_dir):
+    """An overview of two sources, each planned over its own span, in one answer."""
+    s = runs(spark, sf_dir)
+    rows, answer = catalog_query.overview_envelope({"one": s.where("channel_name = 'click'"), "two": s.where("channel_name = 'view'")}, SeriesRequest(resolution_px=250, mode="detail"))
+    return rows.select("source", "test_run_id", "channel_name", "x_ms", F.round("y", 6).alias("y"))
