@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from ..operators import series as ops
 from ..sinks.lake import read_series, write_series
 from ..sources import hdf5, tabular, tdms
 from ..sources.arrow_ipc import field_units
-from ..sources.remote import arrow_schema, first_file
+from ..sources.remote import arrow_schema, first_file, qualified
 from .lod import dependency_order
 from .query import calculate
 
@@ -198,30 +200,42 @@ def _ids(spark: SparkSession, kind: str, path: str) -> tuple[str, int]:
 
 def _store(catalog: Catalog, lake: str, series: DataFrame, names: list[str], rule: IngestRule, facts: dict) -> dict:
     """Writes a test's series and all that the catalog has of it."""
-    spark, path, test_id = catalog.spark, facts["source_path"], facts["test_id"]
+    found = _store_all(catalog, lake, series, rule, [facts])
+    if not found:
+        raise ValueError(f"{facts['source_path']}: no channel has values")
+    return found[0]
+
+
+def _store_all(catalog: Catalog, lake: str, series: DataFrame, rule: IngestRule, facts: list[dict]) -> list[dict]:
+    """Writes the series of tests as one part of the lake and all that the catalog has of them; returns the tests that have values.
+
+    Facts are a dictionary for each test, with the same keys.
+    """
+    spark, ids = catalog.spark, [f["test_id"] for f in facts]
     write_series(series, lake)
-    written = read_series(spark, lake, [test_id], names)
-    rows = channel_rows(written, lake)
-    if rows.isEmpty():
-        raise ValueError(f"{path}: no channel has values")
+    written = read_series(spark, lake, ids).where(~F.col("channel_name").isin([s.name for s in rule.calculated]))
     made = materialise(written, lake, list(rule.calculated))
     everything = written.unionByName(made)
     rows = channel_rows(everything, lake).cache()
-    low, high = rows.agg(F.min("start_ms"), F.max("end_ms")).first()
+    spans = {r["test_id"]: (r["low"], r["high"]) for r in rows.groupBy("test_id").agg(F.min("start_ms").alias("low"), F.max("end_ms").alias("high")).collect()}  # a row for each file
+    if not spans:
+        return []
 
     def put(status: str) -> None:
         at = lambda ms: datetime.fromtimestamp(ms / 1000, timezone.utc)
-        times = {"start_time": at(low), "end_time": at(high), "duration_s": (high - low) / 1000, "created_at": datetime.now(timezone.utc)}
-        test = facts | times | {"status": status, "rule": rule.name or None}
+        tests, parameters = [], []
+        for own in facts:
+            if own["test_id"] in spans:
+                low, high = spans[own["test_id"]]
+                tests.append(own | {"start_time": at(low), "end_time": at(high), "duration_s": (high - low) / 1000, "created_at": datetime.now(timezone.utc), "status": status, "rule": rule.name or None})
+                parameters += [(own["test_id"], k, None if isinstance(v, (int, float)) else str(v), float(v) if isinstance(v, (int, float)) else None) for k, v in rule.parameters.items()]
         kinds = spark.createDataFrame([], schema.TESTS).schema
-        parameters = [(test_id, k, None if isinstance(v, (int, float)) else str(v), float(v) if isinstance(v, (int, float)) else None) for k, v in rule.parameters.items()]
-        one = spark.createDataFrame([tuple(test.values())], kinds.__class__([kinds[k] for k in test]))
-        catalog.register(one, rows, spark.createDataFrame(parameters, schema.PARAMETERS))
+        frame = spark.createDataFrame([tuple(t.values()) for t in tests], kinds.__class__([kinds[k] for k in tests[0]]))
+        catalog.register(frame, rows, spark.createDataFrame(parameters, schema.PARAMETERS))
 
     put("ingesting")
-    old = catalog.read("ranges").where((F.col("test_id") == test_id) & F.col("source").isin("source", "rule"))
-    left = catalog.read("ranges").join(old.select("range_id"), "range_id", "left_anti")
-    catalog.write("ranges", left)
+    stale = F.col("test_id").isin(ids) & F.col("source").isin("source", "rule")
+    catalog.write("ranges", catalog.read("ranges").where(~F.coalesce(stale, F.lit(False))))
     catalog.ensure_source_ranges(range_ops.source_ranges(everything))
     for rule_id in rule.range_rules:
         catalog.apply_rule(rule_id, everything)
@@ -229,19 +243,70 @@ def _store(catalog: Catalog, lake: str, series: DataFrame, names: list[str], rul
         catalog.apply_definitions(list(rule.definitions), everything)
     put("ready")
     rows.unpersist()
-    return catalog.get_test(test_id)
+    tests = {r["test_id"]: r.asDict() for r in catalog.read("tests").where(F.col("test_id").isin(ids)).collect()}
+    return [tests[i] for i in ids if i in tests]
 
 
 def ingest_many(catalog: Catalog, lake: str, paths: list[str], rule: IngestRule = IngestRule()) -> list[dict]:
-    """ingest() of each file; one that fails is reported and the others go on."""
-    out = []
-    for path in paths:
+    """Ingests files, those of one kind with the same columns together; one that fails is reported and the others go on.
+
+    Files that are taken together are read, written and registered by the same few jobs, however many they are; column types are those of all of them. Where
+    that fails, and for kinds other than CSV and Parquet, each is ingested by itself.
+    """
+    out: dict[str, dict] = {}
+    groups: dict[tuple, list[str]] = {}
+    for path in dict.fromkeys(paths):
         try:
-            test = ingest(catalog, lake, path, rule)
-            out.append({"path": path, "test_id": test["test_id"], "error": None})
-        except (ValueError, PySparkException) as e:  # what the file or its reader says
-            out.append({"path": path, "test_id": None, "error": str(e)})
-    return out
+            kind = tabular.detect_format(path)
+            columns = tabular.columns_of(catalog.spark, path, kind) if kind in ("csv", "parquet") else None
+            groups.setdefault((kind, columns) if columns else (kind, path), []).append(path)
+        except (ValueError, PySparkException, Py4JJavaError) as e:  # what the file or its store says
+            out[path] = {"path": path, "test_id": None, "error": str(e)}
+    for (kind, _), own in groups.items():
+        if len(own) > 1:
+            try:
+                out |= {t["source_path"]: {"path": t["source_path"], "test_id": t["test_id"], "error": None} for t in _ingest_together(catalog, lake, own, kind, rule)}
+            except (ValueError, PySparkException):
+                pass  # each by itself says which is at fault
+        for path in own:
+            if path not in out:
+                try:
+                    out[path] = {"path": path, "test_id": ingest(catalog, lake, path, rule)["test_id"], "error": None}
+                except (ValueError, PySparkException) as e:
+                    out[path] = {"path": path, "test_id": None, "error": str(e)}
+    return [out[p] for p in paths]
+
+
+def _ingest_together(catalog: Catalog, lake: str, paths: list[str], kind: str, rule: IngestRule) -> list[dict]:
+    """The tests of files with the same columns, without those of which no channel has values."""
+    spark = catalog.spark
+    known = {t["source_path"]: t.asDict() for t in catalog.read("tests").where((F.col("status") == "ready") & F.col("source_path").isin(paths)).collect()}
+    asked = {qualified(spark, p): p for p in paths}
+    found = spark.read.format("binaryFile").load(paths).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").collect()  # a row for each file
+    facts = {asked[qualified(spark, unquote(r["file_path"]))]: r for r in found}
+    done = [t for p, t in known.items() if not is_stale(t, {"size": facts[p]["file_size"], "modified": facts[p]["file_modification_time"]})]
+    new = [p for p in paths if p not in {t["source_path"] for t in done}]
+    if not new:
+        return done
+    ids = spark.createDataFrame([(p,) for p in new], "path string").select("path", store.artifact_id(F.lit(kind), F.col("path")).alias("a")).withColumn("t", store.test_id(F.col("a"))).collect()
+    tests = [
+        {"test_id": r["t"], "artifact_id": r["a"], "run_code": r["path"].rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0], "source_path": r["path"], "source_type": kind,
+         "source_size": facts[r["path"]]["file_size"], "source_modified": facts[r["path"]]["file_modification_time"]} for r in ids
+    ]
+    wide = tabular.read_wide(spark, new, kind).withColumn("_file", F.col("_metadata.file_path"))
+    by_file = {facts[t["source_path"]]["file_path"]: (t["test_id"], t["run_code"]) for t in tests}
+    report = tabular.validate(wide.drop("_file"), rule.time_column)
+    if report["errors"]:
+        raise ValueError("; ".join(report["errors"]))
+    time_name = report["time_column"]
+    renamed, units = tabular.header_units(wide.columns, {time_name})
+    units = {renamed.get(c, c): u for c, u in units_of_fields(spark, new[0], kind).items()} | units
+    placed = tabular.normalize_files(wide, time_name, by_file, rule.t0_utc or datetime.now(timezone.utc), rule.time_unit)
+    named = {c: renamed.get(c, c) for c in tabular.numeric_columns(wide, {time_name, "x_ms", "_file"})}
+    chosen = tabular.select_channels(list(named.values()), rule.mode, rule.include, rule.exclude, rule.rename, rule.require)
+    channels = {c: chosen[n] for c, n in named.items() if n in chosen}
+    series = tabular.unpivot(placed, channels, F.col("_test"), F.col("_code"), {chosen[n]: u for n, u in units.items() if n in chosen})
+    return done + _store_all(catalog, lake, series, rule, tests)
 
 
 def ingest_meta(catalog: Catalog, test_id: int) -> dict:

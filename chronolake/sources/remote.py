@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 class HadoopFile(io.RawIOBase):
     """A file of any store that Spark reads, open for reading at any place."""
 
+    _stream = None
+
     def __init__(self, spark: SparkSession, path: str):
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -37,7 +39,7 @@ class HadoopFile(io.RawIOBase):
         return len(found)
 
     def close(self) -> None:
-        if not self.closed:
+        if not self.closed and self._stream is not None:
             self._stream.close()
         super().close()
 
@@ -67,3 +69,14 @@ def first_file(spark: SparkSession, path: str) -> str:
         return path
     names = sorted(s.getPath().toString() for s in fs.listStatus(target) if not s.getPath().getName().startswith(("_", ".")))
     return first_file(spark, names[0]) if names else path
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its store, in one form whatever form it is given in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toUri().getPath()
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    with HadoopFile(spark, path) as raw, io.BufferedReader(raw) as file:
+        return file.readline().decode("utf-8", "replace").lstrip("\ufeff").rstrip("\r\n")

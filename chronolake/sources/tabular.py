@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import SERIES_COLUMNS
+from .remote import arrow_schema, first_file, first_line
 
 #: Names of time columns in order of preference, and formats by extension: fixed values.
 TIME_COLUMNS = ["timestamp_utc", "time", "timestamp", "datetime", "time_s", "x_ms", "TIME"]
@@ -34,12 +35,13 @@ def detect_format(path: str) -> str:
     return FORMATS[extension]
 
 
-def read_wide(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+def read_wide(spark: SparkSession, path: str | list[str], kind: str | None = None) -> DataFrame:
+    """A file, or several of one kind with the same columns (CSV and Parquet)."""
     kind = kind or detect_format(path)
     if kind == "csv":
         return spark.read.csv(path, header=True, inferSchema=True)
     if kind == "parquet":
-        return spark.read.parquet(path)
+        return spark.read.parquet(*([path] if isinstance(path, str) else path))
     if kind == "arrow":
         from .arrow_ipc import read_arrow
 
@@ -51,6 +53,14 @@ def read_wide(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
     raise ValueError(f"{kind} files are no wide tables")
 
 
+def columns_of(spark: SparkSession, path: str, kind: str) -> tuple[str, ...]:
+    """What tells files apart that can't be read together: the header of a CSV file, names and types of a Parquet file."""
+    if kind == "csv":
+        return (first_line(spark, path),)
+    found = arrow_schema(spark, first_file(spark, path), kind)
+    return tuple(f"{f.name} {f.type} {sorted((f.metadata or {}).items())}" for f in found) if found is not None else ()
+
+
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
     """(path, format, size, modified) of the supported files below a folder, without their contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).drop("content")
@@ -146,6 +156,32 @@ def normalize_time(df: DataFrame, time_col: str | None = None, t0_utc: datetime
     return df.withColumn("x_ms", F.unix_micros(at) / 1000).where(F.col("x_ms").isNotNull()), name, False
 
 
+def normalize_files(wide: DataFrame, name: str, tests: dict[str, tuple[int, str]], t0_utc: datetime, unit: str | None = None) -> DataFrame:
+    """normalize_time() of the rows of many files (column _file), each by its own least and greatest time, with the _test and _code of their file.
+
+    Facts of a file are a row; there are as many as files were named.
+    """
+    raw = F.col(f"`{name}`")
+    numeric = isinstance(wide.schema[name].dataType, T.NumericType)
+    facts = []
+    if numeric:
+        number = raw.cast("double")
+        for r in wide.groupBy("_file").agg(F.min(number).alias("low"), F.max(number).alias("high")).collect():
+            if r["low"] is not None:
+                scale = time_scale(r["low"], r["high"], unit or ("ms" if name == "x_ms" else None))
+                shift = t0_utc.timestamp() * 1000 - r["low"] * 1000 / PER_SECOND[scale.unit] if scale.relative else 0.0
+                facts.append((r["_file"], *tests[r["_file"]], PER_SECOND[scale.unit] / 1e6, shift, scale.padded))
+        wide = wide.where(number.isNotNull() & ~F.isnan(number))
+    else:
+        wide, _, _ = normalize_time(wide, name)
+        facts = [(f, *t, 1.0, 0.0, False) for f, t in tests.items()]
+    known = wide.sparkSession.createDataFrame(facts, "_file string, _test long, _code string, _scale double, _shift double, _padded boolean")
+    met = wide.join(F.broadcast(known), "_file")
+    if numeric:
+        met = met.where(~F.col("_padded") | (number > EPOCH)).withColumn("x_ms", F.floor(number / F.col("_scale") + 0.5) / 1000 + F.col("_shift"))
+    return met.drop("_scale", "_shift", "_padded")
+
+
 def select_channels(available: list[str], mode: str = "all", include=(), exclude=(), rename: dict | None = None, require=()) -> dict[str, str]:
     """source column -> channel for the columns to keep. Names to include may be columns or the names they get."""
     rename = {k.strip(): v.strip() for k, v in (rename or {}).items()}

@@ -9,7 +9,7 @@ from chronolake.functions.formula import CalculatedChannel
 from chronolake.plans import catalog_query, ingest
 from chronolake.plans.query import SeriesRequest
 from chronolake.sinks import export
-from chronolake.sinks.lake import read_series
+from chronolake.sinks.lake import read_series, write_series
 
 T0 = 1_700_000_000
 
@@ -81,6 +81,33 @@ def test_many_files_and_errors(spark, tmp_path, place):
         catalog_query.catalog_series(catalog, lake, first)
 
 
+def test_many_files_in_one_write(spark, tmp_path, place, monkeypatch):
+    """Files with the same columns are one part of the lake, each by its own time scale; results are those of one by one."""
+    catalog, lake = place
+    paths = [csv(tmp_path, f"run {k}.csv", 5 + k) for k in range(4)]
+    lines = (tmp_path / "run 3.csv").read_text().split("\n")
+    (tmp_path / "run 3.csv").write_text("\n".join([lines[0], *(f"{int(line.split(',')[0]) * 1000},{line.split(',', 1)[1]}" for line in lines[1:] if line)]) + "\n")  # in ms
+    other = csv(tmp_path, "other.csv")
+    (tmp_path / "other.csv").write_text((tmp_path / "other.csv").read_text().replace("THRUST", "F"))
+    bad, gone = tmp_path / "bad.csv", str(tmp_path / "gone.csv")
+    bad.write_text("a,b\n1,2\n")
+    written = []
+    monkeypatch.setattr(ingest, "write_series", lambda *a: written.append(a) or write_series(*a))
+    both = ingest.clean_rule({"name": "r", "parameters": {"site": "A"}, "calculated": []})
+    got = ingest.ingest_many(catalog, lake, [*paths, other, str(bad), gone], both)
+    assert [g["error"] is None for g in got] == [True] * 5 + [False] * 2 and len(written) == 2
+    alone = Catalog(spark, str(tmp_path / "catalog2"))
+    for g, path in zip(got, paths, strict=False):
+        test = ingest.ingest(alone, str(tmp_path / "lake2"), path, both)
+        mine = catalog.get_test(g["test_id"])
+        assert {k: mine[k] for k in test if k != "created_at"} == {k: test[k] for k in test if k != "created_at"}
+        rows = lambda c, at: sorted(map(str, catalog_query.catalog_series(c, at, test["test_id"]).collect()))  # noqa: B023, E731
+        assert rows(catalog, lake) == rows(alone, str(tmp_path / "lake2"))
+        assert [r.source for r in catalog.list_ranges(g["test_id"]).collect()] == ["source"] and catalog.list_parameters(g["test_id"]).first().value_text == "A"
+    written.clear()
+    assert [g["test_id"] for g in ingest.ingest_many(catalog, lake, paths, both)] == [g["test_id"] for g in got[:4]] and not written  # all known
+
+
 def test_units_of_field_metadata(spark, tmp_path, place):
     """Units in the fields of Parquet and Arrow files become those of the channels, renamed ones too; a header's unit goes before them."""
     import pyarrow as pa
