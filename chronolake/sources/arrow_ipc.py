@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
+#: Record batches of a partition.
+BATCHES = 16
+
 
 def _batches(path: str) -> tuple[pa.Schema, Iterator[pa.RecordBatch]]:
     source = pa.memory_map(path)
@@ -26,19 +29,34 @@ def _batches(path: str) -> tuple[pa.Schema, Iterator[pa.RecordBatch]]:
     return stream.schema, iter(stream)
 
 
+def _pieces(path: str) -> list[tuple[str, int, int | None]]:
+    """(path, first, end) of the stretches of record batches of a file, told by its footer; streams and Feather are one piece."""
+    with pa.memory_map(path) as source:
+        if source.read(6) != b"ARROW1":
+            return [(path, 0, None)]
+        source.seek(0)
+        n = pa.ipc.open_file(source).num_record_batches
+    return [(path, at, min(at + BATCHES, n)) for at in range(0, n, BATCHES)]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, paths: list[str]):
         self.paths = paths
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        return [InputPartition(piece) for path in self.paths for piece in _pieces(path)]
 
     def read(self, partition):
-        yield from _batches(partition.value)[1]
+        path, first, end = partition.value
+        if end is None:
+            yield from _batches(path)[1]
+            return
+        file = pa.ipc.open_file(pa.memory_map(path))  # only the pages of these batches are touched
+        yield from (file.get_batch(i) for i in range(first, end))
 
 
 class ArrowSource(DataSource):
-    """Option path: one file, or several joined by commas, each a partition. Files lie where executors can open them."""
+    """Option path: one file, or several joined by commas; a partition is some record batches of a file. Files lie where executors can open them."""
 
     @classmethod
     def name(cls) -> str:

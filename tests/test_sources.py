@@ -123,3 +123,17 @@ def test_star_names():
             star.safe_identifier(bad)
     assert star.overlay_targets("both", {"a": "x", "b": "y"}) == [("a", "x"), ("b", "y")]
     assert star.overlay_targets("a", {"a": "x"}, database="z") == [("a", "z")]
+
+
+def test_batches_of_an_arrow_file_are_many_partitions(spark, tmp_path):
+    import pyarrow as pa
+
+    from chronolake.sources import arrow_ipc
+
+    table = pa.table({"time_s": pa.array(range(4000), pa.float64()), "v": pa.array(range(4000), pa.int64())})
+    with pa.OSFile(str(tmp_path / "many.arrow"), "wb") as out, pa.ipc.new_file(out, table.schema) as writer:
+        writer.write_table(table, max_chunksize=100)
+    with pa.OSFile(str(tmp_path / "none.arrow"), "wb") as out, pa.ipc.new_file(out, table.schema):
+        pass
+    df = arrow_ipc.read_arrow(spark, str(tmp_path / "many.arrow"), str(tmp_path / "none.arrow"))
+    assert df.rdd.getNumPartitions() == -(-40 // arrow_ipc.BATCHES) and sorted(r.v for r in df.collect()) == list(range(4000))
