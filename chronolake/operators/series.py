@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lod import MOST_CAP
 from ..schema import KEY, SERIES, SERIES_COLUMNS, finite
 from .slices import is_small, ranked
 
@@ -69,7 +68,11 @@ def counts_and_bounds(series: DataFrame) -> DataFrame:
     return series.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("x_ms").alias("first_ms"), F.max("x_ms").alias("last_ms"))
 
 
-def payload(series: DataFrame, points: int = MOST_CAP) -> DataFrame:
+#: Points of a series in a payload, unless the viewport says how many.
+PAYLOAD_POINTS = 10_000
+
+
+def payload(series: DataFrame, points: int = PAYLOAD_POINTS) -> DataFrame:
     """A row for each series with its arrays x_ms and y in time order; longer series are reduced to `points`, which bounds the arrays."""
     ordered = F.array_sort(F.collect_list(F.struct("x_ms", "y")))
     grouped = lttb(series, points).groupBy("test_run_id", "test_run_code", "channel_name", "unit").agg(ordered.alias("points"))
