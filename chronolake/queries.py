@@ -804,9 +804,17 @@ def legacy_first_rows(spark, sf_dir):
     return catalog_query.first_rows(channels(spark, sf_dir), 500).select("channel_name", "x_ms", "y")
 
 
-@query()
+@query(f"""WITH {_D}, r AS (SELECT *, row_number() OVER (PARTITION BY test_run_id, channel_name ORDER BY x_ms, y) - 1 AS p FROM d),
+n AS (SELECT test_run_id, channel_name, count(*) AS n FROM r GROUP BY ALL), g AS (SELECT test_run_id, channel_name, unnest(range(0, (n - 16) // 8 + 1)) AS g FROM n WHERE n >= 16),
+p AS (SELECT g.*, p - 8 * g AS i, x_ms, y FROM g JOIN r ON r.test_run_id = g.test_run_id AND r.channel_name = g.channel_name AND p BETWEEN 8 * g AND 8 * g + 15),
+m AS (SELECT test_run_id, channel_name, g, avg(y) AS m, (max(x_ms) - min(x_ms)) / 1000 / 15 AS sec FROM p GROUP BY ALL),
+w AS (SELECT p.*, sec, (y - m) * (0.5 - 0.5 * cos(2 * pi() * i / 16)) AS v FROM p JOIN m USING (test_run_id, channel_name, g)),
+f AS (SELECT test_run_id, channel_name, g, k, sec, sum(v * cos(2 * pi() * k * i / 16)) AS re, sum(v * sin(2 * pi() * k * i / 16)) AS im FROM w, range(0, 9) AS t(k) GROUP BY ALL)
+SELECT test_run_id, channel_name, round(avg(k / (16 * sec)) * 86400, 6) AS per_day, round(avg((re * re + im * im) * sec / 6 * CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END), 3) AS power, count(*) AS segments
+FROM f GROUP BY test_run_id, channel_name, k""")
 def welch(spark, sf_dir):
-    return spectral.power_density(daily(spark, sf_dir), 16)
+    found = spectral.power_density(daily(spark, sf_dir), 16)
+    return found.select("test_run_id", "channel_name", F.round(F.col("hz") * 86_400, 6).alias("per_day"), F.round("power", 3).alias("power"), "segments")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS test_run_id, p_type AS channel_name, epoch_us(l_shipdate) / 1000.0 AS x_ms, l_quantity AS y,
