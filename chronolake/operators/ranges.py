@@ -263,13 +263,16 @@ def mask(series: DataFrame, ranges: DataFrame, inside: bool = True) -> DataFrame
 def summary(series: DataFrame, ranges: DataFrame, low: float | None = None, high: float | None = None, warn: float = 0.0) -> DataFrame:
     """Statistics of each channel in each range(range_id, test_run_id, start_ms, end_ms), with a limit status.
 
-    fail: the extrema leave [low, high]; warn: they come within `warn` of a limit; else ok. Ranges meet samples by hour slots, so the
-    join is an equi-join, not a product.
+    fail: the extrema leave [low, high]; warn: they come within `warn` of a limit; else ok. Ranges meet samples by slots of time. A range has
+    the slots of the next power of two to its own length, of which it touches two, so it is two rows however long it is; a sample is looked up once for
+    each such length that its run has.
     """
-    hour = 3_600_000.0
-    slots = F.sequence(F.floor(F.col("start_ms") / hour), F.floor(F.col("end_ms") / hour))
-    cut = ranges.where(F.col("start_ms") <= F.col("end_ms")).select("range_id", "test_run_id", "start_ms", "end_ms", F.explode(slots).alias("_slot"))
-    rows = series.withColumn("_slot", F.floor(F.col("x_ms") / hour)).join(cut, ["test_run_id", "_slot"])
+    length = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1.0))
+    own = ranges.where(F.col("start_ms") <= F.col("end_ms")).select("range_id", "test_run_id", "start_ms", "end_ms", F.pow(F.lit(2.0), F.ceil(F.log2(length))).alias("_width"))
+    slot = lambda c: F.floor(F.col(c) / F.col("_width"))
+    placed = own.withColumn("_slot", F.explode(F.sequence(slot("start_ms"), slot("end_ms"))))
+    widths = own.select("test_run_id", "_width").distinct()
+    rows = series.join(widths, "test_run_id").withColumn("_slot", slot("x_ms")).join(placed, ["test_run_id", "_width", "_slot"])
     rows = rows.where((F.col("x_ms") >= F.col("start_ms")) & (F.col("x_ms") <= F.col("end_ms")))
     out = rows.groupBy("range_id", *KEY).agg(F.count("y").alias("n"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.avg("y").alias("mean_y"))
     below = lambda margin: F.lit(False) if low is None else F.col("min_y") < low + margin

@@ -76,6 +76,15 @@ def test_summary_status(spark):
     assert got == {7: (2, 3.0, "warn"), 8: (3, 5.0, "fail")}
 
 
+def test_summary_of_ranges_of_any_length(spark):
+    """A range over all time is no more rows than a short one; ranges of one run may differ in length by any factor."""
+    df = frame(spark, range(60), step=60_000.0)
+    spans = [(1, 1, -1e15, 1e15), (2, 1, 60_000.0, 60_000.0), (3, 1, 0.0, 3_540_000.0), (4, 1, 65_536.0, 131_072.0), (5, 1, 30_000.0, 200_000.0), (6, 2, 0.0, 1e15)]
+    r = spark.createDataFrame(spans, "range_id long, test_run_id long, start_ms double, end_ms double")
+    got = {x.range_id: (x.n, x.min_y, x.max_y) for x in ranges.summary(df, r).collect()}
+    assert got == {1: (60, 0.0, 59.0), 2: (1, 1.0, 1.0), 3: (60, 0.0, 59.0), 4: (1, 2.0, 2.0), 5: (3, 1.0, 3.0)}
+
+
 def test_names(spark):
     df = ranges.named(ranges.threshold_ranges(frame(spark, [0, 5, 0, 5]), ">", 1), "burn")
     assert sorted(r.name for r in df.collect()) == ["burn 1", "burn 2"]
