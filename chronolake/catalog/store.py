@@ -170,8 +170,9 @@ class Catalog:
     def latest_tests(self, limit: int) -> DataFrame:
         return latest_tests(self.read("tests"), limit)
 
-    def list_tests(self, limit: int = 10_000) -> DataFrame:
-        return with_icons(self.latest_tests(limit), self.read("parameters"))
+    def list_tests(self, limit: int | None = None) -> DataFrame:
+        """The tests with their icons: all, or the newest ones."""
+        return with_icons(latest_tests(self.read("tests"), limit), self.read("parameters"))
 
     def list_parameters(self, test_id: int) -> DataFrame:
         return self.read("parameters").where(F.col("test_id") == test_id).orderBy("key")
@@ -458,9 +459,10 @@ def tables_with_columns(columns: DataFrame, wanted: list[str]) -> DataFrame:
     return own.where(F.col("_n") == len(set(wanted))).select("table_name").orderBy("table_name")
 
 
-def latest_tests(tests: DataFrame, limit: int) -> DataFrame:
-    """By start (or creation) time, newest first, then by id; at most 10,000."""
-    return tests.orderBy(F.coalesce("start_time", "created_at").desc_nulls_last(), F.col("test_id").desc()).limit(max(1, min(limit, 10_000)))
+def latest_tests(tests: DataFrame, limit: int | None = None) -> DataFrame:
+    """By start (or creation) time, newest first, then by id; all of them without a limit."""
+    rows = tests.orderBy(F.coalesce("start_time", "created_at").desc_nulls_last(), F.col("test_id").desc())
+    return rows if limit is None else rows.limit(max(1, limit))
 
 
 def upsert_results(old: DataFrame, new: DataFrame, above: int = 0) -> DataFrame:

@@ -25,6 +25,13 @@ def test_register_replace_delete(spark, tmp_path):
     assert [r.test_id for r in c.latest_tests(5).collect()] == [2]
 
 
+def test_all_tests_are_listed(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "cat"))
+    c.write("tests", spark.range(10_050).select(F.col("id").alias("test_id"), F.timestamp_seconds("id").alias("created_at")))
+    assert c.list_tests().count() == 10_050 and c.latest_tests(10_020).count() == 10_020
+    assert sorted(r.test_id for r in c.list_tests(2).collect()) == [10_048, 10_049]
+
+
 def test_results(spark, tmp_path):
     c = Catalog(spark, str(tmp_path / "cat"))
     schema = "result_id long, test_id long, range_id long, analysis_name string, key string, value_text string, value_num double"
