@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,10 +12,26 @@ from pyspark.sql.window import Window
 from ..schema import KEY, SERIES_COLUMNS, finite
 from .slices import cut, earlier
 
-#: The sketches of percentiles err by at most this share of a group's rows; groups of fewer rows are exact.
+#: The sketches of a density's edges err by at most this share of a group's rows.
 SKETCH_ERROR = 1e-4
 
 
+def quantiles(counts: DataFrame, by: list[str], shares: list[Fraction], others: dict[str, Column] | None = None) -> DataFrame:
+    """(by, quantiles, ...): the exact quantiles of counts(by, y, n), which has the rows of each value counted, and other aggregates of it.
+
+    A quantile is the least value up to which there are at least its share of the group's rows. Values are summed up in order, by slices where a
+    group has many different ones.
+    """
+    c = cut(counts.withColumnRenamed("y", "x_ms"), by)
+    zero = F.lit(0).cast("long")
+    c = c.carried({"_own": F.sum("n")}, lambda s: {"_ahead": F.coalesce(F.sum("_own").over(earlier()), zero)}, {"_ahead": zero}).over_run({"_all": F.sum("n")})
+    rows = c.with_columns({"_upto": F.col("_ahead") + F.sum("n").over(c.upto())}).df.withColumn("y", F.col("x_ms"))
+    # whole numbers, as 0.1 * 70 is more than 7
+    reached = [F.col("_upto").cast("decimal(20,0)") * F.lit(Decimal(s.denominator)) >= F.col("_all").cast("decimal(20,0)") * F.lit(Decimal(s.numerator)) for s in shares]
+    found = F.array(*[F.min(F.when(r, F.col("y"))) for r in reached])
+    return rows.groupBy(*by).agg(found.alias("quantiles"), *[a.alias(k) for k, a in (others or {}).items()])
+
+
 def event_samples(series: DataFrame, events: DataFrame, before_ms: float, after_ms: float) -> DataFrame:
     """The samples in [at - before_ms, at + after_ms] of each event(event_id, test_run_id, at_ms) of their run, with event_id and rel_ms.
 
@@ -34,14 +53,15 @@ def event_envelope(series: DataFrame, events: DataFrame, before_ms: float, after
     """(channel_name, bin_ms, n, n_events, min_y, mean_y, max_y, low_y, high_y): what the windows of all events have in each bin of time
     relative to their event.
 
-    Percentiles are of mergeable sketches, so a bin of any size is reduced before the shuffle. Events are counted after a first step by event.
+    Values are counted before the shuffle, and percentiles are exact. Events are counted after a first step by event.
     """
     rows = event_samples(series, events, before_ms, after_ms).withColumn("bin_ms", F.floor(F.col("rel_ms") / bin_ms) * F.lit(float(bin_ms)))
     by = ["channel_name", "bin_ms"]
-    sketch = F.percentile_approx("y", list(percentiles), round(1 / SKETCH_ERROR))
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("y").alias("min_y"), F.avg("y").alias("mean_y"), F.max("y").alias("max_y"), sketch.alias("_p"))
+    counts = rows.groupBy(*by, "y").agg(F.count("*").alias("n"))
+    others = {"n": F.sum("n"), "min_y": F.min("y"), "mean_y": F.sum(F.col("y") * F.col("n")) / F.sum("n"), "max_y": F.max("y")}
+    out = quantiles(counts, by, [Fraction(str(p)) for p in percentiles], others)
     events_of = rows.groupBy(*by, "event_id").agg(F.lit(1)).groupBy(*by).agg(F.count("*").alias("n_events"))
-    return out.join(events_of, by).select(*by, "n", "n_events", "min_y", "mean_y", "max_y", F.col("_p")[0].alias("low_y"), F.col("_p")[1].alias("high_y"))
+    return out.join(events_of, by).select(*by, "n", "n_events", "min_y", "mean_y", "max_y", F.col("quantiles")[0].alias("low_y"), F.col("quantiles")[1].alias("high_y"))
 
 
 def neighbours(marks: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,28 @@ def test_density(spark, data):
     one = views.density(series.where("test_run_id = 1").withColumn("y", F.lit(2.0)), 1, 3).collect()
     assert {(r.channel_name, r.time_bin, r.value_bin, r.n) for r in one} == {("A", 0, 0, 120), ("B", 0, 0, 120)}
     assert sum(r.n for r in views.density(series, 3, 4, even=False).collect()) == sum(len(points(data, r, c)) for r in (1, 2) for c in "AB")
+
+
+def test_quantiles_are_exact_for_many_values(spark, monkeypatch):
+    """More values of a group than any sketch keeps, whole and in slices; ranks are whole numbers also where 0.1 * n is not exact."""
+    n = 60_070
+    rows = spark.range(n).select(F.lit("A").alias("k"), (F.col("id") * 7919 % n).cast("double").alias("y"), F.lit(3).cast("long").alias("n"))
+    rows = rows.union(spark.range(70).select(F.lit("B"), F.col("id").cast("double"), F.lit(1).cast("long")))
+    shares = [Fraction(1, 10), Fraction(1, 4), Fraction(1, 3), Fraction(9, 10)]
+    want = {k: [float(math.ceil(s * m) - 1) for s in shares] for k, m in (("A", n), ("B", 70))}
+    for small in (slices.SMALL_BYTES, -1):
+        monkeypatch.setattr(slices, "SMALL_BYTES", small)
+        monkeypatch.setattr(slices, "SLICE_ROWS", 5_000)
+        assert {r.k: r.quantiles for r in views.quantiles(rows, ["k"], shares).collect()} == want
+
+
+def test_views_of_many_values_have_exact_quantiles(spark):
+    """Percentiles of an envelope over 80,000 different values."""
+    n = 80_000
+    series = spark.range(n).select(
+        F.lit(1).cast("long").alias("test_run_id"), F.lit("r").alias("test_run_code"), F.lit("A").alias("channel_name"), F.lit("u").alias("unit"),
+        F.col("id").cast("double").alias("x_ms"), (F.col("id") * 7919 % n).cast("double").alias("y"),
+    )
+    events = spark.createDataFrame([(1, 1, 0.0)], "event_id long, test_run_id long, at_ms double")
+    (row,) = views.event_envelope(series, events, 1.0, float(n), 2.0 * n, (0.1, 0.9)).collect()
+    assert (row.n, row.low_y, row.high_y) == (n, n // 10 - 1.0, n * 9 // 10 - 1.0)
