@@ -12,9 +12,6 @@ from pyspark.sql.window import Window
 from ..schema import KEY, SERIES_COLUMNS, finite
 from .slices import cut, earlier
 
-#: The sketches of a density's edges err by at most this share of a group's rows.
-SKETCH_ERROR = 1e-4
-
 
 def quantiles(counts: DataFrame, by: list[str], shares: list[Fraction], others: dict[str, Column] | None = None) -> DataFrame:
     """(by, quantiles, ...): the exact quantiles of counts(by, y, n), which has the rows of each value counted, and other aggregates of it.
@@ -143,15 +140,18 @@ def density(series: DataFrame, time_bins: int, value_bins: int, even: bool = Tru
     """(channel_name, time_bin, value_bin, n, n_runs): how many samples and runs fall into each cell of each channel's time and value; empty
     cells have no row.
 
-    A first pass finds each channel's bounds: bins of time are even, bins of value too, or (even=False) between quantiles by a sketch, so that each has
+    A first pass finds each channel's bounds: bins of time are even, bins of value too, or (even=False) between exact quantiles, so that each has
     about as many samples. A channel without a span has one bin. Cells are summed by run first, so that runs need no set.
     """
     if time_bins < 1 or value_bins < 1:
         raise ValueError("there must be a bin")
     rows = series.where(finite(F.col("y")) & F.col("x_ms").isNotNull()).select("test_run_id", "channel_name", "x_ms", "y")
-    inner = [k / value_bins for k in range(1, value_bins)]
-    edges = F.lit(None).cast("array<double>") if even or not inner else F.percentile_approx("y", inner, round(1 / SKETCH_ERROR))
-    bounds = rows.groupBy("channel_name").agg(F.min("x_ms").alias("_x0"), F.max("x_ms").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"), edges.alias("_edges"))
+    bounds = rows.groupBy("channel_name").agg(F.min("x_ms").alias("_x0"), F.max("x_ms").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    if not even:
+        counts = rows.groupBy("channel_name", "y").agg(F.count("*").alias("n"))
+        edges = quantiles(counts, ["channel_name"], [Fraction(k, value_bins) for k in range(1, value_bins)])
+        same = F.col("_name").eqNullSafe(F.col("channel_name"))
+        bounds = bounds.join(edges.select(F.col("channel_name").alias("_name"), F.col("quantiles").alias("_edges")), same).drop("_name")
 
     def even_bin(c: str, low: str, high: str, bins: int) -> Column:
         at = F.floor((F.col(c) - F.col(low)) / (F.col(high) - F.col(low)) * bins)
@@ -160,6 +160,7 @@ def density(series: DataFrame, time_bins: int, value_bins: int, even: bool = Tru
     value = even_bin("y", "_y0", "_y1", value_bins)
     if not even:
         value = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col("y"))), F.lit(0)).cast("long")
-    placed = rows.join(bounds, "channel_name").select("test_run_id", "channel_name", even_bin("x_ms", "_x0", "_x1", time_bins).alias("time_bin"), value.alias("value_bin"))
+    placed = rows.join(F.broadcast(bounds), "channel_name")  # a row for each channel
+    placed = placed.select("test_run_id", "channel_name", even_bin("x_ms", "_x0", "_x1", time_bins).alias("time_bin"), value.alias("value_bin"))
     cells = placed.groupBy("channel_name", "time_bin", "value_bin", "test_run_id").agg(F.count("*").alias("n"))
     return cells.groupBy("channel_name", "time_bin", "value_bin").agg(F.sum("n").alias("n"), F.count("*").alias("n_runs"))

@@ -131,12 +131,14 @@ def test_quantiles_are_exact_for_many_values(spark, monkeypatch):
 
 
 def test_views_of_many_values_have_exact_quantiles(spark):
-    """Percentiles of an envelope over 80,000 different values."""
+    """Bins of values that come out even, and percentiles of an envelope, over 80,000 different values."""
     n = 80_000
     series = spark.range(n).select(
         F.lit(1).cast("long").alias("test_run_id"), F.lit("r").alias("test_run_code"), F.lit("A").alias("channel_name"), F.lit("u").alias("unit"),
         F.col("id").cast("double").alias("x_ms"), (F.col("id") * 7919 % n).cast("double").alias("y"),
     )
+    cells = {r.value_bin: r.n for r in views.density(series, 1, 4, even=False).collect()}
+    assert cells == {0: n // 4, 1: n // 4, 2: n // 4, 3: n // 4}
     events = spark.createDataFrame([(1, 1, 0.0)], "event_id long, test_run_id long, at_ms double")
     (row,) = views.event_envelope(series, events, 1.0, float(n), 2.0 * n, (0.1, 0.9)).collect()
     assert (row.n, row.low_y, row.high_y) == (n, n // 10 - 1.0, n * 9 // 10 - 1.0)
