@@ -18,6 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.rolling import trailing
 from ..operators.slices import integral, seconds_before
@@ -215,6 +216,13 @@ def align(series: DataFrame, channels: list[str], per_test: bool = True) -> Data
     return rows.where(reduce(lambda a, b: a & b, (finite(F.col(f"v{i}")) for i in range(len(names)))))
 
 
+def every_sample(series: DataFrame, channel: str) -> DataFrame:
+    """A row for each finite sample of a channel, as of align(); samples of one time are numbered by value in _nth, which is their order."""
+    own = series.where((F.col("channel_name") == reference(channel)) & finite(F.col("y")))
+    nth = F.row_number().over(Window.partitionBy("test_run_id", "x_ms").orderBy("y"))
+    return own.select("test_run_id", "test_run_code", "x_ms", F.col("y").alias("v0"), nth.alias("_nth"))
+
+
 def evaluate(aligned: DataFrame, formula: str, n_channels: int, by: list[str]) -> DataFrame:
     """aligned rows with the formula's value as y; rows that fail are dropped."""
     if n_channels > MOST_CHANNELS:
@@ -224,10 +232,14 @@ def evaluate(aligned: DataFrame, formula: str, n_channels: int, by: list[str]) -
     return compiler.df.withColumn("y", value.cast("double")).where(finite(F.col("y")))
 
 
-def formula_channel(series: DataFrame, spec: CalculatedChannel, per_test: bool = True) -> DataFrame:
+def formula_channel(series: DataFrame, spec: CalculatedChannel, per_test: bool = True, merge_times: bool = True) -> DataFrame:
+    """The series of a calculated channel. Samples of one time are one; without merge_times, which a formula of one channel can do without, each
+    is a sample of its own."""
     if not spec.channels or not re.search(r"\S", spec.formula):
         return series.limit(0)
-    rows = align(series, spec.channels, per_test)
+    if not merge_times and len(spec.channels) > 1:
+        raise FormulaError("samples of several channels meet by their times")
+    rows = align(series, spec.channels, per_test) if merge_times else every_sample(series, spec.channels[0])
     by = ["test_run_id"]
     if not per_test:
         rows, by = rows.withColumn("_all", F.lit(0)), ["_all"]

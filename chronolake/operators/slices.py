@@ -25,6 +25,11 @@ def is_small(df: DataFrame) -> bool:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_BYTES
 
 
+def in_order(df: DataFrame) -> list[str]:
+    """What rows of a run are sorted by: time, and within a time the number _nth where rows have one."""
+    return ["x_ms", "_nth"] if "_nth" in df.columns else ["x_ms"]
+
+
 @dataclass(frozen=True)
 class Cut:
     """df with the columns (keys) whose rows are sorted together: those of the run, or a struct of them and the slice."""
@@ -34,7 +39,7 @@ class Cut:
     sliced: bool
 
     def ordered(self, *order: str) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(*(order or ("x_ms",)))
+        return Window.partitionBy(*self.keys).orderBy(*(order or in_order(self.df)))
 
     def upto(self, *order: str) -> WindowSpec:
         return self.ordered(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -42,6 +47,11 @@ class Cut:
     def before(self, *order: str) -> WindowSpec:
         return self.ordered(*order).rowsBetween(Window.unboundedPreceding, -1)
 
+    def latest(self, value: str | Column, counts: Column | None = None) -> Column:
+        """Aggregate: the value of the last row, or of the last that counts."""
+        at = F.struct(*in_order(self.df))
+        return F.max_by(value, at if counts is None else F.when(counts, at))
+
     def with_columns(self, columns: dict[str, Column]) -> Cut:
         return Cut(self.df.withColumns(columns), self.keys, self.sliced)
 
@@ -107,8 +117,8 @@ def rolling(df: DataFrame, by: list[str], width: int, out: str, reduce: Callable
     width - 1 rows before them."""
     frame = lambda w: w.rowsBetween(-(width - 1), 0)
     if is_small(df):
-        return df.withColumn(out, reduce(frame(Window.partitionBy(*by).orderBy("x_ms"))))
-    rows = ranked(df, by, "x_ms").withColumn("_key", F.struct(*by)).withColumn("_block", F.floor(F.col("_place") / SLICE_ROWS))
+        return df.withColumn(out, reduce(frame(Window.partitionBy(*by).orderBy(*in_order(df)))))
+    rows = ranked(df, by, *in_order(df)).withColumn("_key", F.struct(*by)).withColumn("_block", F.floor(F.col("_place") / SLICE_ROWS))
     last = F.floor(F.least(F.col("_place") + (width - 1), F.col("_n") - 1) / SLICE_ROWS)
     copied = rows.withColumn("_in", F.explode(F.sequence("_block", last)))
     done = copied.withColumn(out, reduce(frame(Window.partitionBy("_key", "_in").orderBy("_place"))))
@@ -127,7 +137,7 @@ def integral(df: DataFrame, by: list[str], value: str, counts: str, seconds: str
     c = cut(df, by)
     own = F.when(F.col(counts), F.col(value))
     c = c.carried(
-        {"_last": F.max_by(F.col(value), F.when(F.col(counts), F.col("x_ms")))}, lambda s: {"_last": F.last("_last", ignorenulls=True).over(earlier())},
+        {"_last": c.latest(value, F.col(counts))}, lambda s: {"_last": F.last("_last", ignorenulls=True).over(earlier())},
         {"_last": F.lit(None).cast("double")},
     )
     last = F.coalesce(F.last(own, ignorenulls=True).over(c.before()), F.col("_last"))
@@ -151,7 +161,7 @@ def completed(c: Cut, inside: Column, hit: Column, complete: Callable[[Column, C
     c = c.with_columns({"_start": F.when(F.col("_in"), F.last("_begin", ignorenulls=True).over(c.upto())), "_left": F.max("_outside").over(c.upto()), "_hits": F.max("_hit").over(c.before())})
 
     if c.sliced:
-        own = c.df.groupBy("_key", "_slice").agg(F.max_by("_start", "x_ms").alias("_tail"), F.max("_hit").alias("_top"), F.count("_outside").alias("_breaks"))
+        own = c.df.groupBy("_key", "_slice").agg(c.latest("_start").alias("_tail"), F.max("_hit").alias("_top"), F.count("_outside").alias("_breaks"))
         own = own.withColumn("_group", F.sum((F.col("_breaks") > 0).cast("int")).over(earlier(0)))
         # the slices since the last that has a row outside, which says where the open stretch began
         since = Window.partitionBy("_key", "_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
@@ -167,7 +177,7 @@ def completed(c: Cut, inside: Column, hit: Column, complete: Callable[[Column, C
     event = F.when(F.col("_hit").isNotNull() & complete(x, begun) & ~F.coalesce(is_done, F.lit(False)), seconds(begun))
     c = c.with_columns({"_event": event})
     c = c.carried(
-        {"_held": F.max_by("_event", F.when(F.col("_event").isNotNull(), x))}, lambda s: {"_held": F.last("_held", ignorenulls=True).over(earlier())}, {"_held": null},
+        {"_held": c.latest("_event", F.col("_event").isNotNull())}, lambda s: {"_held": F.last("_held", ignorenulls=True).over(earlier())}, {"_held": null},
     )
     c = c.with_columns({out: F.coalesce(F.last("_event", ignorenulls=True).over(c.upto()), F.col("_held"), F.lit(0.0))})
     return c.plain("_in", "_hit", "_outside", "_begin", "_start", "_left", "_hits", "_open", "_last_hit", "_event", "_held")

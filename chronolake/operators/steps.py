@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import finite
-from .slices import completed, cut
+from .slices import completed, cut, in_order
 
 
 def step_time(df: DataFrame, value: str, out: str, by: list[str], lo: float = 0.1, hi: float = 0.9, falling: bool = False) -> DataFrame:
@@ -41,7 +41,7 @@ def step_time(df: DataFrame, value: str, out: str, by: list[str], lo: float = 0.
 def settling_time(df: DataFrame, value: str, out: str, by: list[str], band: float = 0.02, hold_s: float = 0.0) -> DataFrame:
     """Adds seconds from leaving the band around the first value until the band around the last has been kept for hold_s."""
     x = F.col(value)
-    c = cut(df, by).over_run({"_from": F.min_by(x, "x_ms"), "_to": F.max_by(x, "x_ms"), "_least": F.min(x), "_most": F.max(x)})
+    c = cut(df, by).over_run({"_from": F.min_by(x, F.struct(*in_order(df))), "_to": F.max_by(x, F.struct(*in_order(df))), "_least": F.min(x), "_most": F.max(x)})
     width = F.abs(F.col("_to") - F.col("_from"))
     width = F.when(width > 0, width).otherwise(F.col("_most") - F.col("_least"))
     c = c.with_columns({"_band": F.lit(float(band)) * width if 0 < band <= 1 else F.lit(abs(float(band)))})
@@ -88,7 +88,7 @@ def band_pass(df: DataFrame, value: str, dt: str, out: str, by: list[str], low_h
     rows = c.df.drop("_key")
     names = rows.columns
     v, d, at_keys = names.index(value), names.index(dt), [names.index(k) for k in keys]
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "x_ms")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *in_order(df))
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, first = None, [(1.0, 0.0), (1.0, 0.0)], None
@@ -125,7 +125,7 @@ def band_pass(df: DataFrame, value: str, dt: str, out: str, by: list[str], low_h
     good = finite(F.col(value))
     if c.sliced:
         done = done.withColumn("_key", F.struct(*by))
-        last = F.max_by(F.struct("_k0", "_a0", "_k1", "_a1", "_x"), F.when(good, F.col("x_ms")))
+        last = c.latest(F.struct("_k0", "_a0", "_k1", "_a1", "_x"), good)
         each = done.groupBy("_key", "_slice").agg(last.alias("_map")).where("_map is not null")
         run_of = each.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_slice", "_map"))).alias("_all"))  # a row for each slice
         none = F.lit(None).cast("double")

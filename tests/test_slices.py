@@ -127,3 +127,26 @@ def test_a_long_run_is_many_tasks(spark, small_slices):
     assert c.sliced and len(sizes) >= 20 and max(sizes) <= 1100
     assert ops.lttb(rows, 100).count() == 100
     assert slices.is_small(rows) is False
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_band_pass_steps_at_every_sample_of_a_time(spark, small_slices, sliced):
+    """Samples of one time, equal ones too, are each a step of the filter, in the order of their values."""
+    rnd = random.Random(3)
+    rows, at = [], 0.0
+    for _ in range(60):
+        at += rnd.choice([1000.0, 40_000.0])
+        rows += [(1, "r", "A", "u", at, y) for y in [rnd.uniform(0, 9)] * rnd.choice([1, 4]) + [rnd.uniform(0, 9)] * rnd.choice([0, 3])]
+    series = spark.createDataFrame(rows, SERIES).repartition(3)
+    want, states, before = [], None, None
+    for _, _, _, _, x, y in sorted(rows, key=lambda r: (r[4], r[5])):
+        dt = max(0.0 if before is None else (x - before) / 1000, 1e-6)
+        states = [y, y] if before is None else [s + dt / (1 / (2 * math.pi * hz) + dt) * (y - s) for s, hz in zip(states, (0.01, 0.0001), strict=True)]
+        before = x
+        want.append((x, states[0] - states[1]))
+    if sliced:
+        small_slices()
+    spec = CalculatedChannel("out", ["A"], formula="BAND_PASS_FILTER(A, 0.0001, 0.01)")
+    got = sorted((r.x_ms, r.y) for r in formula_channel(series, spec, merge_times=False).collect())
+    assert [x for x, _ in got] == [x for x, _ in sorted(want)] and [y for _, y in got] == pytest.approx([y for _, y in sorted(want)], abs=1e-9)
+    assert formula_channel(series, spec).count() == 60
