@@ -1,6 +1,6 @@
 """The catalog: dimension tables in Parquet folders under an optimistic commit log.
 
-Tables are small (a row for each test, channel, range, ...). A change sees one version throughout, stages its folders and commits them as the
+Tables have a row for each test, channel, range, ...; a small one is a file, a large one several. A change sees one version throughout, stages its folders and commits them as the
 next version; if another writer has won that, the change is made again on what is now the newest. Rows that are added are a folder of
 their own, and a table of many folders is compacted by the next change of it. Readers see whole versions.
 """
@@ -102,7 +102,7 @@ class Catalog:
         columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields]
         folder = f"{table}/{uuid.uuid4().hex}"
         self._change.staged.append(folder)
-        rows.select(*columns).coalesce(1).write.parquet(f"{self.root}/{folder}")
+        rows.select(*columns).hint("rebalance").write.parquet(f"{self.root}/{folder}")
         return folder
 
     def _discard(self, change: _Change) -> None:
@@ -366,9 +366,8 @@ class Catalog:
 
     @changes
     def put_results(self, rows: DataFrame) -> None:
-        done = durable(upsert_results(self.read("results"), rows, self._change.ids.get("results", 0)))
-        self._gave("results", done, "result_id")
-        self.write("results", done)
+        self.write("results", upsert_results(self.read("results"), rows, self._change.ids.get("results", 0)))
+        self._gave("results", self.read("results"), "result_id")
 
     def list_results(self, test_id: int | None = None, analysis: str | None = None) -> DataFrame:
         return filter_results(self.read("results"), test_id, analysis).orderBy("test_id", "analysis_name", "key", "result_id")

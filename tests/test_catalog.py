@@ -32,6 +32,26 @@ def test_all_tests_are_listed(spark, tmp_path):
     assert sorted(r.test_id for r in c.list_tests(2).collect()) == [10_048, 10_049]
 
 
+def test_large_tables_are_several_files(spark, tmp_path):
+    """A large table is written by several tasks, a small one is one file."""
+    c = Catalog(spark, str(tmp_path / "cat"))
+    files = lambda: len([f for f in c.read("results").inputFiles()])
+    rows = spark.range(40_000).select(F.col("id").alias("test_id"), F.lit(None).cast("long").alias("range_id"), F.lit("a").alias("analysis_name"), F.lit("k").alias("key"),
+                                      F.lit(None).cast("string").alias("value_text"), F.lit(1.0).alias("value_num"))
+    c.put_results(rows.limit(10))
+    assert files() == 1
+    sizes = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    try:
+        for size in sizes:
+            spark.conf.set(size, "16k")
+        c.put_results(rows)
+    finally:
+        for size in sizes:
+            spark.conf.unset(size)
+    found = c.read("results").agg(F.count("*").alias("n"), F.countDistinct("result_id").alias("ids"), F.max("result_id").alias("top")).first()
+    assert files() > 1 and tuple(found) == (40_000, 40_000, 40_000)
+
+
 def test_results(spark, tmp_path):
     c = Catalog(spark, str(tmp_path / "cat"))
     schema = "result_id long, test_id long, range_id long, analysis_name string, key string, value_text string, value_num double"
