@@ -232,7 +232,7 @@ def lttb(series: DataFrame, points: int) -> DataFrame:
     if is_small(valid):
         ordered = rows.sortWithinPartitions(*KEY, "place")  # the windows have put a series into one partition
     else:
-        shrunk = rows.sortWithinPartitions(*KEY, "place").mapInArrow(_hulls, POINTS)
+        shrunk = rows.mapInArrow(_hulls, POINTS)  # ranking has left a slice's rows in order
         merged = shrunk.repartition(*KEY, "slot").sortWithinPartitions(*KEY, "slot", "place").mapInArrow(_hulls, POINTS)
         ordered = merged.repartition(*KEY).sortWithinPartitions(*KEY, "place")
     return ordered.mapInArrow(_triangles(points - 2), SERIES)

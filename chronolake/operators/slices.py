@@ -7,6 +7,7 @@ joined back. The rows are written to the shared folder once, for the passes that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -104,12 +105,14 @@ def ranked(df: DataFrame, by: list[str], *order: str) -> DataFrame:
     if not c.sliced:
         rows = c.with_columns({"_place": (F.row_number().over(c.ordered(*order)) - 1).cast("long")})
         return rows.over_run({"_n": F.count(F.lit(1))}).df
-    whole = Window.partitionBy("_key")
-    c = c.carried(
-        {"_own": F.count("*")},
-        lambda s: {"_ahead": F.coalesce(F.sum("_own").over(earlier()), F.lit(0).cast("long")), "_n": F.sum("_own").over(whole)}, {},
-    )
-    return c.with_columns({"_place": F.col("_ahead") + F.row_number().over(c.ordered(*order)) - 1}).plain("_ahead")
+    own = durable(c.df.groupBy("_key", "_slice").agg(F.count("*").alias("_own")))
+    ahead = F.coalesce(F.sum("_own").over(earlier()), F.lit(0).cast("long"))
+    known = own.select("_key", "_slice", ahead.alias("_ahead"), F.sum("_own").over(Window.partitionBy("_key")).alias("_n"))
+    # so many partitions that a task sorts about one slice; adaptive execution would merge slices that compress well, but not under a given number
+    slices = math.ceil((own.agg(F.sum("_own")).first()[0] or 0) / SLICE_ROWS)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * slices)
+    dealt = c.df.join(known, ["_key", "_slice"]).repartition(parts, "_key", "_slice")
+    return Cut(dealt, c.keys, True).with_columns({"_place": F.col("_ahead") + F.row_number().over(c.ordered(*order)) - 1}).plain("_ahead")
 
 
 def rolling(df: DataFrame, by: list[str], width: int, out: str, reduce: Callable[[WindowSpec], Column]) -> DataFrame:

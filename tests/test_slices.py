@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronolake.functions.formula import CalculatedChannel, formula_channel
 from chronolake.operators import series as ops
@@ -150,3 +151,12 @@ def test_band_pass_steps_at_every_sample_of_a_time(spark, small_slices, sliced):
     got = sorted((r.x_ms, r.y) for r in formula_channel(series, spec, merge_times=False).collect())
     assert [x for x, _ in got] == [x for x, _ in sorted(want)] and [y for _, y in got] == pytest.approx([y for _, y in sorted(want)], abs=1e-9)
     assert formula_channel(series, spec).count() == 60
+
+
+def test_slices_are_sorted_by_tasks_of_their_own(spark, runs, small_slices):
+    """Ranking deals slices over so many partitions that few share one, and adaptive execution does not merge them."""
+    small_slices()
+    out = slices.ranked(runs, ["test_run_id", "channel_name"], "x_ms", "y")
+    held = out.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    n = runs.count()
+    assert sum(r["count"] for r in held) == n and len(held) > n / slices.SLICE_ROWS / 2 and max(r["count"] for r in held) < n / 4
