@@ -58,7 +58,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity.rules(read(spark, sf_dir, "documents"))
+    return perplexity.rules(read(spark, sf_dir, "documents"), orders=range(2, 6))
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
