@@ -212,7 +212,9 @@ def align(series: DataFrame, channels: list[str], per_test: bool = True) -> Data
     own = series.where(F.col("channel_name").isin(names)).withColumn("_us", F.round(F.col("x_ms") * 1000).cast("long"))
     values = [F.max(F.when(F.col("channel_name") == n, F.col("y"))).alias(f"v{i}") for i, n in enumerate(names)]
     first = [] if per_test else [F.min("test_run_id").alias("test_run_id")]
-    rows = own.groupBy(*key, "_us").agg(*first, F.min("test_run_code").alias("test_run_code"), F.min("x_ms").alias("x_ms"), *values)
+    # by code first: an aggregate of strings makes every task sort all rows that it reads
+    coded = own.groupBy(*key, "_us", "test_run_code").agg(*first, F.min("x_ms").alias("x_ms"), *values)
+    rows = coded.groupBy(*key, "_us").agg(*first, F.min("test_run_code").alias("test_run_code"), F.min("x_ms").alias("x_ms"), *[F.max(f"v{i}").alias(f"v{i}") for i in range(len(names))])
     return rows.where(reduce(lambda a, b: a & b, (finite(F.col(f"v{i}")) for i in range(len(names)))))
 
 

@@ -126,7 +126,9 @@ def resampled(series: DataFrame, step_ms: float, max_gap_ms: float | None = None
 
     Series of different clocks have common times then, so that formulas can align them.
     """
-    spans = series.where(finite(F.col("y"))).groupBy(*KEY).agg(F.min("x_ms").alias("_a"), F.max("x_ms").alias("_z"), F.max("test_run_code").alias("test_run_code"), F.max("unit").alias("unit"))
+    # by code and unit first: an aggregate of strings makes every task sort all rows that it reads
+    spans = series.where(finite(F.col("y"))).groupBy(*KEY, "test_run_code", "unit").agg(F.min("x_ms").alias("_a"), F.max("x_ms").alias("_z"))
+    spans = spans.groupBy(*KEY).agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.max("test_run_code").alias("test_run_code"), F.max("unit").alias("unit"))
     first, last = F.ceil(F.col("_a") / step_ms), F.floor(F.col("_z") / step_ms)
     # in stretches, so that no row holds all steps of a long series
     chunk = 4096

@@ -131,8 +131,10 @@ def read_series_of(spark: SparkSession, path: str, rule: IngestRule, test_id: in
 
 def channel_rows(series: DataFrame, lake: str, kinds: dict[str, str] | None = None) -> DataFrame:
     """A catalog row for each channel of the series."""
-    by = series.groupBy(F.col("test_run_id").alias("test_id"), "channel_name").agg(
-        F.first("unit", ignorenulls=True).alias("unit"), F.count("y").alias("point_count"), F.min("x_ms").alias("start_ms"), F.max("x_ms").alias("end_ms")
+    # by unit first: an aggregate of strings makes every task sort all rows that it reads
+    of = series.groupBy(F.col("test_run_id").alias("test_id"), "channel_name", "unit").agg(F.count("y").alias("n"), F.min("x_ms").alias("low"), F.max("x_ms").alias("high"))
+    by = of.groupBy("test_id", "channel_name").agg(
+        F.first("unit", ignorenulls=True).alias("unit"), F.sum("n").alias("point_count"), F.min("low").alias("start_ms"), F.max("high").alias("end_ms")
     )
     uri = F.concat(F.lit(f"{lake.rstrip('/')}?test_id="), F.col("test_id").cast("string"), F.lit("&channel_name="), F.col("channel_name"))
     return by.select("test_id", "channel_name", F.col("channel_name").alias("display_name"), "unit", uri.alias("parquet_uri"), "point_count", "start_ms", "end_ms")

@@ -19,7 +19,8 @@ from ..operators.series import time_window
 from ..schema import SERIES_COLUMNS
 from ..session import durable
 
-ROWS_PER_FILE, ROW_GROUP_BYTES = 20_000_000, 16 << 20
+#: Rows that a task of a write sorts (about), rows of a file at most, and bytes of a row group.
+ROWS_PER_TASK, ROWS_PER_FILE, ROW_GROUP_BYTES = 1 << 20, 20_000_000, 16 << 20
 #: Parts of fewer rows are small; so many of them are merged by the next write.
 SMALL_ROWS, MOST_SMALL = 20_000_000, 32
 ATTEMPTS = 50
@@ -44,13 +45,17 @@ def _commit(log: CommitLog, change: Callable[[dict], dict | None]) -> dict | Non
 
 
 def _write_part(log: CommitLog, rows: DataFrame, write_id: int | None = None) -> dict:
-    """Writes rows as a part and says what the log has of it."""
+    """Writes rows as a part and says what the log has of it.
+
+    Ranges are as many as the rows need: adaptive execution would merge them by their compressed size, and one task sort more the larger the write.
+    """
     folder = f"parts/{uuid.uuid4().hex}"
     columns = [F.lit(write_id).cast("long").alias("write_id") if c == "write_id" and write_id is not None else F.col(c) for c in ("test_id", "channel_name", "test_run_code", "unit", "x_ms", "y", "write_id")]
     order = ["test_id", "channel_name", "x_ms"]
     time = F.timestamp_micros(F.round(F.col("x_ms") * 1000).cast("long")).alias("timestamp_utc")
+    tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
     (
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns, time)
+        rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(*columns, time)
         .write.option("maxRecordsPerFile", ROWS_PER_FILE).option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{log.root}/{folder}")
     )
     n, low, high = log.spark.read.schema(ROWS).parquet(f"{log.root}/{folder}").agg(F.count("*"), F.min("test_id"), F.max("test_id")).first()

@@ -9,6 +9,7 @@ from chronolake.functions.formula import CalculatedChannel
 from chronolake.plans import catalog_query, ingest
 from chronolake.plans.query import SeriesRequest
 from chronolake.sinks import export
+from chronolake.sinks import lake as lake_sink
 from chronolake.sinks.lake import read_series, write_series
 
 T0 = 1_700_000_000
@@ -192,3 +193,26 @@ def test_commands(spark, tmp_path, capsys):
     path = capsys.readouterr().out.strip()
     assert path.endswith("/my_run") and spark.read.parquet(path).count() == 8
     assert [export.safe_filename(x, ".csv") for x in ("a/b c", "..", "x.CSV")] == ["a_b_c.csv", "export.csv", "x.CSV"]
+
+
+def test_tasks_of_a_lake_write_follow_its_rows(spark, tmp_path, monkeypatch):
+    """Adaptive execution does not merge the ranges of a write, however well their rows compress."""
+    monkeypatch.setattr(lake_sink, "ROWS_PER_TASK", 1000)
+    rows = spark.range(20_000).selectExpr("1L AS test_run_id", "'r' AS test_run_code", "'A' AS channel_name", "'u' AS unit", "id * 10.0D AS x_ms", "1.0D AS y").repartition(4)
+    write_series(rows, str(tmp_path / "lake"))
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "lake/parts/*")).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) >= 15 and max(sizes) <= 3000
+    assert read_series(spark, str(tmp_path / "lake"), [1]).agg(F.countDistinct("x_ms")).first()[0] == 20_000
+
+
+def test_rows_are_not_sorted_to_be_summed_up(spark):
+    """Sums over all rows of a series hash them: only what is left, a row for each unit, code or time, may be sorted."""
+    from chronolake.functions.formula import align
+
+    rows = spark.range(100).selectExpr("1L AS test_run_id", "if(id < 50, 'r', 'q') AS test_run_code", "'A' AS channel_name", "if(id = 7, 'V', null) AS unit", "id % 5 * 10.0D AS x_ms", "id * 1.0D AS y").repartition(3)
+    for made in (ingest.channel_rows(rows, "/lake"), align(rows, ["A"])):
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        aggregates = [line for line in plan.split("\n") if "Aggregate" in line]
+        assert "HashAggregate" in aggregates[-1], plan
+    assert [(r.unit, r.point_count, r.start_ms, r.end_ms) for r in ingest.channel_rows(rows, "/lake").collect()] == [("V", 100, 0.0, 40.0)]
+    assert sorted((r.x_ms, r.v0, r.test_run_code) for r in align(rows, ["A"]).collect()) == [(k * 10.0, 95.0 + k, "q") for k in range(5)]
